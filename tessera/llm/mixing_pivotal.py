@@ -125,6 +125,20 @@ def pivot(rows: list[tuple[int, int, int, float]], seed: int, level: int) -> lis
     return out
 
 
+def round_block(rows: list[tuple[int, int, int, float]], seed: int, level: int, near: float = 0.001, tries: int = 16) -> list[tuple[int, int, int, float]]:
+    """pivot(), drawn again while what stays fractional would miss the block's words by over ``near``."""
+    words = sum(size * p for _, _, size, p in rows)
+    best = None
+    for k in range(tries):
+        got = pivot(rows, seed + 1000 * k, level)
+        miss = sum(min(p, 1 - p) * size for _, _, size, p in got)
+        if best is None or miss < best[0]:
+            best = (miss, got)
+        if miss <= near * words:
+            break
+    return best[1]
+
+
 def _reduce(rows: DataFrame, blocks: str, seed: int, level: int) -> DataFrame:
     """One level of the tree over (source_no, kid, kh, size, p); ``blocks``: the expression of a row's block."""
 
@@ -133,7 +147,7 @@ def _reduce(rows: DataFrame, blocks: str, seed: int, level: int) -> DataFrame:
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                got = pivot(sorted(held), seed, level)
+                got = round_block(sorted(held), seed, level)
                 columns = [pa.array(list(c), k) for c, k in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
                 n = len(got)
                 yield pa.RecordBatch.from_arrays([pa.array([at[0]] * n, pa.int64()), pa.array([at[2]] * n, pa.int64()), *columns], names=["source_no", "n_docs", "kid", "kh", "size", "p"])
