@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing_pivotal, mpeg_media
+from tessera.llm import mixing_pivotal, mpeg_media, rlz_spans, suffix_buckets
 from tessera.llm.common import table
 
 
@@ -12,10 +12,18 @@ def op3_media_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_buckets.repeats_digest(table(spark, sf_dir, "documents"))
+
+
+def op5_rlz_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz_spans.spans_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_pivotal.mix_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_mpeg, op6_mix_pivotal)}
+QUERIES = {f.__name__: f for f in (op3_media_mpeg, op4_suffix_buckets, op5_rlz_spans, op6_mix_pivotal)}
 
 ORACLES: dict[str, str] = {}
