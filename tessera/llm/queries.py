@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing_pivotal, mpeg_media, rlz_spans, suffix_buckets
+from tessera.llm import html_density, langid_ppm, mixing_pivotal, mpeg_media, quality_ftrl, rlz_spans, secret_novelty, suffix_buckets
 from tessera.llm.common import table
 
 
+def op1_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ftrl.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_langid_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid_ppm.language_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_media_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -24,6 +32,14 @@ def op6_mix_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_pivotal.mix_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_mpeg, op4_suffix_buckets, op5_rlz_spans, op6_mix_pivotal)}
+def op7_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op9_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_novelty.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_langid_ppm, op3_media_mpeg, op4_suffix_buckets, op5_rlz_spans, op6_mix_pivotal, op7_html_density, op9_secret_novelty)}
 
 ORACLES: dict[str, str] = {}
