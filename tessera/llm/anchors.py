@@ -32,7 +32,7 @@ from tessera.llm.common import discard, groups, keyed, map_arrow, materialise, u
 from tessera.llm.lexer import mix, powers, prefix_sums
 
 #: Symbols in one piece of work; a longer document is done in overlapping pieces.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -187,7 +187,8 @@ def _judge(prints: DataFrame, win: Windows, name: str) -> DataFrame:
     buckets = once.groupBy("c").agg(F.count("*").alias("n"), F.min("kid").alias("first")).where("n > 1").drop("n")
     shared = materialise(once.join(buckets, "c"), f"{name}-shared")
     discard(once)
-    place = F.struct("kid", "kh", "pos", "part")
+    # One long, so that the minimum is aggregated by hash; rows that agree in it are both models.
+    place = F.xxhash64("kid", "kh", "pos", "part")
     hulls = shared.groupBy("c", "u").agg(F.count("*").alias("n"), F.min("kid").alias("source"), F.max("kid").alias("last"), F.min("first").alias("first"), F.min(place).alias("model"))
     hulls = materialise(hulls, f"{name}-hulls")
     if win.earlier:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python. Some texts have a megabyte, so few rows bound memory.
-ROWS_PER_BATCH = 512
+ROWS_PER_BATCH = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

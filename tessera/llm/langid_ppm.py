@@ -32,13 +32,19 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 
-def fold(data: np.ndarray) -> np.ndarray:
-    """Lower case of A-Z and of the two-byte letters U+00C0 to U+00DE; ASCII other than letters is a
-    space, as digits and punctuation say little of a language."""
-    out = np.where((data < 128) & ~_ASCII_LETTER[data], np.uint8(32), LOWER[data])
-    after = np.append(False, data[:-1] == 0xC3) if len(data) else np.empty(0, bool)
+def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in lower case (A-Z, and the two-byte letters U+00C0 to U+00DE) with every run of ASCII
+    other than letters as one space, as digits and punctuation say little of a language."""
+    space = (data < 128) & ~_ASCII_LETTER[data]
+    out = np.where(space, np.uint8(32), LOWER[data])
+    if not len(data):
+        return out, offsets
+    after = np.append(False, data[:-1] == 0xC3)
     out[after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 32
-    return out
+    keep = ~(space & np.append(False, space[:-1]))
+    keep[offsets[:-1][offsets[:-1] < len(data)]] = True
+    at = np.append(0, np.cumsum(keep))
+    return out[keep], at[offsets]
 
 
 @dataclass
@@ -195,7 +201,7 @@ def _count(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """The strings of k + 1 bytes of the texts as codes, and their counts."""
     codes = []
     for t in texts:
-        b = fold(np.frombuffer(t, np.uint8)).astype(np.uint64)
+        b = fold(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].astype(np.uint64)
         if len(b) > k:
             code = np.zeros(len(b) - k, np.uint64)
             for j in range(k + 1):
@@ -231,7 +237,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         n = len(has)
         if not model.names:
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array(np.zeros(n))], names=names)
-        bits = model.bits(fold(data), offsets)
+        data, offsets = fold(data, offsets)
+        bits = model.bits(data, offsets)
         best = bits.argmin(axis=1)
         least = bits.min(axis=1)
         score = np.where(has, 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1), 0.0)

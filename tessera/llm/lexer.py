@@ -12,7 +12,7 @@ import numpy as np
 from tessera.llm.common import groups
 
 #: Bytes worked on at once; a longer text is cut at white space.
-SPAN = 1 << 20
+SPAN = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SPACE = np.zeros(256, bool)
