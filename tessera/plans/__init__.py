@@ -1 +1,15 @@
+"""Registered queries of the library's own operators, by area."""
 
+from __future__ import annotations
+
+from tessera.plans import ingestion, pages, retrieval, scalars, synchronisation
+
+_AREAS = (retrieval, scalars, ingestion, synchronisation, pages)
+
+
+def queries() -> dict:
+    return {name: f for area in _AREAS for name, f in area.QUERIES.items()}
+
+
+def oracles() -> dict[str, str]:
+    return {name: sql for area in _AREAS for name, sql in area.ORACLES.items()}
