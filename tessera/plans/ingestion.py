@@ -108,7 +108,7 @@ def u8_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s6_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = src.read(spark, sf_dir, "events")
     column = src.timestamp_column(["id", "created_at", "updated_at"]) and "ts"
-    return src.incremental(e, column, F.lit("2024-03-01").cast("timestamp_ntz")).select("event_id", "user_id")
+    return src.incremental(e, column, F.lit("2024-01-20").cast("timestamp_ntz")).select("event_id", "user_id")
 
 
 def s7_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +210,7 @@ ORACLES = {
     "i5_detected_files": f"WITH {_O}, {_F} SELECT doc_id, key, filename, extension, file_id FROM f",
     "i14_provenance": "SELECT o_orderkey, 'orders|record:' || o_orderkey || '|column:s3_key' AS tags, 'Source: orders (record ' || o_orderkey || ')' AS description FROM orders",
     "u8_all_documents": "SELECT 'regions:' || r_regionkey AS doc_id, 'regions' AS source_table, r_name AS content_text, CAST(0 AS BIGINT) AS n_links FROM region UNION ALL SELECT 'nations:' || n_nationkey, 'nations', n_name, 1 FROM nation",
-    "s6_incremental": "SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '2024-03-01'",
+    "s6_incremental": "SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '2024-01-20'",
     "s7_limited": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 25",
     "s8_sample": None,
     "s12_point_get": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7",
