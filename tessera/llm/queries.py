@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import html_density, langid_ppm, mixing_pivotal, mpeg_media, quality_ftrl, rlz_spans, secret_novelty, signature_tree, simhash_decontam, suffix_buckets
 from tessera.llm.common import table
+from tessera.llm.oracles import ORACLES
 
 
 def op1_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,4 +51,4 @@ def op10_simhash_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_langid_ppm, op3_media_mpeg, op4_suffix_buckets, op5_rlz_spans, op6_mix_pivotal, op7_html_density, op8_signature_tree, op9_secret_novelty, op10_simhash_decontam)}
 
-ORACLES = {"op10_simhash_decontam": simhash_decontam.LEAKS_SQL}
+__all__ = ["ORACLES", "QUERIES"]
