@@ -51,9 +51,9 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     total = F.sum("source_size").over(every) * F.lit(float(share))
     left = F.greatest(total - F.coalesce(F.sum("stop").over(before), F.lit(0.0)), F.lit(0.0))
     weigh = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    by = by.withColumn("level", left / weigh)
+    by = by.withColumn("level", left / weigh).withColumn("turn", F.row_number().over(rise))
     # The first source whose stop is above its share at that level, and all after it, get that level.
-    free = F.min(F.when(F.col("level") * F.col("weight") <= F.col("stop"), F.struct(F.col("stop") / F.col("weight"), F.col("level")))).over(every)
+    free = F.min(F.when(F.col("level") * F.col("weight") <= F.col("stop"), F.struct(F.col("turn"), F.col("level")))).over(every)
     target = F.when(free.isNull(), F.col("stop")).otherwise(F.least(F.col("stop"), free["level"] * F.col("weight")))
     return by.withColumn("target", target).select("source", "n_docs", "source_size", "target")
 
