@@ -166,8 +166,8 @@ def _close(tree: _Tree, stack: list[int], names: tuple[str, ...], stop: tuple[st
         del stack[cut:]
 
 
-def densities(tree: _Tree) -> tuple[list[float], list[float]]:
-    """(composite density, density sum) of each node. Left-out nodes have 0 and count as nothing."""
+def densities(tree: _Tree) -> tuple[list[float], list[float], list[int]]:
+    """(composite density, density sum, characters) of each node. Left-out nodes have 0 and count as nothing."""
     n = len(tree.name)
     chars = [0 if d else c for c, d in zip(tree.chars, tree.drop, strict=True)]
     linked = [c if a else 0 for c, a in zip(chars, tree.link, strict=True)]
@@ -191,14 +191,19 @@ def densities(tree: _Tree) -> tuple[list[float], list[float]]:
             density[i] = max(0.0, density[i])
     for i in range(1, n):
         total[tree.parent[i]] += density[i]
-    return density, total
+    return density, total, chars
 
 
 def content(tree: _Tree) -> list[bool]:
     """Of each node whether it is in the article's subtree or a part beside it, and not left out."""
     n = len(tree.name)
-    density, total = densities(tree)
+    density, total, chars = densities(tree)
     live = [i for i in range(n) if not tree.drop[i]]
+    # Where elements name themselves the article and have a good part of the text, it is one of them.
+    named = [False] * n
+    for i in live:
+        named[i] = tree.name[i] in ("article", "main") and 4 * chars[i] >= chars[0] or i > 0 and named[tree.parent[i]]
+    live = [i for i in live if named[i]] or live
     best = max(live, key=lambda i: (total[i], -i))
     if total[best] <= 0:
         best = 0
@@ -208,7 +213,7 @@ def content(tree: _Tree) -> list[bool]:
         i = tree.parent[i]
     # An element that names itself the article holds it whole.
     outer = [i for i in path if tree.name[i] in ("article", "main")]
-    root = outer[0] if outer else best
+    root = outer[-1] if outer else best
     own = [False] * n
     own[root] = True
     if not outer:
