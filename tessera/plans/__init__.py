@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import ingestion, pages, retrieval, scalars, synchronisation
+from tessera.plans import flows, ingestion, pages, retrieval, scalars, synchronisation
 
-_AREAS = (retrieval, scalars, ingestion, synchronisation, pages)
+_AREAS = (retrieval, scalars, ingestion, synchronisation, pages, flows)
 
 
 def queries() -> dict:
