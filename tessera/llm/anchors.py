@@ -46,25 +46,37 @@ class Windows:
     symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
     earlier: bool  # a repeat counts only if it starts in a document with a smaller id
 
+    def __post_init__(self) -> None:
+        if not 0 <= self.reach < 1 << 15:
+            raise ValueError("A window has its k-gram and fewer than 32768 further symbols")
+
     @property
     def reach(self) -> int:
         return self.size - self.gram
 
 
-def sample(values: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> np.ndarray:
-    """Positions in ``values`` of the samples of every window of ``size`` inside one document."""
+def sample(values: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, low, high) of the samples of every window of ``size`` inside one document: those that select
+    the sample at m start at m - high to m - low, without a gap."""
     found = []
     for a, b in groups(offsets, PIECE):
         lo, hi = int(offsets[a]), int(offsets[b])
         x = lo
         while hi - x >= size:
             y = min(hi, x + 4 * PIECE)
-            found.append(_sample_piece(values[x:y].astype(np.uint64), offsets[a : b + 1] - x, size, gram) + x)
+            at, start = _sample_piece(values[x:y].astype(np.uint64), offsets[a : b + 1] - x, size, gram)
+            found.append((at + x, start + x))
             x = y if y == hi else y - size + 1
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    if not found:
+        return (np.empty(0, np.int64),) * 3
+    at, start = (np.concatenate(f) for f in zip(*found, strict=True))
+    new = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    last = np.append(new[1:], len(at)) - 1
+    return at[new], at[new] - start[last], at[new] - start[new]
 
 
-def _sample_piece(v: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> np.ndarray:
+def _sample_piece(v: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every window inside one document the sample and the start."""
     n, width = len(v) - size + 1, size - gram + 1
     sums = prefix_sums(v + np.uint64(1))
     _, down = powers(len(v) + 1)
@@ -79,8 +91,7 @@ def _sample_piece(v: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> np
     ok = np.ones(n, bool)
     for o in bounds[(bounds > 0) & (bounds < len(v))]:
         ok[max(0, o - size + 1) : o] = False
-    least = least[ok]
-    return least[np.append(True, least[1:] != least[:-1])] if len(least) else least
+    return least[ok], np.flatnonzero(ok)
 
 
 def _signed(values: list[int]) -> pa.Array:
@@ -97,14 +108,15 @@ _PRINTS = "c long, u long, kid long, kh long, pos long, part int"
 
 
 def _first_prints(docs: DataFrame, win: Windows) -> DataFrame:
-    """The sampled positions of every document with the fingerprints of their widest ranges."""
+    """The sampled positions of every document with the fingerprints of their widest ranges; part holds the
+    offsets of the windows that select the sample, low in the upper bits, high in the lower 15."""
     reach, size, gram = win.reach, win.size, win.gram
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         values, counts = win.symbols(*utf8(batch.column(2)))
         offsets = np.zeros(len(counts) + 1, np.int64)
         np.cumsum(counts, out=offsets[1:])
-        at = sample(values, offsets, size, gram)
+        at, low, high = sample(values, offsets, size, gram)
         if not len(at):
             return None
         doc = np.searchsorted(offsets, at, "right") - 1
@@ -115,14 +127,15 @@ def _first_prints(docs: DataFrame, win: Windows) -> DataFrame:
             for m, lo, hi in zip(at.tolist(), offsets[doc].tolist(), offsets[doc + 1].tolist(), strict=True)
         ]
         take = pa.array(doc)
-        columns = [_signed(cores), _maybe(hulls), batch.column(0).take(take), batch.column(1).take(take), pa.array(at - offsets[doc]), pa.array(np.zeros(len(at), np.int32))]
+        columns = [_signed(cores), _maybe(hulls), batch.column(0).take(take), batch.column(1).take(take), pa.array(at - offsets[doc]), pa.array((low << 15 | high).astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, names=["c", "u", "kid", "kh", "pos", "part"])
 
     return map_arrow(docs.select("kid", "kh", "text"), each, _PRINTS)
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, win: Windows) -> DataFrame:
-    """(kid, kh, pos, left, context): the symbols around each wanted position, left of them before it."""
+    """(kid, kh, pos, own, left, context): the symbols around each wanted position, left of them before it; own: the
+    offsets that select it."""
     reach, size = win.reach, win.size
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -130,33 +143,34 @@ def _contexts(docs: DataFrame, wanted: DataFrame, win: Windows) -> DataFrame:
         ends = np.cumsum(counts)
         places = batch.column(3)
         doc = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
-        pos = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        pos, own = (places.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
         lo, hi = (ends - counts)[doc], ends[doc]
         start, end = np.maximum(lo, lo + pos - reach), np.minimum(hi, lo + pos + size)
         context = [values[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         take = pa.array(doc)
-        columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(pos), pa.array((lo + pos - start).astype(np.int32)), pa.array(context, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["kid", "kh", "pos", "left", "context"])
+        columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(pos), pa.array(own.astype(np.int32)), pa.array((lo + pos - start).astype(np.int32)), pa.array(context, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["kid", "kh", "pos", "own", "left", "context"])
 
-    lists = wanted.groupBy("kid", "kh").agg(F.collect_set("pos").alias("places"))
+    lists = wanted.groupBy("kid", "kh").agg(F.collect_set(F.struct("pos", "part")).alias("places"))
     joined = docs.select("kid", "kh", "text").join(lists, ["kid", "kh"])
-    return map_arrow(joined, each, "kid long, kh long, pos long, left int, context binary")
+    return map_arrow(joined, each, "kid long, kh long, pos long, own int, left int, context binary")
 
 
 def _part_prints(contexts: DataFrame, win: Windows, unit: int, level: int) -> DataFrame:
-    """Fingerprints of the parts of each context's range: the ranges of ``step`` offsets, or with
-    level 2 the single offsets of the ranges listed in the column ``parts``."""
+    """Fingerprints of the parts of each context's range that have offsets of its own: the ranges of ``step``
+    offsets, or with level 2 the single offsets of the ranges listed in the column ``parts``. Equal windows select the
+    same sample at the same offset, so each has its parts in the same buckets."""
     reach, size, step = win.reach, win.size, win.step
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         cores, hulls, row, part = [], [], [], []
         lists = batch.column("parts").to_pylist() if level == 2 else None
-        for i, (left, raw) in enumerate(zip(batch.column("left").to_pylist(), batch.column("context").to_pylist(), strict=True)):
-            n = len(raw) // unit
+        for i, (own, left, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("own", "left", "context")), strict=True)):
+            n, first, last = len(raw) // unit, own >> 15, own & 32767
             if level == 1:
                 for j, lo in enumerate(range(0, reach + 1, step)):
                     hi = min(reach, lo + step - 1)
-                    if left - lo < 0 or left - hi + size > n:
+                    if hi < first or lo > last or left - lo < 0 or left - hi + size > n:
                         continue
                     cores.append(xxh3_64_intdigest(raw[unit * (left - lo) : unit * (left - hi + size)], 101 + j))
                     whole = left - hi >= 0 and left - lo + size <= n
@@ -166,7 +180,7 @@ def _part_prints(contexts: DataFrame, win: Windows, unit: int, level: int) -> Da
             else:
                 for j in lists[i]:
                     for d in range(j * step, min(reach, j * step + step - 1) + 1):
-                        if left - d >= 0 and left - d + size <= n:
+                        if first <= d <= last:
                             window = raw[unit * (left - d) : unit * (left - d + size)]
                             # With the offset, or a window would meet itself around another sample.
                             cores.append(xxh3_64_intdigest(window, 10_000 + d))
@@ -184,7 +198,8 @@ def _judge(prints: DataFrame, win: Windows, name: str) -> DataFrame:
     """(kid, kh, pos, part, whole, refine, source): the ranges with repeats; whole: every window repeats,
     and source is the least id that holds the hull; refine: the next level has to look at its parts."""
     once = materialise(prints, f"{name}-prints")
-    buckets = once.groupBy("c").agg(F.count("*").alias("n"), F.min("kid").alias("first")).where("n > 1").drop("n")
+    # Tables on both sides of every join, so that a hot bucket can be split among tasks.
+    buckets = materialise(once.groupBy("c").agg(F.count("*").alias("n"), F.min("kid").alias("first")).where("n > 1").drop("n"), f"{name}-buckets")
     shared = materialise(once.join(buckets, "c"), f"{name}-shared")
     discard(once)
     # One long, so that the minimum is aggregated by hash; rows that agree in it are both models.
@@ -193,13 +208,15 @@ def _judge(prints: DataFrame, win: Windows, name: str) -> DataFrame:
     hulls = materialise(hulls, f"{name}-hulls")
     if win.earlier:
         unsettled = F.when(F.col("u").isNull(), F.col("last") > F.col("first")).otherwise(F.col("source") > F.col("first"))
-        whole = F.coalesce(F.col("source") < F.col("kid"), F.lit(False))
+        whole = F.col("u").isNotNull() & (F.col("source") < F.col("kid"))
     else:
         unsettled = F.col("u").isNull() | (F.col("n") == 1)
-        whole = F.coalesce(F.col("n") > 1, F.lit(False))
-    again = hulls.where(unsettled).select("c").distinct().withColumn("again", F.lit(True))
-    found = shared.join(hulls.where("u is not null").drop("first", "last"), ["c", "u"], "left").join(again, "c", "left")
-    found = found.withColumn("whole", whole).withColumn("is_model", F.coalesce(F.col("model") == place, F.lit(False)))
+        whole = F.col("u").isNotNull() & (F.col("n") > 1)
+    again = materialise(hulls.where(unsettled).select("c").distinct().withColumn("again", F.lit(True)), f"{name}-again")
+    kinds = materialise(hulls.join(again, "c", "left").drop("first", "last"), f"{name}-kinds")
+    kinds = kinds.select(F.col("c").alias("kind_c"), F.col("u").alias("kind_u"), "n", "source", "model", "again")
+    found = shared.join(kinds, (F.col("c") == F.col("kind_c")) & F.col("u").eqNullSafe(F.col("kind_u")))
+    found = found.withColumn("whole", whole).withColumn("is_model", F.col("model") == place)
     # A bucket with unsettled rows is refined with all of those and one row of each settled kind, which
     # the others may yet agree with in part.
     refine = F.coalesce(F.col("again"), F.lit(False)) & (~F.col("whole") | F.col("is_model"))
@@ -235,6 +252,15 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(spans, ["kid", "kh"], "left").select("doc_id", "text", field("start"), field("end"), field("source"))
 
 
+def spans_of(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, ends, sources) of each row of with_spans(). Arrays, as a text of one repeated line has a span
+    for almost every symbol."""
+    columns = [batch.column(c) for c in ("starts", "ends", "sources")]
+    at = columns[0].offsets.to_numpy() - columns[0].offsets[0].as_py()
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in columns]
+    return [tuple(f[a:b] for f in flat) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def union(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """The maximal runs covered by the spans; runs that touch are one."""
     if not len(starts):
@@ -246,4 +272,4 @@ def union(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), ends[last].tolist(), strict=True))
 
 
-__all__ = ["Windows", "keyed", "repeated_spans", "sample", "union", "with_spans"]
+__all__ = ["Windows", "keyed", "repeated_spans", "sample", "spans_of", "union", "with_spans"]

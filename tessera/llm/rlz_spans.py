@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import lexer
-from tessera.llm.anchors import Windows, repeated_spans, union, with_spans
+from tessera.llm.anchors import Windows, repeated_spans, spans_of, union, with_spans
 from tessera.llm.common import keyed, map_arrow, utf8
 
 
@@ -80,9 +80,9 @@ def parse(docs: DataFrame, size: int = 50, **columns: str) -> DataFrame:
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, factors = [], []
         for text, n, start, end, at, to, source in _documents(batch):
-            spans = union(np.array(at, np.int64), np.array(to, np.int64))
+            spans = union(at, to)
             kept.append(_rest(text, n, start, end, spans))
-            factors.append([{"start": a, "end": b, "source": s} for a, b, s in factor(n, at, to, source)])
+            factors.append([{"start": a, "end": b, "source": s} for a, b, s in factor(n, at.tolist(), to.tolist(), source.tolist())])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source", pa.int64())]))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([k.decode() for k in kept], pa.string()), pa.array(factors, kind)], names=["doc_id", "kept", "factors"])
 
@@ -94,10 +94,9 @@ def _documents(batch: pa.RecordBatch):
     _, start, end, counts = lexer.words(data, offsets)
     ends = np.cumsum(counts)
     raw = data.tobytes()
-    lists = [batch.column(i).to_pylist() for i in (2, 3, 4)]
-    for i, n in enumerate(counts.tolist()):
+    for i, (n, spans) in enumerate(zip(counts.tolist(), spans_of(batch), strict=True)):
         own = slice(int(ends[i]) - n, int(ends[i]))
-        yield raw, n, start[own], end[own], lists[0][i], lists[1][i], lists[2][i]
+        yield raw, n, start[own], end[own], *spans
 
 
 def _rest(raw: bytes, n: int, start: np.ndarray, end: np.ndarray, spans: list[tuple[int, int]]) -> bytes:
@@ -113,7 +112,7 @@ def spans_digest(docs: DataFrame, size: int = 50) -> DataFrame:
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for raw, n, start, end, at, to, _ in _documents(batch):
-            spans = union(np.array(at, np.int64), np.array(to, np.int64))
+            spans = union(at, to)
             rows.append((n, sum(b - a for a, b in spans), hashlib.sha256(_rest(raw, n, start, end, spans)).hexdigest()))
         columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "n_removed", "kept_sha256"])

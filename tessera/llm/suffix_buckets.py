@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.anchors import Windows, repeated_spans, union, with_spans
+from tessera.llm.anchors import Windows, repeated_spans, spans_of, union, with_spans
 from tessera.llm.common import keyed, map_arrow
 
 
@@ -47,8 +47,8 @@ def remove_repeats(docs: DataFrame, size: int = 400, **columns: str) -> DataFram
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, runs = [], []
-        for text, starts, ends in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            data, spans = text.encode(), union(np.array(starts, np.int64), np.array(ends, np.int64))
+        for text, (starts, ends, _) in zip(batch.column("text"), spans_of(batch), strict=True):
+            data, spans = text.as_py().encode(), union(starts, ends)
             kept.append(without(data, spans))
             runs.append([{"start": a, "end": b} for a, b in spans])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "kept", "spans"])
@@ -70,9 +70,8 @@ def repeats_digest(docs: DataFrame, size: int = 400) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text, starts, ends in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            data = text.encode()
-            spans = union(np.array(starts, np.int64), np.array(ends, np.int64))
+        for text, (starts, ends, _) in zip(batch.column("text"), spans_of(batch), strict=True):
+            data, spans = text.as_py().encode(), union(starts, ends)
             rows.append((len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(without(data, spans)).hexdigest()))
         columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])

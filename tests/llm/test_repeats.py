@@ -111,7 +111,9 @@ def test_long_documents_in_pieces(spark, monkeypatch):
     rng = np.random.default_rng(0)
     data = rng.integers(97, 100, 5000).astype(np.uint8)
     data[3000:4000] = data[500:1500]
-    at = anchors.sample(data, np.array([0, 5000]), 80, 32)
+    at, low, high = anchors.sample(data, np.array([0, 5000]), 80, 32)
+    covered = sorted(int(s) for m, a, b in zip(at, low, high, strict=True) for s in range(m - b, m - a + 1))
+    assert covered == list(range(5000 - 80 + 1)) and high.max() <= 48
     inside = at[(at >= 500) & (at + 32 <= 1500)]
     copied = set((at - 2500).tolist())
     assert len(inside) > 10 and sum(int(a) in copied for a in inside[5:-5]) == len(inside[5:-5])
