@@ -201,7 +201,7 @@ ORACLES = {
     "j3_incoming_hints": f"SELECT target_table, source_table, source_column, rtrim(source_table, 's') AS relationship_type, 'one_to_many' AS cardinality, 'Find ' || source_table || ' where ' || source_column || ' = id' AS query_hint FROM {_FK}",
     "s10_catalog_columns": "SELECT table_name, column_name, CAST(ordinal_position AS BIGINT) AS position FROM information_schema.columns WHERE table_name IN ('customer', 'nation', 'orders', 'region')",
     "a1_row_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in SOURCES),
-    "i12_metadata_documents": None,
+    "i12_metadata_documents": "WITH c AS (SELECT table_name, string_agg(column_name, ' ' ORDER BY column_name) AS cols FROM information_schema.columns WHERE table_name IN ('customer', 'nation', 'orders', 'region') GROUP BY table_name), n AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in SOURCES) + ") SELECT 'table:' || table_name AS doc_id, table_name || ' ' || cols AS content_text, row_count, CAST(0 AS BIGINT) AS n_out, CAST(0 AS BIGINT) AS n_in FROM c JOIN n USING (table_name) UNION ALL SELECT 'schema:db', 'db with 4 tables', CAST(sum(row_count) AS BIGINT), 0, 0 FROM n",
     "i2_transform_orders": f"WITH {_O} SELECT doc_id, CAST(id AS VARCHAR) AS source_id, TRY_CAST(project_id AS BIGINT) AS project_id, CASE WHEN trim(title) = '' THEN number ELSE trim(title) || ' ' || number END AS content_text, CASE WHEN created_at IS NULL THEN {NOW} ELSE epoch_ms(created_at) END AS created_at, CAST({NOW} AS BIGINT) AS updated_at, CAST(7 + (created_at IS NOT NULL)::INT + (k % 5 <> 0)::INT AS BIGINT) AS n_fields, CAST(2 AS BIGINT) AS n_links, CAST(2 + (k % 5 <> 0)::INT AS BIGINT) AS n_files FROM d",
     "i2_metadata_fields": f"WITH {_O} SELECT doc_id, field, value FROM (SELECT doc_id, unnest(['id', 'customer_id', 'title', 'number', 'project_id', 'created_at', 's3_key', 'more_s3_keys', 'url']) AS field, unnest([CAST(id AS VARCHAR), CAST(customer_id AS VARCHAR), title, number, project_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S'), CASE WHEN k % 5 <> 0 THEN 'k/' || k || '/A.PDF' END, '{{\"f1\": \"a/' || k || '.png\", \"f2\": null}}', CASE WHEN k % 2 = 0 THEN 'https://h.org/d/x.jpg?q=1' ELSE 'no url' END]) AS value FROM d) WHERE value IS NOT NULL",
     "i3_rejects": "SELECT 'orders' AS source_table, 'Row without id' AS error, count(*) AS n FROM orders WHERE o_orderkey % 11 = 0",

@@ -194,6 +194,10 @@ _SLUG = "coalesce(nullif(lower(regexp_replace(substr(regexp_replace(text, '[^a-z
 _SNIP = "CASE WHEN length(t) = 0 THEN 'Page ' || doc_id || ' of a.pdf' WHEN length(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END"
 
 
+# Twice, as neighbours share the character between them; what is marked isn't marked again.
+_MARK = r"regexp_replace({t}, '(^|[^\p{{L}}\p{{N}}>])(the|token)($|[^\p{{L}}\p{{N}}<])', '\1<strong>\2</strong>\3', 'gi')"
+
+
 def _redacted(c: str) -> str:
     for p in strings.REDACTIONS:
         c = f"regexp_replace({c}, '{p.replace(chr(39), chr(39) * 2)}', '\\1[REDACTED]', 'gi')"
@@ -214,7 +218,7 @@ ORACLES = {
     "f16_redact": f"SELECT doc_id, md5({_redacted('text')}) AS redacted_md5 FROM documents",
     "f18_form_fields": "SELECT v, CASE v WHEN ' a, b ,,c ' THEN '[\"a\",\"b\",\"c\"]' WHEN '' THEN '[]' WHEN 'x' || chr(10) || 'y' THEN '[\"x\\ny\"]' ELSE '[\"' || v || '\"]' END AS tags, lower(trim(v)) IN ('on', 'true', '1', 'yes') AS flag, replace(v, chr(10), '<br>') AS html FROM (VALUES (' a, b ,,c '), (''), ('ON'), ('true'), ('1'), ('Yes'), ('no'), ('x' || chr(10) || 'y')) AS t(v)",
     "f22_display": "SELECT c_custkey, CASE WHEN length(c_name) > 10 THEN left(c_name, 7) || '...' ELSE c_name END AS short, upper(left(c_mktsegment, 1) || left(c_name, 1)) AS initials, (c_custkey % 3) || ' file' || CASE WHEN c_custkey % 3 = 1 THEN '' ELSE 's' END AS files FROM customer",
-    "f23_highlight": None,
+    "f23_highlight": f"SELECT doc_id, md5({_MARK.format(t=_MARK.format(t='left(text, 500)'))}) AS marked_md5 FROM documents",
     "f24_fences": "SELECT CAST(i AS BIGINT) AS i, b AS body FROM (VALUES (0, '[1]'), (1, '[1]'), (2, 'x')) AS t(i, b)",
     "d1_epoch_millis": "SELECT o_orderkey, epoch_ms(o_orderdate) AS from_time, (o_orderkey % 1000) * 1000 AS from_number, epoch_ms(date_trunc('second', o_orderdate)) AS from_text, CASE WHEN o_orderkey % 1000 = 0 THEN 99 ELSE (o_orderkey % 1000) * 1000 END AS or_now FROM orders",
     "d3_iso": "SELECT event_id, strftime(t, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(t) % 1000000 = 0 THEN '' ELSE strftime(t, '.%f') END AS iso FROM (SELECT event_id, ts + to_microseconds((event_id % 3) * 250000) AS t FROM events)",
