@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python. Some texts have a megabyte, so few rows bound memory.
@@ -59,16 +59,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{scratch_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._scratch = at
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by materialise() that no later plan reads."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tessera/" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by materialise() that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: The id that stands for a null id in joins and comparisons.
@@ -94,6 +95,18 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def least_hashed(rows: DataFrame, group: str, hash_col: str, most: int, sizes: DataFrame) -> DataFrame:
+    """The ``most`` rows of each group with the least hashes, for groups of the given (group, size).
+
+    Rows whose hash is beyond what half as many rows again would reach are dropped where they are read, so
+    the ranking gets a bounded number of rows a group however many tasks read them.
+    """
+    reach = F.lit(float(-(2**63))) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(1.5 * most + 100) / F.col("size"))
+    near = rows.join(F.broadcast(sizes), group).where(F.col(hash_col).cast("double") <= reach).drop("size")
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(hash_col))
+    return near.withColumn("least_rank", rank).where(F.col("least_rank") <= most).drop("least_rank")
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``fn`` to each record batch of ``df``."""
 

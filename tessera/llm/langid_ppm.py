@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tessera.llm.common import groups, map_arrow, text_or_empty, utf8
+from tessera.llm.common import groups, least_hashed, map_arrow, text_or_empty, utf8
 from tessera.llm.lexer import LOWER
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -210,13 +209,15 @@ def _count(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(codes), return_counts=True) if codes else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
-def training_sample(docs: DataFrame, held_out: Column, per_language: int = 400, most_chars: int = 20_000, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[bytes]]:
+def training_sample(docs: DataFrame, held_out: Column, per_language: int = 400, most_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[bytes]]:
     """A bounded sample: ``per_language`` texts of each language with the least hashes, of a longer one its
-    first ``most_chars`` characters. The limit of rows is applied on every task before the shuffle."""
-    rows = docs.where(~held_out & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, most_chars).alias("text"), F.xxhash64(text_col).alias("h"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    first ``most_chars`` characters. Languages are taken to be few: a row of each is broadcast."""
+    usable = docs.where(~held_out & F.col(lang_col).isNotNull())
+    sizes = usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("size"))
+    text = F.substring(text_col, 1, most_chars)
+    rows = usable.where(F.length(text_col) > 0).select(F.col(lang_col).alias("lang"), text.alias("text"), F.xxhash64(id_col, text_col).alias("h"))
     out: dict[str, list[bytes]] = {}
-    for lang, text in rows.withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "text").toLocalIterator():
+    for lang, text in least_hashed(rows, "lang", "h", per_language, sizes).select("lang", "text").toLocalIterator():
         out.setdefault(lang, []).append(text.encode())
     return out
 

@@ -19,10 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tessera.llm import lexer
-from tessera.llm.common import map_arrow, text_or_empty, utf8
+from tessera.llm.common import least_hashed, map_arrow, text_or_empty, utf8
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = ord("a")
@@ -106,13 +105,13 @@ def learn(examples: list[tuple[np.ndarray, np.ndarray, int]], how: Ftrl) -> np.n
 def train(docs: DataFrame, labels: DataFrame, usable: Column, how: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """Weights learned from the rows of ``labels`` that are ``usable`` and labelled 0 or 1.
 
-    The sample is drawn by the hash of the id, limited on every task before its shuffle, and bounded by
-    ``per_class``, so it may be broadcast. Repeated labels and documents count as they come.
+    The sample is drawn by the hash of the id and bounded by ``per_class``, so it may be broadcast. Repeated
+    labels and documents count as they come.
     """
-    rank = F.row_number().over(W.partitionBy("label").orderBy("h", "id"))
     wanted = labels.where(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     wanted = wanted.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col)).alias("h"))
-    wanted = wanted.withColumn("r", rank).where(F.col("r") <= how.per_class).select("id", "label", "h")
+    sizes = wanted.groupBy("label").agg(F.count("*").alias("size"))  # two rows
+    wanted = least_hashed(wanted, "label", "h", how.per_class, sizes).select("id", "label", "h")
     text = F.substring(text_or_empty(text_col), 1, how.most_chars)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(wanted), "id").select("h", "id", "label", "text")
     rows = rows.repartition(1).sortWithinPartitions("h", "id", "label", "text")
