@@ -37,8 +37,15 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.cast("int").bitwiseXOR(y.cast("int")).bitwiseAND(F.lit(255)))), F.lit(0), lambda acc, x: acc + x)
 
 
-def hamming_longs(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+def hamming_longs(a: Column, b: Column, words: int | None = None) -> Column:
+    """Differing bits of two arrays of longs. With their number of ``words`` it is plain arithmetic, which
+    whole-stage code generation takes; without, a fold."""
+    if words is None:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    out = F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0))))
+    for i in range(1, words):
+        out = out + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
+    return out
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -33,9 +33,14 @@ def float_similarity() -> Column:
     return vectors.dot(F.col("q_vec"), F.col("vec"))
 
 
-def bit_similarity() -> Column:
-    """One over one plus the Hamming distance of the packed signs."""
-    return vectors.inverse_distance(vectors.hamming_longs(F.col("q_bin"), F.col("bin")))
+def bit_distance(dims: int) -> Column:
+    """The Hamming distance of the packed signs."""
+    return vectors.hamming_longs(F.col("q_bin"), F.col("bin"), -(-dims // 64))
+
+
+def bit_similarity(dims: int) -> Column:
+    """One over one plus the distance of the packed signs."""
+    return vectors.inverse_distance(bit_distance(dims))
 
 
 def sign_similarity(pm1: bool) -> Column:
@@ -48,22 +53,22 @@ def top(scores: DataFrame, k: int, key: str = "page", by: str = "score") -> Data
     return scores.orderBy(F.col(by).desc(), key).limit(k)
 
 
-def ann_candidates(patches: DataFrame, tokens: DataFrame, per_token: int, key: str = "page") -> DataFrame:
+def ann_candidates(patches: DataFrame, tokens: DataFrame, per_token: int, dims: int, key: str = "page") -> DataFrame:
     """(page): for each token the nearest pages by the Hamming distance of their nearest patch, united.
 
     The search is exact. Its window keeps ``per_token`` rows of each token on every task before the shuffle.
     """
-    distance = patches.join(query_tokens(tokens)).groupBy(key, "tok").agg(F.min(vectors.hamming_longs(F.col("q_bin"), F.col("bin"))).alias("distance"))
+    distance = patches.join(query_tokens(tokens)).groupBy(key, "tok").agg(F.min(bit_distance(dims)).alias("distance"))
     rank = F.row_number().over(W.partitionBy("tok").orderBy("distance", key))
     return distance.withColumn("r", rank).where(F.col("r") <= per_token).select(key).distinct()
 
 
-def two_phase(patches: DataFrame, tokens: DataFrame, first: int, k: int, key: str = "page") -> DataFrame:
+def two_phase(patches: DataFrame, tokens: DataFrame, first: int, k: int, dims: int, key: str = "page") -> DataFrame:
     """Pages ranked by packed signs alone, the first of them again by floats against signs.
 
     The second phase reads the vectors of the ``first`` pages alone; their ids are broadcast, being that many.
     """
-    head = top(maxsim(patches, tokens, bit_similarity(), key), first, key).select(key)
+    head = top(maxsim(patches, tokens, bit_similarity(dims), key), first, key).select(key)
     again = patches.join(F.broadcast(head), key, "left_semi")
     return top(maxsim(again, tokens, sign_similarity(pm1=False), key), k, key)
 

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT, Settings
 from tessera.functions import strings
 
 
-def postings(docs: DataFrame, key: str, text: str, terms: list[str] | None = None) -> DataFrame:
-    """(key, term, tf, len): how often each document has each term, and its length in terms. With
-    ``terms`` only those leave the scan, counted where they are read: no shuffle."""
+def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf, len): how often each document has each term, and its length in terms."""
     split = docs.select(F.col(key), strings.words(F.coalesce(F.col(text), F.lit(""))).alias("w")).withColumn("len", F.size("w"))
-    if terms is not None:
-        asked = F.explode(F.array(*[F.lit(t) for t in terms])).alias("term") if terms else F.explode(F.array().cast("array<string>")).alias("term")
-        found = split.select(key, "w", "len", asked)
-        found = found.withColumn("tf", F.size(F.filter("w", lambda x: x == F.col("term"))))
-        return found.where("tf > 0").select(key, "term", "tf", "len")
     return split.select(key, "len", F.explode("w").alias("term")).groupBy(key, "term", "len").agg(F.count("*").alias("tf"))
 
 
@@ -27,15 +21,27 @@ def statistics(docs: DataFrame, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], settings: Settings = DEFAULT) -> DataFrame:
-    """(key, score) of the documents with any of the terms.
+    """(key, score) of the documents, a row each, with any of the terms.
 
     idf = ln(1 + (N - n + 0.5) / (n + 0.5)); score = sum of idf tf (k1 + 1) / (tf + k1 (1 - b + b len / avg len)).
+    Terms are counted where documents are read. One aggregate gives N, the average length and every n; its row is
+    broadcast, so documents are never shuffled.
     """
-    found = postings(docs, key, text, sorted(set(terms)))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = sorted(set(terms))
+    if not asked:
+        return docs.select(F.col(key), F.lit(0.0).alias("score")).limit(0)
+    counts = {f"tf_{i}": _count_of(t) for i, t in enumerate(asked)}
+    split = docs.select(F.col(key), strings.words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    each = split.select(key, F.size("w").alias("len"), *[c.alias(name) for name, c in counts.items()])
+    totals = each.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(n) > 0).alias(f"df_{n}") for n in counts])
     k1, b = settings.bm25_k1, settings.bm25_b
-    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    # One row of statistics and a row for each asked term: both broadcast.
-    scored = found.join(F.broadcast(df), "term").join(F.broadcast(statistics(docs, text)))
-    return scored.groupBy(key).agg(F.sum(idf * share).alias("score"))
+    score = F.lit(0.0)
+    for n in counts:
+        idf = F.log(1 + (F.col("n_docs") - F.col(f"df_{n}") + 0.5) / (F.col(f"df_{n}") + 0.5))
+        score = score + idf * (F.col(n) * (k1 + 1) / (F.col(n) + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))))
+    found = each.where(F.greatest(*[F.col(n) for n in counts], F.lit(0)) > 0)
+    return found.join(F.broadcast(totals)).select(key, score.alias("score"))
+
+
+def _count_of(term: str) -> Column:
+    return F.size(F.filter("w", lambda x: x == term))

@@ -44,15 +44,15 @@ def m1_packbits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m4_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, t = patches(spark, sf_dir), tokens(spark, sf_dir)
-    return p.join(F.broadcast(t)).select("page", "patch", "tok", vectors.hamming_longs(F.col("q_bin"), F.col("bin")).cast("long").alias("distance"))
+    return p.join(F.broadcast(t)).select("page", "patch", "tok", r.bit_distance(DIMS).cast("long").alias("distance"))
 
 
 def a8_binary_maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _six(r.top(r.maxsim(patches(spark, sf_dir), tokens(spark, sf_dir), r.bit_similarity()), 20), "score")
+    return _six(r.top(r.maxsim(patches(spark, sf_dir), tokens(spark, sf_dir), r.bit_similarity(DIMS)), 20), "score")
 
 
 def r4_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _six(r.two_phase(patches(spark, sf_dir), tokens(spark, sf_dir), 20, 5), "score")
+    return _six(r.two_phase(patches(spark, sf_dir), tokens(spark, sf_dir), 20, 5, DIMS), "score")
 
 
 def m2_maxsim_bits01(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,14 +66,14 @@ def m3_maxsim_bits_pm1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r8_app_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third page has lost its floats, every sixth its signs too."""
     p, t = patches(spark, sf_dir), tokens(spark, sf_dir)
-    hits = r.two_phase(p, t, 100, 20).withColumnRenamed("score", "relevance")
+    hits = r.two_phase(p, t, 100, 20, DIMS).withColumnRenamed("score", "relevance")
     floats = r.maxsim(p.where("page % 3 <> 0"), t, r.float_similarity())
     signs = r.maxsim(p.where("page % 6 <> 0"), t, r.sign_similarity(True))
     return _six(r.rerank(hits, floats, signs, 5), "relevance", "rerank_score")
 
 
 def r2_ann_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.ann_candidates(patches(spark, sf_dir), tokens(spark, sf_dir), 10)
+    return r.ann_candidates(patches(spark, sf_dir), tokens(spark, sf_dir), 10, DIMS)
 
 
 def w9_simmap_quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def m8_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MaxSim plus twice the lexical scores of text and title; candidates of either kind."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text", F.col("source").alias("title"))
     p, t = patches(spark, sf_dir), tokens(spark, sf_dir)
-    near = r.ann_candidates(p, t, 10)
+    near = r.ann_candidates(p, t, 10, DIMS)
     text, title = text_index.bm25(d, "page", "text", TERMS), text_index.bm25(d, "page", "title", ["src3"])
     lexical = text.withColumnRenamed("score", "s1").join(title.withColumnRenamed("score", "s2"), "page", "full_outer")
     sim = r.maxsim(p, t, r.sign_similarity(False)).withColumnRenamed("score", "s0")
