@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import etl, regions
+from tessera.runtime import ship
 from tessera.sources.tables import read
 
 SIZES = ((1, 4000, 3000), (2, 800, 600), (3, 1800, 1800), (4, 9000, 150), (5, 3601, 5000))
@@ -126,11 +127,13 @@ def _image(page: int) -> bytes:
 
 def e7_image_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of two drawn pages by the cascade of methods."""
+    ship(spark)
     pages = spark.createDataFrame(pd.DataFrame({"page_id": [0, 1], "width": 2000, "height": 2000, "gray": [_image(0), _image(1)]}))
     return regions.image_regions(pages)
 
 
 def e8_content_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     pages = spark.createDataFrame(pd.DataFrame({"page_id": [0, 1], "width": 2000, "height": 2000, "gray": [_image(0), _image(1)]}))
     return regions.image_regions(pages, "content_aware")
 

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT
+from tessera.runtime import ship
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table; filters and columns reach the scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
