@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.runtime import ship
+
 #: Rows in an Arrow batch handed to Python. Some texts have a megabyte, so few rows bound memory.
 ROWS_PER_BATCH = 256
 
@@ -31,7 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Lower the session's Arrow batch size to ``rows``, never raise it."""
+    """Lower the session's Arrow batch size to ``rows``, never raise it, and send the package along."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
