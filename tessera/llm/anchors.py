@@ -195,8 +195,8 @@ def _part_prints(contexts: DataFrame, win: Windows, unit: int, level: int) -> Da
 
 
 def _judge(prints: DataFrame, win: Windows, name: str) -> DataFrame:
-    """(kid, kh, pos, part, whole, refine, source): the ranges with repeats; whole: every window repeats,
-    and source is the least id that holds the hull; refine: the next level has to look at its parts."""
+    """(kid, kh, pos, part, whole, refine, source), as a table: the ranges with repeats; whole: every window
+    repeats, and source is the least id that holds the hull; refine: the next level has to look at its parts."""
     once = materialise(prints, f"{name}-prints")
     # Tables on both sides of every join, so that a hot bucket can be split among tasks.
     buckets = materialise(once.groupBy("c").agg(F.count("*").alias("n"), F.min("kid").alias("first")).where("n > 1").drop("n"), f"{name}-buckets")
@@ -214,13 +214,16 @@ def _judge(prints: DataFrame, win: Windows, name: str) -> DataFrame:
         whole = F.col("u").isNotNull() & (F.col("n") > 1)
     again = materialise(hulls.where(unsettled).select("c").distinct().withColumn("again", F.lit(True)), f"{name}-again")
     kinds = materialise(hulls.join(again, "c", "left").drop("first", "last"), f"{name}-kinds")
-    kinds = kinds.select(F.col("c").alias("kind_c"), F.col("u").alias("kind_u"), "n", "source", "model", "again")
-    found = shared.join(kinds, (F.col("c") == F.col("kind_c")) & F.col("u").eqNullSafe(F.col("kind_u")))
+    kind = kinds.select(F.col("c").alias("kind_c"), F.col("u").alias("kind_u"), "n", "source", "model", "again")
+    found = shared.join(kind, (F.col("c") == F.col("kind_c")) & F.col("u").eqNullSafe(F.col("kind_u")))
     found = found.withColumn("whole", whole).withColumn("is_model", F.col("model") == place)
     # A bucket with unsettled rows is refined with all of those and one row of each settled kind, which
     # the others may yet agree with in part.
     refine = F.coalesce(F.col("again"), F.lit(False)) & (~F.col("whole") | F.col("is_model"))
-    return found.select("kid", "kh", "pos", "part", "whole", refine.alias("refine"), "source").where("whole or refine")
+    out = found.select("kid", "kh", "pos", "part", "whole", refine.alias("refine"), "source").where("whole or refine")
+    out = materialise(out, name)
+    discard(buckets, shared, hulls, again, kinds)
+    return out
 
 
 def repeated_spans(docs: DataFrame, win: Windows, unit: int, name: str) -> DataFrame:
@@ -230,12 +233,13 @@ def repeated_spans(docs: DataFrame, win: Windows, unit: int, name: str) -> DataF
     ``docs`` is keyed(); it is read twice, once to sample it and once for the contexts.
     """
     reach, size, step = win.reach, win.size, win.step
-    first = materialise(_judge(_first_prints(docs, win), win, f"{name}-0"), f"{name}-0")
+    first = _judge(_first_prints(docs, win), win, f"{name}-0")
     contexts = materialise(_contexts(docs, first.where("refine"), win), f"{name}-contexts")
-    second = materialise(_judge(_part_prints(contexts, win, unit, 1), win, f"{name}-1"), f"{name}-1")
+    second = _judge(_part_prints(contexts, win, unit, 1), win, f"{name}-1")
     parts = second.where("refine").groupBy("kid", "kh", "pos").agg(F.collect_set("part").alias("parts"))
     single = _part_prints(contexts.join(parts, ["kid", "kh", "pos"]), win, unit, 2)
     third = _judge(single, win, f"{name}-2")
+    discard(contexts)
     low, high = F.col("part") * step, F.least(F.lit(reach), F.col("part") * step + (step - 1))
     span = lambda a, b: F.struct((F.col("pos") - a).alias("start"), (F.col("pos") - b + size).alias("end"), "source")
     found = (

@@ -25,22 +25,25 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     while live.limit(1).count():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
-        for _ in range(3):  # each jump doubles the reach; what is left of a chain goes on in the next round
-            to = hooks.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            hooks = materialise(hooks, f"{name}-hooks")
-            to = hooks.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            hooks = hooks.join(to, "label").select("node", F.col("next").alias("label"))
         hooks = materialise(hooks, f"{name}-hooks")
+        for _ in range(2):  # each jump doubles the reach; what is left of a chain goes on in the next round
+            to = hooks.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            jumped = materialise(hooks.join(to, "label").select("node", F.col("next").alias("label")), f"{name}-hooks")
+            discard(hooks)
+            hooks = jumped
         if labels is None:
             labels = hooks
         else:
             step = hooks.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            labels = materialise(labels.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")), f"{name}-labels")
+            moved = materialise(labels.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")), f"{name}-labels")
+            discard(labels)
+            labels = moved
         a = hooks.select(F.col("node").alias("a"), F.col("label").alias("a2"))
         b = hooks.select(F.col("node").alias("b"), F.col("label").alias("b2"))
-        moved = live.join(a, "a").join(b, "b").where("a2 != b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
-        done, live = live, materialise(moved, f"{name}-edges")
-        discard(done)
+        rest = live.join(a, "a").join(b, "b").where("a2 != b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
+        rest = materialise(rest, f"{name}-edges")
+        discard(live, *(() if hooks is labels else (hooks,)))
+        live = rest
     if labels is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from tessera.llm import lexer
-from tessera.llm.common import NULL_ID, discard, groups, keyed, lists, map_arrow, materialise, utf8
+from tessera.llm.common import NULL_ID, groups, keyed, lists, map_arrow, materialise, utf8
 from tessera.llm.components import components
 
 #: Counters of the sketch, a power of two, and the slices it travels in.
@@ -128,7 +128,8 @@ def _candidates(nodes: DataFrame, how: Join) -> DataFrame:
     buckets = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     met = materialise(tokens.join(buckets, "token"), "jaccard-met")
     large = met.where(F.col("m") > how.small)
-    stars = large.join(large.groupBy("token").agg(F.min("node").alias("a")), "token").select("a", F.col("node").alias("b")).where("a != b").distinct()
+    centres = materialise(large.groupBy("token").agg(F.min("node").alias("a")), "jaccard-centres")
+    stars = large.join(centres, "token").select("a", F.col("node").alias("b")).where("a != b").distinct()
     wide = large.groupBy("node").agg(F.count("*").alias("wide"))
     small = met.where(F.col("m") <= how.small).select("token", "node", "n")
     x, y = (small.select("token", F.col("node").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
@@ -363,4 +364,4 @@ def jaccard_digest(docs: DataFrame) -> DataFrame:
     return near_components(docs).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
-__all__ = ["Join", "Tree", "discard", "forest", "jaccard_digest", "near_components", "one_of_each", "sets"]
+__all__ = ["Join", "Tree", "forest", "jaccard_digest", "near_components", "one_of_each", "sets"]
