@@ -8,10 +8,11 @@ and in parts only at the ends of a match. That gives every factor of 50 words or
 document it copies. ``factor`` then parses greedily from left to right: at each
 word the factor that reaches furthest, else a literal word.
 
-A greedy parse alone misses a window of 50 words that begins in one factor and ends in the next and
-yet stands whole in a third document. The grown matches are kept by window, and those that cross a factor's end count
-just like factors: the duplicate spans are the union of all windows found. All window comparisons are exact up to
-128-bit fingerprints (see ``anchors``).
+A greedy parse by longest matches misses a window of 50 words that begins in one factor and ends in the next
+and yet stands whole in a third document. Here matches are known by window, from whatever document, before the
+parse begins; where a factor ends, the next starts from any match that covers the words there, so a window across
+the boundary is a factor too. The duplicate words are those of all copied factors. Window comparisons are exact up
+to 128-bit fingerprints (see ``anchors``).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import lexer
-from tessera.llm.anchors import Windows, repeated_spans, spans_of, union, with_spans
+from tessera.llm.anchors import Windows, repeated_spans, spans_of, with_spans
 from tessera.llm.common import keyed, map_arrow, utf8
 
 
@@ -80,9 +81,9 @@ def parse(docs: DataFrame, size: int = 50, **columns: str) -> DataFrame:
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, factors = [], []
         for text, n, start, end, at, to, source in _documents(batch):
-            spans = union(at, to)
-            kept.append(_rest(text, n, start, end, spans))
-            factors.append([{"start": a, "end": b, "source": s} for a, b, s in factor(n, at.tolist(), to.tolist(), source.tolist())])
+            parsed = factor(n, at.tolist(), to.tolist(), source.tolist())
+            kept.append(_rest(text, n, start, end, [f[:2] for f in parsed if f[2] is not None]))
+            factors.append([{"start": a, "end": b, "source": s} for a, b, s in parsed])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source", pa.int64())]))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([k.decode() for k in kept], pa.string()), pa.array(factors, kind)], names=["doc_id", "kept", "factors"])
 
@@ -111,8 +112,8 @@ def spans_digest(docs: DataFrame, size: int = 50) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for raw, n, start, end, at, to, _ in _documents(batch):
-            spans = union(at, to)
+        for raw, n, start, end, at, to, source in _documents(batch):
+            spans = [f[:2] for f in factor(n, at.tolist(), to.tolist(), source.tolist()) if f[2] is not None]
             rows.append((n, sum(b - a for a, b in spans), hashlib.sha256(_rest(raw, n, start, end, spans)).hexdigest()))
         columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
