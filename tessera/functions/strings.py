@@ -168,8 +168,9 @@ def without_fences(text: Column) -> Column:
 
 
 def content_text(fields: list[Column]) -> Column:
-    """The string fields that aren't blank, trimmed, joined by spaces."""
-    return F.concat_ws(" ", *[F.nullif(F.trim(f), F.lit("")) for f in fields])
+    """The string fields that aren't blank, without white space at their ends, joined by spaces."""
+    bare = lambda f: F.regexp_replace(f, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
+    return F.concat_ws(" ", *[F.nullif(bare(f), F.lit("")) for f in fields])
 
 
 def words(text: Column) -> Column:

@@ -23,18 +23,56 @@ DOCUMENT = (
 )
 #: Fields that make a record's text, by table; others take the common ones they have.
 COMMON_TEXT = ("name", "title", "description", "number")
+TEXT_FIELDS: dict[str, tuple[str, ...]] = {
+    "projects": ("name", "display_name", "address", "city", "project_number"),
+    "photos": ("description", "location"),
+    "drawings": ("drawing_number", "title", "discipline"),
+    "drawing_revisions": ("revision_number", "filename"),
+    "drawing_areas": ("name",),
+    "drawing_sets": ("name",),
+    "rfis": ("number", "subject", "question"),
+    "submittals": ("number", "title", "description"),
+    "submittal_attachments": ("filename", "content_type"),
+    "change_orders": ("number", "title", "description"),
+    "change_events": ("title", "description", "status", "event_type", "change_reason"),
+    "commitment_contracts": ("number", "title", "description", "status"),
+    "commitment_contract_items": ("description", "uom"),
+    "commitment_change_orders": ("number", "title", "description", "status"),
+    "commitment_change_order_items": ("description", "uom"),
+    "prime_contracts": ("number", "title", "description", "status"),
+    "prime_contract_change_orders": ("number", "title", "description", "status"),
+    "prime_contract_line_items": ("description",),
+    "owner_invoices": ("invoice_number", "status"),
+    "vendors": ("name", "abbreviated_name", "trade_name"),
+    "company_users": ("name", "job_title", "email_address"),
+    "project_users": (),
+    "project_roles": ("role_name", "user_name"),
+    "budget_line_items": ("description", "cost_code_name", "root_cost_code_name"),
+    "budget_views": ("name", "view_type"),
+    "direct_costs": ("description", "invoice_number", "direct_cost_type"),
+    "direct_cost_items": ("description", "uom", "ref"),
+    "requisitions": ("invoice_number", "status", "vendor_name", "comment"),
+    "invoice_submissions": ("invoice_number", "status"),
+    "specification_sections": ("number", "label", "description"),
+    "specification_section_divisions": ("number", "description"),
+    "specification_section_revisions": ("number", "description", "revision", "filename"),
+    "daily_logs": ("log_type", "description"),
+    "timesheets": ("name", "number", "status"),
+    "vendor_insurances": ("name", "insurance_type", "policy_number", "status"),
+    "documents": ("name", "file_type"),
+}
 _REFERENCE = "struct<s3_key:string,source_column:string,reference_type:string,filename:string,file_id:string,url:string>"
 _LINK = "struct<target_doc_id:string,target_table:string,target_id:string,source_column:string,relationship_type:string,direction:string,cardinality:string>"
 
 
 def infer_relationships(columns: DataFrame, tables: DataFrame, suffix: str = "_id") -> DataFrame:
     """(source_table, source_column, target_table): foreign keys told by name. A column ``x_id`` refers to the first of
-    the table of x with an s, of x in the plural, or, where no y ends it, of x itself, that exists. Catalogs are broadcast:
+    the table of x with an s, of x in the plural, or, where neither y nor s ends it, of x itself, that exists. Catalogs are broadcast:
     they have a row a table."""
     keys = columns.where((F.col("column_name") != "id") & F.col("column_name").endswith(suffix))
     base = F.regexp_replace("column_name", f"{suffix}$", "")
     tries = F.when(base.endswith("y"), F.array(F.concat(base, F.lit("s")), strings.plural(base))).otherwise(
-        F.when(base.endswith("s"), F.array(F.concat(base, F.lit("s")), strings.plural(base), base)).otherwise(F.array(F.concat(base, F.lit("s")), base))
+        F.when(base.endswith("s"), F.array(F.concat(base, F.lit("s")), strings.plural(base))).otherwise(F.array(F.concat(base, F.lit("s")), base))
     )
     asked = keys.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column"), F.posexplode(tries).alias("turn", "target_table"))
     found = asked.join(F.broadcast(tables.select(F.col("table_name").alias("target_table"))), "target_table")
@@ -83,21 +121,24 @@ def file_references(df: DataFrame, kinds: dict[str, str]) -> Column:
         if kind == "jsonb_s3_map":
             parts.append(F.transform(nested.key_map(v), of_map(c, kind)))
         elif kind == "url":
-            parts.append(F.array_compact(F.array(F.when(v != "", made(F.lit(""), c, kind, strings.url_parts(v)[2], none, v)))))
+            parts.append(F.array_compact(F.array(F.when(v != "", made(F.lit(""), c, kind, none, none, v)))))
         else:
             parts.append(F.array_compact(F.array(F.when(v != "", made(v, c, kind, strings.basename(v), none, none)))))
     return F.flatten(F.array(*parts)) if parts else F.array().cast(f"array<{_REFERENCE}>")
 
 
 def to_documents(df: DataFrame, table: str, relationships: dict[str, str], kinds: dict[str, str], now: int, key: str = "id", text_fields: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, rejects): every row with a key as a document, and the others with the reason.
+    """(documents, rejects): every row with a key, and a project id that is null or a number, as a document; the
+    others with the reason.
 
-    Numbers among timestamps are seconds; a missing or zero time is ``now``; a project id that isn't a
-    number is null.
+    Numbers among timestamps are seconds; a missing or zero time is ``now``.
     """
-    ok, bad = df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
-    text = [c for c in (text_fields or COMMON_TEXT) if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)]
     project = F.col("project_id").try_cast("long") if "project_id" in df.columns else F.lit(None).cast("long")
+    no_number = F.col("project_id").isNotNull() & project.isNull() if "project_id" in df.columns else F.lit(False)
+    error = F.when(F.col(key).isNull(), F.lit(f"Row without {key}")).when(no_number, F.lit("project_id is not a number"))
+    ok, bad = df.where(error.isNull()), df.where(error.isNotNull())
+    wanted = text_fields if text_fields is not None else TEXT_FIELDS.get(table, COMMON_TEXT)
+    text = [c for c in wanted if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)]
     time = {c: nested.epoch_millis(df, c) if c in df.columns else F.lit(None).cast("long") for c in ("created_at", "updated_at")}
     ident = F.col(key).cast("string")
     documents = ok.select(
@@ -106,7 +147,7 @@ def to_documents(df: DataFrame, table: str, relationships: dict[str, str], kinds
         strings.content_text([F.col(c) for c in text]).alias("content_text") if text else F.lit("").alias("content_text"),
         nested.or_now(time["created_at"], now).alias("created_at"), nested.or_now(time["updated_at"], now).alias("updated_at"), F.lit(now).cast("long").alias("ingested_at"),
     )
-    rejects = bad.select(F.lit(table).alias("source_table"), F.lit(f"Row without {key}").alias("error"))
+    rejects = bad.select(F.lit(table).alias("source_table"), error.alias("error"))
     return documents, rejects
 
 
@@ -116,7 +157,8 @@ def detected_files(documents: DataFrame) -> DataFrame:
     f = documents.select("doc_id", "source_table", F.explode("file_references").alias("f")).select("doc_id", "source_table", "f.*")
     f = f.withColumn("s3_key", F.nullif(F.trim("s3_key"), F.lit(""))).withColumn("url", F.nullif(F.trim("url"), F.lit("")))
     ok = F.col("s3_key").isNotNull() | strings.url_parts(F.col("url"))[0].isNotNull()
-    return f.where(ok).select("doc_id", "source_table", "s3_key", "url", "filename", strings.extension(F.col("filename")).alias("extension"), "file_id", F.coalesce("s3_key", "url").alias("key"))
+    name = F.coalesce("filename", strings.url_parts(F.col("url"))[2])
+    return f.where(ok).select("doc_id", "source_table", "s3_key", "url", name.alias("filename"), strings.extension(name).alias("extension"), "file_id", F.coalesce("s3_key", "url").alias("key"))
 
 
 def provenance(table: Column, record: Column, column: Column) -> tuple[Column, Column]:

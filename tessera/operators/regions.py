@@ -188,7 +188,7 @@ def vector_regions(width_pt: float, height_pt: float, width_px: int, height_px:
     wide, high = box[:, 2] - box[:, 0], box[:, 3] - box[:, 1]
     page_wide = (wide > width_pt * BORDER_SPAN) & (high > height_pt * BORDER_SPAN)
     lined = np.array([len(p["rects"]) > 0 or len(p["lines"]) >= 3 for p in paths])
-    borders = box[page_wide & lined]
+    borders = box[page_wide & np.array([len(p["rects"]) + len(p["lines"]) >= 3 for p in paths])]
     at_border = np.array([bool((np.abs(borders - b) < BORDER_NEAR).all(axis=1).any()) for b in box]) if len(borders) else np.zeros(len(box), bool)
     frames: list[np.ndarray] = []
     for b in box[(wide * high >= width_pt * height_pt * FRAME_AREA) & ~at_border & ~page_wide & lined]:

@@ -191,7 +191,7 @@ def a2_file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _C = ", ".join(str(c) for c in CATALOG)
-_O = f"o AS (SELECT CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey END AS id, o_orderkey AS k, o_custkey AS customer_id, CASE WHEN o_orderkey % 2 = 0 THEN '  ' ELSE ' ' || o_orderpriority END AS title, o_orderstatus AS number, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE CAST(o_orderkey % 50 AS VARCHAR) END AS project_id, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate END AS created_at FROM orders), d AS (SELECT *, 'orders:' || id AS doc_id FROM o WHERE id IS NOT NULL)"
+_O = f"o AS (SELECT CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey END AS id, o_orderkey AS k, o_custkey AS customer_id, CASE WHEN o_orderkey % 2 = 0 THEN '  ' ELSE ' ' || o_orderpriority END AS title, o_orderstatus AS number, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE CAST(o_orderkey % 50 AS VARCHAR) END AS project_id, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate END AS created_at FROM orders), d AS (SELECT *, 'orders:' || id AS doc_id FROM o WHERE id IS NOT NULL AND project_id <> 'x')"
 _F = "f AS (SELECT doc_id, k, 'k/' || k || '/A.PDF' AS key, 'A.PDF' AS filename, 'pdf' AS extension, CAST(NULL AS VARCHAR) AS file_id, false AS by_url FROM d WHERE k % 5 <> 0 UNION ALL SELECT doc_id, k, 'a/' || k || '.png', k || '.png', 'png', 'f1', false FROM d UNION ALL SELECT doc_id, k, 'https://h.org/d/x.jpg?q=1', 'x.jpg', 'jpg', NULL, true FROM d WHERE k % 2 = 0)"
 _FK = "(VALUES ('change_orders', 'address_id', 'addresses'), ('change_orders', 'project_id', 'projects'), ('change_orders', 'staff_id', 'staff'), ('photos', 'project_id', 'projects'), ('projects', 'company_id', 'companies')) AS t(source_table, source_column, target_table)"
 
@@ -204,7 +204,7 @@ ORACLES = {
     "i12_metadata_documents": "WITH c AS (SELECT table_name, string_agg(column_name, ' ' ORDER BY column_name) AS cols FROM information_schema.columns WHERE table_name IN ('customer', 'nation', 'orders', 'region') GROUP BY table_name), n AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in SOURCES) + ") SELECT 'table:' || table_name AS doc_id, table_name || ' ' || cols AS content_text, row_count, CAST(0 AS BIGINT) AS n_out, CAST(0 AS BIGINT) AS n_in FROM c JOIN n USING (table_name) UNION ALL SELECT 'schema:db', 'db with 4 tables', CAST(sum(row_count) AS BIGINT), 0, 0 FROM n",
     "i2_transform_orders": f"WITH {_O} SELECT doc_id, CAST(id AS VARCHAR) AS source_id, TRY_CAST(project_id AS BIGINT) AS project_id, CASE WHEN trim(title) = '' THEN number ELSE trim(title) || ' ' || number END AS content_text, CASE WHEN created_at IS NULL THEN {NOW} ELSE epoch_ms(created_at) END AS created_at, CAST({NOW} AS BIGINT) AS updated_at, CAST(7 + (created_at IS NOT NULL)::INT + (k % 5 <> 0)::INT AS BIGINT) AS n_fields, CAST(2 AS BIGINT) AS n_links, CAST(2 + (k % 5 <> 0)::INT AS BIGINT) AS n_files FROM d",
     "i2_metadata_fields": f"WITH {_O} SELECT doc_id, field, value FROM (SELECT doc_id, unnest(['id', 'customer_id', 'title', 'number', 'project_id', 'created_at', 's3_key', 'more_s3_keys', 'url']) AS field, unnest([CAST(id AS VARCHAR), CAST(customer_id AS VARCHAR), title, number, project_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S'), CASE WHEN k % 5 <> 0 THEN 'k/' || k || '/A.PDF' END, '{{\"f1\": \"a/' || k || '.png\", \"f2\": null}}', CASE WHEN k % 2 = 0 THEN 'https://h.org/d/x.jpg?q=1' ELSE 'no url' END]) AS value FROM d) WHERE value IS NOT NULL",
-    "i3_rejects": "SELECT 'orders' AS source_table, 'Row without id' AS error, count(*) AS n FROM orders WHERE o_orderkey % 11 = 0",
+    "i3_rejects": "SELECT 'orders' AS source_table, CASE WHEN o_orderkey % 11 = 0 THEN 'Row without id' ELSE 'project_id is not a number' END AS error, count(*) AS n FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 3 = 0 GROUP BY ALL",
     "j2_outgoing_links": f"WITH {_O} SELECT doc_id, 'customers:' || customer_id AS target_doc_id, 'customer' AS relationship_type, 'outgoing' AS direction, 'customer_id' AS source_column FROM d UNION ALL SELECT doc_id, 'projects:' || project_id, 'project', 'outgoing', 'project_id' FROM d",
     "j4_reverse_links": "SELECT c_custkey, count(*) AS n_orders FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "i5_detected_files": f"WITH {_O}, {_F} SELECT doc_id, key, filename, extension, file_id FROM f",

@@ -100,7 +100,7 @@ def test_jdbc_options():
 
 def test_project_row(spark):
     rows = spark.createDataFrame([(562949953567479, "Test Project", "Test Display Name", datetime(2024, 1, 15, 10, 30), datetime(2024, 3, 20, 15, 45))], "id long, name string, display_name string, created_at timestamp_ntz, updated_at timestamp_ntz")
-    d, bad = ingestion.to_documents(rows, "projects", {}, {}, 5, text_fields=("name", "display_name"))
+    d, bad = ingestion.to_documents(rows, "projects", {}, {}, 5)
     r = d.first()
     assert (r["doc_id"], r["content_text"], r["relationships"], r["file_references"]) == ("projects:562949953567479", "Test Project Test Display Name", [], [])
     assert (r["created_at"], r["updated_at"], r["ingested_at"]) == (1705314600000, 1710949500000, 5) and bad.count() == 0
@@ -110,11 +110,18 @@ def test_project_row(spark):
 def test_photo_and_change_order_rows(spark):
     photo = spark.createDataFrame([(562950208716653, 562949954923622, "1/2/photos/3/IMG_1128.jpg", "HVAC unit installation", "Building A, Floor 2", "https://h.org/x/IMG.jpg")], "id long, project_id long, s3_key string, description string, location string, url string")
     r = ingestion.to_documents(photo, "photos", {"project_id": "projects"}, {"s3_key": "s3_key", "url": "url"}, 1)[0].first()
-    assert [x["target_doc_id"] for x in r["relationships"]] == ["projects:562949954923622"] and [x["filename"] for x in r["file_references"]] == ["IMG_1128.jpg", "IMG.jpg"]
+    assert [x["target_doc_id"] for x in r["relationships"]] == ["projects:562949954923622"] and [x["filename"] for x in r["file_references"]] == ["IMG_1128.jpg", None] and r["content_text"] == "HVAC unit installation Building A, Floor 2"
     order = spark.createDataFrame([(1, None, "CO-011", "T", " ", '{"9": "a/b.pdf", "8": "c"}', True, 1.5)], "id long, project_id long, number string, title string, description string, attachment_s3_keys string, done boolean, cost double")
     r = ingestion.to_documents(order, "change_orders", {"project_id": "projects"}, {"attachment_s3_keys": "jsonb_s3_map"}, 1)[0].first()
     assert r["relationships"] == [] and [(x["file_id"], x["s3_key"]) for x in r["file_references"]] == [("9", "a/b.pdf"), ("8", "c")]
-    assert r["content_text"] == "T CO-011" and r["metadata"]["done"] == "true" and "project_id" not in r["metadata"]
+    assert r["content_text"] == "CO-011 T" and r["metadata"]["done"] == "true" and "project_id" not in r["metadata"]
+
+
+def test_rejects(spark):
+    rows = spark.createDataFrame([(1, "7"), (2, "x"), (None, "7"), (3, None)], "id long, project_id string")
+    good, bad = ingestion.to_documents(rows, "t", {}, {}, 1)
+    assert sorted((r["doc_id"], r["project_id"]) for r in good.collect()) == [("t:1", 7), ("t:3", None)]
+    assert sorted(r["error"] for r in bad.collect()) == ["Row without id", "project_id is not a number"]
 
 
 def test_schema_report(spark):
@@ -153,7 +160,7 @@ def test_vector_regions():
     near = lambda x0, y0, x1, y1: [_path((x0, y0, x1, y1))] + [_path((x := x0 + rng.integers(0, 400), y := y0 + rng.integers(0, 100), x + 300, y + 200)) for _ in range(7)]
     two = near(50, 50, 800, 400) + near(1500, 1000, 2400, 1400)
     assert len(regions.vector_regions(2592, 1728, 5400, 3600, two, np.empty((0, 4)))) >= 2
-    border = [_path((50, 50, 2542, 1678), rects=[(50, 50, 2542, 1678)])]
+    border = [_path((50, 50, 2542, 1678), lines=[(50, 50, 2542, 50), (2542, 50, 2542, 1678), (2542, 1678, 50, 1678), (50, 1678, 50, 50)])]
     got = regions.vector_regions(2592, 1728, 5400, 3600, border + near(300, 300, 900, 700) + near(300, 300, 900, 700), np.empty((0, 4)))
     assert got and not any(r["width"] > 0.9 * 5400 and r["height"] > 0.9 * 3600 for r in got)
     grid = [_path((100, 100 + 50 * i, 600, 100 + 50 * i), [(100, 100 + 50 * i, 600, 100 + 50 * i)]) for i in range(5)] + [_path((100 + 125 * i, 100, 100 + 125 * i, 300), [(100 + 125 * i, 100, 100 + 125 * i, 300)]) for i in range(5)]
