@@ -13,8 +13,11 @@ reaches a threshold. Equal sets are one node. The join is exact:
 3. *Trees.* Each set travels once to its cluster. There the nodes, ordered by size, are the leaves of a
    tree whose inner nodes hold the OR of their leaves' token bitmaps and the range of their sizes. Pairs of tree
    nodes are traversed from the root; a pair is pruned when the overlap that its bitmaps allow is below what its sizes
-   need, or when all its leaves are already connected. Leaf pairs that remain are compared exactly. A cluster above
-   ``block`` nodes is dealt to blocks, and each pair of blocks is a task of its own, so no task holds more than two.
+   need, or when all its leaves are already connected. Leaf pairs that remain are compared exactly.
+4. *Blocks.* A cluster above ``block`` nodes is dealt to blocks, a tree each. Every block also gets the cluster's
+   ``hubs``, the nodes with the largest share of common n-grams, such as the originals of copies. That connects a
+   group of copies whatever its size, in rows that are in proportion to it. Only the nodes outside the largest
+   component after that are compared, in blocks, with all of the cluster.
 
 Links are returned as a spanning forest of each component of the link graph.
 """
@@ -28,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -47,7 +51,8 @@ class Join:
     words: int = 4
     percent: int = 85
     small: int = 32
-    block: int = 4096
+    block: int = 2048
+    hubs: int = 64
 
     def need(self, n: np.ndarray) -> np.ndarray:
         """The least overlap of a set of n with any set it links to."""
@@ -122,8 +127,9 @@ def _described(docs: DataFrame, how: Join) -> DataFrame:
     return map_arrow(docs.select("doc_id", "kid", "kh", "text"), each, "doc_id long, kid long, kh long, n int, h1 long, h2 long, prefix array<long>")
 
 
-def _candidates(nodes: DataFrame, how: Join) -> DataFrame:
-    """(a, b): edges whose components hold both nodes of every link."""
+def _candidates(nodes: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
+    """(a, b): edges whose components hold both nodes of every link; and (node, wide): how many of a node's
+    first n-grams stand in large buckets."""
     tokens = nodes.select("node", "n", F.explode("prefix").alias("token"))
     buckets = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     met = materialise(tokens.join(buckets, "token"), "jaccard-met")
@@ -141,7 +147,7 @@ def _candidates(nodes: DataFrame, how: Join) -> DataFrame:
     # n-grams after the end of one prefix are fewer than that set's least overlap.
     least = up(F.col("n_a") + F.col("n_b"), 100 + how.percent) - up(F.greatest("n_a", "n_b"), 100) + 1
     might = F.col("shared") + F.least(F.coalesce("wide_a", F.lit(0)), F.coalesce("wide_b", F.lit(0)))
-    return stars.unionByName(pairs.where(might >= least).select("a", "b"))
+    return stars.unionByName(pairs.where(might >= least).select("a", "b")), wide
 
 
 class Tree:
@@ -275,10 +281,14 @@ def forest(raw: list[bytes], how: Join) -> list[int]:
     return Tree(flat, at, how).roots().tolist()
 
 
-def _links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, how: Join) -> DataFrame:
-    """(a, b): a spanning forest of the links inside the clusters (node, label)."""
-    sizes = clusters.groupBy("label").agg(F.count("*").alias("k"))
-    wanted = clusters.join(sizes, "label").join(nodes.select("node", "kid", "h1", "h2"), "node")
+def _grams(docs: DataFrame, nodes: DataFrame, wide: DataFrame, clusters: DataFrame, how: Join) -> DataFrame:
+    """(label, n, node, grams, hub), as a table: the sets of clustered nodes, with the number of blocks of their cluster."""
+    sizes = clusters.groupBy("label").agg(F.ceil(F.count("*") / F.lit(how.block)).cast("int").alias("n"))
+    wanted = clusters.join(sizes, "label").join(nodes.select("node", "kid", "h1", "h2", F.size("prefix").alias("p")), "node").join(wide, "node", "left")
+    common = F.coalesce("wide", F.lit(0)) / F.col("p")
+    large = wanted.where("n > 1").select("label", "node", F.row_number().over(W.partitionBy("label").orderBy(common.desc(), "node")).alias("r"))
+    hubs = large.where(F.col("r") <= how.hubs).select("node", F.lit(True).alias("hub"))
+    wanted = wanted.join(hubs, "node", "left").withColumn("hub", F.coalesce("hub", F.lit(False)))
 
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         h1, h2 = batch.column("h1").to_pylist(), batch.column("h2").to_pylist()
@@ -289,14 +299,14 @@ def _links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, how: Join) ->
                 raw.append(own)
                 take.append(i)
         rows = pa.array(take, pa.int64())
-        return pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("label", "k", "node")), pa.array(raw, pa.binary())], names=["label", "k", "node", "grams"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("label", "n", "node", "hub")), pa.array(raw, pa.binary())], names=["label", "n", "node", "hub", "grams"])
 
-    rows = docs.select("kid", "text").join(wanted, "kid").select("label", "k", "node", "h1", "h2", "text")
-    rows = map_arrow(rows, fetch, "label long, k long, node long, grams binary")
-    n = F.ceil(F.col("k") / F.lit(how.block)).cast("int")
-    own = F.pmod(F.xxhash64("node"), n).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    rows = rows.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "grams")
+    rows = docs.select("kid", "text").join(wanted, "kid").select("label", "n", "node", "hub", "h1", "h2", "text")
+    return materialise(map_arrow(rows, fetch, "label long, n int, node long, hub boolean, grams binary"), "jaccard-grams")
+
+
+def _trees(rows: DataFrame, how: Join) -> DataFrame:
+    """(a, b): a spanning forest of the links in each group (label, i, j) of (node, grams) rows."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, bytes] = {}
@@ -318,10 +328,37 @@ def _links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, how: Join) ->
                 held[node] = grams
         yield from done()
 
-    rows = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    rows = rows.select("label", "i", "j", "node", "grams").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
     return rows.mapInArrow(join, "a long, b long")
 
 
+def _links(grams: DataFrame, how: Join) -> DataFrame:
+    """(a, b): edges that connect what links connect inside the clusters."""
+    block = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    own = grams.withColumn("i", block)
+    spread = grams.where("hub").withColumn("own", block).withColumn("i", every).where("i <> own").drop("own")
+    first = materialise(_trees(own.unionByName(spread).withColumn("j", F.lit(0)), how), "jaccard-links")
+    large = grams.where("n > 1").select("label", "node")
+    if not large.limit(1).count():
+        return first
+    named = components(first.join(large.select(F.col("node").alias("a")), "a", "left_semi"), "jaccard-blocks").select("node", F.col("label").alias("part"))
+    parts = large.distinct().join(named, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    sizes = parts.groupBy("label", "part").agg(F.count("*").alias("size"))
+    main = materialise(sizes.groupBy("label").agg(F.max_by("part", F.struct("size", "part")).alias("main")), "jaccard-main")
+    rest = materialise(parts.join(main, "label").where("part <> main").select("label", "node"), "jaccard-rest")
+    counts = rest.groupBy("label").agg(F.ceil(F.count("*") / F.lit(how.block)).cast("int").alias("m"))
+    asked = rest.join(counts, "label")
+    if not asked.limit(1).count():
+        return first
+    sets_of = grams.where("n > 1").select("label", "n", "node", "grams")
+    some = sets_of.join(asked, ["label", "node"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("j", every)
+    whole = sets_of.join(counts, "label").withColumn("j", block).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    columns = ["label", "i", "j", "node", "grams"]
+    second = _trees(some.select(*columns).unionByName(whole.select(*columns)), how)
+    return first.unionByName(materialise(second, "jaccard-rest-links"))
+
+
 def near_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kid, kh, n_shingles, component, label) for every document; label: of the component, null
     without n-grams.
@@ -334,8 +371,10 @@ def near_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id",
     said = materialise(_described(rows, how), "jaccard-sets")
     nodes = said.where("n > 0").groupBy("h1", "h2").agg(F.min("kid").alias("kid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    clusters = components(_candidates(nodes, how), "jaccard-clusters")
-    links = materialise(_links(rows, nodes, clusters, how), "jaccard-links")
+    edges, wide = _candidates(nodes, how)
+    clusters = components(edges, "jaccard-clusters")
+    grams = _grams(rows, nodes, wide, clusters, how)
+    links = _links(grams, how)
     labels = components(links, "jaccard-components")
     named = nodes.select("h1", "h2", "node", "kid").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("kid").alias("component"))
