@@ -228,12 +228,14 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 def materialise_mix(docs: DataFrame, columns: list[str], **parameters: object) -> DataFrame:
     """The mixed corpus itself: each taken document once for each copy, with ``columns`` and size,
-    source_size, target, copies and copy (from 1)."""
+    source_size, target, copies and copy (from 1), each named mix_… where ``columns`` has its name.
+    Rows equal in id, text and source share their copies."""
     keys = ["kid", "kh", "source"]
     mixed = mix(docs, **parameters).groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("size", "source_size", "target")], F.sum("copies").alias("copies"))
     mixed = mixed.where("copies > 0").select(*[F.col(c).alias(f"mix_{c}") for c in mixed.columns])
     kid, kh, source = _key()
     rows = docs.select(F.struct(*columns).alias("row"), kid, kh, source).dropDuplicates(keys)
     same = (F.col("kid") == F.col("mix_kid")) & (F.col("kh") == F.col("mix_kh")) & F.col("source").eqNullSafe(F.col("mix_source"))
-    sizes = [F.col(f"mix_{c}").alias(c) for c in ("size", "source_size", "target", "copies")]
-    return rows.join(mixed, same).select("row.*", *sizes, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("copy"))
+    free = lambda c: f"mix_{c}" if c in columns else c
+    sizes = [F.col(f"mix_{c}").alias(free(c)) for c in ("size", "source_size", "target", "copies")]
+    return rows.join(mixed, same).select("row.*", *sizes, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias(free("copy")))

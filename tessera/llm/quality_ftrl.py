@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tessera.llm import lexer
 from tessera.llm.common import least_hashed, map_arrow, text_or_empty, utf8
@@ -161,8 +162,14 @@ def score(docs: DataFrame, weights: np.ndarray, how: Ftrl = Ftrl(), columns: tup
         arrays = [*batch.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
         return pa.RecordBatch.from_arrays(arrays, names=[*columns, "score", "predicted"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return map_arrow(docs.select(*columns, text_or_empty(text_col).alias("scored_text")), each, f"{kinds}, score double, predicted int")
+    schema = StructType([*(docs.schema[c] for c in columns), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return map_arrow(docs.select(*columns, text_or_empty(text_col).alias("scored_text")), each, schema)
+
+
+def keep(docs: DataFrame, weights: np.ndarray, how: Ftrl = Ftrl()) -> DataFrame:
+    """The rows and columns of ``docs`` that are predicted to be good."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_or_empty("text").alias("text"))
+    return score(rows, weights, how, ("row",)).where("predicted = 1").select("row.*")
 
 
 def held_out() -> Column:

@@ -145,9 +145,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Leaks = Leaks(), id_col: s
 def without_leaks(docs: DataFrame, benchmark: DataFrame, how: Leaks = Leaks()) -> DataFrame:
     """The rows and columns of ``docs`` but for documents with a window similar to an item."""
     found = leaks(docs, benchmark, how).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("bad_kid"), F.col("kh").alias("bad_kh")).distinct()
-    kid = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    kh = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(found, (kid == F.col("bad_kid")) & (kh == F.col("bad_kh")), "left_anti")
+    kid = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kid")
+    kh = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("kh")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), kid, kh)
+    return rows.join(found, (F.col("kid") == F.col("bad_kid")) & (F.col("kh") == F.col("bad_kh")), "left_anti").select("row.*")
 
 
 def leaks_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

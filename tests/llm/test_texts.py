@@ -245,3 +245,25 @@ def test_pipeline(spark):
     first = {(r["doc_id"], r["copies"]) for r in out.select("doc_id", "copies").collect()}
     assert sum(c for _, c in first) == out.count() > 0
     assert out.where("text LIKE '%token = \"%' AND text NOT LIKE '%token = \"[SECRET]%'").count() == 0
+
+
+def test_stages_on_awkward_tables(spark, docs, rows, empty, tmp_path):
+    """Nulls, repeated rows, clashing columns and no rows at all, through every stage."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(30, 1, 0), (60, 0, 0), (31, None, 0), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    passage = next(t for i, t, *_ in rows if i == 11)
+    spark.createDataFrame([(1, None), (None, " ".join(passage.split()[5:45])), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    more = docs.selectExpr("*", "1 AS predicted", "2 AS scored", "3 AS row", "4 AS bad_kid", "5 AS copy", "6 AS text2", "7 AS mix_kid")
+    for table in (more, empty):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, str(tmp_path))
+            assert now.columns == table.columns, name
+            now.write.parquet(f"{tmp_path}/{table.columns[-1]}/{name.replace(' ', '_')}")
+            now = spark.read.parquet(f"{tmp_path}/{table.columns[-1]}/{name.replace(' ', '_')}")
+        kept = now.count()
+        last = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+        last.write.parquet(f"{tmp_path}/{table.columns[-1]}/out")
+        ids = {r["doc_id"] for r in now.select("doc_id").collect()}
+        assert (kept == 0) == (table is empty) and not {11, 31, 32} & ids  # leaked, and copies of 30
