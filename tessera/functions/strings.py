@@ -145,14 +145,22 @@ def is_content_token(token: Column) -> Column:
 
 
 def ellipsis(text: Column, chars: int) -> Column:
-    return F.when(F.length(text) > chars, F.concat(F.substring(text, 1, chars - 3), F.lit("..."))).otherwise(text)
+    return F.when(F.length(text) > chars, F.concat(F.substring(text, 1, chars - 1), F.lit("\u2026"))).otherwise(text)
 
 
 def initials(name: Column) -> Column:
-    words = F.filter(F.split(F.trim(name), "\\s+"), lambda w: w != "")
+    words = F.filter(F.split(name, "[\\s-]+"), lambda w: w != "")
     return F.upper(F.concat_ws("", F.transform(F.slice(words, 1, 2), lambda w: F.substring(w, 1, 1))))
 
 
+def relative_date(at: Column, now: Column) -> Column:
+    """How long ago, of two epoch seconds: minutes, hours, days below a week, else month and day."""
+    s = now - at
+    ago = lambda per, unit: F.concat(F.floor(s / per).cast("string"), F.lit(f"{unit} ago"))
+    day = F.date_format(F.timestamp_seconds(at), "MMM d")
+    return F.when(s < 60, "just now").when(s < 3600, ago(60, "m")).when(s < 86_400, ago(3600, "h")).when(s < 7 * 86_400, ago(86_400, "d")).otherwise(day)
+
+
 def counted(n: Column, word: str) -> Column:
     return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, F.lit(word)).otherwise(F.lit(word + "s")))
 

@@ -79,6 +79,12 @@ def f22_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", strings.ellipsis(F.col("c_name"), 10).alias("short"), strings.initials(F.concat_ws(" ", "c_mktsegment", "c_name")).alias("initials"), strings.counted(F.col("c_custkey") % 3, "file").alias("files"))
 
 
+def f22_relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return e.select("event_id", strings.relative_date(at, F.lit(1_706_659_140)).alias("shown"))
+
+
 def f23_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(strings.highlight(F.substring("text", 1, 500), "the|token").cast("binary")).alias("marked_md5"))
@@ -217,7 +223,8 @@ ORACLES = {
     "f15_url_parts": "SELECT page_id, nullif(regexp_extract(url, '^([a-z]+)://', 1), '') AS scheme, nullif(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '') AS host, regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '([^/]*)$', 1) AS file FROM pages",
     "f16_redact": f"SELECT doc_id, md5({_redacted('text')}) AS redacted_md5 FROM documents",
     "f18_form_fields": "SELECT v, CASE v WHEN ' a, b ,,c ' THEN '[\"a\",\"b\",\"c\"]' WHEN '' THEN '[]' WHEN 'x' || chr(10) || 'y' THEN '[\"x\\ny\"]' ELSE '[\"' || v || '\"]' END AS tags, lower(trim(v)) IN ('on', 'true', '1', 'yes') AS flag, replace(v, chr(10), '<br>') AS html FROM (VALUES (' a, b ,,c '), (''), ('ON'), ('true'), ('1'), ('Yes'), ('no'), ('x' || chr(10) || 'y')) AS t(v)",
-    "f22_display": "SELECT c_custkey, CASE WHEN length(c_name) > 10 THEN left(c_name, 7) || '...' ELSE c_name END AS short, upper(left(c_mktsegment, 1) || left(c_name, 1)) AS initials, (c_custkey % 3) || ' file' || CASE WHEN c_custkey % 3 = 1 THEN '' ELSE 's' END AS files FROM customer",
+    "f22_display": "SELECT c_custkey, CASE WHEN length(c_name) > 10 THEN left(c_name, 9) || '…' ELSE c_name END AS short, upper(left(c_mktsegment, 1) || left(c_name, 1)) AS initials, (c_custkey % 3) || ' file' || CASE WHEN c_custkey % 3 = 1 THEN '' ELSE 's' END AS files FROM customer",
+    "f22_relative_dates": "SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s < 604800 THEN (s // 86400) || 'd ago' ELSE strftime(ts, '%b %-d') END AS shown FROM (SELECT event_id, ts, 1706659140 - CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)",
     "f23_highlight": f"SELECT doc_id, md5({_MARK.format(t=_MARK.format(t='left(text, 500)'))}) AS marked_md5 FROM documents",
     "f24_fences": "SELECT CAST(i AS BIGINT) AS i, b AS body FROM (VALUES (0, '[1]'), (1, '[1]'), (2, 'x')) AS t(i, b)",
     "d1_epoch_millis": "SELECT o_orderkey, epoch_ms(o_orderdate) AS from_time, (o_orderkey % 1000) * 1000 AS from_number, epoch_ms(date_trunc('second', o_orderdate)) AS from_text, CASE WHEN o_orderkey % 1000 = 0 THEN 99 ELSE (o_orderkey % 1000) * 1000 END AS or_now FROM orders",
