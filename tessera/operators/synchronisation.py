@@ -11,7 +11,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHECKPOINT = "table_name string, last_sync_timestamp timestamp_ntz, last_record_id string, records_processed bigint, records_failed bigint, sync_status string, error_message string, updated_at timestamp_ntz"
