@@ -136,7 +136,8 @@ def test_components(docs, rows, how):
     same(got, brute_components(rows, how.words, how.percent))
 
 
-def test_large_groups_in_blocks(spark):
+@pytest.mark.parametrize("hubs", [1, 64])
+def test_large_groups_in_blocks(spark, hubs):
     """A group above block and bucket limits whose copies link by way of their original alone."""
     rng = random.Random(9)
     base = [f"w{rng.randrange(5000)}" for _ in range(200)]
@@ -146,9 +147,14 @@ def test_large_groups_in_blocks(spark):
         for place in rng.sample(range(200), 3):
             copy[place] = f"e{k}_{place}"
         rows.append((k, " ".join(copy)))
+    for k in range(60, 80):  # too far from the original, some near each other
+        copy = list(base)
+        for place in range(5 * (k % 4), 200, 20):
+            copy[place] = f"f{k % 4}_{place}" if k % 3 else f"g{k}_{place}"
+        rows.append((k, " ".join(copy)))
     rows += [(100 + k, " ".join(f"v{rng.randrange(5000)}" for _ in range(150))) for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    how = signature_tree.Join(small=8, block=16)
+    how = signature_tree.Join(small=8, block=16, hubs=hubs)
     same(signature_tree.near_components(docs, how).select("doc_id", "n_shingles", "component"), brute_components([(i, t) for i, t in rows], 4, 85))
 
 
