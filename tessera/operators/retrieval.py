@@ -141,7 +141,7 @@ def suggestions(questions: DataFrame, text: str, limit: int | None = None) -> Da
 def llm_rerank(hits: DataFrame, scores: DataFrame, k: int | None = None) -> DataFrame:
     """Hits (pos, ...) by scores (pos, llm_score) of a language model, missing ones 0, then by position. Without
     any score the order stays."""
-    out = hits.join(F.broadcast(scores.limit(10_000)), "pos", "left").withColumn("llm_score", F.coalesce("llm_score", F.lit(0.0)))
+    out = hits.join(scores, "pos", "left").withColumn("llm_score", F.coalesce("llm_score", F.lit(0.0)))
     out = out.orderBy(F.col("llm_score").desc(), "pos")
     return out if k is None else out.limit(k)
 
