@@ -31,16 +31,24 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], settings: Setti
     if not asked:
         return docs.select(F.col(key), F.lit(0.0).alias("score")).limit(0)
     counts = {f"tf_{i}": _count_of(t) for i, t in enumerate(asked)}
-    split = docs.select(F.col(key), strings.words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    each = split.select(key, F.size("w").alias("len"), *[c.alias(name) for name, c in counts.items()])
-    totals = each.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(n) > 0).alias(f"df_{n}") for n in counts])
+
+    def counted(rows: DataFrame) -> DataFrame:
+        split = rows.select(F.col(key), strings.words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+        return split.select(key, F.size("w").alias("len"), *[c.alias(name) for name, c in counts.items()])
+
+    totals = counted(docs).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(n) > 0).alias(f"df_{n}") for n in counts])
     k1, b = settings.bm25_k1, settings.bm25_b
     score = F.lit(0.0)
     for n in counts:
         idf = F.log(1 + (F.col("n_docs") - F.col(f"df_{n}") + 0.5) / (F.col(f"df_{n}") + 0.5))
         score = score + idf * (F.col(n) * (k1 + 1) / (F.col(n) + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))))
-    found = each.where(F.greatest(*[F.col(n) for n in counts], F.lit(0)) > 0)
-    return found.join(F.broadcast(totals)).select(key, score.alias("score"))
+    # Texts without any term as a substring are dropped unsplit. A filter on the counts would be pushed below them and
+    # split each text again for every term; the score is above 0 where a count is.
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    might = F.lit(False)
+    for t in asked:
+        might = might | F.contains(low, F.lit(t))
+    return counted(docs.where(might)).join(F.broadcast(totals)).select(key, score.alias("score")).where("score > 0")
 
 
 def _count_of(term: str) -> Column:
