@@ -1,8 +1,8 @@
 """Benchmark decontamination with SimHash of item-sized windows, in DataFrame operations alone.
 
 Words are lower-cased runs of letters and digits. A window of a document for an item has as many words as the item, or
-what of them the document has at its ends. It is considered if one of its shingles stands at the same place
-in the item; a window without any can't be similar. Then
+what of them the document has at its ends. Every window is considered that holds enough shingles of the item, in
+whatever order, to reach the similarity: with c of its w shingles among the item's v, it is c / (w + v - c) at most. Then
 
 1. the SimHash of the window's shingles, weighted by how often they occur, is looked up in an index of the
    items of the same size. The index splits fingerprints into blocks; of two fingerprints within the
@@ -82,10 +82,11 @@ def _items(benchmark: DataFrame, how: Leaks) -> DataFrame:
 
 
 def _windows(docs: DataFrame, items: DataFrame, how: Leaks) -> DataFrame:
-    """(kid, kh, item_id, size, start, window): the windows with a shingle at its place in the item."""
+    """(kid, kh, item_id, size, start, aligned, window): the windows with so many of the item's shingles, wherever
+    these stand, that they can reach the similarity. aligned: one of them stands at its place in the item."""
     said = docs.select("kid", "kh", words_of(F.col("text")).alias("words"))
     widths = [r[0] for r in items.select(F.least("size", F.lit(how.words)).alias("w")).distinct().collect()]  # 1 to how.words
-    found = None
+    met = None
     for width in sorted(widths):
         # The words of a shingle are hashed where they are exploded: no array is built for a position.
         grams = said.select("kid", "kh", "words", F.posexplode("words").alias("pos", "word")).where(F.col("pos") <= F.size("words") - width)
@@ -94,18 +95,40 @@ def _windows(docs: DataFrame, items: DataFrame, how: Leaks) -> DataFrame:
         parts = F.split("shingle", " ")
         own = own.withColumn("h", F.xxhash64(*[F.get(parts, F.lit(k)) for k in range(width)])).drop("shingle")
         small = own.count() <= how.broadcast_rows
-        met = grams.join(F.broadcast(own) if small else own, "h")
-        start = F.col("pos") - F.col("place")
-        window = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size") + F.least(start, F.lit(0)))
-        met = met.select("kid", "kh", "item_id", "size", start.alias("start"), F.concat_ws(" ", window).alias("window"))
-        found = met if found is None else found.unionByName(met)
-    return found.dropDuplicates(["kid", "kh", "item_id", "start"]) if found is not None else None
+        some = grams.join(F.broadcast(own) if small else own, "h")
+        some = some.select("kid", "kh", "item_id", "size", "pos", (F.col("pos") - F.col("place")).alias("start"), F.size("words").alias("n"))
+        met = some if met is None else met.unionByName(some)
+    if met is None:
+        return None
+    met = met.groupBy("kid", "kh", "item_id", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.collect_set("start").alias("starts"), F.max("n").alias("n"))
+    # A window's first shared shingle is the i-th: it then begins after the one before, and early enough for the
+    # shingles it needs at least.
+    most = F.col("size") - F.least("size", F.lit(how.words)) + 1
+    least = F.greatest(F.ceil(how.similarity * most - 1e-9).cast("int"), F.lit(1))
+    met = met.withColumn("most", most).withColumn("least", least).where(F.size("at") >= F.col("least"))
+    met = met.select("*", F.posexplode("at").alias("i", "first"))
+    last = F.get("at", F.col("i") + F.col("least") - 1)
+    low = F.greatest(last - F.col("most") + 1, F.get("at", F.col("i") - 1) + 1)
+    met = met.withColumn("low", low).where(last.isNotNull() & (F.col("low") <= F.col("first")))
+    met = met.select("*", F.explode(F.sequence("low", "first")).alias("start"))
+    # No more shingles are common than stand in the window.
+    shared = F.size(F.filter(F.slice("at", F.col("i") + 1, F.col("most")), lambda x: x < F.col("start") + F.col("most")))
+    long = F.least(F.col("start") + F.col("size"), F.col("n")) - F.greatest("start", F.lit(0)) - (F.col("size") - F.col("most"))
+    met = met.where(shared >= how.similarity * (long + F.col("most") - shared) - 1e-9)
+    met = met.select("kid", "kh", "item_id", "size", "start", F.array_contains("starts", F.col("start")).alias("aligned"))
+    met = materialise(met, "leaks-starts")
+    few = met.select("kid", "kh").distinct()
+    few = F.broadcast(few) if few.count() <= how.broadcast_rows else few
+    said = docs.join(few, ["kid", "kh"], "left_semi").dropDuplicates(["kid", "kh"]).select("kid", "kh", words_of(F.col("text")).alias("words"))
+    start = F.col("start")
+    window = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size") + F.least(start, F.lit(0)))
+    return met.join(said, ["kid", "kh"]).select("kid", "kh", "item_id", "size", "start", "aligned", F.concat_ws(" ", window).alias("window"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, how: Leaks = Leaks(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kh, item_id, start, similarity): each document and item with a window that reaches the
-    similarity; its best, the first of equals. start: the window's first word, below 0 if the
-    document begins inside the item.
+    similarity; its best, of equals one with a shingle at its place in the item, then the first. start: the
+    window's first word, below 0 if the document begins inside the item.
 
     Null and empty texts and items have no words and match nothing. Rows equal in id and text give one
     row. Items with equal words are found each under its own id; a null item id is an id.
@@ -116,28 +139,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Leaks = Leaks(), id_col: s
         return docs.sparkSession.createDataFrame([], "doc_id long, kh long, item_id long, start int, similarity double")
     windows = materialise(windows, "leaks-windows")
     words = F.split("window", " ")
-    # Copies share their windows' texts, which are worked on once.
+    # Copies share their windows' texts, which are worked on once and go by number.
     texts = windows.select("window", "size").distinct().withColumn("shingles", _shingles(words, F.size(words), how))
-    texts = materialise(texts.withColumn("fingerprint", _fingerprint(F.col("shingles"))), "leaks-texts")
+    texts = materialise(texts.withColumn("fingerprint", _fingerprint(F.col("shingles"))).withColumn("no", F.monotonically_increasing_id()), "leaks-texts")
     blocks = F.explode(F.sequence(F.lit(0), F.lit(how.blocks - 1)))
     near = F.explode(F.array(*[F.lit(v) for v in how.near()]))
     index = items.select("item_id", "size", F.col("fingerprint").alias("of_item"), F.col("shingles").alias("item_shingles")).withColumn("block", blocks)
     index = index.withColumn("away", near).select("item_id", "size", "of_item", "block", _block(F.col("of_item"), F.col("block"), how).bitwiseXOR(F.col("away")).alias("value"))
-    asked = texts.select("window", "size", "fingerprint").withColumn("block", blocks)
+    asked = texts.select("no", "size", F.size("shingles").alias("wide"), "fingerprint").withColumn("block", blocks)
     asked = asked.withColumn("value", _block(F.col("fingerprint"), F.col("block"), how))
     distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item")))
-    pairs = asked.join(index, ["size", "block", "value"]).where(distance <= how.radius).select("window", "size", "item_id").distinct()
-    mine = texts.select("window", "size", F.explode("shingles").alias("shingle")).groupBy("window", "size", "shingle").agg(F.count("*").alias("w"))
+    pairs = asked.join(index, ["size", "block", "value"]).where(distance <= how.radius).select("no", "wide", "size", "item_id").distinct()
+    mine = texts.select("no", F.explode("shingles").alias("shingle")).groupBy("no", "shingle").agg(F.count("*").alias("w"))
     theirs = items.select("item_id", F.explode("shingles").alias("shingle")).groupBy("item_id", "shingle").agg(F.count("*").alias("v"))
     same = F.col("item_id").eqNullSafe(F.col("of"))
-    both = pairs.join(mine, ["window", "size"]).join(theirs.withColumnRenamed("item_id", "of").withColumnRenamed("shingle", "its"), same & (F.col("shingle") == F.col("its")))
-    both = both.groupBy("window", "size", "item_id").agg(F.sum(F.least("w", "v")).alias("lesser"))
-    wide = lambda n: n - F.least(n, F.lit(how.words)) + 1
-    total = wide(F.size(words)) + wide(F.col("size")) - F.col("lesser")
+    both = pairs.join(mine, "no").join(theirs.withColumnRenamed("item_id", "of").withColumnRenamed("shingle", "its"), same & (F.col("shingle") == F.col("its")))
+    both = both.groupBy("no", "wide", "size", "item_id").agg(F.sum(F.least("w", "v")).alias("lesser"))
+    total = F.col("wide") + F.col("size") - F.least("size", F.lit(how.words)) + 1 - F.col("lesser")
     scored = both.withColumn("similarity", F.col("lesser") / total).where(F.col("similarity") >= how.similarity)
-    scored = scored.select("window", "size", F.col("item_id").alias("of"), "similarity")
+    scored = scored.select("no", F.col("item_id").alias("of"), "similarity").join(texts.select("no", "window", "size"), "no")
     hits = windows.join(scored, ["window", "size"]).where(F.col("item_id").eqNullSafe(F.col("of")))
-    best = F.max_by("start", F.struct("similarity", -F.col("start")))
+    best = F.max_by("start", F.struct("similarity", "aligned", -F.col("start")))
     hits = hits.groupBy("kid", "kh", "item_id").agg(best.alias("start"), F.max("similarity").alias("similarity"))
     return hits.select(F.nullif("kid", F.lit(NULL_ID)).alias("doc_id"), "kh", "item_id", "start", "similarity")
 
