@@ -73,16 +73,18 @@ def _block(fingerprint: Column, block: Column, how: Leaks) -> Column:
     return F.call_function("shiftrightunsigned", fingerprint, block * how.bits).bitwiseAND(F.lit((1 << how.bits) - 1)).cast("int")
 
 
-def _items(benchmark: DataFrame, how: Leaks) -> DataFrame:
-    """(item_id, size, shingles, fingerprint) of each item with a word."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
-    items = items.withColumn("size", F.size("words")).where("size > 0")
-    items = items.select("item_id", "size", _shingles(F.col("words"), F.col("size"), how).alias("shingles"))
-    return materialise(items.withColumn("fingerprint", _fingerprint(F.col("shingles"))), "leaks-items")
+def _items(benchmark: DataFrame, how: Leaks) -> tuple[DataFrame, DataFrame]:
+    """(item, size, shingles, fingerprint) of each distinct text with a word, and (item_id, item), the texts of each id."""
+    said = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
+    said = said.where(F.size("words") > 0).distinct()
+    items = said.select("words").distinct().select(F.monotonically_increasing_id().alias("item"), F.size("words").alias("size"), "words")
+    items = items.withColumn("shingles", _shingles(F.col("words"), F.col("size"), how))
+    items = materialise(items.withColumn("fingerprint", _fingerprint(F.col("shingles"))), "leaks-items")
+    return items.drop("words"), said.join(items.select("item", "words"), "words").select("item_id", "item")
 
 
 def _windows(docs: DataFrame, items: DataFrame, how: Leaks) -> DataFrame:
-    """(kid, kh, item_id, size, start, aligned, window): the windows with so many of the item's shingles, wherever
+    """(kid, kh, item, size, start, aligned, window): the windows with so many of the item's shingles, wherever
     these stand, that they can reach the similarity. aligned: one of them stands at its place in the item."""
     said = docs.select("kid", "kh", words_of(F.col("text")).alias("words"))
     widths = [r[0] for r in items.select(F.least("size", F.lit(how.words)).alias("w")).distinct().collect()]  # 1 to how.words
@@ -91,16 +93,16 @@ def _windows(docs: DataFrame, items: DataFrame, how: Leaks) -> DataFrame:
         # The words of a shingle are hashed where they are exploded: no array is built for a position.
         grams = said.select("kid", "kh", "words", F.posexplode("words").alias("pos", "word")).where(F.col("pos") <= F.size("words") - width)
         grams = grams.withColumn("h", F.xxhash64("word", *[F.get("words", F.col("pos") + k) for k in range(1, width)]))
-        own = items.where(F.least("size", F.lit(how.words)) == width).select("item_id", "size", F.posexplode("shingles").alias("place", "shingle"))
+        own = items.where(F.least("size", F.lit(how.words)) == width).select("item", "size", F.posexplode("shingles").alias("place", "shingle"))
         parts = F.split("shingle", " ")
         own = own.withColumn("h", F.xxhash64(*[F.get(parts, F.lit(k)) for k in range(width)])).drop("shingle")
         small = own.count() <= how.broadcast_rows
         some = grams.join(F.broadcast(own) if small else own, "h")
-        some = some.select("kid", "kh", "item_id", "size", "pos", (F.col("pos") - F.col("place")).alias("start"), F.size("words").alias("n"))
+        some = some.select("kid", "kh", "item", "size", "pos", (F.col("pos") - F.col("place")).alias("start"), F.size("words").alias("n"))
         met = some if met is None else met.unionByName(some)
     if met is None:
         return None
-    met = met.groupBy("kid", "kh", "item_id", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.collect_set("start").alias("starts"), F.max("n").alias("n"))
+    met = met.groupBy("kid", "kh", "item", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.collect_set("start").alias("starts"), F.max("n").alias("n"))
     # A window's first shared shingle is the i-th: it then begins after the one before, and early enough for the
     # shingles it needs at least.
     most = F.col("size") - F.least("size", F.lit(how.words)) + 1
@@ -115,14 +117,14 @@ def _windows(docs: DataFrame, items: DataFrame, how: Leaks) -> DataFrame:
     shared = F.size(F.filter(F.slice("at", F.col("i") + 1, F.col("most")), lambda x: x < F.col("start") + F.col("most")))
     long = F.least(F.col("start") + F.col("size"), F.col("n")) - F.greatest("start", F.lit(0)) - (F.col("size") - F.col("most"))
     met = met.where(shared >= how.similarity * (long + F.col("most") - shared) - 1e-9)
-    met = met.select("kid", "kh", "item_id", "size", "start", F.array_contains("starts", F.col("start")).alias("aligned"))
+    met = met.select("kid", "kh", "item", "size", "start", F.array_contains("starts", F.col("start")).alias("aligned"))
     met = materialise(met, "leaks-starts")
     few = met.select("kid", "kh").distinct()
     few = F.broadcast(few) if few.count() <= how.broadcast_rows else few
     said = docs.join(few, ["kid", "kh"], "left_semi").dropDuplicates(["kid", "kh"]).select("kid", "kh", words_of(F.col("text")).alias("words"))
     start = F.col("start")
     window = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size") + F.least(start, F.lit(0)))
-    return met.join(said, ["kid", "kh"]).select("kid", "kh", "item_id", "size", "start", "aligned", F.concat_ws(" ", window).alias("window"))
+    return met.join(said, ["kid", "kh"]).select("kid", "kh", "item", "size", "start", "aligned", F.concat_ws(" ", window).alias("window"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, how: Leaks = Leaks(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,9 +133,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Leaks = Leaks(), id_col: s
     window's first word, below 0 if the document begins inside the item.
 
     Null and empty texts and items have no words and match nothing. Rows equal in id and text give one
-    row. Items with equal words are found each under its own id; a null item id is an id.
+    row. Items with equal words are found each under its own id; a null item id is an id. Of an id with
+    several texts the best window of any of them counts.
     """
-    items = _items(benchmark, how)
+    items, names = _items(benchmark, how)
     windows = _windows(keyed(docs, id_col, text_col), items, how)
     if windows is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, kh long, item_id long, start int, similarity double")
@@ -144,21 +147,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Leaks = Leaks(), id_col: s
     texts = materialise(texts.withColumn("fingerprint", _fingerprint(F.col("shingles"))).withColumn("no", F.monotonically_increasing_id()), "leaks-texts")
     blocks = F.explode(F.sequence(F.lit(0), F.lit(how.blocks - 1)))
     near = F.explode(F.array(*[F.lit(v) for v in how.near()]))
-    index = items.select("item_id", "size", F.col("fingerprint").alias("of_item"), F.col("shingles").alias("item_shingles")).withColumn("block", blocks)
-    index = index.withColumn("away", near).select("item_id", "size", "of_item", "block", _block(F.col("of_item"), F.col("block"), how).bitwiseXOR(F.col("away")).alias("value"))
+    index = items.select("item", "size", F.col("fingerprint").alias("of_item"), F.col("shingles").alias("item_shingles")).withColumn("block", blocks)
+    index = index.withColumn("away", near).select("item", "size", "of_item", "block", _block(F.col("of_item"), F.col("block"), how).bitwiseXOR(F.col("away")).alias("value"))
     asked = texts.select("no", "size", F.size("shingles").alias("wide"), "fingerprint").withColumn("block", blocks)
     asked = asked.withColumn("value", _block(F.col("fingerprint"), F.col("block"), how))
     distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item")))
-    pairs = asked.join(index, ["size", "block", "value"]).where(distance <= how.radius).select("no", "wide", "size", "item_id").distinct()
+    pairs = asked.join(index, ["size", "block", "value"]).where(distance <= how.radius).select("no", "wide", "size", "item").distinct()
     mine = texts.select("no", F.explode("shingles").alias("shingle")).groupBy("no", "shingle").agg(F.count("*").alias("w"))
-    theirs = items.select("item_id", F.explode("shingles").alias("shingle")).groupBy("item_id", "shingle").agg(F.count("*").alias("v"))
-    same = F.col("item_id").eqNullSafe(F.col("of"))
-    both = pairs.join(mine, "no").join(theirs.withColumnRenamed("item_id", "of").withColumnRenamed("shingle", "its"), same & (F.col("shingle") == F.col("its")))
-    both = both.groupBy("no", "wide", "size", "item_id").agg(F.sum(F.least("w", "v")).alias("lesser"))
+    theirs = items.select("item", F.explode("shingles").alias("shingle")).groupBy("item", "shingle").agg(F.count("*").alias("v"))
+    both = pairs.join(mine, "no").join(theirs, ["item", "shingle"])
+    both = both.groupBy("no", "wide", "size", "item").agg(F.sum(F.least("w", "v")).alias("lesser"))
     total = F.col("wide") + F.col("size") - F.least("size", F.lit(how.words)) + 1 - F.col("lesser")
     scored = both.withColumn("similarity", F.col("lesser") / total).where(F.col("similarity") >= how.similarity)
-    scored = scored.select("no", F.col("item_id").alias("of"), "similarity").join(texts.select("no", "window", "size"), "no")
-    hits = windows.join(scored, ["window", "size"]).where(F.col("item_id").eqNullSafe(F.col("of")))
+    scored = scored.select("no", "item", "similarity").join(texts.select("no", "window", "size"), "no")
+    hits = windows.join(scored, ["window", "size", "item"]).join(names, "item")
     best = F.max_by("start", F.struct("similarity", "aligned", -F.col("start")))
     hits = hits.groupBy("kid", "kh", "item_id").agg(best.alias("start"), F.max("similarity").alias("similarity"))
     return hits.select(F.nullif("kid", F.lit(NULL_ID)).alias("doc_id"), "kh", "item_id", "start", "similarity")

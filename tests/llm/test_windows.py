@@ -46,3 +46,14 @@ def test_windows_without_a_shingle_in_place(spark):
     assert all(s == want[k][0] and start in want[k][1] for k, (start, s) in got.items())
     left = [r["doc_id"] for r in simhash_decontam.without_leaks(d, b).collect()]
     assert not {1, 2, 3, 4, 5} & set(left) and 6 in left
+
+
+def test_texts_that_share_an_item_id(spark):
+    """A short and a long item under one id, or none, and a repeated row change nothing about each other."""
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(50)]
+    items = [(i, " ".join(w)) for i in (1, None) for w in (long, long[:20], long[:20])]
+    docs = [(1, " ".join(["x", *long[:20], "y"])), (2, " ".join(["x", "z", *long, "y"]))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in simhash_decontam.leaks_digest(d, b).collect()}
+    assert got == {(k, i, k, 1.0) for k in (1, 2) for i in (1, None)}
