@@ -87,20 +87,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], how: Novelty = Novelty()) -> list[tuple[int, int, int]]:
     """(start, 3, end) of the incompressible candidates in sensitive contexts that no base span touches."""
-    out, seen, low = [], -1, text.lower()
+    out, low = [], text.lower()
     if not any(w in low for w in SENSITIVE):
         return out
+    start, end, judged, told = 0, -1, set(), set()
     for word in _SENSITIVE.finditer(text):
-        if word.start() < seen:
-            continue
         for m in _CANDIDATE.finditer(text, word.start(), min(len(text), word.end() + how.before + 64)):
-            a, b = m.span()
+            a = m.start()
             if a > word.end() + how.before:
                 break
-            if b <= seen:
-                continue
-            b = _RUN.match(text, a).end()
-            seen = b
+            if not start <= a < end:
+                start, end = a, _RUN.match(text, a).end()
+            b = end
             # A word in the run's own name (client_secret_key) is context, not a secret.
             if a <= word.start() < b:
                 a = max(a, word.end())
@@ -108,12 +106,17 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], how: Novelty = Nove
                     a += 1
                 if b - a < 12:
                     continue
+            # A run is told once, and judged again only from another start.
+            if b in told or (a, b) in judged:
+                continue
+            judged.add((a, b))
             body = text[a : min(b, a + how.longest)]
             if any(s < b and a < e for s, _, e in base) or not (re.search("[0-9]", body) and re.search("[A-Za-z]", body)):
                 continue
             before, after = text[max(0, a - how.around) : a], text[b : b + how.around]
             if marginal_bytes(body, before, after) >= how.ratio * len(body):
                 out.append((a, 3, b))
+                told.add(b)
     return sorted(set(out))
 
 
