@@ -54,7 +54,7 @@ _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.ASCII | re.IGNOR
 class Novelty:
     """``before``: characters before a candidate that make its context. ``around``: characters on each
     side that prime the compressor. ``ratio``: least marginal bytes over the candidate's bytes.
-    ``longest``: a longer run is data, not a secret; it is measured by its first ``longest`` characters."""
+    ``longest``: a longer run is measured in pieces of so many characters, and told if one is incompressible."""
 
     before: int = 48
     around: int = 1024
@@ -85,12 +85,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _pieces(a: int, b: int, longest: int) -> list[tuple[int, int]]:
+    """The run in consecutive pieces; a rest too short for a candidate belongs to the piece before it."""
+    cuts = [x for x in range(a, b, longest) if x == a or b - x >= 12] + [b]
+    return list(zip(cuts, cuts[1:]))
+
+
+def _is_novel(text: str, a: int, b: int, end: int, how: Novelty) -> bool:
+    """Whether the piece, of a run up to ``end``, has a digit and a letter and is incompressible."""
+    body = text[a:b]
+    if not (re.search("[0-9]", body) and re.search("[A-Za-z]", body)):
+        return False
+    return marginal_bytes(body, text[max(0, a - how.around) : a], text[end : end + how.around]) >= how.ratio * len(body)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], how: Novelty = Novelty()) -> list[tuple[int, int, int]]:
     """(start, 3, end) of the incompressible candidates in sensitive contexts that no base span touches."""
     out, low = [], text.lower()
     if not any(w in low for w in SENSITIVE):
         return out
-    start, end, judged, told = 0, -1, set(), set()
+    start, end, judged, ends, told = 0, -1, set(), set(), set()
     for word in _SENSITIVE.finditer(text):
         for m in _CANDIDATE.finditer(text, word.start(), min(len(text), word.end() + how.before + 64)):
             a = m.start()
@@ -109,12 +123,13 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], how: Novelty = Nove
             # A run is told once, and judged again only from another start.
             if b in told or (a, b) in judged:
                 continue
+            # What follows the first piece has been measured if the run was judged from an earlier start.
+            whole = b not in ends
+            ends.add(b)
             judged.add((a, b))
-            body = text[a : min(b, a + how.longest)]
-            if any(s < b and a < e for s, _, e in base) or not (re.search("[0-9]", body) and re.search("[A-Za-z]", body)):
+            if any(s < b and a < e for s, _, e in base):
                 continue
-            before, after = text[max(0, a - how.around) : a], text[b : b + how.around]
-            if marginal_bytes(body, before, after) >= how.ratio * len(body):
+            if any(_is_novel(text, x, y, b, how) for x, y in (_pieces(a, b, how.longest) if whole else [(a, min(b, a + how.longest))])):
                 out.append((a, 3, b))
                 told.add(b)
     return sorted(set(out))

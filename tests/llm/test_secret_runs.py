@@ -21,3 +21,12 @@ def test_words_inside_a_passed_run():
     assert "wJalr" not in secret_novelty._masked(text, "[S]", secret_novelty.Novelty())
     assert secret_novelty.novel_spans(f"the bearer of client_secret_token_{key(40)}", [])[0][2] == 34 + 40  # once
     assert len(secret_novelty.novel_spans(f"the bearer of client_secret_token_{key(40)}", [])) == 1
+
+
+def test_keys_after_padding():
+    for pad in ("A" * 512, "=" * 512, "=" * 1536, "A1" * 400):
+        run = pad + key(400)
+        assert secret_novelty.novel_spans(f"the bearer {run} ends", []) == [(11, 3, 11 + len(run))]
+        assert key(400) not in secret_novelty._masked(f"the bearer {run} ends", "[S]", secret_novelty.Novelty())
+    assert secret_novelty.novel_spans("the bearer " + "A1" * 2000 + " ends", []) == []
+    assert secret_novelty._pieces(3, 3 + 1030, 512) == [(3, 515), (515, 1033)]
