@@ -52,8 +52,9 @@ def test_texts_that_share_an_item_id(spark):
     """A short and a long item under one id, or none, and a repeated row change nothing about each other."""
     rng = random.Random(9)
     long = [f"w{rng.randrange(10**6)}" for _ in range(50)]
-    items = [(i, " ".join(w)) for i in (1, None) for w in (long, long[:20], long[:20])]
-    docs = [(1, " ".join(["x", *long[:20], "y"])), (2, " ".join(["x", "z", *long, "y"]))]
+    items = [(i, " ".join(w)) for i, texts in ((1, (long, long[:20])), (2, (long[:20], long)), (None, (long, long[:20], long[:20]))) for w in texts]
+    items += [(9, "a a a a a a a a b")] * 2
+    docs = [(1, " ".join(["x", *long[:20], "y"])), (2, " ".join(["x", "z", *long, "y"])), (3, "y y " + "a " * 9 + "y y")]  # of 3: 4 of 6 shingles
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {tuple(r) for r in simhash_decontam.leaks_digest(d, b).collect()}
-    assert got == {(k, i, k, 1.0) for k in (1, 2) for i in (1, None)}
+    assert got == {(k, i, k, 1.0) for k in (1, 2) for i in (1, 2, None)}
