@@ -7,8 +7,11 @@ density sum adds its children's densities. The node of the greatest sum holds th
 least density on the path from the body down to it is the threshold: nodes beside that path
 that reach it, parts of an article in several containers, are content too.
 
-Elements that say what they are, by name, role or class (menus, forms, adverts, comments and so
-on), have no density and are left out wherever they stand.
+Elements that say what they are, by name, role, class or a whole id (menus, forms, adverts, comments and so
+on), have no density and are left out wherever they stand. An id that only has such a word among others, or
+a class with a vague one, makes an element doubtful: the least density on the path decides about it, computed
+without what is doubtful.
+Headings are never judged by class or id, as their ids repeat their words.
 """
 
 from __future__ import annotations
@@ -39,6 +42,9 @@ DROP_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner|breadcrumbs?|comments?|commentlist|disqus|cookies?|consent|gdpr|disclaimer|footer|footnav|form|login|signup|masthead|menus?|nav|navbar|navigation|newsletter|notices?|alert|pagination|pager|popup|modal|overlay|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|side|social|sponsor\w*|subscribe\w*|subscription|toolbar|widgets?|skip)(?=$|[\s_-])",
     re.I,
 )
+#: Those that in a class beside other words can say something of an article's part too.
+VAGUE = frozenset("side social related alert notice notices form share sharing respond replies skip banner consent disclaimer overlay".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?:(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(?P<loose>[^>]*)(?:>|\Z))|</[^a-zA-Z][^>]*(?:>|\Z)",
     re.S,
@@ -52,17 +58,20 @@ class _Tree:
 
     def __init__(self) -> None:
         self.name, self.parent, self.drop, self.link = ["#page"], [-1], [False], [False]
+        self.doubt = [False]
         self.chars, self.text = [0], []  # text: (node, string) in page order
 
     def add(self, name: str, parent: int, attrs: str) -> int:
         drop = self.drop[parent] or name in DROP
+        doubt = False
         if not drop and attrs:
-            drop = _says_so(name, attrs)
+            drop, doubt = _says_so(name, attrs)
         if name == "header" and not drop:
             drop = not self.inside(parent, ("article", "main"))
         self.name.append(name)
         self.parent.append(parent)
         self.drop.append(drop)
+        self.doubt.append(doubt)
         self.link.append(self.link[parent] or name == "a")
         self.chars.append(0)
         return len(self.name) - 1
@@ -75,16 +84,24 @@ class _Tree:
         return False
 
 
-def _says_so(name: str, attrs: str) -> bool:
+def _says_so(name: str, attrs: str) -> tuple[bool, bool]:
+    """Whether the element is left out, and whether it is doubtful."""
     if name in ("html", "body", "article", "main"):
-        return False
+        return False, False
     if _HIDDEN.search(attrs):
-        return True
+        return True, False
+    doubt = False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "role" and value.strip().lower() in ROLES or key in ("class", "id") and DROP_WORDS.search(value):
-            return True
-    return False
+        if key == "role" and value.strip().lower() in ROLES:
+            return True, False
+        if key in ("class", "id") and name not in HEADINGS:
+            for part in value.split():
+                found = [m[0].strip("_-").lower() for m in DROP_WORDS.finditer(part)]
+                if DROP_WORDS.fullmatch(part) or key == "class" and not VAGUE.issuperset(found):
+                    return True, False
+                doubt = doubt or bool(found)
+    return False, doubt
 
 
 def parse(page: str) -> _Tree:
@@ -194,10 +211,9 @@ def densities(tree: _Tree) -> tuple[list[float], list[float], list[int]]:
     return density, total, chars
 
 
-def content(tree: _Tree) -> list[bool]:
-    """Of each node whether it is in the article's subtree or a part beside it, and not left out."""
+def _path(tree: _Tree, density: list[float], total: list[float], chars: list[int]) -> list[int]:
+    """The node that holds the article, and those above it."""
     n = len(tree.name)
-    density, total, chars = densities(tree)
     live = [i for i in range(n) if not tree.drop[i]]
     # Where elements name themselves the article and have a good part of the text, it is one of them.
     named = [False] * n
@@ -211,16 +227,47 @@ def content(tree: _Tree) -> list[bool]:
     while i >= 0:
         path.append(i)
         i = tree.parent[i]
+    return path
+
+
+def _least(tree: _Tree, density: list[float], path: list[int]) -> float:
+    inner = [i for i in path if tree.name[i] not in ("#page", "html")] or path
+    return min(density[i] for i in inner)
+
+
+def _settle(tree: _Tree) -> None:
+    """Leave out what is doubtful and less dense than the path to the article."""
+    if not any(tree.doubt):
+        return
+    n, sure = len(tree.name), tree.drop
+    live, _, _ = densities(tree)
+    tree.drop = list(sure)
+    for i in range(1, n):
+        tree.drop[i] = sure[i] or tree.doubt[i] or tree.drop[tree.parent[i]]
+    density, total, chars = densities(tree)
+    least = _least(tree, density, _path(tree, density, total, chars)) if chars[0] else 0.0
+    tree.drop = list(sure)
+    for i in range(1, n):
+        tree.drop[i] = sure[i] or tree.drop[tree.parent[i]] or tree.doubt[i] and (live[i] < least or live[i] <= 0)
+
+
+def content(tree: _Tree) -> list[bool]:
+    """Of each node whether it is in the article's subtree or a part beside it, and not left out."""
+    _settle(tree)
+    n = len(tree.name)
+    density, total, chars = densities(tree)
+    path = _path(tree, density, total, chars)
+    best = path[0]
     # An element that names itself the article holds it whole.
     outer = [i for i in path if tree.name[i] in ("article", "main")]
     root = outer[-1] if outer else best
     own = [False] * n
     own[root] = True
     if not outer:
-        inner = [i for i in path if tree.name[i] not in ("#page", "html")] or path
-        threshold, above = min(density[i] for i in inner), set(path[1:])
+        threshold, above, on = _least(tree, density, path), set(path[1:]), set(path)
         for i in range(1, n):
-            if tree.parent[i] in above and tree.name[i] in ("div", "section", "p", "h1", "h2", "blockquote", "td") and density[i] >= threshold > 0:
+            beside = tree.name[i] in BLOCK and i not in on or tree.name[i] in ("div", "section", "p", "h1", "h2", "blockquote", "td")
+            if tree.parent[i] in above and beside and density[i] >= threshold > 0:
                 own[i] = True
     for i in range(1, n):
         own[i] = (own[i] or own[tree.parent[i]]) and not tree.drop[i]
