@@ -60,9 +60,9 @@ def a20_batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count_if(F.col("n_chars") > 1000).alias("ok"), F.sum(F.expr("n_chars div 3000 + 1")).alias("pages"))
 
 
-def c5_reference_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+def c5_reference_lists(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """References stored as JSON strings, parsed; broken ones are dropped."""
-    o = read(spark, sf_dir, "orders").where("o_orderkey < 1000")
+    o = read(spark, sf_dir, "orders").where("true" if whole else "o_orderkey < 1000")
     js = F.array(F.concat(F.lit('{"s3_key": "k/'), "o_orderkey", F.lit('"}')), F.lit("{broken"))
     refs = F.filter(F.transform(js, lambda x: F.from_json(x, "s3_key string, url string")), lambda x: x["s3_key"].isNotNull())
     return o.select("o_orderkey", F.explode(refs).alias("r")).select("o_orderkey", "r.s3_key", "r.url")
@@ -137,9 +137,9 @@ def u4_changed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.where("o_orderkey % 10 = 1").unionByName(o.where("o_orderkey % 10 = 2"))
 
 
-def i7_incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+def i7_incremental_sync(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """A table synchronised whole, changed, and synchronised again: what the store has of it then."""
-    o = read(spark, sf_dir, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderstatus").alias("name"), F.col("o_orderdate").alias("updated_at"), F.concat(F.lit("k/"), "o_orderkey", F.lit("/a.pdf")).alias("s3_key"))
+    o = read(spark, sf_dir, "orders").where("true" if whole else "o_orderkey < 3000").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderstatus").alias("name"), F.col("o_orderdate").alias("updated_at"), F.concat(F.lit("k/"), "o_orderkey", F.lit("/a.pdf")).alias("s3_key"))
     store = SnapshotStore(spark, f"{_dir(spark)}/docs", "doc_id")
     run = lambda rows, since, until: sync_flow.sync_table("orders", rows, store, since, until, "updated_at", {"customer_id": "customers"}, {"s3_key": "s3_key"}, 1_700_000_000_000)
     run(o, None, datetime(2002, 1, 1))
@@ -149,9 +149,9 @@ def i7_incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "content_text", F.element_at("file_references", 1)["s3_key"].alias("s3_key"))
 
 
-def i16_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+def i16_backfill(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Vectors of another model for documents that lack them, by a partial update."""
-    d = read(spark, sf_dir, "documents").where("doc_id < 60").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.lit(4)).alias("patches"))
+    d = read(spark, sf_dir, "documents").where("true" if whole else "doc_id < 60").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.lit(4)).alias("patches"))
     made = etl.embed(d.where("patches IS NULL").select("doc_id", "text"), serving.Models({"hash": (16, lambda: etl.hashed_model(16, 2))}).make("hash"))
     new = made.select("doc_id", F.size("vectors").alias("patches"))
     return sync.update_fields(d.drop("text"), new, "doc_id", ["patches"]).select("doc_id", F.col("patches").cast("long").alias("patches"))

@@ -176,8 +176,8 @@ def p15_client_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(hit).select("doc_id")
 
 
-def a16_group_to_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = src.read(spark, sf_dir, "orders").where("o_custkey < 200")
+def a16_group_to_map(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    o = src.read(spark, sf_dir, "orders").where("true" if whole else "o_custkey < 200")
     return o.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")), ",").alias("orders"))
 
 

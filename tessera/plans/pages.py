@@ -92,9 +92,9 @@ def p12_border_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("box", spans.alias("spans"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= 1000 * 800 * regions.FRAME_AREA).cast("boolean").alias("frame"))
 
 
-def p11_vector_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p11_vector_pages(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     pages = spark.range(40).select(F.col("id").alias("page_id"), (F.col("id") % 3).alias("n_images"))
-    return regions.vector_pages(_boxes(spark, sf_dir, 0).where("box < 600"), pages)
+    return regions.vector_pages(_boxes(spark, sf_dir, 0).where("true" if whole else "box < 600"), pages)
 
 
 def _items(spark: SparkSession) -> DataFrame:
@@ -150,17 +150,17 @@ def _render(content: bytes) -> list[tuple[bytes, str]]:
     return [(bytes([i]) + content[:8], part.decode()) for i, part in enumerate(content.split(b"\f"))]
 
 
-def e1_page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def e1_page_documents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Documents as files of pages; every ninth can't be read."""
-    d = read(spark, sf_dir, "documents").where("doc_id < 300")
-    content = F.concat(F.when(F.col("doc_id") % 9 == 0, F.lit("bad")).otherwise(F.lit("ok ")), F.substring("text", 1, 250), F.lit("\f"))
+    d = read(spark, sf_dir, "documents").where("true" if whole else "doc_id < 300")
+    content = F.concat(F.when(F.col("doc_id") % 9 == 0, F.lit("bad")).otherwise(F.lit("ok ")), F.col("text") if whole else F.substring("text", 1, 250), F.lit("\f"))
     named = d.select(F.concat(F.lit("File "), "doc_id", F.lit(".pdf")).alias("filename"), content.cast("binary").alias("content"))
     return etl.page_documents(etl.pages(named, _render)).select("title", "page_number", F.length("text").cast("long").alias("n"), F.length("snippet").cast("long").alias("n_snippet"))
 
 
-def e3_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def e3_embed(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Page vectors of a stand-in encoder, packed; their count and the positive signs by both forms."""
-    d = read(spark, sf_dir, "documents").where("doc_id < 100").select("doc_id", "text")
+    d = read(spark, sf_dir, "documents").where("true" if whole else "doc_id < 100").select("doc_id", "text")
     e = etl.embed(d, etl.hashed_model(16, 3))
     ones = F.aggregate("vectors", F.lit(0), lambda a, v: a + F.size(F.filter(v, lambda x: x > 0)))
     bits = F.aggregate("packed", F.lit(0), lambda a, p: a + F.aggregate(p, F.lit(0), lambda b, x: b + F.bit_count(x.bitwiseAND(F.lit(255)))))

@@ -159,9 +159,9 @@ def r9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(r.search("what is the token of this", r.profile_name("bm25", False), runs), "score")
 
 
-def a11_ordered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a11_ordered_ids(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Ids of several searches, each once, in the order in which they came first."""
-    e = read(spark, sf_dir, "events").where("event_id < 200").select("user_id", "event_id")
+    e = read(spark, sf_dir, "events").where("true" if whole else "event_id < 200").select("user_id", "event_id")
     first = e.groupBy("user_id").agg(F.min("event_id").alias("step"))
     from pyspark.sql import Window as W
 

@@ -85,9 +85,9 @@ def f22_relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", strings.relative_date(at, F.lit(1_706_659_140)).alias("shown"))
 
 
-def f23_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+def f23_highlight(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(strings.highlight(F.substring("text", 1, 500), "the|token").cast("binary")).alias("marked_md5"))
+    return d.select("doc_id", F.md5(strings.highlight(F.col("text") if whole else F.substring("text", 1, 500), "the|token").cast("binary")).alias("marked_md5"))
 
 
 def f24_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,9 +158,9 @@ def c3_struct_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", js.alias("json"), back["name"].alias("name"), back["segment"].alias("segment"))
 
 
-def c6_blocks_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def c6_blocks_in_order(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Blocks keyed by numbers as text, which sort as numbers."""
-    v = read(spark, sf_dir, "embeddings").where("vec_id < 96")
+    v = read(spark, sf_dir, "embeddings").where("true" if whole else "vec_id < 96")
     m = v.groupBy(F.expr("vec_id div 12").alias("page")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("vec_id") % 12).cast("string").alias("k"), F.col("label").cast("long").alias("v")))).alias("blocks"))
     return m.select("page", F.array_join(nested.blocks_in_order(F.col("blocks")), ",").alias("labels"))
 

@@ -78,20 +78,20 @@ def a4_job_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.job_counters(l.select(F.col("l_linestatus").alias("table_name"), (F.col("l_returnflag") != "R").alias("success")))
 
 
-def _refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    o = read(spark, sf_dir, "orders").where("o_orderkey < 5000").select(F.col("o_custkey").alias("record_id"), F.col("o_orderkey").alias("k"))
+def _refs(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    o = read(spark, sf_dir, "orders").where("true" if whole else "o_orderkey < 5000").select(F.col("o_custkey").alias("record_id"), F.col("o_orderkey").alias("k"))
     key, url = F.concat(F.lit("k/"), "k"), F.concat(F.lit("u/"), "k")
     old = o.where("k % 3 <> 0").select("record_id", F.when(F.col("k") % 2 == 0, key).otherwise(F.lit("")).alias("s3_key"), F.when(F.col("k") % 7 == 0, F.lit("")).otherwise(url).alias("url"), F.col("k").alias("file_no"))
     new = o.where("k % 4 <> 0").select("record_id", F.when(F.col("k") % 2 == 0, key).alias("s3_key"), url.alias("url"), F.col("k").alias("file_no"))
     return old, new
 
 
-def j6_ref_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sync.reference_diff(*_refs(spark, sf_dir))
+def j6_ref_diff(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return sync.reference_diff(*_refs(spark, sf_dir, whole))
 
 
-def j8_match_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = _refs(spark, sf_dir)
+def j8_match_downloads(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    old, new = _refs(spark, sf_dir, whole)
     return sync.match_downloads(new.drop("record_id", "file_no"), old).select("key", "record_id")
 
 

@@ -1,0 +1,41 @@
+"""Queries over whole tables against their SQL without its slice."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from tessera import plans
+from tests.test_queries import rows
+
+SF = "/root/testdata/sf0.01"
+#: The slice that each query's SQL has, and what stands there without it.
+SLICES = {
+    "p11_vector_pages": (("box < 600", "true"),),
+    "e1_page_documents": (("doc_id < 300", "true"), ("left(text, 250)", "text")),
+    "e3_embed": (("doc_id < 100", "true"),),
+    "c5_reference_lists": (("o_orderkey < 1000", "true"),),
+    "i7_incremental_sync": (("o_orderkey < 3000", "true"),),
+    "i16_backfill": (("doc_id < 60", "true"),),
+    "j6_ref_diff": (("o_orderkey < 5000", "true"),),
+    "j8_match_downloads": (("o_orderkey < 5000", "true"),),
+    "a16_group_to_map": (("o_custkey < 200", "true"),),
+    "c6_blocks_in_order": (("vec_id < 96", "true"),),
+    "f23_highlight": (("left(text, 500)", "text"),),
+    "a11_ordered_ids": (("event_id < 200", "true"),),
+}
+
+
+@pytest.mark.parametrize("name", plans.WHOLE)
+def test_whole_table(spark, name):
+    duck, sql = duckdb.connect(), plans.oracles()[name]
+    for p in Path(SF).glob("*.parquet"):
+        duck.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    sliced = rows(duck.sql(sql).df())
+    for cut, all_ in SLICES[name]:
+        assert cut in sql
+        sql = sql.replace(cut, all_)
+    got = rows(plans.queries()[f"{name}_whole"](spark, SF).toPandas())
+    assert got == rows(duck.sql(sql).df()) != sliced
