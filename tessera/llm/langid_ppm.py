@@ -212,10 +212,10 @@ def _count(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
 def training_sample(docs: DataFrame, held_out: Column, per_language: int = 400, most_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[bytes]]:
     """A bounded sample: ``per_language`` texts of each language with the least hashes, of a longer one its
     first ``most_chars`` characters. Languages are taken to be few: a row of each is broadcast."""
-    usable = docs.where(~held_out & F.col(lang_col).isNotNull())
+    usable = docs.where(~held_out & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     sizes = usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("size"))
     text = F.substring(text_col, 1, most_chars)
-    rows = usable.where(F.length(text_col) > 0).select(F.col(lang_col).alias("lang"), text.alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    rows = usable.select(F.col(lang_col).alias("lang"), text.alias("text"), F.xxhash64(id_col, text_col).alias("h"))
     out: dict[str, list[bytes]] = {}
     for lang, text in least_hashed(rows, "lang", "h", per_language, sizes).select("lang", "text").toLocalIterator():
         out.setdefault(lang, []).append(text.encode())
