@@ -1,12 +1,8 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
-
-Every document is factored against all documents before it (smaller ids), which are indexed in
-blocks of 20 words that a content rule picks, so that any 50 words hold an indexed block at
-the same place wherever they occur. Where a block of the document is found in the index, it is grown
-to both sides as far as the words agree with an earlier document; blocks are compared whole first
-and in parts only at the ends of a match. That gives every factor of 50 words or more with a
-document it copies. ``factor`` then parses greedily from left to right: at each
-word the factor that reaches furthest, else a literal word.
+"""Repeated passages of words, by exact fingerprints of sampled windows in place of a relative Lempel-Ziv index.
+
+Every window of 50 words is compared with those of the documents before it (smaller ids) through the
+samples of ``anchors``; no block is looked up and grown. ``factor`` then parses the copied spans greedily
+from left to right, at each word the one that reaches furthest, else a literal word; it can't change a row.
 
 A greedy parse by longest matches misses a window of 50 words that begins in one factor and ends in the next
 and yet stands whole in a third document. Here matches are known by window, from whatever document, before the

@@ -1,11 +1,8 @@
-"""Suffix-array dedup by bucket-pointer refinement.
-
-A suffix is told from others by its first 400 bytes here, so suffixes are sorted into buckets of
-equal prefixes only as deep as that. The initial buckets are q-grams of 160 bytes. They are refined
-by what stands at later (and, from a sampled suffix, earlier) offsets: a bucket pointer is the
-identifier of a bucket, new pointers are made of wider blocks at each offset range, and the pointers
-of one level say which ranges the next has to refine: buckets with one suffix and buckets whose
-whole blocks agree are settled, as in the sequential algorithm, and are never looked at again.
+"""Repeated byte strings, by exact fingerprints of sampled windows in place of bucket-pointer refinement.
+
+A suffix is told from others by its first 400 bytes here. Ranges of bytes around sampled suffixes are
+hashed and counted, wide ones first; a range that no other row shares, or whose whole blocks agree, is
+settled and never looked at again. Each level hashes the bytes anew: no identifier of a bucket is reused.
 
 The suffixes are sampled, which keeps a distributed run in proportion to the text: any two equal
 400-byte strings hold a sampled suffix at the same place (see ``anchors``), so the buckets of sampled
