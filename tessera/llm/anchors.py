@@ -9,7 +9,9 @@ those that start at m - d for d in [0, W - k]. They are compared in ranges of d,
   the bucket has one row (or none from an earlier document), no window of the range repeats.
 * the *hull* of a range is what its windows cover together. Where another row of the bucket has the
   same hull, every window of the range repeats.
-* otherwise the range is split and its parts form new buckets. The last ranges are single windows.
+* otherwise the range is split and its parts form new buckets. What is then still open, single windows at the
+  edges of repeats, is for the operator to decide: by refined buckets (``suffix_buckets``) or by matches with
+  reference blocks (``rlz_spans``).
 
 Buckets are compared by 64-bit fingerprints through partial aggregation and joins, so a bucket of any
 size costs a row for each task, never a task. Hulls add 64 further bits, single windows too. Only ranges at
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tessera.llm.common import discard, groups, keyed, map_arrow, materialise, utf8
+from tessera.llm.common import discard, groups, map_arrow, materialise, utf8
 from tessera.llm.lexer import mix, powers, prefix_sums
 
 #: Symbols in one piece of work; a longer document is done in overlapping pieces.
@@ -105,6 +107,7 @@ def _maybe(values: list[int | None]) -> pa.Array:
 
 
 _PRINTS = "c long, u long, kid long, kh long, pos long, part int"
+_CONTEXT = ["c", "kid", "kh", "pos", "whole", "source", "own", "left", "context"]
 
 
 def _first_prints(docs: DataFrame, win: Windows) -> DataFrame:
@@ -134,8 +137,8 @@ def _first_prints(docs: DataFrame, win: Windows) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, win: Windows) -> DataFrame:
-    """(kid, kh, pos, own, left, context): the symbols around each wanted position, left of them before it; own: the
-    offsets that select it."""
+    """(c, kid, kh, pos, whole, source, own, left, context): the symbols around each wanted position, left of them
+    before it; own: the offsets that select it; the rest as in _judge()."""
     reach, size = win.reach, win.size
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -143,50 +146,42 @@ def _contexts(docs: DataFrame, wanted: DataFrame, win: Windows) -> DataFrame:
         ends = np.cumsum(counts)
         places = batch.column(3)
         doc = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
-        pos, own = (places.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        flat = places.flatten()
+        pos, own = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
         lo, hi = (ends - counts)[doc], ends[doc]
         start, end = np.maximum(lo, lo + pos - reach), np.minimum(hi, lo + pos + size)
         context = [values[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         take = pa.array(doc)
-        columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(pos), pa.array(own.astype(np.int32)), pa.array((lo + pos - start).astype(np.int32)), pa.array(context, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["kid", "kh", "pos", "own", "left", "context"])
+        columns = [
+            flat.field(2), batch.column(0).take(take), batch.column(1).take(take), pa.array(pos), flat.field(3), flat.field(4),
+            pa.array(own.astype(np.int32)), pa.array((lo + pos - start).astype(np.int32)), pa.array(context, pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=_CONTEXT)
 
-    lists = wanted.groupBy("kid", "kh").agg(F.collect_set(F.struct("pos", "part")).alias("places"))
+    lists = wanted.groupBy("kid", "kh").agg(F.collect_set(F.struct("pos", "part", "c", "whole", "source")).alias("places"))
     joined = docs.select("kid", "kh", "text").join(lists, ["kid", "kh"])
-    return map_arrow(joined, each, "kid long, kh long, pos long, own int, left int, context binary")
+    kinds = "c long, kid long, kh long, pos long, whole boolean, source long, own int, left int, context binary"
+    return map_arrow(joined, each, kinds)
 
 
-def _part_prints(contexts: DataFrame, win: Windows, unit: int, level: int) -> DataFrame:
-    """Fingerprints of the parts of each context's range that have offsets of its own: the ranges of ``step``
-    offsets, or with level 2 the single offsets of the ranges listed in the column ``parts``. Equal windows select the
-    same sample at the same offset, so each has its parts in the same buckets."""
+def _part_prints(contexts: DataFrame, win: Windows, unit: int) -> DataFrame:
+    """Fingerprints of the parts of each context's range, ``step`` offsets each, that have offsets of its own. Equal
+    windows select the same sample at the same offset, so each has its parts in the same buckets."""
     reach, size, step = win.reach, win.size, win.step
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         cores, hulls, row, part = [], [], [], []
-        lists = batch.column("parts").to_pylist() if level == 2 else None
         for i, (own, left, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("own", "left", "context")), strict=True)):
             n, first, last = len(raw) // unit, own >> 15, own & 32767
-            if level == 1:
-                for j, lo in enumerate(range(0, reach + 1, step)):
-                    hi = min(reach, lo + step - 1)
-                    if hi < first or lo > last or left - lo < 0 or left - hi + size > n:
-                        continue
-                    cores.append(xxh3_64_intdigest(raw[unit * (left - lo) : unit * (left - hi + size)], 101 + j))
-                    whole = left - hi >= 0 and left - lo + size <= n
-                    hulls.append(xxh3_64_intdigest(raw[unit * (left - hi) : unit * (left - lo + size)], 3) if whole else None)
-                    row.append(i)
-                    part.append(j)
-            else:
-                for j in lists[i]:
-                    for d in range(j * step, min(reach, j * step + step - 1) + 1):
-                        if first <= d <= last:
-                            window = raw[unit * (left - d) : unit * (left - d + size)]
-                            # With the offset, or a window would meet itself around another sample.
-                            cores.append(xxh3_64_intdigest(window, 10_000 + d))
-                            hulls.append(xxh3_64_intdigest(window, 4))
-                            row.append(i)
-                            part.append(d)
+            for j, lo in enumerate(range(0, reach + 1, step)):
+                hi = min(reach, lo + step - 1)
+                if hi < first or lo > last or left - lo < 0 or left - hi + size > n:
+                    continue
+                cores.append(xxh3_64_intdigest(raw[unit * (left - lo) : unit * (left - hi + size)], 101 + j))
+                whole = left - hi >= 0 and left - lo + size <= n
+                hulls.append(xxh3_64_intdigest(raw[unit * (left - hi) : unit * (left - lo + size)], 3) if whole else None)
+                row.append(i)
+                part.append(j)
         take = pa.array(np.array(row, np.int64))
         columns = [_signed(cores), _maybe(hulls), *(batch.column(c).take(take) for c in ("kid", "kh", "pos")), pa.array(np.array(part, np.int32))]
         return pa.RecordBatch.from_arrays(columns, names=["c", "u", "kid", "kh", "pos", "part"])
@@ -194,8 +189,19 @@ def _part_prints(contexts: DataFrame, win: Windows, unit: int, level: int) -> Da
     return map_arrow(contexts, each, _PRINTS)
 
 
+def window_starts(own: int, left: int, n: int, parts: list[int], win: Windows) -> list[tuple[int, int]]:
+    """(start in the context, offset) of the open windows of a context of n symbols: in the parts listed, and its own."""
+    first, last = own >> 15, own & 32767
+    return [
+        (left - d, d)
+        for j in sorted(parts)
+        for d in range(max(j * win.step, first), min(win.reach, j * win.step + win.step - 1, last) + 1)
+        if left - d >= 0 and left - d + win.size <= n
+    ]
+
+
 def _judge(prints: DataFrame, win: Windows, name: str) -> DataFrame:
-    """(kid, kh, pos, part, whole, refine, source), as a table: the ranges with repeats; whole: every window
+    """(c, kid, kh, pos, part, whole, refine, source), as a table: the ranges with repeats; whole: every window
     repeats, and source is the least id that holds the hull; refine: the next level has to look at its parts."""
     once = materialise(prints, f"{name}-prints")
     # Tables on both sides of every join, so that a hot bucket can be split among tasks.
@@ -220,34 +226,44 @@ def _judge(prints: DataFrame, win: Windows, name: str) -> DataFrame:
     # A bucket with unsettled rows is refined with all of those and one row of each settled kind, which
     # the others may yet agree with in part.
     refine = F.coalesce(F.col("again"), F.lit(False)) & (~F.col("whole") | F.col("is_model"))
-    out = found.select("kid", "kh", "pos", "part", "whole", refine.alias("refine"), "source").where("whole or refine")
+    out = found.select("c", "kid", "kh", "pos", "part", "whole", refine.alias("refine"), "source").where("whole or refine")
     out = materialise(out, name)
     discard(buckets, shared, hulls, again, kinds)
     return out
 
 
-def repeated_spans(docs: DataFrame, win: Windows, unit: int, name: str) -> DataFrame:
-    """(kid, kh, spans): per document key the spans [start, end) in symbols covered by repeated
-    windows, with the least id each was found in; spans may overlap. Documents without are absent.
+def sampled_ranges(docs: DataFrame, win: Windows, name: str) -> tuple[DataFrame, DataFrame]:
+    """The widest ranges around every sample, as _judge() tells them, and the contexts of those that aren't settled.
 
     ``docs`` is keyed(); it is read twice, once to sample it and once for the contexts.
     """
-    reach, size, step = win.reach, win.size, win.step
     first = _judge(_first_prints(docs, win), win, f"{name}-0")
-    contexts = materialise(_contexts(docs, first.where("refine"), win), f"{name}-contexts")
-    second = _judge(_part_prints(contexts, win, unit, 1), win, f"{name}-1")
+    return first, materialise(_contexts(docs, first.where("refine"), win), f"{name}-contexts")
+
+
+def narrower_ranges(contexts: DataFrame, win: Windows, unit: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """The parts of the contexts' ranges, as _judge() tells them, and the contexts with the column ``parts``: those
+    whose single windows are open."""
+    second = _judge(_part_prints(contexts, win, unit), win, f"{name}-1")
     parts = second.where("refine").groupBy("kid", "kh", "pos").agg(F.collect_set("part").alias("parts"))
-    single = _part_prints(contexts.join(parts, ["kid", "kh", "pos"]), win, unit, 2)
-    third = _judge(single, win, f"{name}-2")
-    discard(contexts)
-    low, high = F.col("part") * step, F.least(F.lit(reach), F.col("part") * step + (step - 1))
-    span = lambda a, b: F.struct((F.col("pos") - a).alias("start"), (F.col("pos") - b + size).alias("end"), "source")
-    found = (
-        first.where("whole").select("kid", "kh", span(F.lit(reach), F.lit(0)).alias("span"))
-        .unionByName(second.where("whole").select("kid", "kh", span(high, low).alias("span")))
-        .unionByName(third.where("whole").select("kid", "kh", span(F.col("part"), F.col("part")).alias("span")))
-    )
-    return found.groupBy("kid", "kh").agg(F.collect_set("span").alias("spans"))
+    return second, contexts.join(parts, ["kid", "kh", "pos"])
+
+
+def whole_spans(ranges: DataFrame, win: Windows, narrow: bool) -> DataFrame:
+    """(kid, kh, start, end, source) of the settled ranges in which every window repeats."""
+    low = F.col("part") * win.step if narrow else F.lit(0)
+    high = F.least(F.lit(win.reach), F.col("part") * win.step + (win.step - 1)) if narrow else F.lit(win.reach)
+    start, end = (F.col("pos") - high).alias("start"), (F.col("pos") - low + win.size).alias("end")
+    return ranges.where("whole").select("kid", "kh", start, end, "source")
+
+
+def by_document(*found: DataFrame) -> DataFrame:
+    """(kid, kh, spans): per document key the spans [start, end) in symbols and the least id each was found in; spans
+    may overlap. Documents without are absent."""
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("kid", "kh").agg(F.collect_set(F.struct("start", "end", "source")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -276,4 +292,4 @@ def union(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), ends[last].tolist(), strict=True))
 
 
-__all__ = ["Windows", "keyed", "repeated_spans", "sample", "spans_of", "union", "with_spans"]
+__all__ = ["Windows", "by_document", "narrower_ranges", "sample", "sampled_ranges", "spans_of", "union", "whole_spans", "window_starts", "with_spans"]

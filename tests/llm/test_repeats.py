@@ -7,9 +7,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tessera.llm import rlz_spans, signature_tree, suffix_buckets
+from tessera.llm.anchors import union
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -91,6 +93,49 @@ def test_words(docs, rows, size):
     same(rlz_spans.spans_digest(docs, size), brute_words(rows, size))
 
 
+@pytest.mark.parametrize("few", [0, 1, 3])
+def test_words_of_common_grams(docs, rows, few):
+    """Grams with more blocks than are shipped are compared range by range and window by window."""
+    found = rlz_spans.duplicate_words(docs, 7, few=few)
+    gone = {(r.doc_id, r.text): [b - a for a, b in union(np.array(r.starts), np.array(r.ends))] for r in found.collect()}
+    want = Counter((i, n, gone) for i, n, gone, _ in brute_words(rows, 7))
+    assert Counter((i, len(WORD.findall(t)), sum(g)) for (i, t), g in gone.items()) == Counter(dict.fromkeys(want, 1))
+
+
+def test_matches_grow_to_both_sides():
+    own, block = np.array([9, 1, 2, 3, 4, 5, 8], np.uint64), np.array([1, 2, 3, 4, 5], np.uint64)
+    assert rlz_spans.grow(own, 2, block, 1) == (1, 4)
+    assert rlz_spans.grow(own, 2, block, 4) == (0, 0)
+    assert rlz_spans.grow(own, 2, block[:2], 1) == (1, 1)
+
+
+def test_window_across_factors(spark):
+    """The greedy parse ends a factor inside a window that a third document holds whole."""
+    w = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(w[:80])), (2, " ".join(w[80:160])), (3, " ".join(w[55:105])), (4, " ".join(w[:160]))]
+    rows = [(*r, None, None, None) for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    same(rlz_spans.spans_digest(docs, 50), brute_words(rows, 50))
+
+
+def test_identifiers_of_later_offsets_decide(spark):
+    """Suffixes of one initial bucket are told apart by the buckets of what follows at a later offset alone: the same
+    regions with the later offsets' buckets made equal come out as repeats."""
+    assert suffix_buckets.widths(400, 100) == [100, 200, 400] and suffix_buckets.widths(10, 4) == [4, 8, 10]
+    assert suffix_buckets.offsets_by_level([100, 200, 400]) == {0: 2, 200: 1, 100: 0, 300: 0}
+    win = suffix_buckets.Windows(8, 2, 3, suffix_buckets._bytes, earlier=False)
+
+    def found(*texts):
+        regions = [(i, 0 << 15 | 0, 0, t, [0]) for i, t in enumerate(texts)]
+        df = spark.createDataFrame(regions, "region long, own int, left int, context binary, parts array<int>")
+        return sorted(r.region for r in suffix_buckets.refine(df, win, [2, 4, 8], "t").collect())
+
+    assert found(b"abcdefgh", b"abcdefgh", b"abcdefgX") == [0, 1]
+    assert found(b"abcdefgh", b"abcdefgX", b"abcdefgX", b"Xbcdefgh") == [1, 2]
+    assert found(b"abcdefgh", b"abcdXXgh") == []
+    assert found(b"aaaaaaaa", b"aaaaaaaa", b"aaaaaaab") == [0, 1]
+
+
 def test_random_low_entropy(spark):
     """Texts of few symbols, where almost every window repeats somewhere and samples crowd."""
     rng = random.Random(3)
