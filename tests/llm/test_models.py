@@ -168,12 +168,49 @@ def test_mix_nears_targets(spark):
 
 def test_pivot_keeps_words_and_odds():
     rng = random.Random(0)
-    rows = [(i, 0, rng.randrange(1, 300), 0.37) for i in range(60)]  # a source's documents have one probability
+    rows = [(i, 0, 1, rng.randrange(1, 300), rng.uniform(0.05, 0.95)) for i in range(60)]
     words = sum(s * p for *_, s, p in rows)
     hits = Counter()
-    for seed in range(300):
+    for seed in range(1000):
         got = mixing_pivotal.pivot(rows, seed, 0)
         assert sum(s * p for *_, s, p in got) == pytest.approx(words)
         assert sum(1 for *_, p in got if 1e-9 < p < 1 - 1e-9) <= 1
-        hits.update({k: p for k, _, _, p in got})
-    assert all(abs(hits[k] / 300 - p) < 0.12 for k, _, _, p in rows)
+        hits.update({k: p for k, *_, p in got})
+    assert all(abs(hits[k] / 1000 - p) < 4.5 * math.sqrt(p * (1 - p) / 1000) for k, *_, p in rows)
+
+
+@pytest.mark.parametrize("sizes", [[900, 700, 500, *[9] * 17], list(range(1, 24)), [5000, *range(10, 200, 7)]])
+def test_small_sources_keep_their_odds(sizes):
+    """Also the last document, and documents larger than all that is left, through two levels of the tree."""
+    rows = [(i, 0, 1, s, 0.37) for i, s in enumerate(sizes)]
+    n, hits, words = 3000, Counter(), 0
+    for seed in range(n):
+        blocks = [mixing_pivotal.pivot(rows[k::2], seed, 0) for k in (0, 1)]
+        open_ = [r for b in blocks for r in b if 1e-9 < r[4] < 1 - 1e-9]
+        whole = [r for b in blocks for r in b if r not in open_] + mixing_pivotal.pivot(open_, seed, 1, True)
+        assert all(r[4] in (0.0, 1.0) for r in whole)
+        hits.update({k: p for k, *_, p in whole})
+    assert all(abs(hits[r[0]] / n - 0.37) < 4.5 * math.sqrt(0.37 * 0.63 / n) for r in rows)
+
+
+def test_odds_of_a_whole_mix(spark):
+    """Over seeds, each document of sources of 20 is taken as often as its rate says."""
+    rows = [(i, " ".join(["w"] * (1 + (i * 37) % 90)), "ab"[i % 2]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    n, hits, rates = 12, Counter(), {}
+    for seed in range(n):
+        for r in mixing_pivotal.mix(docs, seed=seed, block=16).collect():
+            hits[r["doc_id"]] += r["copies"]
+            rates[r["doc_id"]] = r["target"] / r["source_size"]
+    z = [(hits[i] / n - x) / math.sqrt((x % 1) * (1 - x % 1) / n) for i, x in rates.items() if 0.01 < x % 1 < 0.99]
+    assert z and max(map(abs, z)) < 4.5 and sum(v * v for v in z) / len(z) < 2
+
+
+def test_repeated_rows_are_rounded_apart(spark):
+    """Thousands of equal rows: dealt to many blocks, and their words come near the target too."""
+    rows = [(1, "one two three", "a")] * 6000 + [(i, "four five six seven", "b") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing_pivotal.mix(docs, block=256).groupBy("source", "target").agg({"*": "count", "copies": "sum"}).collect()
+    by = {r["source"]: r for r in got}
+    assert by["a"]["count(1)"] == 6000 and abs(3 * by["a"]["sum(copies)"] - by["a"]["target"]) <= 3
+    assert by["b"]["count(1)"] == 2000 and abs(4 * by["b"]["sum(copies)"] - by["b"]["target"]) <= 4
