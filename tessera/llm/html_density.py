@@ -3,11 +3,11 @@
 Every node of the page's tree has its characters C, tags T, characters in links LC and link tags LT, all
 of its subtree, and from these its composite density: characters per tag, times a logarithm that
 shrinks it the more of its text is links, with the page's own share of links as a base. A node's
-density sum adds its children's densities. The node of the greatest sum holds the article. The
+density sum adds its children's densities. The node of the greatest sum holds the article, whatever it is called. The
 least density on the path from the body down to it is the threshold: nodes beside that path
 that reach it, parts of an article in several containers, are content too.
 
-Elements that say what they are, by name, role, class or a whole id (menus, forms, adverts, comments and so
+Names only remove. Elements that say what they are, by name, role, class or a whole id (menus, forms, adverts, comments and so
 on), have no density and are left out wherever they stand. An id that only has such a word among others, or
 a class with a vague one, makes an element doubtful: the least density on the path decides about it, computed
 without what is doubtful.
@@ -183,43 +183,59 @@ def _close(tree: _Tree, stack: list[int], names: tuple[str, ...], stop: tuple[st
         del stack[cut:]
 
 
+def composite(chars: int, tags: int, linked: int, links: int, base: float) -> float:
+    """Characters per tag, times a logarithm that falls with the share of its text in links; ``base`` is the page's share."""
+    if not chars:
+        return 0.0
+    tags = max(1, tags)
+    ratio = chars / max(1, linked) * tags / max(1, links)
+    inner = chars / max(1, chars - linked) * linked + base * chars + math.e
+    if math.log(inner) > 1.0001:
+        return max(0.0, chars / tags * math.log(max(ratio, 1.0)) / math.log(math.log(inner) + 1e-9))
+    return chars / tags * math.log(max(ratio, 1.0) + 1)
+
+
 def densities(tree: _Tree) -> tuple[list[float], list[float], list[int]]:
-    """(composite density, density sum, characters) of each node. Left-out nodes have 0 and count as nothing."""
+    """(composite density, density sum, characters) of each node. Left-out nodes have 0 and count as nothing.
+
+    The children that a block sums up are its blocks, and the text outside of them, inline elements included, as one
+    more; an inline element has no sum.
+    """
     n = len(tree.name)
     chars = [0 if d else c for c, d in zip(tree.chars, tree.drop, strict=True)]
     linked = [c if a else 0 for c, a in zip(chars, tree.link, strict=True)]
     tags, links = [0] * n, [0] * n
-    for i in range(n - 1, 0, -1):
+    loose = [[0, 0, 0, 0] for _ in range(n)]  # of the text outside of child blocks: characters, tags, linked, links
+    inline = [i > 0 and tree.name[i] not in BLOCK for i in range(n)]
+    for i in range(n - 1, -1, -1):
+        if tree.drop[i]:
+            continue
+        own = loose[i]
+        own[0] += tree.chars[i]
+        own[2] += tree.chars[i] if tree.link[i] else 0
+        if i == 0:
+            break
         p = tree.parent[i]
-        if not tree.drop[i]:
-            chars[p] += chars[i]
-            linked[p] += linked[i]
-            tags[p] += tags[i] + 1
-            links[p] += links[i] + (tree.name[i] == "a")
+        chars[p] += chars[i]
+        linked[p] += linked[i]
+        tags[p] += tags[i] + 1
+        links[p] += links[i] + (tree.name[i] == "a")
+        if inline[i]:
+            above = loose[p]
+            for k, v in enumerate((own[0], own[1] + 1, own[2], own[3] + (tree.name[i] == "a"))):
+                above[k] += v
     base = linked[0] / max(1, chars[0])
-    density, total = [0.0] * n, [0.0] * n
-    for i in range(n):
-        c, lc = chars[i], linked[i]
-        if c and not tree.drop[i]:
-            t = max(1, tags[i])
-            inner = c / max(1, c - lc) * lc + base * c + math.e
-            ratio = c / max(1, lc) * t / max(1, links[i])
-            density[i] = c / t * math.log(max(ratio, 1.0)) / math.log(math.log(inner) + 1e-9) if math.log(inner) > 1.0001 else c / t * math.log(max(ratio, 1.0) + 1)
-            density[i] = max(0.0, density[i])
+    density = [0.0 if tree.drop[i] else composite(chars[i], tags[i], linked[i], links[i], base) for i in range(n)]
+    total = [0.0 if tree.drop[i] or inline[i] else composite(*loose[i], base) for i in range(n)]
     for i in range(1, n):
-        total[tree.parent[i]] += density[i]
+        if not inline[i]:
+            total[tree.parent[i]] += density[i]
     return density, total, chars
 
 
 def _path(tree: _Tree, density: list[float], total: list[float], chars: list[int]) -> list[int]:
     """The node that holds the article, and those above it."""
-    n = len(tree.name)
-    live = [i for i in range(n) if not tree.drop[i]]
-    # Where elements name themselves the article and have a good part of the text, it is one of them.
-    named = [False] * n
-    for i in live:
-        named[i] = tree.name[i] in ("article", "main") and 4 * chars[i] >= chars[0] or i > 0 and named[tree.parent[i]]
-    live = [i for i in live if named[i]] or live
+    live = [i for i in range(len(tree.name)) if not tree.drop[i]]
     best = max(live, key=lambda i: (total[i], -i))
     if total[best] <= 0:
         best = 0
@@ -258,17 +274,12 @@ def content(tree: _Tree) -> list[bool]:
     density, total, chars = densities(tree)
     path = _path(tree, density, total, chars)
     best = path[0]
-    # An element that names itself the article holds it whole.
-    outer = [i for i in path if tree.name[i] in ("article", "main")]
-    root = outer[-1] if outer else best
+    threshold, above, on = _least(tree, density, path), set(path[1:]), set(path)
     own = [False] * n
-    own[root] = True
-    if not outer:
-        threshold, above, on = _least(tree, density, path), set(path[1:]), set(path)
-        for i in range(1, n):
-            beside = tree.name[i] in BLOCK and i not in on or tree.name[i] in ("div", "section", "p", "h1", "h2", "blockquote", "td")
-            if tree.parent[i] in above and beside and density[i] >= threshold > 0:
-                own[i] = True
+    own[best] = True
+    for i in range(1, n):
+        if tree.parent[i] in above and i not in on and tree.name[i] in BLOCK and density[i] >= threshold > 0:
+            own[i] = True
     for i in range(1, n):
         own[i] = (own[i] or own[tree.parent[i]]) and not tree.drop[i]
     return own

@@ -82,12 +82,44 @@ def test_page():
 
 @pytest.mark.parametrize(
     ("page", "text"),
-    [("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\nb"), ("a < b & c", "a < b & c"), ("<!-- x --><div>y</div><!-- z", "y"), ("<article><p>in</p></article><p>out</p>", "in"), ("<b>x</b>y<br>z", "xy z"), ("<div>1<div>2</div>3</div>", "1\n2\n3"), ("<main><h1>T</h1><nav>n</nav>t</main>", "T\nt")],
+    [("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\nb"), ("a < b & c", "a < b & c"), ("<!-- x --><div>y</div><!-- z", "y"), ("<article><p>in</p></article><p>out</p>", "in\nout"), ("<b>x</b>y<br>z", "xy z"), ("<div>1<div>2</div>3</div>", "1\n2\n3"), ("<main><h1>T</h1><nav>n</nav>t</main>", "T\nt")],
 )
 def test_small_pages(page, text):
     assert html_density.extract(page) == text
 
 
+def test_densities_by_hand():
+    """body(div(p "abcd", p(a "ef")), p "ghijkl"): characters, tags and sums of a tree small enough to count."""
+    tree = html_density.parse("<body><div><p>abcd</p><p><a>ef</a></p></div><p>ghijkl</p></body>")
+    assert tree.name == ["#page", "body", "div", "p", "p", "a", "p"]
+    density, total, chars = html_density.densities(tree)
+    assert chars == [12, 12, 6, 4, 2, 2, 6]
+    base = 2 / 12
+    want = {i: html_density.composite(*x, base) for i, x in {1: (12, 5, 2, 1), 2: (6, 3, 2, 1), 3: (4, 0, 0, 0), 4: (2, 1, 2, 1), 6: (6, 0, 0, 0)}.items()}
+    assert all(density[i] == pytest.approx(d) for i, d in want.items())
+    assert total[1] == pytest.approx(density[2] + density[6]) and total[2] == pytest.approx(density[3] + density[4])
+    assert total[3] == pytest.approx(density[3]) and total[4] == pytest.approx(density[4]) and total[5] == 0
+    assert html_density.composite(100, 5, 90, 5, base) < html_density.composite(100, 5, 10, 5, base) < html_density.composite(100, 2, 10, 2, base)
+
+
+def test_densities_choose(spark, monkeypatch):
+    """The article doesn't have to say that it is one, and without its densities it isn't found."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    texts = [html_density.extract(p) for p in pages]
+    plain = [html_density.extract(re.sub(r"(</?)(?:article|main)\b", r"\1div", p)) for p in pages]
+    assert sum(a == b for a, b in zip(texts, plain, strict=True)) >= 0.99 * len(pages)
+    rng, true = random.Random(1), html_density.densities
+    monkeypatch.setattr(html_density, "densities", lambda tree: ([rng.random() for _ in tree.name], [rng.random() for _ in tree.name], true(tree)[2]))
+    assert sum(html_density.extract(p) != t for p, t in zip(pages, texts, strict=True)) > len(pages) / 2
+
+
+def test_pages_with_other_columns(spark):
+    """Clashing columns neither matter nor come back; a table without pages has no texts."""
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>", "t", 5, "h"), (1, "u", "<p>x</p>", "t", 5, "h"), (None, None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars long, h string")
+    assert sorted(map(str, html_density.extract_pages(pages).collect())) == sorted(["Row(page_id=1, url='u', text='x', n_chars=1)"] * 2 + ["Row(page_id=None, url=None, text='', n_chars=0)"])
+    assert html_density.extract_pages(pages.limit(0)).columns == ["page_id", "url", "text", "n_chars"] and html_density.extract_pages(pages.limit(0)).count() == 0
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='x'>", "</div>", "<a href=", '"', "'", ">", "<", "&", "&amp;", "<script>", "</script>", "<!--", "-->", "text", " ", "<li>", "<td>", "</table>", "<br/>", "<body>", "<![CDATA["]), max_size=60).map("".join))
 def test_any_page(page):
