@@ -209,13 +209,18 @@ def _count(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(codes), return_counts=True) if codes else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
-def training_sample(docs: DataFrame, held_out: Column, per_language: int = 400, most_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[bytes]]:
-    """A bounded sample: ``per_language`` texts of each language with the least hashes, of a longer one its
-    first ``most_chars`` characters. Languages are taken to be few: a row of each is broadcast."""
+def training_sample(
+    docs: DataFrame, held_out: Column, per_language: int = 400, most_languages: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> dict[str, list[bytes]]:
+    """A bounded sample: ``per_language`` whole texts of each language with the least hashes.
+
+    A column that isn't clean may have a language a row. The ``most_languages`` with the most texts are learned, ties
+    by name, so what is broadcast and fetched is bounded whatever the input; others are never predicted.
+    """
     usable = docs.where(~held_out & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     sizes = usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("size"))
-    text = F.substring(text_col, 1, most_chars)
-    rows = usable.select(F.col(lang_col).alias("lang"), text.alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    sizes = sizes.orderBy(F.desc("size"), "lang").limit(most_languages)
+    rows = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
     out: dict[str, list[bytes]] = {}
     for lang, text in least_hashed(rows, "lang", "h", per_language, sizes).select("lang", "text").toLocalIterator():
         out.setdefault(lang, []).append(text.encode())

@@ -37,6 +37,14 @@ BITRATES = {
     (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+#: Fixed values of the format: of layer II, (subbands, bits of an allocation) in turn, by allocation table.
+ALLOCATIONS = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "low": ((4, 4), (7, 3), (19, 2)),
+}
 
 
 @dataclass(frozen=True, slots=True)
@@ -105,6 +113,64 @@ def crc16(covered: bytes) -> int:
     return c
 
 
+def crc16_bits(data: bytes, bits: int, start: int) -> int:
+    """The checksum of the first ``bits`` bits of ``data``, going on from ``start``."""
+    c = start
+    for k in range(bits):
+        top = c >> 15 ^ data[k >> 3] >> (7 - (k & 7)) & 1
+        c = (c << 1 ^ 0x8005 if top else c << 1) & 0xFFFF
+    return c
+
+
+def _shared_from(word: bytes, subbands: int) -> tuple[int, int]:
+    """(channels, the first subband whose allocation is shared by both) of layers I and II."""
+    mode, extension = word[3] >> 6, word[3] >> 4 & 3
+    if mode == 3:
+        return 1, subbands
+    return 2, min(subbands, 4 * (extension + 1)) if mode == 1 else subbands
+
+
+def _widths(h: Header, channels: int) -> list[int]:
+    """Bits of the allocation of each subband of a layer II frame."""
+    each, name = h.kbits // channels, "low"
+    if h.version == 3:
+        if h.rate == 48000 and each >= 56 or 56 <= each <= 80:
+            name = "a"
+        elif each >= 96:
+            name = "b"
+        else:
+            name = "d" if h.rate == 32000 else "c"
+    return [bits for n, bits in ALLOCATIONS[name] for _ in range(n)]
+
+
+def checksum(frame: bytes, h: Header) -> int | None:
+    """What the checksum of this frame has to be; None if the frame is too short for what it covers.
+
+    It covers half of the header and, after the checksum itself, the side information (layer III), the
+    allocations (layer I), or the allocations and the choices of scale factors (layer II).
+    """
+    start = crc16(frame[2:4])
+    body = frame[6:]
+    if h.layer == 3:
+        bits = 8 * h.side
+    elif h.layer == 1:
+        channels, shared = _shared_from(frame, 32)
+        bits = 4 * (channels * shared + 32 - shared)
+    else:
+        channels = _shared_from(frame, 32)[0]
+        widths = _widths(h, channels)
+        _, shared = _shared_from(frame, len(widths))
+        value, at, used = int.from_bytes(body[:64], "big"), 0, 0
+        for k, width in enumerate(widths):
+            copies = channels if k < shared else 1
+            for _ in range(copies):
+                found = value >> (8 * len(body[:64]) - at - width) & (1 << width) - 1 if 8 * len(body[:64]) >= at + width else 0
+                used += (found > 0) * (1 if k < shared else channels)
+                at += width
+        bits = at + 2 * used
+    return crc16_bits(body, bits, start) if 8 * len(body) >= bits else None
+
+
 #: MPEG-2, layer III, checksum, 144 kbit/s, 16 kHz, mono.
 _WORD = bytes([0xFF, 0xF2, 0xD8, 0xC0])
 _HEAD = header(_WORD)
@@ -136,7 +202,9 @@ def encode(data: bytes) -> bytes:
 @dataclass
 class Stream:
     """What ``parse`` finds. ``offsets`` are the frames' byte positions, for seeking: frame k starts
-    at sample k * samples a frame. The frame with the table carries no sound and is not among them."""
+    at sample k * samples a frame. The frame with the table carries no sound and is not among them; what it says of
+    the encoder's delay and padding is no sound either and not in the duration. ``wrong`` counts checksums of any
+    layer that don't fit. ``agrees``: the table's frames, bytes and seek points are those found, within a frame."""
 
     offsets: list[int] = field(default_factory=list)
     samples: int = 0
@@ -146,31 +214,49 @@ class Stream:
     checked: int = 0
     wrong: int = 0
     skipped: int = 0
+    agrees: bool = False
     payload: bytes = b""
 
     @property
     def duration(self) -> Fraction:
-        return Fraction(self.samples, self.rate) if self.rate else Fraction(0)
+        silent = int(self.table.get("delay", 0)) + int(self.table.get("padding", 0))
+        return Fraction(max(0, self.samples - silent), self.rate) if self.rate else Fraction(0)
+
+
+_ENCODINGS = {0: "latin-1", 1: "utf-16", 2: "utf-16-be"}
 
 
 def _id3(data: bytes, tags: dict[str, str]) -> int:
-    """Read an ID3v2 tag at the start; the bytes it takes."""
+    """Read an ID3v2 tag (2.2 to 2.4) at the start; the bytes it takes, with its footer."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
-    size = sum((b & 127) << s for b, s in zip(data[6:10], (21, 14, 7, 0), strict=True))
-    at, end = 10, min(len(data), 10 + size)
-    while at + 10 <= end and data[at : at + 4].strip(b"\0"):
-        raw = data[at + 4 : at + 8]
-        n = sum((b & 127) << s for b, s in zip(raw, (21, 14, 7, 0), strict=True)) if data[3] == 4 else int.from_bytes(raw, "big")
-        value = data[at + 10 : min(end, at + 10 + n)]
-        key = data[at : at + 4].decode("latin-1")
-        if key == "TXXX" and value:
-            name, _, text = value[1:].partition(b"\0")
-            key, value = f"TXXX:{name.decode('utf-8', 'replace')}", b"\x03" + text
-        if value and key[0] == "T":
-            tags[key] = value[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(value[0], "utf-8"), "replace").rstrip("\0")
-        at += 10 + n
-    return end
+    safe = lambda raw: sum((b & 127) << 7 * k for k, b in enumerate(reversed(raw)))
+    version, flags = data[3], data[5]
+    size = safe(data[6:10])
+    total = min(len(data), 10 + size + (10 if version == 4 and flags & 16 else 0))
+    body = data[10 : min(len(data), 10 + size)]
+    if flags & 128 and version < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    at = 0
+    if flags & 64 and version > 2 and len(body) >= 4:  # an extended header; its size counts itself in 2.4
+        at = safe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    name, front = (3, 6) if version == 2 else (4, 10)
+    while at + front <= len(body) and body[at : at + name].strip(b"\0"):
+        raw = body[at + name : at + 2 * name]
+        n = safe(raw) if version == 4 else int.from_bytes(raw, "big")
+        value = body[at + front : at + front + n]
+        if version == 4 and body[at + 9] & 2:
+            value = value.replace(b"\xff\x00", b"\xff")
+        key = body[at : at + name].decode("latin-1")
+        at += front + n
+        if not value or key[0] != "T":
+            continue
+        text = value[1:].decode(_ENCODINGS.get(value[0], "utf-8"), "replace")
+        if key in ("TXXX", "TXX"):
+            said, _, text = text.partition("\0")
+            key = f"TXXX:{said}"
+        tags[key] = text.lstrip("\ufeff").rstrip("\0")
+    return total
 
 
 def _table(frame: bytes, h: Header) -> dict[str, object]:
@@ -183,13 +269,34 @@ def _table(frame: bytes, h: Header) -> dict[str, object]:
                     out[name], at = int.from_bytes(frame[at : at + 4], "big"), at + 4
             if flags & 4:
                 out["toc"], at = list(frame[at : at + 100]), at + 100
+            at += 4 if flags & 8 else 0
+            if frame[at : at + 4] in (b"LAME", b"Lavf", b"Lavc") and len(frame) >= at + 24:
+                both = int.from_bytes(frame[at + 21 : at + 24], "big")
+                out |= {"delay": both >> 12, "padding": both & 4095}
             return out | {"kind": "Xing"}
-    if frame[36:40] == b"VBRI":
-        size, count = struct.unpack(">II", frame[46:54])
-        return {"kind": "VBRI", "bytes": size, "frames": count}
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        delay, _, size, count, entries, scale, width, each = struct.unpack(">HHIIHHHH", frame[42:62])
+        steps = [scale * int.from_bytes(frame[62 + k * width : 62 + (k + 1) * width], "big") for k in range(entries)]
+        return {"kind": "VBRI", "bytes": size, "frames": count, "delay": delay, "steps": steps, "frames_per_step": each}
     return {}
 
 
+def _agrees(s: Stream, start: int, end: int, longest: int) -> bool:
+    """Whether the table says what was found between its own frame at ``start`` and ``end``."""
+    table, n = s.table, len(s.offsets)
+    if not n or table.get("frames", n) != n or abs(table.get("bytes", end - start) - (end - start)) > longest:
+        return False
+    if "steps" in table:
+        at, sums = s.offsets[0], []
+        for step in table["steps"]:
+            at += step
+            sums.append(at)
+        ends = [*s.offsets, end]
+        return all(abs(x - ends[min(n, (k + 1) * table["frames_per_step"])]) <= longest for k, x in enumerate(sums))
+    unit = (end - start) / 256
+    return all(abs(start + x * unit - s.offsets[k * n // 100]) <= longest + unit for k, x in enumerate(table.get("toc", ())))
+
+
 def parse(data: bytes) -> Stream:
     """Parse any bytes; those that belong to no frame and no tag are counted in ``skipped``."""
     out = Stream()
@@ -198,7 +305,7 @@ def parse(data: bytes) -> Stream:
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         out.tags["ID3v1"] = data[end + 3 : end + 33].split(b"\0")[0].decode("latin-1").strip()
-    parts, kind, first, synced = [], None, True, False
+    parts, kind, first, synced, start, longest = [], None, True, False, at, 0
     while at < end:
         h = header(data[at : at + 4])
         ok = h is not None and at + h.size <= end and kind in (None, (h.version, h.layer, h.rate))
@@ -216,12 +323,15 @@ def parse(data: bytes) -> Stream:
         front = 4
         if h.checked:
             front = 6
+            out.checked += 1
             if h.layer == 3:
-                out.checked += 1
-                covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
-                out.wrong += crc16(covered) != int.from_bytes(data[at + 4 : at + 6], "big")
+                right = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side])
+            else:
+                right = checksum(data[at : at + h.size], h)
+            out.wrong += right != int.from_bytes(data[at + 4 : at + 6], "big")
+        longest = max(longest, h.size)
         if first and (found := _table(data[at : at + h.size], h)):
-            out.table = found
+            out.table, start = found, at
         else:
             out.offsets.append(at)
             out.samples += h.samples
@@ -229,6 +339,7 @@ def parse(data: bytes) -> Stream:
         first, synced = False, True
         at += h.size
     out.payload = b"".join(parts)
+    out.agrees = bool(out.table) and _agrees(out, start, end, longest)
     return out
 
 
@@ -239,10 +350,9 @@ def features(s: Stream) -> str:
     mean, power = int(x.sum()), int((x * x).sum())
     cross = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
     seek = ",".join(str(s.offsets[k * len(s.offsets) // 4]) for k in range(4)) if s.offsets else ""
-    agree = int(s.table.get("frames") == len(s.offsets))
     return (
         f"frames={len(s.offsets)};samples={s.samples};rate={s.rate};duration={s.duration};checked={s.checked};wrong={s.wrong};"
-        f"skipped={s.skipped};table={agree};mean={mean / n:.6f};power={power / n:.6f};crossings={cross};seek={seek}"
+        f"skipped={s.skipped};table={int(s.agrees)};mean={mean / n:.6f};power={power / n:.6f};crossings={cross};seek={seek}"
     )
 
 
@@ -295,12 +405,14 @@ def media_digest(docs: DataFrame) -> DataFrame:
             media = encode(text)
             s = parse(media)
             rows.append(
-                (int(s.tags["TXXX:n_bytes"]), len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(s), float(s.duration))
+                (int(s.tags["TXXX:n_bytes"]), len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(s), float(s.duration), s.offsets, list(s.tags.items()))
             )
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
+        kinds += [pa.list_(pa.int64()), pa.map_(pa.string(), pa.string())]
         columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
 
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s"]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s", "offsets", "tags"]
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_s double"
+    schema += ", offsets array<long>, tags map<string,string>"
     return map_arrow(docs.select(F.col("doc_id").cast("long"), text_or_empty("text").cast("binary").alias("t")), each, schema)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -33,8 +33,8 @@ _CLASS[9:14] = 32
 
 @dataclass(frozen=True)
 class Ftrl:
-    """``bits``: of a feature's hash. ``per_class``: labelled rows of each class to learn from at most,
-    those with the least hashes of their ids. ``most_chars``: what is read of each of them."""
+    """``bits``: of a feature's hash. ``per_class``: whole labelled texts of each class to learn from at most,
+    those with the least hashes of their ids and texts."""
 
     bits: int = 20
     alpha: float = 0.5
@@ -43,7 +43,6 @@ class Ftrl:
     l2: float = 0.5
     epochs: int = 3
     per_class: int = 3000
-    most_chars: int = 20_000
 
 
 def _shapes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,15 +105,17 @@ def learn(examples: list[tuple[np.ndarray, np.ndarray, int]], how: Ftrl) -> np.n
 def train(docs: DataFrame, labels: DataFrame, usable: Column, how: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """Weights learned from the rows of ``labels`` that are ``usable`` and labelled 0 or 1.
 
-    The sample is drawn by the hash of the id and bounded by ``per_class``, so it may be broadcast. Repeated
-    labels and documents count as they come.
+    The sample is drawn by hash, first of the ids and then, as ids and labels may repeat, of the rows that they
+    find, so it is bounded by ``per_class`` whatever the input. Repeated labels and documents count as they come.
     """
     wanted = labels.where(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     wanted = wanted.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col)).alias("h"))
     sizes = wanted.groupBy("label").agg(F.count("*").alias("size"))  # two rows
     wanted = least_hashed(wanted, "label", "h", how.per_class, sizes).select("id", "label", "h")
-    text = F.substring(text_or_empty(text_col), 1, how.most_chars)
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(wanted), "id").select("h", "id", "label", "text")
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = rows.join(F.broadcast(wanted), "id").select("h", "id", "label", "text", F.xxhash64("id", "text").alias("row_h"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("row_h"))
+    rows = rows.withColumn("rank", rank).where(F.col("rank") <= how.per_class).drop("rank", "row_h")
     rows = rows.repartition(1).sortWithinPartitions("h", "id", "label", "text")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@ unbroken run of token characters in a sensitive context, is measured by its nove
 adds to a zstandard frame primed with the text around it and a dictionary of code and identifier words.
 What the surroundings or the dictionary explain adds next to nothing; a key or a password that the
 rest of the text doesn't contain costs nearly its own length. Candidates that stay incompressible
-are reported as kind ``novel``.
+are reported as kind ``novel``. A long word of prose that occurs once is incompressible too, so a candidate also has to
+mix its characters as no word does.
 """
 
 from __future__ import annotations
@@ -47,6 +48,9 @@ IDENTIFIERS = (
 )
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~!@#$%^&*-]{12,}", re.ASCII)
 _RUN = re.compile(_CANDIDATE.pattern.replace("{12,}", "*"), re.ASCII)
+_PARTS = re.compile("[A-Z]+(?![a-z])|[A-Z]?[a-z]+", re.ASCII)
+_ONE_SOUND = re.compile("sch|[cpst]h|ck", re.IGNORECASE)
+_CONSONANTS = re.compile("[bcdfghjklmnpqrstvwxz]{6}", re.IGNORECASE | re.ASCII)
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.ASCII | re.IGNORECASE)
 
 
@@ -91,10 +95,22 @@ def _pieces(a: int, b: int, longest: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
+def _irregular(body: str) -> bool:
+    """Whether the characters are mixed as in no word: letters with digits; letters alone whose parts, as camel case
+    has them within a word, have fewer than four letters on average, or six consonants in a row, those written for one sound as one."""
+    parts = _PARTS.findall(body)
+    if not parts:
+        return False
+    if re.search("[0-9]", body):
+        return True
+    inner = sum(m.start() > 0 and body[m.start() - 1].isalpha() for m in _PARTS.finditer(body))
+    return 4 * (inner + 1) > sum(map(len, parts)) or any(_CONSONANTS.search(_ONE_SOUND.sub("c", x)) for x in parts)
+
+
 def _is_novel(text: str, a: int, b: int, end: int, how: Novelty) -> bool:
-    """Whether the piece, of a run up to ``end``, has a digit and a letter and is incompressible."""
+    """Whether the piece, of a run up to ``end``, is mixed as in no word and incompressible."""
     body = text[a:b]
-    if not (re.search("[0-9]", body) and re.search("[A-Za-z]", body)):
+    if not _irregular(body):
         return False
     return marginal_bytes(body, text[max(0, a - how.around) : a], text[end : end + how.around]) >= how.ratio * len(body)
 

@@ -214,3 +214,56 @@ def test_repeated_rows_are_rounded_apart(spark):
     by = {r["source"]: r for r in got}
     assert by["a"]["count(1)"] == 6000 and abs(3 * by["a"]["sum(copies)"] - by["a"]["target"]) <= 3
     assert by["b"]["count(1)"] == 2000 and abs(4 * by["b"]["sum(copies)"] - by["b"]["target"]) <= 4
+
+
+def test_ftrl_by_its_definition():
+    """Coordinate by coordinate, in plain Python."""
+    rng = np.random.default_rng(4)
+    how = quality_ftrl.Ftrl(bits=6, epochs=2)
+    examples = [(rng.choice(64, 4, replace=False), rng.random(4), int(rng.integers(2))) for _ in range(60)]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= how.l1:
+            return 0.0
+        return (math.copysign(how.l1, z[i]) - z[i]) / ((how.beta + math.sqrt(n[i])) / how.alpha + how.l2)
+
+    for _ in range(how.epochs):
+        for keys, values, label in examples:
+            x = {**dict(zip(keys.tolist(), values.tolist(), strict=True)), 64: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / how.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    assert quality_ftrl.learn(examples, how) == pytest.approx(np.array([weight(i) for i in range(65)]), abs=1e-12)
+
+
+def test_score_is_a_sparse_dot_product(spark):
+    texts = ["The cat sat, and the cat ran!", "", None, "x1 y2 " * 40, "Ein Satz mit   Wörtern"]
+    rng = np.random.default_rng(2)
+    how = quality_ftrl.Ftrl(bits=10)
+    weights = rng.normal(size=(1 << 10) + 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality_ftrl.score(df, weights, how).collect()}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        _, key, value = quality_ftrl.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 10)
+        held = defaultdict(float)
+        for k, v in zip(key.tolist(), value.tolist(), strict=True):
+            held[k] += v
+        total = weights[-1] + sum(weights[k] * v for k, v in held.items())
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-4)
+
+
+def test_fits_stay_bounded(spark):
+    """One id that stands in thousands of rows and labels, and a language a row."""
+    docs = spark.createDataFrame([(7, f"good text {k}", f"l{k}") for k in range(400)] + [(k, f"bad {k}", "xx") for k in range(100, 400)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(7, 1)] * 20 + [(k, 0) for k in range(100, 400)], "doc_id long, quality int")
+    weights = quality_ftrl.train(docs, labels, labels["doc_id"].isNotNull(), quality_ftrl.Ftrl(bits=10, per_class=50))
+    assert np.count_nonzero(weights)
+    nobody = docs["doc_id"].isNull()
+    sample = langid_ppm.training_sample(docs, nobody, per_language=20, most_languages=5)
+    assert len(sample) == 5 and len(sample["xx"]) == 20 and sorted(sample)[:-1] == ["l0", "l1", "l10", "l100"]

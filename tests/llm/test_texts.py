@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import struct
 import zlib
 from fractions import Fraction
 
@@ -53,6 +54,75 @@ def test_media_headers(word, size, samples):
     assert s.offsets == [k * size for k in range(5)] and s.samples == 5 * samples
 
 
+def plain_crc(bits):
+    c = 0xFFFF
+    for b in bits:
+        top = c >> 15 ^ b
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return c
+
+
+def bits_of(data):
+    return [x >> k & 1 for x in data for k in range(7, -1, -1)]
+
+
+@pytest.mark.parametrize(
+    ("word", "bits"),
+    [
+        (b"\xff\xfe\x14\xc0", lambda b: 32 * 4),  # layer I, mono
+        (b"\xff\xfe\x44\x00", lambda b: 64 * 4),  # layer I, stereo
+        (b"\xff\xfe\x44\x50", lambda b: (2 * 8 + 24) * 4),  # layer I, shared from subband 8
+        (b"\xff\xfc\x44\xc0", lambda b: 11 * 4 + 12 * 3 + 4 * 2 + 2 * 27),  # layer II, 64 kbit/s mono, every allocation 1 or more
+        (b"\xff\xf4\x84\xc0", lambda b: 4 * 4 + 7 * 3 + 19 * 2 + 2 * 30),  # layer II, low rates
+    ],
+)
+def test_checksums_of_layers_one_and_two(word, bits):
+    h = mpeg_media.header(word)
+    body = b"\xff" * (h.size - 6)
+    crc = plain_crc(bits_of(word[2:4]) + bits_of(body)[: bits(body)])
+    good = word + crc.to_bytes(2, "big") + body
+    s = mpeg_media.parse(good * 4)
+    assert (s.checked, s.wrong) == (4, 0)
+    s = mpeg_media.parse((word + b"\0\0" + body) * 4)
+    assert (s.checked, s.wrong) == (4, 4)
+
+
+def test_tag_forms():
+    media = mpeg_media.encode(b"x" * 2000)
+    clean = mpeg_media.parse(media)
+    sound = media[clean.offsets[0] - mpeg_media._HEAD.size :]
+    safe = mpeg_media._syncsafe
+    v22 = b"ID3\x02\0\0" + safe(6 + 4) + b"TT2" + (4).to_bytes(3, "big") + b"\0abc"
+    v23 = b"ID3\x03\0\x40" + safe(10 + 10 + 4) + (6).to_bytes(4, "big") + b"\0" * 6 + b"TIT2" + (4).to_bytes(4, "big") + b"\0\0" + b"\0abc"
+    unsync = b"ID3\x03\0\x80" + safe(10 + 5) + b"TIT2" + (4).to_bytes(4, "big") + b"\0\0" + b"\0\xff\0bc"
+    foot = b"ID3\x04\0\x10" + safe(14) + b"TIT2" + safe(4) + b"\0\0" + b"\0abc" + b"3DI\x04\0\x10" + safe(14)
+    for tag, key, text in ((v22, "TT2", "abc"), (v23, "TIT2", "abc"), (unsync, "TIT2", "\xffbc"), (foot, "TIT2", "abc")):
+        s = mpeg_media.parse(tag + sound)
+        assert s.tags == {key: text} and s.skipped == 0 and len(s.offsets) == len(clean.offsets)
+
+
+def test_tables_are_checked():
+    media = mpeg_media.encode(bytes(range(256)) * 40)
+    s = mpeg_media.parse(media)
+    assert s.agrees
+    at = media.index(b"Xing")
+    wrong = bytearray(media)
+    wrong[at + 16 + 50] = 3
+    assert not mpeg_media.parse(bytes(wrong)).agrees
+    wrong = bytearray(media)
+    wrong[at + 11] += 1
+    assert not mpeg_media.parse(bytes(wrong)).agrees
+    word = b"\xff\xfb\x90\xc0"
+    size = mpeg_media.header(word).size
+    frame = word + b"\0" * (size - 4)
+    vbri = word + b"\0" * 32 + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, 9 * size, 8, 4, 1, 2, 2) + struct.pack(">4H", *[2 * size] * 4)
+    s = mpeg_media.parse(vbri.ljust(size, b"\0") + frame * 8)
+    assert s.table["kind"] == "VBRI" and s.agrees and len(s.offsets) == 8
+    lame = word + b"\0" * 17 + b"Xing" + struct.pack(">II", 1, 8) + b"LAME3.100" + b"\0" * 12 + (576 << 12 | 1000).to_bytes(3, "big")
+    s = mpeg_media.parse(lame.ljust(size, b"\0") + frame * 8)
+    assert s.duration == Fraction(8 * 1152 - 1576, 44100)
+
+
 def test_media_digest(docs, rows, empty):
     got = {(r["doc_id"], r["n_bytes"]): r for r in mpeg_media.media_digest(docs).collect()}
     for i, t, *_ in rows:
