@@ -1,18 +1,22 @@
 """Benchmark decontamination with SimHash of item-sized windows, in DataFrame operations alone.
 
 Words are lower-cased runs of letters and digits. A window of a document for an item has as many words as the item, or
-what of them the document has at its ends. Every window is considered that holds enough shingles of the item, in
-whatever order, to reach the similarity: with c of its w shingles among the item's v, it is c / (w + v - c) at most. Then
-
-1. the SimHash of the window's shingles, weighted by how often they occur, is looked up in an index of the
-   items of the same size. The index splits fingerprints into blocks; of two fingerprints within the
+what of them the document has at its ends.
+
+1. *Windows.* All windows of all documents for all sizes of items would be many times the corpus, so those are
+   considered that hold enough shingles of the item, in whatever order, to reach the similarity: with c of its w shingles
+   among the item's v, it is c / (w + v - c) at most. A document meets an item through the item's rarest
+   shingles alone, so many that no window without one of them can reach the similarity; shingles that many items
+   share multiply nothing. No other window can reach it.
+2. *Index.* The 128-bit SimHash of a window's shingles, weighted by how often they occur, is looked up in an index of
+   the items of the same size. The index splits fingerprints into blocks; of two fingerprints within the
    radius, some block differs in radius div blocks bits at most, so with every item in the index under every block
-   value that near, no fingerprint within the radius is missed;
-2. the weighted Jaccard similarity of the shingles, sum of the lesser weights over sum of the greater, is
-   computed exactly for every pair within the radius.
+   value that near, no fingerprint within the radius is missed. Of unrelated pairs one in twelve meets.
+3. *Verification.* The weighted Jaccard similarity of the shingles, sum of the lesser weights over sum of the greater,
+   is computed exactly for every pair within the radius.
 
-A radius of 23 of 64 bits holds windows of similarity 0.8 with odds of about a million to one; the mean
-distance there is 10.
+At a similarity of just 0.8 fingerprints differ in 19 bits on average, 4 being the standard deviation, so a radius of
+31 misses such a window with odds of 1 in 600, and one of 0.85 with less than 1 in 100,000.
 """
 
 from __future__ import annotations
@@ -21,9 +25,13 @@ from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, keyed, materialise
+from tessera.llm.common import NULL_ID, discard, keyed, materialise
+
+#: Bits of a fingerprint, in longs.
+LONGS = 2
 
 
 @dataclass(frozen=True)
@@ -33,13 +41,13 @@ class Leaks:
 
     words: int = 5
     similarity: float = 0.8
-    radius: int = 23
+    radius: int = 31
     blocks: int = 8
     broadcast_rows: int = 1_000_000
 
     @property
     def bits(self) -> int:
-        return 64 // self.blocks
+        return 64 * LONGS // self.blocks
 
     def near(self) -> list[int]:
         """Block values that differ from 0 in radius div blocks bits at most."""
@@ -59,18 +67,31 @@ def _shingles(words: Column, size: Column, how: Leaks) -> Column:
 
 
 def _fingerprint(shingles: Column) -> Column:
-    """The SimHash of strings; a string that occurs twice weighs twice."""
-    hashes = F.transform(shingles, lambda s: F.xxhash64(s))
+    """The SimHash of strings, as an array of longs; a string that occurs twice weighs twice. A drawn vote goes
+    by the greatest hash, as zeros for all would make unrelated fingerprints alike."""
+
+    def long(k: int) -> Column:
+        hashes = F.transform(shingles, lambda s: F.xxhash64(F.lit(k), s))
+
+        def bit(acc: Column, b: Column) -> Column:
+            votes = F.aggregate(hashes, F.lit(0), lambda n, h: n + F.when(F.getbit(h, b) == 1, 1).otherwise(-1))
+            one = (votes > 0) | (votes == 0) & (F.getbit(F.array_max(hashes), b) == 1)
+            return acc.bitwiseOR(F.when(one, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
 
-    def bit(acc: Column, b: Column) -> Column:
-        votes = F.aggregate(hashes, F.lit(0), lambda n, h: n + F.when(F.getbit(h, b) == 1, 1).otherwise(-1))
-        return acc.bitwiseOR(F.when(votes > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
+    return F.array(*[long(k) for k in range(LONGS)])
 
 
 def _block(fingerprint: Column, block: Column, how: Leaks) -> Column:
-    return F.call_function("shiftrightunsigned", fingerprint, block * how.bits).bitwiseAND(F.lit((1 << how.bits) - 1)).cast("int")
+    """The value of a block; blocks don't cross longs."""
+    each = how.blocks // LONGS
+    long = F.get(fingerprint, (block / each).cast("int"))
+    return F.call_function("shiftrightunsigned", long, (block % each) * how.bits).bitwiseAND(F.lit((1 << how.bits) - 1)).cast("int")
+
+
+def _distance(a: Column, b: Column) -> Column:
+    return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(1, LONGS)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
 def _items(benchmark: DataFrame, how: Leaks) -> tuple[DataFrame, DataFrame]:
@@ -83,25 +104,57 @@ def _items(benchmark: DataFrame, how: Leaks) -> tuple[DataFrame, DataFrame]:
     return items.drop("words"), said.join(items.select("item", "words"), "words").select("item_id", "item")
 
 
-def _windows(docs: DataFrame, items: DataFrame, how: Leaks) -> DataFrame:
-    """(kid, kh, item, size, start, aligned, window): the windows with so many of the item's shingles, wherever
-    these stand, that they can reach the similarity. aligned: one of them stands at its place in the item."""
+def _item_grams(items: DataFrame, how: Leaks) -> DataFrame:
+    """(item, size, width, place, h, first): the hashed shingles of each item; first: among its rarest, so many that what
+    is left doesn't reach the similarity."""
+    width = F.least("size", F.lit(how.words))
+    grams = items.select("item", "size", width.alias("width"), F.posexplode("shingles").alias("place", "shingle"))
+    hashed = [(F.col("width") == k, F.xxhash64(*[F.get(F.split("shingle", " "), F.lit(j)) for j in range(k)])) for k in range(1, how.words + 1)]
+    grams = grams.withColumn("h", F.coalesce(*[F.when(*x) for x in hashed])).drop("shingle")
+    often = grams.groupBy("width", "h").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(W.partitionBy("item").orderBy("often", "h", "place"))
+    most = F.col("size") - F.col("width") + 1
+    first = rank <= most - F.ceil(how.similarity * most - 1e-9) + 1
+    return grams.join(often, ["width", "h"]).withColumn("first", first).drop("often")
+
+
+def _grams(docs: DataFrame, width: int) -> DataFrame:
+    """(kid, kh, pos, n, h): the hashed shingles of ``width`` words of each document of n words. Words are hashed where
+    they are exploded: no array is built for a position."""
     said = docs.select("kid", "kh", words_of(F.col("text")).alias("words"))
-    widths = [r[0] for r in items.select(F.least("size", F.lit(how.words)).alias("w")).distinct().collect()]  # 1 to how.words
+    grams = said.select("kid", "kh", "words", F.posexplode("words").alias("pos", "word")).where(F.col("pos") <= F.size("words") - width)
+    h = F.xxhash64("word", *[F.get("words", F.col("pos") + k) for k in range(1, width)])
+    return grams.select("kid", "kh", "pos", F.size("words").alias("n"), h.alias("h"))
+
+
+def _small(df: DataFrame, how: Leaks) -> DataFrame:
+    """``df``, broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= how.broadcast_rows else df
+
+
+def _windows(docs: DataFrame, items: DataFrame, how: Leaks) -> DataFrame | None:
+    """(kid, kh, item, size, start, aligned, window): the windows with so many of the item's shingles, wherever
+    these stand, that they can reach the similarity. aligned: one of them stands at its place in the item. None without
+    items."""
+    own = materialise(_item_grams(items, how), "leaks-grams")
+    widths = [r[0] for r in own.select("width").distinct().collect()]  # 1 to how.words
+    if not widths:
+        discard(own)
+        return None
+    pairs = None
+    for width in sorted(widths):
+        first = own.where((F.col("width") == width) & F.col("first")).select("h", "item").distinct()
+        some = _grams(docs, width).select("kid", "kh", "h").join(_small(first, how), "h").select("kid", "kh", "item")
+        pairs = some if pairs is None else pairs.unionByName(some)
+    pairs = materialise(pairs.distinct(), "leaks-pairs")
     met = None
+    asked = docs.join(_small(pairs.select("kid", "kh").distinct(), how), ["kid", "kh"], "left_semi").dropDuplicates(["kid", "kh"])
+    asked = materialise(asked.select("kid", "kh", "text"), "leaks-asked")
     for width in sorted(widths):
-        # The words of a shingle are hashed where they are exploded: no array is built for a position.
-        grams = said.select("kid", "kh", "words", F.posexplode("words").alias("pos", "word")).where(F.col("pos") <= F.size("words") - width)
-        grams = grams.withColumn("h", F.xxhash64("word", *[F.get("words", F.col("pos") + k) for k in range(1, width)]))
-        own = items.where(F.least("size", F.lit(how.words)) == width).select("item", "size", F.posexplode("shingles").alias("place", "shingle"))
-        parts = F.split("shingle", " ")
-        own = own.withColumn("h", F.xxhash64(*[F.get(parts, F.lit(k)) for k in range(width)])).drop("shingle")
-        small = own.count() <= how.broadcast_rows
-        some = grams.join(F.broadcast(own) if small else own, "h")
-        some = some.select("kid", "kh", "item", "size", "pos", (F.col("pos") - F.col("place")).alias("start"), F.size("words").alias("n"))
+        wanted = pairs.join(own.where(F.col("width") == width).select("item", "size", "place", "h"), "item")
+        some = _grams(asked, width).join(wanted, ["kid", "kh", "h"])
+        some = some.select("kid", "kh", "item", "size", "pos", (F.col("pos") - F.col("place")).alias("start"), "n")
         met = some if met is None else met.unionByName(some)
-    if met is None:
-        return None
     met = met.groupBy("kid", "kh", "item", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.collect_set("start").alias("starts"), F.max("n").alias("n"))
     # A window's first shared shingle is the i-th: it then begins after the one before, and early enough for the
     # shingles it needs at least.
@@ -118,13 +171,26 @@ def _windows(docs: DataFrame, items: DataFrame, how: Leaks) -> DataFrame:
     long = F.least(F.col("start") + F.col("size"), F.col("n")) - F.greatest("start", F.lit(0)) - (F.col("size") - F.col("most"))
     met = met.where(shared >= how.similarity * (long + F.col("most") - shared) - 1e-9)
     met = met.select("kid", "kh", "item", "size", "start", F.array_contains("starts", F.col("start")).alias("aligned"))
-    met = materialise(met, "leaks-starts")
-    few = met.select("kid", "kh").distinct()
-    few = F.broadcast(few) if few.count() <= how.broadcast_rows else few
-    said = docs.join(few, ["kid", "kh"], "left_semi").dropDuplicates(["kid", "kh"]).select("kid", "kh", words_of(F.col("text")).alias("words"))
+    said = asked.select("kid", "kh", words_of(F.col("text")).alias("words"))
     start = F.col("start")
     window = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size") + F.least(start, F.lit(0)))
-    return met.join(said, ["kid", "kh"]).select("kid", "kh", "item", "size", "start", "aligned", F.concat_ws(" ", window).alias("window"))
+    out = met.join(said, ["kid", "kh"]).select("kid", "kh", "item", "size", "start", "aligned", F.concat_ws(" ", window).alias("window"))
+    out = materialise(out, "leaks-windows")
+    discard(own, pairs, asked)
+    return out
+
+
+def index_pairs(texts: DataFrame, items: DataFrame, how: Leaks) -> DataFrame:
+    """(no, wide, fingerprint, size, item, of_item): every meeting of a window's text (no, size, wide shingles) and an
+    item of its size in some block of the index. A pair meets once for each such block."""
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(how.blocks - 1)))
+    near = F.explode(F.array(*[F.lit(v) for v in how.near()]))
+    index = items.select("item", "size", F.col("fingerprint").alias("of_item")).withColumn("block", blocks)
+    value = _block(F.col("of_item"), F.col("block"), how).bitwiseXOR(F.col("away"))
+    index = index.withColumn("away", near).select("item", "size", "of_item", "block", value.alias("value"))
+    asked = texts.select("no", "size", F.size("shingles").alias("wide"), "fingerprint").withColumn("block", blocks)
+    asked = asked.withColumn("value", _block(F.col("fingerprint"), F.col("block"), how))
+    return asked.join(index, ["size", "block", "value"]).drop("block", "value")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, how: Leaks = Leaks(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,19 +206,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Leaks = Leaks(), id_col: s
     windows = _windows(keyed(docs, id_col, text_col), items, how)
     if windows is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, kh long, item_id long, start int, similarity double")
-    windows = materialise(windows, "leaks-windows")
     words = F.split("window", " ")
     # Copies share their windows' texts, which are worked on once and go by number.
     texts = windows.select("window", "size").distinct().withColumn("shingles", _shingles(words, F.size(words), how))
     texts = materialise(texts.withColumn("fingerprint", _fingerprint(F.col("shingles"))).withColumn("no", F.monotonically_increasing_id()), "leaks-texts")
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(how.blocks - 1)))
-    near = F.explode(F.array(*[F.lit(v) for v in how.near()]))
-    index = items.select("item", "size", F.col("fingerprint").alias("of_item"), F.col("shingles").alias("item_shingles")).withColumn("block", blocks)
-    index = index.withColumn("away", near).select("item", "size", "of_item", "block", _block(F.col("of_item"), F.col("block"), how).bitwiseXOR(F.col("away")).alias("value"))
-    asked = texts.select("no", "size", F.size("shingles").alias("wide"), "fingerprint").withColumn("block", blocks)
-    asked = asked.withColumn("value", _block(F.col("fingerprint"), F.col("block"), how))
-    distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item")))
-    pairs = asked.join(index, ["size", "block", "value"]).where(distance <= how.radius).select("no", "wide", "size", "item").distinct()
+    met = items.join(windows.select("item").distinct(), "item", "left_semi")
+    pairs = index_pairs(texts, met, how).where(_distance(F.col("fingerprint"), F.col("of_item")) <= how.radius)
+    pairs = pairs.select("no", "wide", "size", "item").distinct()
     mine = texts.select("no", F.explode("shingles").alias("shingle")).groupBy("no", "shingle").agg(F.count("*").alias("w"))
     theirs = items.select("item", F.explode("shingles").alias("shingle")).groupBy("item", "shingle").agg(F.count("*").alias("v"))
     both = pairs.join(mine, "no").join(theirs, ["item", "shingle"])
@@ -163,7 +223,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Leaks = Leaks(), id_col: s
     hits = windows.join(scored, ["window", "size", "item"]).join(names, "item")
     best = F.max_by("start", F.struct("similarity", "aligned", -F.col("start")))
     hits = hits.groupBy("kid", "kh", "item_id").agg(best.alias("start"), F.max("similarity").alias("similarity"))
-    return hits.select(F.nullif("kid", F.lit(NULL_ID)).alias("doc_id"), "kh", "item_id", "start", "similarity")
+    hits = materialise(hits.select(F.nullif("kid", F.lit(NULL_ID)).alias("doc_id"), "kh", "item_id", "start", "similarity"), "leaks-found")
+    discard(windows, texts)
+    return hits
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, how: Leaks = Leaks()) -> DataFrame:
@@ -176,6 +238,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, how: Leaks = Leaks()) -
 
 
 def leaks_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The columns of the query: a row for each document and item with a window that reaches the similarity."""
     return leaks(docs, benchmark).select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.round("similarity", 6).alias("similarity"))
 
 

@@ -316,15 +316,42 @@ def test_index_misses_no_fingerprint():
     """Any two fingerprints within the radius share a block of the index."""
     rng = random.Random(4)
     how = simhash_decontam.Leaks()
-    near = set(how.near())
+    near, bits = set(how.near()), 64 * simhash_decontam.LONGS
+    assert how.bits * how.blocks == bits
     for _ in range(2000):
-        a = rng.getrandbits(64)
+        a = rng.getrandbits(bits)
         b = a
-        for bit in rng.sample(range(64), rng.randrange(0, how.radius + 1)):
+        for bit in rng.sample(range(bits), rng.randrange(0, how.radius + 1)):
             b ^= 1 << bit
         assert any(((a >> how.bits * k) ^ (b >> how.bits * k)) & ((1 << how.bits) - 1) in near for k in range(how.blocks))
 
 
+def test_index_prunes(spark):
+    """Of unrelated texts and items of one size under a tenth of all pairs meet; changed copies nearly all do."""
+    rng = random.Random(6)
+    how = simhash_decontam.Leaks()
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    said = [text() for _ in range(150)]
+    near = []
+    for w in said:
+        w = list(w)
+        w[rng.randrange(5)] = "changed"
+        near.append(w)
+    rows = [(k, " ".join(w)) for k, w in enumerate([text() for _ in range(150)] + near)]
+    words = simhash_decontam.F.split("text", " ")
+
+    def table(rows, name):
+        df = spark.createDataFrame(rows, f"{name} long, text string").withColumn("size", simhash_decontam.F.size(words))
+        df = df.withColumn("shingles", simhash_decontam._shingles(words, simhash_decontam.F.size(words), how))
+        return df.withColumn("fingerprint", simhash_decontam._fingerprint(simhash_decontam.F.col("shingles")))
+
+    met = simhash_decontam.index_pairs(table(rows, "no"), table([(k, " ".join(w)) for k, w in enumerate(said)], "item"), how)
+    met = [(r["no"], r["item"]) for r in met.collect()]
+    unrelated = [p for p in met if p[0] - 150 != p[1]]
+    assert len(unrelated) < 0.1 * (300 * 150 - 150)
+    assert len({p for p in met if p[0] - 150 == p[1]}) >= 0.97 * 150
+
+
 def test_native_plan(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = simhash_decontam.leaks(d, spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet"))._jdf.queryExecution().executedPlan().toString()
