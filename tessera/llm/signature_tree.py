@@ -10,14 +10,18 @@ reaches a threshold. Equal sets are one node. The join is exact:
    of fitting sizes are counted, and a pair stays if the n-grams it shares, with those that it may share in larger
    buckets, can still reach the overlap that it needs. A larger bucket puts all its nodes in one cluster, a
    row a node. Connected candidates are a cluster.
-3. *Trees.* Each set travels once to its cluster. There the nodes, ordered by size, are the leaves of a
-   tree whose inner nodes hold the OR of their leaves' token bitmaps and the range of their sizes. Pairs of tree
+3. *Trees.* Each set travels once to its cluster. There the nodes, those with like sets side by side, are the leaves of
+   a tree whose inner nodes hold the OR of their leaves' token bitmaps and the range of their sizes. Pairs of tree
    nodes are traversed from the root; a pair is pruned when the overlap that its bitmaps allow is below what its sizes
    need, or when all its leaves are already connected. Leaf pairs that remain are compared exactly.
 4. *Blocks.* A cluster above ``block`` nodes is dealt to blocks, a tree each. Every block also gets the cluster's
    ``hubs``, the nodes with the largest share of common n-grams, such as the originals of copies. That connects a
-   group of copies whatever its size, in rows that are in proportion to it. Only the nodes outside the largest
-   component after that are compared, in blocks, with all of the cluster.
+   group of copies whatever its size, in rows that are in proportion to it.
+5. *Upper levels.* What stays outside a large cluster's largest component may link to any of its nodes. The upper levels
+   of its tree are tables: the cluster is split by ranges of sizes, and each range by parts of its tokens, one part more
+   than two linked sets of such sizes can have tokens that differ, so linked sets agree in a part. Only nodes that agree
+   in a part meet: by their bitmaps alone while few do, and only pairs that these allow fetch their sets. Parts in
+   which many agree are clusters of their own, with a tree for each pair of blocks.
 
 Links are returned as a spanning forest of each component of the link graph.
 """
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from tessera.llm import lexer
-from tessera.llm.common import NULL_ID, groups, keyed, lists, map_arrow, materialise, utf8
+from tessera.llm.common import NULL_ID, discard, groups, keyed, lists, map_arrow, materialise, utf8
 from tessera.llm.components import components
 
 #: Counters of the sketch, a power of two, and the slices it travels in.
@@ -51,8 +55,8 @@ class Join:
     words: int = 4
     percent: int = 85
     small: int = 32
-    block: int = 2048
-    hubs: int = 64
+    block: int = 256
+    hubs: int = 32
 
     def need(self, n: np.ndarray) -> np.ndarray:
         """The least overlap of a set of n with any set it links to."""
@@ -62,6 +66,19 @@ class Join:
         """The least overlap of two sets of n together."""
         return -(-self.percent * n // (100 + self.percent))
 
+    def ranges(self, most: int) -> np.ndarray:
+        """The first sizes of ranges up to ``most`` and three more, each such that a set links to none beyond the next
+        range."""
+        out = [1]
+        while len(out) < 4 or out[-4] <= most:
+            out.append(max(out[-1] + 1, -(-100 * out[-1] // self.percent)))
+        return np.array(out, np.int64)
+
+    def parts(self, low: int, high: int) -> int:
+        """Parts of the tokens for sets of [low, high) and any larger ones they link to: one more than can differ."""
+        both = high - 1 + (high - 1) * 100 // self.percent
+        return both * (100 - self.percent) // (100 + self.percent) + 1
+
 
 def sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
     """Each text's sorted distinct n-gram hashes, A-Z in lower case."""
@@ -158,7 +175,11 @@ class Tree:
     def __init__(self, flat: np.ndarray, at: np.ndarray, how: Join) -> None:
         self.how, self.flat, self.at = how, flat, at
         self.n = np.diff(at)
-        self.order = np.argsort(self.n, kind="stable")
+        self.pruned = [0, 0]  # pairs of leaves, and of inner nodes, that bitmaps and sizes ruled out
+        # Linked sets mostly have the same least token in a random order: they stand side by side.
+        token = flat.astype(np.uint64)
+        least = [np.minimum.reduceat(lexer.mix(token + np.uint64(k)), at[:-1]) for k in (1 << 40, 1 << 41)]
+        self.order = np.lexsort((self.n, least[1], least[0]))
         n = self.n[self.order]
         bits = 1 << max(8, min(16, int(16 * np.median(n)).bit_length()))
         maps = np.zeros((len(n), bits), bool)
@@ -191,6 +212,7 @@ class Tree:
             common = np.bitwise_count(maps[i] & maps[j]).sum(axis=1, dtype=np.int64) + np.minimum(spare[i], spare[j])
             most = np.minimum(common, np.minimum(high[i], high[j]))
             ok[at[k : k + 2048]] = most >= self.how.need_both(low[i] + low[j])
+        self.pruned[level > 0] += int(len(ok) - np.count_nonzero(ok))
         return ok
 
     def roots(self) -> np.ndarray:
@@ -347,16 +369,131 @@ def _links(grams: DataFrame, how: Join) -> DataFrame:
     sizes = parts.groupBy("label", "part").agg(F.count("*").alias("size"))
     main = materialise(sizes.groupBy("label").agg(F.max_by("part", F.struct("size", "part")).alias("main")), "jaccard-main")
     rest = materialise(parts.join(main, "label").where("part <> main").select("label", "node"), "jaccard-rest")
-    counts = rest.groupBy("label").agg(F.ceil(F.count("*") / F.lit(how.block)).cast("int").alias("m"))
-    asked = rest.join(counts, "label")
-    if not asked.limit(1).count():
-        return first
-    sets_of = grams.where("n > 1").select("label", "n", "node", "grams")
-    some = sets_of.join(asked, ["label", "node"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("j", every)
-    whole = sets_of.join(counts, "label").withColumn("j", block).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    out = first
+    if rest.limit(1).count():
+        out = first.unionByName(_upper_links(grams.where("n > 1"), rest, how))
+    return out
+
+
+def signature(s: np.ndarray, bits: int) -> bytes:
+    """The bitmap of a set's tokens."""
+    held = np.zeros(bits, bool)
+    held[(lexer.mix(s) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(held).tobytes()
+
+
+def agreements(s: np.ndarray, how: Join, ranges: np.ndarray) -> np.ndarray:
+    """The keys of a set of sorted hashes: for its range of sizes, and the one below for larger partners, the hash of its
+    tokens in each part. Linked sets have a key in common."""
+    out = []
+    own = int(np.searchsorted(ranges, len(s), "right")) - 1
+    for k in (own, own - 1):
+        if k < 0:
+            continue
+        parts = how.parts(int(ranges[k]), int(ranges[k + 1]))
+        mixed = lexer.mix(s + np.uint64(k + 1))
+        part = (mixed >> np.uint64(8)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        sums = np.zeros(len(s) + 1, np.uint64)
+        np.cumsum(mixed[order], out=sums[1:])
+        cut = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+        total = lexer.mix(sums[cut[1:]] - sums[cut[:-1]] + np.uint64(1))
+        out.append(lexer.mix(total ^ lexer.mix(np.arange(parts, dtype=np.uint64) + np.uint64(k << 32))))
+    return np.concatenate(out)
+
+
+def _signs(grams: DataFrame, how: Join, bits: int = 1024) -> DataFrame:
+    """(label, node, size, sign, keys) of each set of (label, node, grams)."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.frombuffer(raw, np.uint64) for raw in batch.column(2).to_pylist()]
+        ranges = how.ranges(max(map(len, found)))
+        keys = [agreements(x, how, ranges) for x in found]
+        columns = [
+            batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int32()),
+            pa.array([signature(x, bits) for x in found], pa.binary()),
+            lists(np.concatenate(keys).view(np.int64), np.array([len(k) for k in keys]), pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["label", "node", "size", "sign", "keys"])
+
+    kinds = "label long, node long, size int, sign binary, keys array<long>"
+    return map_arrow(grams.select("label", "node", "grams"), each, kinds)
+
+
+def _allowed(pairs: DataFrame, how: Join) -> DataFrame:
+    """(a, b): the pairs (a, b, size_a, size_b, sign_a, sign_b) whose bitmaps allow the overlap they need."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        n, signs = [], []
+        for k in "ab":
+            n.append(batch.column(f"size_{k}").to_numpy().astype(np.int64))
+            signs.append(np.frombuffer(b"".join(batch.column(f"sign_{k}").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+        spare = [x - np.bitwise_count(m).sum(axis=1, dtype=np.int64) for x, m in zip(n, signs, strict=True)]
+        most = np.bitwise_count(signs[0] & signs[1]).sum(axis=1, dtype=np.int64) + np.minimum(*spare)
+        keep = pa.array(np.minimum(most, np.minimum(*n)) >= how.need_both(n[0] + n[1]))
+        return pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return map_arrow(pairs, each, "a long, b long")
+
+
+def _linked(pairs: DataFrame, how: Join) -> DataFrame:
+    """(a, b): the pairs (a, b, grams_a, grams_b) that link."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * both >= how.percent * (len(x) + len(y) - both))
+        keep = pa.array(keep, pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return map_arrow(pairs, each, "a long, b long")
+
+
+def candidates_of_parts(signs: DataFrame, rest: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
+    """Where nodes of ``rest`` agree in a part with others of their cluster: (a, b), as a table, the pairs that the
+    bitmaps allow, from parts in which few nodes agree; and (label, key, node, asked), those in which many do."""
+    asked = rest.select("label", "node", F.lit(True).alias("asked"))
+    keys = signs.join(asked, ["label", "node"], "left").select("label", "node", "size", F.coalesce("asked", F.lit(False)).alias("asked"), F.explode("keys").alias("key"))
+    keys = materialise(keys, "jaccard-keys")
+    counts = keys.groupBy("label", "key").agg(F.count("*").alias("m"), F.max("asked").alias("any")).where("m > 1 AND any")
+    met = materialise(keys.join(counts.drop("any"), ["label", "key"]), "jaccard-agree")
+    small = met.where(F.col("m") <= how.small)
+    x = small.where("asked").select("label", "key", F.col("node").alias("x"), F.col("size").alias("size_x"))
+    y = small.select("label", "key", F.col("node").alias("y"), F.col("size").alias("size_y"))
+    fits = (F.col("x") != F.col("y")) & (F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * how.percent)
+    pairs = x.join(y, ["label", "key"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    for k in "ab":
+        pairs = pairs.join(signs.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sign").alias(f"sign_{k}")), k)
+    allowed = materialise(_allowed(pairs, how), "jaccard-allowed")
+    discard(keys)
+    return allowed, met.where(F.col("m") > how.small).select("label", "key", "node", "asked")
+
+
+def _upper_links(grams: DataFrame, rest: DataFrame, how: Join) -> DataFrame:
+    """(a, b), as a table: edges that connect the nodes of ``rest`` (label, node) to what they link to in their clusters."""
+    grams = grams.select("label", "node", "grams").dropDuplicates(["label", "node"])
+    signs = materialise(_signs(grams, how), "jaccard-signs")
+    pairs, many = candidates_of_parts(signs, rest, how)
+    sets_of = grams.select("node", "grams")
+    for k in "ab":
+        pairs = pairs.join(sets_of.select(F.col("node").alias(k), F.col("grams").alias(f"grams_{k}")), k)
+    found = materialise(_linked(pairs, how), "jaccard-rest-links")
+    if not many.limit(1).count():
+        return found
+    centres = materialise(many.groupBy("label", "key").agg(F.min("node").alias("a")), "jaccard-part-centres")
+    finer = components(many.join(centres, ["label", "key"]).select("a", F.col("node").alias("b")), "jaccard-parts")
+    finer = finer.join(rest.select("node", F.lit(True).alias("asked")), "node", "left")
+    of = lambda rows, name: rows.groupBy("label").agg(F.ceil(F.count("*") / F.lit(how.block)).cast("int").alias(name))
+    counts = materialise(of(finer, "n").join(of(finer.where("asked"), "m"), "label"), "jaccard-part-sizes")
+    every = sets_of.join(finer, "node").join(counts, "label")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["label", "i", "j", "node", "grams"]
-    second = _trees(some.select(*columns).unionByName(whole.select(*columns)), how)
-    return first.unionByName(materialise(second, "jaccard-rest-links"))
+    some = every.where("asked").withColumn("i", place("m")).withColumn("j", each("n")).select(*columns)
+    whole = every.withColumn("j", place("n")).withColumn("i", each("m")).select(*columns)
+    return found.unionByName(materialise(_trees(some.unionByName(whole), how), "jaccard-part-links"))
 
 
 def near_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -386,7 +523,8 @@ def near_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id",
 
 def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """The rows and columns of ``docs`` with one document of each component, that of the smallest id;
-    documents without words stay. Rows equal in id and text count once.
+    documents without words stay. Rows equal in id and text count once: of those that differ in other columns the one
+    with the least hash of its JSON stays, so that reruns agree.
     """
     found = materialise(near_components(docs, how), "jaccard-found")
     first = found.where("label is not null").groupBy("label").agg(F.min(F.struct("kid", "kh")).alias("row"))
@@ -395,7 +533,9 @@ def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
     row = F.struct(*docs.columns).alias("row")
     keyed_rows = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kid"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("kh"))
     same = (F.col("kid") == F.col("kept_kid")) & (F.col("kh") == F.col("kept_kh"))
-    return keyed_rows.join(kept, same, "left_semi").dropDuplicates(["kid", "kh"]).select("row.*")
+    rows = keyed_rows.join(kept, same, "left_semi").withColumn("turn", F.xxhash64(F.to_json("row")))
+    repeated = rows.groupBy("kid", "kh").agg(F.min("turn").alias("turn"))
+    return rows.join(repeated, ["kid", "kh", "turn"]).dropDuplicates(["kid", "kh"]).select("row.*")
 
 
 def jaccard_digest(docs: DataFrame) -> DataFrame:

@@ -247,3 +247,59 @@ def test_tree_prunes_nothing_that_links():
             if 100 * both >= 70 * (len(s) + len(sets[b]) - both):
                 parent[max(find(a), find(b))] = min(find(a), find(b))
     assert root == [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("percent", [30, 80, 85, 100])
+def test_linked_sets_agree_in_a_part(percent):
+    how, rng = signature_tree.Join(percent=percent), np.random.default_rng(percent)
+    ranges = how.ranges(400)
+    tried = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 120))
+        pool = rng.integers(0, 2**63, 2 * n + 20).astype(np.uint64)
+        a = np.unique(pool[:n])
+        b = np.unique(np.append(pool[int(rng.integers(0, n // 4 + 1)) : n], pool[n : n + int(rng.integers(0, n // 5 + 2))]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            tried += 1
+            assert np.intersect1d(signature_tree.agreements(a, how, ranges), signature_tree.agreements(b, how, how.ranges(200))).size
+    assert tried > 20
+
+
+def test_inner_nodes_are_pruned():
+    """Families of like sets stand side by side, so pairs of inner nodes are ruled out, not pairs of leaves alone."""
+    rng = np.random.default_rng(5)
+    raw = []
+    for k in range(64):
+        base = rng.integers(0, 2**63, 80).astype(np.uint64)
+        raw += [np.unique(np.append(base[m:], rng.integers(0, 2**63, m).astype(np.uint64))) for m in range(4)]
+    order = rng.permutation(len(raw))
+    at = np.append(0, np.cumsum([len(raw[i]) for i in order]))
+    _, flat = np.unique(np.concatenate([raw[i] for i in order]), return_inverse=True)
+    tree = signature_tree.Tree(flat, at, signature_tree.Join())
+    roots = tree.roots()
+    assert len(set(roots.tolist())) == 64 and tree.pruned[1] > 500 and sum(tree.pruned) < 256 * 255 / 8
+
+
+def pool_of_lines(n, rng=random):
+    """Documents of 20 of 40 lines: common lines and n-grams everywhere, and hardly a link."""
+    rng = random.Random(n)
+    lines = [" ".join(f"line{k}word{j}" for j in range(8)) for k in range(40)]
+    return [(i, " ".join(rng.sample(lines, 20))) for i in range(n)]
+
+
+def test_templated_documents(spark):
+    """A large cluster without links: what is compared grows with the documents, not with their pairs."""
+    how = signature_tree.Join()
+    most = []
+    for n in (500, 1000):
+        rows = pool_of_lines(n) + [(10_000 + k, pool_of_lines(n)[k][1] + " one more") for k in range(5)]
+        docs = spark.createDataFrame([(*r, None, None, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+        found = {r["doc_id"]: r["component"] for r in signature_tree.near_components(docs, how).collect()}
+        assert {i for i, c in found.items() if i != c} == {10_000 + k for k in range(5)} and all(found[10_000 + k] == k for k in range(5))
+        sets = [next(signature_tree.sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 4)) for _, t in rows]
+        grams = spark.createDataFrame([(1, i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "label long, node long, grams binary")
+        pairs, many = signature_tree.candidates_of_parts(signature_tree._signs(grams, how), grams.select("label", "node"), how)
+        most.append(pairs.count())
+        assert many.select("node").distinct().count() < n / 2
+    assert max(most) < 100
