@@ -11,6 +11,7 @@ class Settings:
 
     # retrieval
     max_query_tokens: int = 64
+    most_query_tokens: int = 4096
     target_hits_per_token: int = 100
     default_hits: int = 3
     rerank_count: int = 100

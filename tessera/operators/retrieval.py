@@ -1,7 +1,7 @@
 """Multi-vector retrieval: candidates, two ranking phases, reranking, similarity maps.
 
 A page has patches, a query has tokens. Both have float vectors and bit-packed signs. Queries are
-small (``max_query_tokens`` is enforced where they are packed), so they go to every task; pages are
+small (the packed side is cut at ``max_query_tokens``, more than ``most_query_tokens`` are an error), so they go to every task; pages are
 aggregated where they are read: max over a page's patches, sum over tokens, a row a page and token in
 the shuffle.
 """
@@ -18,6 +18,14 @@ from tessera.config import DEFAULT, Settings
 from tessera.functions import strings, vectors
 
 
+def whole_query(tokens: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """The float side of a query, which no cut applies to: broadcast, and an error beyond ``most_query_tokens``."""
+    most = settings.most_query_tokens
+    few = tokens.limit(most + 1)  # in one partition, so rows are numbered from 0
+    ok = F.when(F.monotonically_increasing_id() >= most, F.raise_error(F.lit(f"A query of more than {most} tokens")).cast("boolean"))
+    return F.broadcast(few.where(F.coalesce(ok, F.lit(True))))
+
+
 def query_tokens(tokens: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """The packed side of a query: its first ``max_query_tokens`` tokens, broadcast, as that bounds it."""
     return F.broadcast(tokens.orderBy("tok").limit(settings.max_query_tokens))
@@ -25,7 +33,7 @@ def query_tokens(tokens: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 def maxsim(patches: DataFrame, tokens: DataFrame, similarity: Column, key: str = "page") -> DataFrame:
     """(page, score): sum over tokens of the greatest similarity to a patch."""
-    best = patches.join(F.broadcast(tokens)).groupBy(key, "tok").agg(F.max(similarity).alias("best"))
+    best = patches.join(whole_query(tokens)).groupBy(key, "tok").agg(F.max(similarity).alias("best"))
     return best.groupBy(key).agg(F.sum("best").alias("score"))
 
 
@@ -84,7 +92,7 @@ def rerank(hits: DataFrame, floats: DataFrame, signs: DataFrame, keep: int, key:
 
 def similarity_cube(patches: DataFrame, tokens: DataFrame, key: str = "page") -> DataFrame:
     """(page, tok, patch, quantised): every cell scaled by the page's least and greatest to 0..254."""
-    cells = patches.join(F.broadcast(tokens)).select(key, "tok", "patch", sign_similarity(pm1=False).alias("s"))
+    cells = patches.join(whole_query(tokens)).select(key, "tok", "patch", sign_similarity(pm1=False).alias("s"))
     page = W.partitionBy(key)
     low, high = F.min("s").over(page), F.max("s").over(page)
     quantised = F.floor((F.col("s") - low) / (high - low + 0.001) * 254).cast("long")

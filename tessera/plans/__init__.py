@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from functools import partial
+from tessera.plans import flows, ingestion, pages, retrieval, scalars, sources, synchronisation
 
-from tessera.plans import flows, ingestion, pages, retrieval, scalars, synchronisation
-
-_AREAS = (retrieval, scalars, ingestion, synchronisation, pages, flows)
-#: Queries whose SQL compares a fixed slice of their table; each is registered as NAME_whole over all of it too.
-WHOLE = ("p11_vector_pages", "e1_page_documents", "e3_embed", "c5_reference_lists", "i7_incremental_sync", "i16_backfill", "j6_ref_diff", "j8_match_downloads", "a16_group_to_map", "c6_blocks_in_order", "f23_highlight", "a11_ordered_ids")
+_AREAS = (retrieval, scalars, ingestion, synchronisation, pages, flows, sources)
 
 
 def queries() -> dict:
-    out = {name: f for area in _AREAS for name, f in area.QUERIES.items()}
-    return out | {f"{name}_whole": partial(out[name], whole=True) for name in WHOLE}
+    return {name: f for area in _AREAS for name, f in area.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:

@@ -60,9 +60,9 @@ def a20_batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count_if(F.col("n_chars") > 1000).alias("ok"), F.sum(F.expr("n_chars div 3000 + 1")).alias("pages"))
 
 
-def c5_reference_lists(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def c5_reference_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References stored as JSON strings, parsed; broken ones are dropped."""
-    o = read(spark, sf_dir, "orders").where("true" if whole else "o_orderkey < 1000")
+    o = read(spark, sf_dir, "orders")
     js = F.array(F.concat(F.lit('{"s3_key": "k/'), "o_orderkey", F.lit('"}')), F.lit("{broken"))
     refs = F.filter(F.transform(js, lambda x: F.from_json(x, "s3_key string, url string")), lambda x: x["s3_key"].isNotNull())
     return o.select("o_orderkey", F.explode(refs).alias("r")).select("o_orderkey", "r.s3_key", "r.url")
@@ -137,9 +137,9 @@ def u4_changed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.where("o_orderkey % 10 = 1").unionByName(o.where("o_orderkey % 10 = 2"))
 
 
-def i7_incremental_sync(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def i7_incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table synchronised whole, changed, and synchronised again: what the store has of it then."""
-    o = read(spark, sf_dir, "orders").where("true" if whole else "o_orderkey < 3000").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderstatus").alias("name"), F.col("o_orderdate").alias("updated_at"), F.concat(F.lit("k/"), "o_orderkey", F.lit("/a.pdf")).alias("s3_key"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderstatus").alias("name"), F.col("o_orderdate").alias("updated_at"), F.concat(F.lit("k/"), "o_orderkey", F.lit("/a.pdf")).alias("s3_key"))
     store = SnapshotStore(spark, f"{_dir(spark)}/docs", "doc_id")
     run = lambda rows, since, until: sync_flow.sync_table("orders", rows, store, since, until, "updated_at", {"customer_id": "customers"}, {"s3_key": "s3_key"}, 1_700_000_000_000)
     run(o, None, datetime(2002, 1, 1))
@@ -149,9 +149,9 @@ def i7_incremental_sync(spark: SparkSession, sf_dir: str, whole: bool = False) -
     return store.read().select("doc_id", "content_text", F.element_at("file_references", 1)["s3_key"].alias("s3_key"))
 
 
-def i16_backfill(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def i16_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of another model for documents that lack them, by a partial update."""
-    d = read(spark, sf_dir, "documents").where("true" if whole else "doc_id < 60").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.lit(4)).alias("patches"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.lit(4)).alias("patches"))
     made = etl.embed(d.where("patches IS NULL").select("doc_id", "text"), serving.Models({"hash": (16, lambda: etl.hashed_model(16, 2))}).make("hash"))
     new = made.select("doc_id", F.size("vectors").alias("patches"))
     return sync.update_fields(d.drop("text"), new, "doc_id", ["patches"]).select("doc_id", F.col("patches").cast("long").alias("patches"))
@@ -174,7 +174,7 @@ def e12_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j12_patch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of token and patch pairs of each page."""
-    return patches(spark, sf_dir).join(F.broadcast(tokens(spark, sf_dir))).groupBy("page").agg(F.count("*").alias("pairs"))
+    return patches(spark, sf_dir).join(r.whole_query(tokens(spark, sf_dir))).groupBy("page").agg(F.count("*").alias("pairs"))
 
 
 def f6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +191,7 @@ ORACLES = {
     "p16_name_filter": "SELECT c_custkey FROM customer WHERE contains(lower(c_name), '7') OR contains(lower(c_mktsegment), 'auto')",
     "a12_profile_means": "SELECT CAST(l_linenumber AS BIGINT) AS row, round(avg(CASE WHEN l_discount > 0.05 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share FROM lineitem GROUP BY l_linenumber",
     "a20_batch_totals": "SELECT count(*) FILTER (n_chars > 1000) AS ok, CAST(sum(n_chars // 3000 + 1) AS BIGINT) AS pages FROM documents",
-    "c5_reference_lists": "SELECT o_orderkey, 'k/' || o_orderkey AS s3_key, CAST(NULL AS VARCHAR) AS url FROM orders WHERE o_orderkey < 1000",
+    "c5_reference_lists": "SELECT o_orderkey, 'k/' || o_orderkey AS s3_key, CAST(NULL AS VARCHAR) AS url FROM orders",
     "d4_utc": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds, strftime(ts, '%H') AS hour FROM events",
     "m14_query_ids": "SELECT count(DISTINCT text) AS ids, count(DISTINCT text) AS queries FROM conversations",
     "m15_areas": "SELECT p_partkey, CAST(p_size * p_size * 2 AS BIGINT) AS area, '{\"width\":' || p_size || ',\"height\":' || (p_size * 2) || '}' AS json FROM part",
@@ -202,8 +202,8 @@ ORACLES = {
     "r20_probe": "SELECT count(*) > 0 AS alive FROM documents",
     "r15_agent": f"WITH {_bm25_sql('la', 'documents', 'doc_id', 'text', ['token'])}, {_bm25_sql('lb', 'documents', 'doc_id', 'text', ['the', 'token'])}, f AS (SELECT k, row_number() OVER (ORDER BY score DESC, k) AS o FROM la QUALIFY o <= 3 UNION ALL SELECT k, 3 + row_number() OVER (ORDER BY score DESC, k) AS o FROM lb QUALIFY o <= 6) SELECT row_number() OVER (ORDER BY o) - 1 AS place, k AS doc_id FROM (SELECT k, min(o) AS o FROM f GROUP BY k)",
     "u4_changed_ids": "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 IN (1, 2)",
-    "i7_incremental_sync": "SELECT 'orders:' || o_orderkey AS doc_id, CASE WHEN o_orderkey % 7 = 0 THEN 'NEW' ELSE o_orderstatus END AS content_text, CASE WHEN o_orderkey % 7 = 0 THEN 'k/new.pdf' ELSE 'k/' || o_orderkey || '/a.pdf' END AS s3_key FROM orders WHERE o_orderkey < 3000 AND o_orderkey % 5 <> 0",
-    "i16_backfill": "SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 2 END AS BIGINT) AS patches FROM documents WHERE doc_id < 60",
+    "i7_incremental_sync": "SELECT 'orders:' || o_orderkey AS doc_id, CASE WHEN o_orderkey % 7 = 0 THEN 'NEW' ELSE o_orderstatus END AS content_text, CASE WHEN o_orderkey % 7 = 0 THEN 'k/new.pdf' ELSE 'k/' || o_orderkey || '/a.pdf' END AS s3_key FROM orders WHERE o_orderkey % 5 <> 0",
+    "i16_backfill": "SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 2 END AS BIGINT) AS patches FROM documents",
     "e5_vector_regions": None,
     "e12_thumbnails": None,
     "j12_patch_pairs": "SELECT vec_id // 8 AS page, count(*) * 3 AS pairs FROM embeddings GROUP BY vec_id // 8",

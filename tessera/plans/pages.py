@@ -92,9 +92,9 @@ def p12_border_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("box", spans.alias("spans"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= 1000 * 800 * regions.FRAME_AREA).cast("boolean").alias("frame"))
 
 
-def p11_vector_pages(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def p11_vector_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.range(40).select(F.col("id").alias("page_id"), (F.col("id") % 3).alias("n_images"))
-    return regions.vector_pages(_boxes(spark, sf_dir, 0).where("true" if whole else "box < 600"), pages)
+    return regions.vector_pages(_boxes(spark, sf_dir, 0), pages)
 
 
 def _items(spark: SparkSession) -> DataFrame:
@@ -150,17 +150,17 @@ def _render(content: bytes) -> list[tuple[bytes, str]]:
     return [(bytes([i]) + content[:8], part.decode()) for i, part in enumerate(content.split(b"\f"))]
 
 
-def e1_page_documents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def e1_page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of pages; every ninth can't be read."""
-    d = read(spark, sf_dir, "documents").where("true" if whole else "doc_id < 300")
-    content = F.concat(F.when(F.col("doc_id") % 9 == 0, F.lit("bad")).otherwise(F.lit("ok ")), F.col("text") if whole else F.substring("text", 1, 250), F.lit("\f"))
+    d = read(spark, sf_dir, "documents")
+    content = F.concat(F.when(F.col("doc_id") % 9 == 0, F.lit("bad")).otherwise(F.lit("ok ")), F.col("text"), F.lit("\f"))
     named = d.select(F.concat(F.lit("File "), "doc_id", F.lit(".pdf")).alias("filename"), content.cast("binary").alias("content"))
     return etl.page_documents(etl.pages(named, _render)).select("title", "page_number", F.length("text").cast("long").alias("n"), F.length("snippet").cast("long").alias("n_snippet"))
 
 
-def e3_embed(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def e3_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page vectors of a stand-in encoder, packed; their count and the positive signs by both forms."""
-    d = read(spark, sf_dir, "documents").where("true" if whole else "doc_id < 100").select("doc_id", "text")
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
     e = etl.embed(d, etl.hashed_model(16, 3))
     ones = F.aggregate("vectors", F.lit(0), lambda a, v: a + F.size(F.filter(v, lambda x: x > 0)))
     bits = F.aggregate("packed", F.lit(0), lambda a, p: a + F.aggregate(p, F.lit(0), lambda b, x: b + F.bit_count(x.bitwiseAND(F.lit(255)))))
@@ -212,15 +212,15 @@ ORACLES = {
     "a14_cluster_boxes": f"SELECT page_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ({_boxes_sql(0)}) GROUP BY page_id",
     "a15_content_hints": "SELECT l_orderkey, CASE WHEN t / nullif(d + t, 0) > 0.7 THEN 'notes' WHEN t / nullif(d + t, 0) < 0.3 THEN 'drawing_view' ELSE 'detail' END AS hint FROM (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'N') AS d, count(*) FILTER (l_returnflag = 'R') AS t FROM lineitem GROUP BY l_orderkey)",
     "p12_border_boxes": f"SELECT box, x1 - x0 > 85 AND y1 - y0 > 59.5 AS spans, (x1 - x0) * (y1 - y0) >= 16000 AS frame FROM ({_boxes_sql(1)})",
-    "p11_vector_pages": f"SELECT page_id, page_id % 3 AS n_images FROM (SELECT page_id, count(*) AS n FROM ({_boxes_sql(0)}) WHERE box < 600 GROUP BY page_id) WHERE n >= 10 AND NOT (page_id % 3 = 1 AND n < 20)",
+    "p11_vector_pages": f"SELECT page_id, page_id % 3 AS n_images FROM (SELECT page_id, count(*) AS n FROM ({_boxes_sql(0)}) GROUP BY page_id) WHERE n >= 10 AND NOT (page_id % 3 = 1 AND n < 20)",
     "e6_table_grids": "SELECT CAST(1 AS BIGINT) AS page_id, 100.0::DOUBLE AS x0, 100.0::DOUBLE AS y0, 600.0::DOUBLE AS x1, 300.0::DOUBLE AS y1",
     "e10_merge_boxes": None,
     "t7_topn_per_group": f"SELECT page_id, x0 AS x, y0 AS y, x1 - x0 AS width, y1 - y0 AS height FROM ({_boxes_sql(0)}) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY (x1 - x0) * (y1 - y0) DESC, x0, y0) <= 12",
     "e7_image_regions": None,
     "e8_content_tiles": None,
     "e14_dispatch": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 4 THEN 'image' ELSE 'unsupported' END AS processor, CASE doc_id % 5 WHEN 2 THEN 'Unsupported file type: doc' WHEN 3 THEN 'Unsupported file type: none' END AS error FROM documents",
-    "e1_page_documents": "WITH d AS (SELECT doc_id, length(regexp_replace(left(text, 250), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) + 3 AS n FROM documents WHERE doc_id < 300 AND doc_id % 9 <> 0) SELECT 'File ' || doc_id AS title, CAST(1 AS BIGINT) AS page_number, n, CASE WHEN n > 200 THEN 203 ELSE n END AS n_snippet FROM d UNION ALL SELECT 'File ' || doc_id, 2, 0, length('Page 2 of File ' || doc_id || '.pdf') FROM d",
-    "e3_embed": "SELECT doc_id, CAST(3 AS BIGINT) AS patches, true AS agree FROM documents WHERE doc_id < 100",
+    "e1_page_documents": "WITH d AS (SELECT doc_id, length(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) + 3 AS n FROM documents WHERE doc_id % 9 <> 0) SELECT 'File ' || doc_id AS title, CAST(1 AS BIGINT) AS page_number, n, CASE WHEN n > 200 THEN 203 ELSE n END AS n_snippet FROM d UNION ALL SELECT 'File ' || doc_id, 2, 0, length('Page 2 of File ' || doc_id || '.pdf') FROM d",
+    "e3_embed": "SELECT doc_id, CAST(3 AS BIGINT) AS patches, true AS agree FROM documents",
     "w8_recency": "SELECT user_id, event_type, max(event_id) AS last, row_number() OVER (PARTITION BY user_id ORDER BY max(event_id) DESC) AS place FROM events GROUP BY user_id, event_type QUALIFY place <= 3",
     "w1_rank": "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders QUALIFY place <= 100",
     "t11_largest_sources": "SELECT source, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source ORDER BY chars DESC, source LIMIT 5",

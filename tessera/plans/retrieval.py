@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import nested, strings, vectors
 from tessera.operators import retrieval as r
-from tessera.operators import text_index
+from tessera.operators import ranks, text_index
 from tessera.sources.tables import read
 
 DIMS = 64
@@ -44,7 +44,7 @@ def m1_packbits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m4_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, t = patches(spark, sf_dir), tokens(spark, sf_dir)
-    return p.join(F.broadcast(t)).select("page", "patch", "tok", r.bit_distance(DIMS).cast("long").alias("distance"))
+    return p.join(r.query_tokens(t)).select("page", "patch", "tok", r.bit_distance(DIMS).cast("long").alias("distance"))
 
 
 def a8_binary_maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,7 @@ def r8_app_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third page has lost its floats, every sixth its signs too."""
     p, t = patches(spark, sf_dir), tokens(spark, sf_dir)
     hits = r.two_phase(p, t, 100, 20, DIMS).withColumnRenamed("score", "relevance")
+    p = p.join(F.broadcast(hits.select("page")), "page", "left_semi")  # 20 ids
     floats = r.maxsim(p.where("page % 3 <> 0"), t, r.float_similarity())
     signs = r.maxsim(p.where("page % 6 <> 0"), t, r.sign_similarity(True))
     return _six(r.rerank(hits, floats, signs, 5), "relevance", "rerank_score")
@@ -81,7 +82,7 @@ def w9_simmap_quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w10_simmap_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = patches(spark, sf_dir).join(F.broadcast(tokens(spark, sf_dir))).select("page", "tok", "patch", r.float_similarity().alias("s"))
+    cells = patches(spark, sf_dir).join(r.whole_query(tokens(spark, sf_dir))).select("page", "tok", "patch", r.float_similarity().alias("s"))
     return _six(r.similarity_grid(cells, "s", side=4, patches=7), "value")
 
 
@@ -100,10 +101,11 @@ def m8_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text", F.col("source").alias("title"))
     p, t = patches(spark, sf_dir), tokens(spark, sf_dir)
     near = r.ann_candidates(p, t, 10, DIMS)
-    text, title = text_index.bm25(d, "page", "text", TERMS), text_index.bm25(d, "page", "title", ["src3"])
-    lexical = text.withColumnRenamed("score", "s1").join(title.withColumnRenamed("score", "s2"), "page", "full_outer")
-    sim = r.maxsim(p, t, r.sign_similarity(False)).withColumnRenamed("score", "s0")
-    both = near.unionByName(lexical.select("page")).distinct().join(sim, "page", "left").join(lexical, "page", "left")
+    lexical = text_index.bm25_fields(d, "page", {"text": TERMS, "title": ["src3"]})
+    lexical = lexical.withColumnsRenamed({"score_text": "s1", "score_title": "s2"})
+    ids = near.unionByName(lexical.select("page")).distinct()
+    sim = r.maxsim(p.join(ids, "page", "left_semi"), t, r.sign_similarity(False)).withColumnRenamed("score", "s0")
+    both = ids.join(sim, "page", "left").join(lexical, "page", "left")
     score = F.coalesce("s0", F.lit(0.0)) + 2 * (F.coalesce("s1", F.lit(0.0)) + F.coalesce("s2", F.lit(0.0)))
     return _six(r.top(both.select("page", F.round(score, 6).alias("score")), 10), "score")
 
@@ -118,14 +120,14 @@ def r11_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r14_llm_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = read(spark, sf_dir, "orders").where("o_orderkey < 50").select(F.col("o_orderkey").alias("pos"), "o_orderstatus")
+    hits = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), "o_orderstatus")
     said = "```json\n[{\"index\": 7, \"score\": 9.5}, {\"index\": 3, \"score\": 9.5}, {\"index\": 77, \"score\": 10}, {\"index\": 12, \"score\": 2}]\n```"
     scores = spark.range(1).select(F.explode(nested.scored(strings.without_fences(F.lit(said)), 50)).alias("pos", "llm_score"))
     return r.llm_rerank(hits, scores.withColumn("pos", F.col("pos").cast("long")), 10)
 
 
 def r18_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").where("doc_id < 20").select((F.col("doc_id") + 1).alias("rank"), F.col("source").alias("title"), F.col("doc_id").alias("page_number"), "text")
+    d = read(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("rank"), F.col("source").alias("title"), F.col("doc_id").alias("page_number"), "text")
     return r.context(d)
 
 
@@ -159,13 +161,11 @@ def r9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(r.search("what is the token of this", r.profile_name("bm25", False), runs), "score")
 
 
-def a11_ordered_ids(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def a11_ordered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of several searches, each once, in the order in which they came first."""
-    e = read(spark, sf_dir, "events").where("true" if whole else "event_id < 200").select("user_id", "event_id")
+    e = read(spark, sf_dir, "events").select("user_id", "event_id")
     first = e.groupBy("user_id").agg(F.min("event_id").alias("step"))
-    from pyspark.sql import Window as W
-
-    return first.select("user_id", "step", F.row_number().over(W.orderBy("step")).cast("long").alias("place"))
+    return ranks.numbered(first, "step").select("user_id", "step", "place")
 
 
 _P = "SELECT vec_id // 8 AS page, vec_id % 8 AS patch, embedding AS vec FROM embeddings"
@@ -215,13 +215,13 @@ ORACLES = {
     "m8_hybrid_topk": f"WITH {_CROSS}, {_ANN}, {_maxsim_sql('v', _B01)}, {_bm25_sql('la', 'documents', 'doc_id', 'text', TERMS)}, {_bm25_sql('lb', 'documents', 'doc_id', 'source', ['src3'])}, ids AS (SELECT page FROM near UNION SELECT k FROM la UNION SELECT k FROM lb) SELECT page, score FROM (SELECT ids.page, round(coalesce(v.score, 0) + 2 * (coalesce(la.score, 0) + coalesce(lb.score, 0)), 6) AS score FROM ids LEFT JOIN v ON v.page = ids.page LEFT JOIN la ON la.k = ids.page LEFT JOIN lb ON lb.k = ids.page) ORDER BY score DESC, page LIMIT 10",
     "a22_relative_score": f"WITH {_CROSS}, {_maxsim_sql('s', _DOT)} SELECT page, round(CASE WHEN (SELECT max(score) FROM s) > 0 THEN least(score / (SELECT max(score) FROM s), 1) ELSE 0 END, 6) AS relative FROM s",
     "r11_suggestions": "SELECT DISTINCT text AS question FROM conversations WHERE role = 'user' AND contains(lower(text), 'the') AND text <> 'string'",
-    "r14_llm_rerank": "SELECT o_orderkey AS pos, o_orderstatus, CAST(CASE o_orderkey WHEN 7 THEN 9.5 WHEN 3 THEN 9.5 WHEN 12 THEN 2 ELSE 0 END AS DOUBLE) AS llm_score FROM orders WHERE o_orderkey < 50 ORDER BY llm_score DESC, pos LIMIT 10",
+    "r14_llm_rerank": "SELECT o_orderkey AS pos, o_orderstatus, CAST(CASE o_orderkey WHEN 7 THEN 9.5 WHEN 3 THEN 9.5 WHEN 12 THEN 2 ELSE 0 END AS DOUBLE) AS llm_score FROM orders ORDER BY llm_score DESC, pos LIMIT 10",
     "r18_context": "SELECT string_agg('[' || (doc_id + 1) || '] ' || source || ', page ' || doc_id || ': ' || left(text, 300), chr(10) ORDER BY doc_id) AS context FROM documents WHERE doc_id < 5",
     "p10_token_filter": "SELECT CAST(tok AS BIGINT) AS tok, token IN ('2', '0', '3', '▁2', '▁hi', 'norwegian', 'unlisted', 'é', '中', 'a b') AS kept, replace(token, '▁', '') AS shown FROM (VALUES (0, '2'), (1, '0'), (2, '3'), (3, '▁2'), (4, '▁hi'), (5, 'norwegian'), (6, 'unlisted'), (7, '<bos>'), (8, 'Question'), (9, ':'), (10, '<pad>'), (11, chr(10)), (12, '▁'), (13, '?'), (14, ')'), (15, '%'), (16, '/)'), (17, '_x'), (18, 'é'), (19, '中'), (20, 'a b')) AS t(tok, token)",
     "j16_token_maps": f"WITH {_CUBE} SELECT page, CASE tok WHEN 0 THEN 'hi' ELSE '2' END AS token, max(quantised) AS most, arg_min(patch, -quantised * 100 + patch) AS patch FROM cube WHERE tok <> 1 GROUP BY page, tok",
     "r17_wide_maps": f"WITH {_CUBE} SELECT page, patch, max(quantised) FILTER (tok = 0) AS sim_map_0, max(quantised) FILTER (tok = 1) AS sim_map_1, max(quantised) FILTER (tok = 2) AS sim_map_2 FROM cube GROUP BY page, patch",
     "r6_unranked": f"SELECT DISTINCT page, CAST(0 AS DOUBLE) AS score FROM ({_P}) ORDER BY page LIMIT 5",
     "r9_search": f"WITH {_bm25_sql('s', 'documents', 'doc_id', 'text', ['token'])} SELECT k AS page, round(score, 6) AS score FROM s ORDER BY s.score DESC, k LIMIT 3",
-    "a11_ordered_ids": "SELECT user_id, step, row_number() OVER (ORDER BY step) AS place FROM (SELECT user_id, min(event_id) AS step FROM events WHERE event_id < 200 GROUP BY user_id)",
+    "a11_ordered_ids": "SELECT user_id, step, row_number() OVER (ORDER BY step) AS place FROM (SELECT user_id, min(event_id) AS step FROM events GROUP BY user_id)",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}

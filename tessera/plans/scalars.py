@@ -85,9 +85,9 @@ def f22_relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", strings.relative_date(at, F.lit(1_706_659_140)).alias("shown"))
 
 
-def f23_highlight(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def f23_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(strings.highlight(F.col("text") if whole else F.substring("text", 1, 500), "the|token").cast("binary")).alias("marked_md5"))
+    return d.select("doc_id", F.md5(strings.highlight(F.col("text"), "the|token").cast("binary")).alias("marked_md5"))
 
 
 def f24_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,9 +158,9 @@ def c3_struct_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", js.alias("json"), back["name"].alias("name"), back["segment"].alias("segment"))
 
 
-def c6_blocks_in_order(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def c6_blocks_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks keyed by numbers as text, which sort as numbers."""
-    v = read(spark, sf_dir, "embeddings").where("true" if whole else "vec_id < 96")
+    v = read(spark, sf_dir, "embeddings")
     m = v.groupBy(F.expr("vec_id div 12").alias("page")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("vec_id") % 12).cast("string").alias("k"), F.col("label").cast("long").alias("v")))).alias("blocks"))
     return m.select("page", F.array_join(nested.blocks_in_order(F.col("blocks")), ",").alias("labels"))
 
@@ -225,7 +225,7 @@ ORACLES = {
     "f18_form_fields": "SELECT v, CASE v WHEN ' a, b ,,c ' THEN '[\"a\",\"b\",\"c\"]' WHEN '' THEN '[]' WHEN 'x' || chr(10) || 'y' THEN '[\"x\\ny\"]' ELSE '[\"' || v || '\"]' END AS tags, lower(trim(v)) IN ('on', 'true', '1', 'yes') AS flag, replace(v, chr(10), '<br>') AS html FROM (VALUES (' a, b ,,c '), (''), ('ON'), ('true'), ('1'), ('Yes'), ('no'), ('x' || chr(10) || 'y')) AS t(v)",
     "f22_display": "SELECT c_custkey, CASE WHEN length(c_name) > 10 THEN left(c_name, 9) || '…' ELSE c_name END AS short, upper(left(c_mktsegment, 1) || left(c_name, 1)) AS initials, (c_custkey % 3) || ' file' || CASE WHEN c_custkey % 3 = 1 THEN '' ELSE 's' END AS files FROM customer",
     "f22_relative_dates": "SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s < 604800 THEN (s // 86400) || 'd ago' ELSE strftime(ts, '%b %-d') END AS shown FROM (SELECT event_id, ts, 1706659140 - CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)",
-    "f23_highlight": f"SELECT doc_id, md5({_MARK.format(t=_MARK.format(t='left(text, 500)'))}) AS marked_md5 FROM documents",
+    "f23_highlight": f"SELECT doc_id, md5({_MARK.format(t=_MARK.format(t='text'))}) AS marked_md5 FROM documents",
     "f24_fences": "SELECT CAST(i AS BIGINT) AS i, b AS body FROM (VALUES (0, '[1]'), (1, '[1]'), (2, 'x')) AS t(i, b)",
     "d1_epoch_millis": "SELECT o_orderkey, epoch_ms(o_orderdate) AS from_time, (o_orderkey % 1000) * 1000 AS from_number, epoch_ms(date_trunc('second', o_orderdate)) AS from_text, CASE WHEN o_orderkey % 1000 = 0 THEN 99 ELSE (o_orderkey % 1000) * 1000 END AS or_now FROM orders",
     "d3_iso": "SELECT event_id, strftime(t, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(t) % 1000000 = 0 THEN '' ELSE strftime(t, '.%f') END AS iso FROM (SELECT event_id, ts + to_microseconds((event_id % 3) * 250000) AS t FROM events)",
@@ -238,7 +238,7 @@ ORACLES = {
     "c1_row_map": "SELECT o_orderkey, field, value FROM (SELECT o_orderkey, 'o_orderkey' AS field, CAST(o_orderkey AS VARCHAR) AS value FROM orders UNION ALL SELECT o_orderkey, 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders UNION ALL SELECT o_orderkey, 'o_orderstatus', CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END FROM orders UNION ALL SELECT o_orderkey, 'o_orderdate', strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') FROM orders UNION ALL SELECT o_orderkey, 'late', CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END FROM orders) WHERE value IS NOT NULL",
     "c2_json_map_explode": "SELECT event_id, 'z' AS file_id, 'k' AS s3_key FROM events WHERE event_id % 7 = 2 UNION ALL SELECT event_id, 'k', json_extract_string(props, '$.k') FROM events WHERE event_id % 7 > 2 AND json_extract_string(props, '$.k') <> ''",
     "c3_struct_json": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '{\"name\":\"' || c_name || '\"}' ELSE '{\"name\":\"' || c_name || '\",\"segment\":\"' || c_mktsegment || '\"}' END AS json, c_name AS name, CASE WHEN c_custkey % 2 <> 0 THEN c_mktsegment END AS segment FROM customer",
-    "c6_blocks_in_order": "SELECT vec_id // 12 AS page, string_agg(CAST(label AS VARCHAR), ',' ORDER BY vec_id) AS labels FROM embeddings WHERE vec_id < 96 GROUP BY vec_id // 12",
+    "c6_blocks_in_order": "SELECT vec_id // 12 AS page, string_agg(CAST(label AS VARCHAR), ',' ORDER BY vec_id) AS labels FROM embeddings GROUP BY vec_id // 12",
     "c8_column_types": "SELECT * FROM (VALUES ('a', '{\"id\":\"bigint\",\"name\":\"text\"}'), ('b', '{\"id\":\"bigint\"}')) AS t(t, types)",
     "c10_nested_default": "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, coalesce(json_extract_string(props, '$.a.b'), 'none') AS b FROM events",
     "c11_flatten": "SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) || ',-1' AS turns FROM conversations GROUP BY conv_id",

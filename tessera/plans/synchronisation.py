@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import synchronisation as sync
+from tessera.runtime import shared_dir
 from tessera.sources import sinks
 from tessera.sources.tables import catalog, read
 from tessera.streaming import sync_stream
@@ -17,9 +17,8 @@ SINCE = "TIMESTAMP_NTZ '2024-01-20 00:00:00'"
 
 
 def _dir(spark: SparkSession) -> str:
-    """A folder for a query's store: shared where the cluster names one, else temporary."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{at.rstrip('/')}/tessera-sync-{uuid.uuid4().hex}"
+    """A new folder for a query's store."""
+    return f"{shared_dir(spark)}/tessera-sync-{uuid.uuid4().hex}"
 
 
 def i8_change_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,20 +77,20 @@ def a4_job_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.job_counters(l.select(F.col("l_linestatus").alias("table_name"), (F.col("l_returnflag") != "R").alias("success")))
 
 
-def _refs(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    o = read(spark, sf_dir, "orders").where("true" if whole else "o_orderkey < 5000").select(F.col("o_custkey").alias("record_id"), F.col("o_orderkey").alias("k"))
+def _refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("record_id"), F.col("o_orderkey").alias("k"))
     key, url = F.concat(F.lit("k/"), "k"), F.concat(F.lit("u/"), "k")
     old = o.where("k % 3 <> 0").select("record_id", F.when(F.col("k") % 2 == 0, key).otherwise(F.lit("")).alias("s3_key"), F.when(F.col("k") % 7 == 0, F.lit("")).otherwise(url).alias("url"), F.col("k").alias("file_no"))
     new = o.where("k % 4 <> 0").select("record_id", F.when(F.col("k") % 2 == 0, key).alias("s3_key"), url.alias("url"), F.col("k").alias("file_no"))
     return old, new
 
 
-def j6_ref_diff(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return sync.reference_diff(*_refs(spark, sf_dir, whole))
+def j6_ref_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.reference_diff(*_refs(spark, sf_dir))
 
 
-def j8_match_downloads(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    old, new = _refs(spark, sf_dir, whole)
+def j8_match_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _refs(spark, sf_dir)
     return sync.match_downloads(new.drop("record_id", "file_no"), old).select("key", "record_id")
 
 
@@ -159,7 +158,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATUS = "CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'COMPLETED_WITH_ERRORS' ELSE 'COMPLETED' END"
 _LATEST = f"k AS (SELECT 't' || user_id AS table_name, event_id AS records_processed, event_id % 3 AS records_failed, {_STATUS} AS sync_status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"
 _CHANGES = "c AS (SELECT event_id AS record_id, CASE WHEN ts > TIMESTAMP '2024-01-20' THEN 'insert' ELSE 'update' END AS change_type FROM events WHERE ts + to_days(CAST(event_id % 20 AS INT)) > TIMESTAMP '2024-01-20')"
-_REFS = "o AS (SELECT o_custkey AS record_id, o_orderkey AS k FROM orders WHERE o_orderkey < 5000), old AS (SELECT record_id, k, CASE WHEN k % 2 = 0 THEN 'k/' || k WHEN k % 7 <> 0 THEN 'u/' || k END AS key FROM o WHERE k % 3 <> 0), new AS (SELECT record_id, k, CASE WHEN k % 2 = 0 THEN 'k/' || k ELSE 'u/' || k END AS key FROM o WHERE k % 4 <> 0)"
+_REFS = "o AS (SELECT o_custkey AS record_id, o_orderkey AS k FROM orders), old AS (SELECT record_id, k, CASE WHEN k % 2 = 0 THEN 'k/' || k WHEN k % 7 <> 0 THEN 'u/' || k END AS key FROM o WHERE k % 3 <> 0), new AS (SELECT record_id, k, CASE WHEN k % 2 = 0 THEN 'k/' || k ELSE 'u/' || k END AS key FROM o WHERE k % 4 <> 0)"
 _DIFF = "diff AS (SELECT coalesce(a.record_id, b.record_id) AS record_id, coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM (SELECT DISTINCT record_id, key FROM old WHERE key IS NOT NULL) a FULL JOIN (SELECT DISTINCT record_id, key FROM new) b ON a.record_id = b.record_id AND a.key = b.key)"
 _ALL = "SELECT 't' || range AS table_name FROM range(160)"
 

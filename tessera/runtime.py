@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,6 +12,22 @@ from pyspark.sql import SparkSession
 _sent: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a folder under the machine's temporary one is chosen and set if all of Spark runs in one
+    process there, as in tests; on a cluster that is an error, as executors don't share such a folder.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all machines share")
+        at = f"file://{tempfile.gettempdir()}/tessera-scratch-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the session's executors, once for each application.
 

@@ -66,3 +66,11 @@ def schema_json(columns: DataFrame) -> DataFrame:
     """(table_name, json): each table's columns as a JSON document."""
     one = columns.groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct("position", "column_name", "data_type", "nullable"))).alias("columns"))
     return one.select("table_name", F.to_json(F.struct("table_name", "columns")).alias("json"))
+
+
+def posted(rows: DataFrame, code: str, body: str, chars: int = 200) -> DataFrame:
+    """The answers to documents posted one by one: codes 200 and 201 are taken; any other is an error with its code and
+    the first characters of the answer."""
+    ok = F.coalesce(F.col(code).isin(200, 201), F.lit(False))
+    said = F.concat(F.col(code).cast("string"), F.lit(": "), F.substring(F.coalesce(body, F.lit("")), 1, chars))
+    return rows.withColumn("success", ok).withColumn("error", F.when(~ok, said))
