@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.runtime import ship
+from tessera.runtime import shared_dir, ship
 
 #: Rows in an Arrow batch handed to Python. Some texts have a megabyte, so few rows bound memory.
 ROWS_PER_BATCH = 256
@@ -42,18 +42,6 @@ def bound_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
         spark.conf.set(key, str(rows))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir where it is set.
-
-    Only where it is unset, as in tests on one machine, a folder under /tmp is chosen and set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file:///tmp/tessera-scratch-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -61,7 +49,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     tasks it ran, never the table.
     """
     spark = df.sparkSession
-    at = f"{scratch_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._scratch = at
@@ -112,7 +100,8 @@ def least_hashed(rows: DataFrame, group: str, hash_col: str, most: int, sizes: D
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """Apply ``fn`` to each record batch of ``df``."""
+    """Apply ``fn`` to each record batch of ``df``. The package goes to the executors first."""
+    ship(df.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

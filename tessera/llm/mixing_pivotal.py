@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from xxhash import xxh3_64_intdigest
 
 from tessera.llm.common import NULL_ID, discard, materialise
+from tessera.runtime import ship
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 _EPS = 1e-9
@@ -172,6 +173,7 @@ def _reduce(rows: DataFrame, blocks: str, seed: int, level: int, last: bool, spa
         yield from done()
 
     block = F.expr(blocks).cast("long").alias("block")
+    ship(rows.sparkSession)
     dealt = rows.select("source_no", block, "n_docs", "kid", "kh", "twin", "size", "p")
     dealt = dealt.repartition("source_no", "block").sortWithinPartitions("source_no", "block")
     return dealt.mapInArrow(each, _REDUCED)

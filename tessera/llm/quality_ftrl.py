@@ -23,6 +23,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tessera.llm import lexer
 from tessera.llm.common import least_hashed, map_arrow, text_or_empty, utf8
+from tessera.runtime import ship
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = ord("a")
@@ -131,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, how: Ftrl = Ftrl()
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weights[at])], names=["feature", "weight"])
 
     out = np.zeros((1 << how.bits) + 1)
+    ship(docs.sparkSession)
     got = rows.mapInArrow(fit, "feature long, weight double").toPandas()
     out[got["feature"].to_numpy(np.int64)] = got["weight"].to_numpy()
     return out

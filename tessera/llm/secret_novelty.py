@@ -186,7 +186,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", how:
         arrays = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
         return pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return docs.mapInArrow(lambda batches: (each(b) for b in batches), docs.schema)
+    return map_arrow(docs, each, docs.schema)
 
 
 def _masked(text: str, mask: str, how: Novelty) -> str:

@@ -42,6 +42,7 @@ from xxhash import xxh3_128_digest
 from tessera.llm import lexer
 from tessera.llm.common import NULL_ID, discard, groups, keyed, lists, map_arrow, materialise, utf8
 from tessera.llm.components import components
+from tessera.runtime import ship
 
 #: Counters of the sketch, a power of two, and the slices it travels in.
 COUNTERS, SLICES = 1 << 21, 128
@@ -116,6 +117,7 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "counts"])
 
     schema = "slice int, counts binary"
+    ship(docs.sparkSession)
     parts = docs.select("text").mapInArrow(count, schema).repartition(16, "slice").mapInArrow(add, schema)
     out = np.zeros(COUNTERS, np.uint32)
     for k, raw in parts.toLocalIterator():
