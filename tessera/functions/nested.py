@@ -65,3 +65,8 @@ def blocks_in_order(blocks: Column) -> Column:
 def freshness(millis: Column, now: int, max_age_s: int = 3 * 30 * 24 * 3600) -> Column:
     """1 for now, falling linearly to 0 at the greatest age."""
     return F.greatest(F.lit(0.0), F.lit(1.0) - F.greatest(F.lit(now) - millis, F.lit(0)) / (1000.0 * max_age_s))
+
+
+def cells(json: Column) -> Column:
+    """A tensor as JSON cells, as an array of (address map, value); anything else: null."""
+    return F.from_json(json, "cells array<struct<address:map<string,string>,value:double>>")["cells"]

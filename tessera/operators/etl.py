@@ -72,3 +72,24 @@ def hashed_model(dims: int = 128, patches: int = 4) -> Callable[[list[str]], np.
         return np.stack([np.random.default_rng(zlib.crc32(t.encode())).standard_normal((patches, dims)) for t in texts])
 
     return model
+
+
+def labelled(regions: DataFrame, model: Callable[[list[str]], list[str]], column: str = "text", batch: int = 8) -> DataFrame:
+    """Rows (page_id, region, ...) with ``label`` and ``by_model``: what the model calls each, ``batch`` at once. A batch
+    that fails is asked one by one; what fails then is called by its number."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in regions.schema.fields)
+
+    def asked(texts: list[str]) -> list[str | None]:
+        try:
+            return list(model(texts))
+        except Exception:  # the model's fault; its answers are optional
+            return [None] if len(texts) == 1 else [x for t in texts for x in asked([t])]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf[column].fillna("").tolist()
+            said = [x for a in range(0, len(texts), batch) for x in asked(texts[a : a + batch])]
+            names = [x if x is not None else f"region_{n}" for x, n in zip(said, pdf["region"].tolist(), strict=True)]
+            yield pdf.assign(label=names, by_model=[x is not None for x in said])
+
+    return regions.mapInPandas(each, f"{schema}, label string, by_model boolean")

@@ -345,6 +345,59 @@ def detect(method: str, gray: np.ndarray, vector: dict | None = None, settings:
     return [whole, *found]
 
 
+_PATHS = "array<struct<box:array<double>,lines:array<array<double>>,rects:array<array<double>>>>"
+
+
+def page_regions(pages: DataFrame, method: str = "auto", settings: Settings = DEFAULT) -> DataFrame:
+    """REGION rows of (page_id, width, height, gray, width_pt, height_pt, paths, texts) pages, one page in memory at a
+    time; null paths: the page has none."""
+
+    def rows(values: object, n: int = 4) -> np.ndarray:
+        return np.array([list(v) for v in values], float).reshape(-1, n) if values is not None and len(values) else np.empty((0, n))
+
+    def one(r) -> list[dict]:
+        gray = np.frombuffer(r.gray, np.uint8).reshape(r.height, r.width)
+        vector = None
+        if r.paths is not None:
+            paths = [{"box": p["box"], "lines": list(rows(p["lines"])), "rects": list(rows(p["rects"]))} for p in r.paths]
+            vector = {"width_pt": r.width_pt, "height_pt": r.height_pt, "width_px": r.width, "height_px": r.height, "paths": paths, "texts": rows(r.texts)}
+        return detect(method, gray, vector, settings)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                got = pd.DataFrame(one(r))
+                got.insert(0, "page_id", r.page_id)
+                got.insert(1, "region", np.arange(len(got)))
+                yield got
+
+    return pages.select("page_id", "width", "height", "gray", "width_pt", "height_pt", "paths", "texts").mapInPandas(each, REGION)
+
+
+def drawn_pages(ids: DataFrame, side: int = 2000) -> DataFrame:
+    """Pages for page_regions(), drawn by their number modulo 3: two frames with paths in them; two dark fields of
+    pixels; blank."""
+
+    def frame(x: float) -> list[dict]:
+        corners = [[x, 100.0, x + 400.0, 100.0], [x, 900.0, x + 400.0, 900.0], [x, 100.0, x, 900.0]]
+        inner = [{"box": [x + 20.0 * k, 200.0, x + 20.0 * k + 30.0, 300.0], "lines": [], "rects": []} for k in range(1, 8)]
+        return [{"box": [x, 100.0, x + 400.0, 900.0], "lines": corners, "rects": []}, *inner]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for page in pdf["page_id"].tolist():
+                gray, paths = np.full((side, side), 255, np.uint8), None
+                if page % 3 == 0:
+                    paths = [*frame(50.0), *frame(520.0)]
+                elif page % 3 == 1:
+                    gray[100:900, 100:1900] = gray[1100:1900, 100:1900] = 0
+                row = {"page_id": page, "width": side, "height": side, "gray": gray.tobytes(), "width_pt": 1000.0, "height_pt": 1000.0, "paths": paths, "texts": []}
+                yield pd.DataFrame([row])
+
+    kinds = f"page_id long, width long, height long, gray binary, width_pt double, height_pt double, paths {_PATHS}, texts array<array<double>>"
+    return ids.select("page_id").mapInPandas(each, kinds)
+
+
 def image_regions(pages: DataFrame, method: str = "auto", settings: Settings = DEFAULT) -> DataFrame:
     """REGION rows of (page_id, width, height, gray binary) pages, one page in memory at a time."""
 

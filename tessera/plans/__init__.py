@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import flows, ingestion, pages, retrieval, scalars, sources, synchronisation
+from tessera.plans import details, flows, ingestion, pages, ranking, retrieval, scalars, sources, synchronisation
 
-_AREAS = (retrieval, scalars, ingestion, synchronisation, pages, flows, sources)
+_AREAS = (retrieval, scalars, ingestion, synchronisation, pages, flows, sources, ranking, details)
 
 
 def queries() -> dict:
