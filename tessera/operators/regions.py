@@ -117,11 +117,20 @@ def table_grids(items: DataFrame, pages: DataFrame) -> DataFrame:
     return box.join(n.where(F.col("crossing") >= TABLE_LINES), ["page_id", "cluster"]).select("page_id", "x0", "y0", "x1", "y1")
 
 
-def overlaps(a: DataFrame, b: DataFrame, prefix: str = "o") -> DataFrame:
-    """Pairs of boxes of one page that overlap: a range join inside the equi-join on the page."""
+def overlaps(a: DataFrame, b: DataFrame, prefix: str = "o", cell: int = 256) -> DataFrame:
+    """Pairs of boxes of one page that overlap. Boxes meet in the cells of a grid that they reach; a pair counts in the
+    cell of the upper left corner of what they share, so once, and a page's boxes are not all compared."""
+    at = lambda c: F.floor(F.col(c) / cell)
+
+    def celled(boxes: DataFrame, p: str) -> DataFrame:
+        boxes = boxes.withColumn("cx", F.explode(F.sequence(at(f"{p}x0"), at(f"{p}x1"))))
+        return boxes.withColumn("cy", F.explode(F.sequence(at(f"{p}y0"), at(f"{p}y1"))))
+
     o = b.select("page_id", *[F.col(c).alias(f"{prefix}_{c}") for c in b.columns if c != "page_id"])
     hit = (F.col(f"{prefix}_x0") < F.col("x1")) & (F.col(f"{prefix}_x1") > F.col("x0")) & (F.col(f"{prefix}_y0") < F.col("y1")) & (F.col(f"{prefix}_y1") > F.col("y0"))
-    return a.join(o, "page_id").where(hit)
+    corner = lambda c: F.floor(F.greatest(F.col(c), F.col(f"{prefix}_{c}")) / cell)
+    met = celled(a, "").join(celled(o, f"{prefix}_"), ["page_id", "cx", "cy"]).where(hit)
+    return met.where((F.col("cx") == corner("x0")) & (F.col("cy") == corner("y0"))).drop("cx", "cy")
 
 
 def unclaimed(boxes: DataFrame, areas: DataFrame, near: float = INSIDE_NEAR) -> DataFrame:

@@ -57,6 +57,19 @@ def thumbnail(gray: np.ndarray, most: int = 100) -> np.ndarray:
     return padded.reshape(h, step, w, step).mean(axis=(1, 3)).round().astype(np.uint8)
 
 
+def thumbnails(pages: DataFrame, most: int = 100) -> DataFrame:
+    """(page_id, height, width, pixels) of (page_id, width, height, gray) pages, one in memory at a time."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                small = thumbnail(np.frombuffer(r.gray, np.uint8).reshape(r.height, r.width), most)
+                row = {"page_id": r.page_id, "height": small.shape[0], "width": small.shape[1], "pixels": small.ravel().astype(int).tolist()}
+                yield pd.DataFrame([row])
+
+    return pages.select("page_id", "width", "height", "gray").mapInPandas(each, "page_id long, height long, width long, pixels array<int>")
+
+
 @dataclass
 class Agent:
     """A loop of at most ``steps`` tool calls: ``decide`` gets what was found so far and answers

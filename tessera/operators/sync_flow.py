@@ -32,16 +32,15 @@ def sync_table(table: str, rows: DataFrame, store: SnapshotStore, since: datetim
     before = store.read()
     old = _references(before.join(documents.select("doc_id"), "doc_id", "left_semi")) if before is not None else spark.createDataFrame([], "record_id string, s3_key string, url string")
     files = sync.reference_diff(old, _references(documents))
-    store.upsert(documents)
-    n_deleted = 0
-    if deletes:
-        mine = store.read().where(F.col("source_table") == table)
+    gone, n_deleted = None, 0
+    if deletes and before is not None:
+        mine = before.where(F.col("source_table") == table)
         gone = sync.deleted(mine.select(F.col("source_id").alias("id")), rows.select(F.col(key).alias("id")), "id")
         gone = gone.select(F.concat(F.lit(f"{table}:"), "id").alias("doc_id"))
         n_deleted = gone.count()
-        if n_deleted:
-            store.delete(gone)
-    processed, failed = documents.count(), rejects.count()
+    counts = documents.select(F.lit(True).alias("ok")).unionByName(rejects.select(F.lit(False).alias("ok")))
+    processed, failed = counts.agg(F.count_if("ok"), F.count_if(~F.col("ok"))).first()
+    store.change(documents, gone if n_deleted else None)
     status = "COMPLETED" if failed == 0 else "COMPLETED_WITH_ERRORS"
     checkpoint = spark.createDataFrame([(table, until, None, processed, failed, status, None, until)], sync.CHECKPOINT)
     return {"processed": processed, "failed": failed, "deleted": n_deleted, "files": files, "checkpoint": checkpoint}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from tessera.operators import retrieval as r
 from tessera.operators import synchronisation as sync
 from tessera.plans.retrieval import _bm25_sql, patches, tokens
 from tessera.plans.synchronisation import _dir
+from tessera.runtime import ship
 from tessera.sources.sinks import SnapshotStore
 from tessera.sources.tables import read
 
@@ -157,19 +157,20 @@ def i16_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.update_fields(d.drop("text"), new, "doc_id", ["patches"]).select("doc_id", F.col("patches").cast("long").alias("patches"))
 
 
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return regions.drawn_pages(read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id")))
+
+
 def e5_vector_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions of a page with two groups of paths, by paths alone."""
-    rng = np.random.default_rng(3)
-    paths = []
-    for x0, y0, x1, y1 in ((50, 50, 800, 400), (1500, 1000, 2400, 1400)):
-        paths += [{"box": (x0, y0, x1, y1) if k == 0 else (a := x0 + rng.integers(0, 300), b := y0 + rng.integers(0, 150), a + 300, b + 150), "lines": [], "rects": []} for k in range(8)]
-    got = regions.vector_regions(2592, 1728, 5400, 3600, paths, np.empty((0, 4)))
-    return spark.createDataFrame([(g["x"], g["y"], g["width"], g["height"], g["content_hint"]) for g in got], "x long, y long, width long, height long, hint string")
+    """Regions of pages with two frames of paths, by paths alone."""
+    got = regions.page_regions(_drawn(spark, sf_dir).where("page_id % 3 = 0"), "pdf_vector")
+    return got.where("region_type = 'detected'").select("page_id", "x", "y", "width", "height", F.col("content_hint").alias("hint"))
 
 
 def e12_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = serving.thumbnail(np.tile(np.arange(250, dtype=np.uint8), (120, 1)))
-    return spark.createDataFrame([(small.shape[0], small.shape[1], int(small[0, 0]), int(small[-1, -1]))], "height long, width long, first long, last long")
+    """Small images of drawn pages: their sizes, corners and a point in the upper field."""
+    return serving.thumbnails(_drawn(spark, sf_dir)).select("page_id", "height", "width", F.get("pixels", F.lit(0)).alias("first"), F.get("pixels", F.lit(2050)).alias("inside"))
 
 
 def j12_patch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,10 +205,9 @@ ORACLES = {
     "u4_changed_ids": "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 IN (1, 2)",
     "i7_incremental_sync": "SELECT 'orders:' || o_orderkey AS doc_id, CASE WHEN o_orderkey % 7 = 0 THEN 'NEW' ELSE o_orderstatus END AS content_text, CASE WHEN o_orderkey % 7 = 0 THEN 'k/new.pdf' ELSE 'k/' || o_orderkey || '/a.pdf' END AS s3_key FROM orders WHERE o_orderkey % 5 <> 0",
     "i16_backfill": "SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 2 END AS BIGINT) AS patches FROM documents",
-    "e5_vector_regions": None,
-    "e12_thumbnails": None,
+    "e5_vector_regions": "SELECT CAST(n_nationkey AS BIGINT) AS page_id, x, 200 AS y, 800 AS width, 1600 AS height, 'drawing_view' AS hint FROM nation, (VALUES (100), (1040)) AS r(x) WHERE n_nationkey % 3 = 0",
+    "e12_thumbnails": "SELECT CAST(n_nationkey AS BIGINT) AS page_id, 100 AS height, 100 AS width, 255 AS first, CASE WHEN n_nationkey % 3 = 1 THEN 0 ELSE 255 END AS inside FROM nation",
     "j12_patch_pairs": "SELECT vec_id // 8 AS page, count(*) * 3 AS pairs FROM embeddings GROUP BY vec_id // 8",
     "f6_paths": "SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS base FROM pages",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
-ORACLES = {name: sql for name, sql in ORACLES.items() if sql}

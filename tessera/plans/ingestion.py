@@ -116,7 +116,10 @@ def s7_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s8_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.sample(src.read(spark, sf_dir, "orders").select("o_orderkey"), 5)
+    """Five orders at random: whichever they are, as many, different, and among all."""
+    o = src.read(spark, sf_dir, "orders").select("o_orderkey")
+    known = src.sample(o, 5).join(o.select(F.col("o_orderkey").alias("k")), F.col("o_orderkey") == F.col("k"), "left")
+    return known.agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("different"), F.count("k").alias("known"))
 
 
 def s12_point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +215,7 @@ ORACLES = {
     "u8_all_documents": "SELECT 'regions:' || r_regionkey AS doc_id, 'regions' AS source_table, r_name AS content_text, CAST(0 AS BIGINT) AS n_links FROM region UNION ALL SELECT 'nations:' || n_nationkey, 'nations', n_name, 1 FROM nation",
     "s6_incremental": "SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '2024-01-20'",
     "s7_limited": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 25",
-    "s8_sample": None,
+    "s8_sample": "SELECT CAST(5 AS BIGINT) AS n, CAST(5 AS BIGINT) AS different, CAST(5 AS BIGINT) AS known",
     "s12_point_get": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7",
     "s13_visit_ids": "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS source_id FROM documents WHERE source = 'src3'",
     "s14_match_count": "SELECT count(*) AS n FROM documents",
@@ -228,4 +231,3 @@ ORACLES = {
     "a2_file_summary": "SELECT CAST(5 AS BIGINT) AS n_columns, CAST(2 AS BIGINT) AS n_tables",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
-ORACLES = {name: sql for name, sql in ORACLES.items() if sql}

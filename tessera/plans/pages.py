@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,8 +108,9 @@ def e6_table_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e10_merge_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged boxes of each page, by an iteration that SQL can't express."""
-    return regions.merge_page_boxes(_boxes(spark, sf_dir, 0), 20.0)
+    """Merged boxes of each page. They stand in one row, where SQL can say what merging comes to."""
+    b = _boxes(spark, sf_dir, 0).withColumn("y0", F.lit(0)).withColumn("y1", F.lit(10))
+    return regions.merge_page_boxes(b, 20.0)
 
 
 def t7_topn_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,23 +118,20 @@ def t7_topn_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.largest(b, 12)
 
 
-def _image(page: int) -> bytes:
-    gray = np.full((2000, 2000), 255, np.uint8)
-    gray[100:900, 100:1700] = gray[1100:1900, 100 : 1700 - 300 * page] = 0
-    return gray.tobytes()
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return regions.drawn_pages(read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id")))
 
 
 def e7_image_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions of two drawn pages by the cascade of methods."""
-    ship(spark)
-    pages = spark.createDataFrame(pd.DataFrame({"page_id": [0, 1], "width": 2000, "height": 2000, "gray": [_image(0), _image(1)]}))
-    return regions.image_regions(pages)
+    """Regions of drawn pages by pixels alone: dark fields where there are some, else tiles."""
+    return regions.image_regions(_drawn(spark, sf_dir)).select("page_id", "x", "y", "width", "height", "region_type")
 
 
 def e8_content_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    pages = spark.createDataFrame(pd.DataFrame({"page_id": [0, 1], "width": 2000, "height": 2000, "gray": [_image(0), _image(1)]}))
-    return regions.image_regions(pages, "content_aware")
+    """Tiles cut at the least content, of blank pages: the first places of the windows around even cuts."""
+    got = regions.image_regions(_drawn(spark, sf_dir).where("page_id % 3 = 2"), "content_aware")
+    return got.where("region_type <> 'full_page'").select("page_id", "x", "y", "width", "height", "region_type")
 
 
 def e14_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,10 +210,10 @@ ORACLES = {
     "p12_border_boxes": f"SELECT box, x1 - x0 > 85 AND y1 - y0 > 59.5 AS spans, (x1 - x0) * (y1 - y0) >= 16000 AS frame FROM ({_boxes_sql(1)})",
     "p11_vector_pages": f"SELECT page_id, page_id % 3 AS n_images FROM (SELECT page_id, count(*) AS n FROM ({_boxes_sql(0)}) GROUP BY page_id) WHERE n >= 10 AND NOT (page_id % 3 = 1 AND n < 20)",
     "e6_table_grids": "SELECT CAST(1 AS BIGINT) AS page_id, 100.0::DOUBLE AS x0, 100.0::DOUBLE AS y0, 600.0::DOUBLE AS x1, 300.0::DOUBLE AS y1",
-    "e10_merge_boxes": None,
+    "e10_merge_boxes": f"WITH b AS ({_boxes_sql(0)}), m AS (SELECT *, max(x1) OVER (PARTITION BY page_id ORDER BY x0, box ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b), g AS (SELECT *, sum(CASE WHEN x0 - 20 <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY x0, box) AS run FROM m) SELECT page_id, CAST(min(x0) AS DOUBLE) AS x0, 0.0::DOUBLE AS y0, CAST(max(x1) AS DOUBLE) AS x1, 10.0::DOUBLE AS y1 FROM g GROUP BY page_id, run",
     "t7_topn_per_group": f"SELECT page_id, x0 AS x, y0 AS y, x1 - x0 AS width, y1 - y0 AS height FROM ({_boxes_sql(0)}) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY (x1 - x0) * (y1 - y0) DESC, x0, y0) <= 12",
-    "e7_image_regions": None,
-    "e8_content_tiles": None,
+    "e7_image_regions": "SELECT CAST(n_nationkey AS BIGINT) AS page_id, x, y, w AS width, h AS height, t AS region_type FROM nation, (VALUES (1, 0, 0, 2000, 2000, 'full_page'), (1, 50, 50, 1950, 950, 'detected'), (1, 50, 1000, 1950, 1000, 'detected'), (9, 0, 0, 2000, 2000, 'full_page'), (9, 0, 0, 1800, 1800, 'tile'), (9, 200, 0, 1800, 1800, 'tile'), (9, 0, 200, 1800, 1800, 'tile'), (9, 200, 200, 1800, 1800, 'tile')) AS r(k, x, y, w, h, t) WHERE k = CASE n_nationkey % 3 WHEN 1 THEN 1 ELSE 9 END",
+    "e8_content_tiles": "WITH c AS (SELECT * FROM (VALUES (0, 626), (626, 667), (1293, 707)) AS c(a, n)) SELECT CAST(n_nationkey AS BIGINT) AS page_id, a.a AS x, b.a AS y, a.n AS width, b.n AS height, 'content_tile' AS region_type FROM nation, c a, c b WHERE n_nationkey % 3 = 2",
     "e14_dispatch": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 4 THEN 'image' ELSE 'unsupported' END AS processor, CASE doc_id % 5 WHEN 2 THEN 'Unsupported file type: doc' WHEN 3 THEN 'Unsupported file type: none' END AS error FROM documents",
     "e1_page_documents": "WITH d AS (SELECT doc_id, length(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) + 3 AS n FROM documents WHERE doc_id % 9 <> 0) SELECT 'File ' || doc_id AS title, CAST(1 AS BIGINT) AS page_number, n, CASE WHEN n > 200 THEN 203 ELSE n END AS n_snippet FROM d UNION ALL SELECT 'File ' || doc_id, 2, 0, length('Page 2 of File ' || doc_id || '.pdf') FROM d",
     "e3_embed": "SELECT doc_id, CAST(3 AS BIGINT) AS patches, true AS agree FROM documents",
@@ -227,4 +223,3 @@ ORACLES = {
     "u5_full_page_first": f"WITH {_TILES} SELECT CAST(page_id AS BIGINT) AS page_id, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, 'full_page' AS label FROM t UNION ALL SELECT * FROM tiles",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
-ORACLES = {name: sql for name, sql in ORACLES.items() if sql}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators import synchronisation as sync
 from tessera.runtime import shared_dir
 from tessera.sources import sinks
-from tessera.sources.tables import catalog, read
+from tessera.sources.tables import catalog, incremental, read
 from tessera.streaming import sync_stream
 
 SINCE = "TIMESTAMP_NTZ '2024-01-20 00:00:00'"
@@ -155,6 +155,28 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windowed count as a stream of three files: the third holds the older half of the events, which comes after the
+    watermark has passed it and is dropped. A batch drops by the mark with which the one before it began, so two go
+    before. Windows that the watermark has closed are told."""
+    at = _dir(spark)
+    e = read(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    late = F.col("ts") < F.expr("TIMESTAMP '2024-01-15 00:00:00'")
+    e.where(~late & (F.col("event_id") % 2 == 0)).coalesce(1).write.parquet(f"{at}/in/a")
+    e.where(~late & (F.col("event_id") % 2 == 1)).coalesce(1).write.parquet(f"{at}/in/b")
+    e.where(late).coalesce(1).write.parquet(f"{at}/in/c")
+    counted = sync_stream.windowed_counts(sync_stream.arriving(spark, f"{at}/in/*", e.schema, 1), late="1 day", width="1 day")
+    flat = counted.select("window.start", "event_type", "n")
+    sync_stream.run_available(flat, f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema(flat.schema).parquet(f"{at}/out").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+def s6_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes since a mark and of the hour before it, in case some came late."""
+    e = read(spark, sf_dir, "events")
+    return incremental(e, "ts", F.expr(SINCE), overlap_s=3600).select("event_id")
+
+
 _STATUS = "CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'COMPLETED_WITH_ERRORS' ELSE 'COMPLETED' END"
 _LATEST = f"k AS (SELECT 't' || user_id AS table_name, event_id AS records_processed, event_id % 3 AS records_failed, {_STATUS} AS sync_status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"
 _CHANGES = "c AS (SELECT event_id AS record_id, CASE WHEN ts > TIMESTAMP '2024-01-20' THEN 'insert' ELSE 'update' END AS change_type FROM events WHERE ts + to_days(CAST(event_id % 20 AS INT)) > TIMESTAMP '2024-01-20')"
@@ -184,6 +206,8 @@ ORACLES = {
     "k8_schema_json": "SELECT * FROM (VALUES ('nation', 'n_nationkey,n_name,n_regionkey'), ('region', 'r_regionkey,r_name')) AS t(table_name, columns)",
     "u2_key_sets": "WITH s AS (SELECT user_id, list_distinct(list(event_type) FILTER (event_id % 2 = 0)) AS a, list_distinct(list(event_type) FILTER (event_id % 3 = 0)) AS b FROM events GROUP BY user_id) SELECT user_id, coalesce(array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(coalesce(b, []), x))), ','), '') AS added, coalesce(array_to_string(list_sort(list_filter(a, lambda x: list_contains(coalesce(b, []), x))), ','), '') AS kept FROM s",
     "stream_sync": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "stream_late": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND date_trunc('day', ts) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) GROUP BY ALL",
+    "s6_overlap": "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-19 23:00:00'",
     "stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}

@@ -2,49 +2,111 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import synchronisation as sync
 
 
 class SnapshotStore:
-    """Documents of a store as versions of a Parquet table. A version counts once its pointer is written, so
-    a writer that dies leaves the version before. Writes are idempotent by key."""
+    """Documents of a store as versions of a Parquet table in buckets by the hash of their key.
+
+    A change rewrites the buckets that its keys fall in, into a folder of the new version; the version's pointer, a
+    manifest of the folder that each bucket is in, is written last and only if no other writer has made it,
+    so a writer that dies leaves the version before, and of two writers one is told to try again. Writes are
+    idempotent by key. Buckets that no manifest of the last ``keep`` versions names are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64, keep: int = 2) -> None:
+        self.spark, self.path, self.key, self.buckets, self.keep = spark, path.rstrip("/"), key, buckets, keep
 
-    def __init__(self, spark: SparkSession, path: str, key: str) -> None:
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        found = self._fs().globStatus(self._path("done-*")) or []
+        return sorted(int(f.getPath().getName().split("-")[1]) for f in found)
 
     def version(self) -> int:
         """The last version with a pointer, 0 if there is none."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done-*")
-        found = self._fs().globStatus(p) or []
-        return max((int(f.getPath().getName().split("-")[1]) for f in found), default=0)
-
-    def read(self) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.path}/v{v}") if v else None
-
-    def write(self, df: DataFrame) -> int:
-        v = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        self._fs().create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done-{v}")).close()
-        return v
+        return max(self._versions(), default=0)
+
+    def _manifest(self, version: int) -> dict[int, str]:
+        """Bucket to folder; one line a bucket, and as many lines as buckets at most."""
+        if not version:
+            return {}
+        lines = self.spark.read.text(f"{self.path}/done-{version}").collect()
+        return {int(b): folder for b, folder in (line[0].split(" ") for line in lines)}
+
+    def _folders(self, manifest: dict[int, str], only: set[int] | None = None) -> DataFrame | None:
+        wanted = [f"{self.path}/{folder}" for b, folder in sorted(manifest.items()) if only is None or b in only]
+        return self.spark.read.parquet(*wanted) if wanted else None
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """The store as of a version, the last one by default; null if it has none."""
+        return self._folders(self._manifest(self.version() if version is None else version))
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _touched(self, ids: DataFrame) -> set[int]:
+        return {r[0] for r in ids.select(self._bucket().alias("b")).distinct().collect()}
+
+    def _commit(self, rows: DataFrame | None, touched: set[int], before: int) -> int:
+        """Write the new content of the touched buckets, then the pointer."""
+        version, manifest = before + 1, self._manifest(before)
+        folder = f"v{version}-{uuid.uuid4().hex}"
+        if rows is not None:
+            dealt = rows.withColumn("store_bucket", self._bucket()).repartition("store_bucket")
+            dealt.write.partitionBy("store_bucket").parquet(f"{self.path}/{folder}")
+        written = {b for b in touched if self._fs().exists(self._path(f"{folder}/store_bucket={b}"))}
+        manifest = {b: f for b, f in manifest.items() if b not in touched} | {b: f"{folder}/store_bucket={b}" for b in written}
+        out = self._fs().create(self._path(f"done-{version}"), False)  # an error if another writer was first
+        out.write(bytearray("\n".join(f"{b} {f}" for b, f in sorted(manifest.items())).encode()))
+        out.close()
+        self._clean()
+        return version
+
+    def _clean(self) -> None:
+        versions = self._versions()
+        for old in versions[: -self.keep]:
+            held = {f for v in versions[-self.keep :] for f in self._manifest(v).values()}
+            for folder in set(self._manifest(old).values()) - held:
+                self._fs().delete(self._path(folder), True)
+            self._fs().delete(self._path(f"done-{old}"), False)
+
+    def change(self, rows: DataFrame | None, gone: DataFrame | None = None) -> int:
+        """Upsert ``rows`` and delete the keys of ``gone`` in one version; of rows with one key any one counts."""
+        before = self.version()
+        manifest = self._manifest(before)
+        parts = [x.select(self.key) for x in (rows, gone) if x is not None]
+        touched = set().union(*[self._touched(x) for x in parts])
+        now = self._folders(manifest, touched)
+        if rows is not None:
+            rows = rows.dropDuplicates([self.key])
+            now = rows if now is None else sync.upsert(now, rows, self.key)
+        if gone is not None and now is not None:
+            now = sync.delete(now, gone, self.key)
+        return self._commit(now, touched, before)
 
     def upsert(self, rows: DataFrame) -> int:
-        """Rows in the place of those with their keys; of rows with one key any one counts."""
-        rows, now = rows.dropDuplicates([self.key]), self.read()
-        return self.write(rows if now is None else sync.upsert(now, rows, self.key))
+        """Rows in the place of those with their keys."""
+        return self.change(rows)
 
     def update(self, rows: DataFrame, fields: list[str]) -> int:
-        return self.write(sync.update_fields(self.read(), rows, self.key, fields))
+        """These fields of stored rows; keys that the store doesn't have are left out."""
+        before = self.version()
+        touched = self._touched(rows)
+        now = self._folders(self._manifest(before), touched)
+        return self._commit(None if now is None else sync.update_fields(now, rows, self.key, fields), touched, before)
 
     def delete(self, ids: DataFrame) -> int:
-        return self.write(sync.delete(self.read(), ids, self.key))
+        return self.change(None, ids)
 
 
 def append_checkpoint(log: DataFrame, path: str) -> None:

@@ -41,12 +41,17 @@ def timestamp_column(columns: list[str], preferred: tuple[str, ...] = DEFAULT.ti
     return next((c for c in preferred if c in columns), None)
 
 
-def incremental(df: DataFrame, column: str | None, since: object | None, until: object | None = None) -> DataFrame:
-    """Rows changed after ``since`` (and not after ``until``); without a column or mark all. Not sorted."""
+def incremental(df: DataFrame, column: str | None, since: object | None, until: object | None = None, overlap_s: int = 0) -> DataFrame:
+    """Rows changed after ``since`` (and not after ``until``); without a column or mark all. Not sorted.
+
+    ``overlap_s``: changes of so many seconds before the mark are read again, as some may have come late; the
+    store replaces by key, so a row read twice counts once.
+    """
     if column is None:
         return df
     if since is not None:
-        df = df.where(F.col(column) > F.lit(since))
+        mark = F.lit(since)
+        df = df.where(F.col(column) > (mark - F.make_dt_interval(secs=F.lit(overlap_s)) if overlap_s else mark))
     return df if until is None else df.where(F.col(column) <= F.lit(until))
 
 

@@ -27,7 +27,7 @@ def sync_available(spark: SparkSession, path: str, schema, store: SnapshotStore,
             rows = latest_by_key(rows.unionByName(now.join(rows.select(key), key, "left_semi")), key, order)
         store.upsert(rows)
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    stream = arriving(spark, path, schema, files_per_batch)
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
@@ -36,3 +36,14 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
     """Events by type in tumbling windows; rows later than ``late`` behind the latest are dropped."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+
+
+def arriving(spark: SparkSession, path: str, schema, files_per_batch: int = 64) -> DataFrame:
+    """The files under ``path`` as a stream, the oldest first."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Append what the stream tells of all that has arrived; a run after a failure goes on where the last one ended."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
