@@ -458,7 +458,6 @@ def candidates_of_parts(signs: DataFrame, rest: DataFrame, how: Join) -> tuple[D
     bitmaps allow, from parts in which few nodes agree; and (label, key, node, asked), those in which many do."""
     asked = rest.select("label", "node", F.lit(True).alias("asked"))
     keys = signs.join(asked, ["label", "node"], "left").select("label", "node", "size", F.coalesce("asked", F.lit(False)).alias("asked"), F.explode("keys").alias("key"))
-    keys = materialise(keys, "jaccard-keys")
     counts = keys.groupBy("label", "key").agg(F.count("*").alias("m"), F.max("asked").alias("any")).where("m > 1 AND any")
     met = materialise(keys.join(counts.drop("any"), ["label", "key"]), "jaccard-agree")
     small = met.where(F.col("m") <= how.small)
@@ -469,13 +468,13 @@ def candidates_of_parts(signs: DataFrame, rest: DataFrame, how: Join) -> tuple[D
     for k in "ab":
         pairs = pairs.join(signs.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sign").alias(f"sign_{k}")), k)
     allowed = materialise(_allowed(pairs, how), "jaccard-allowed")
-    discard(keys)
     return allowed, met.where(F.col("m") > how.small).select("label", "key", "node", "asked")
 
 
 def _upper_links(grams: DataFrame, rest: DataFrame, how: Join) -> DataFrame:
     """(a, b), as a table: edges that connect the nodes of ``rest`` (label, node) to what they link to in their clusters."""
-    grams = grams.select("label", "node", "grams").dropDuplicates(["label", "node"])
+    grams = grams.select("label", "node", "grams").join(rest.select("label").distinct(), "label", "left_semi")
+    grams = grams.dropDuplicates(["label", "node"])
     signs = materialise(_signs(grams, how), "jaccard-signs")
     pairs, many = candidates_of_parts(signs, rest, how)
     sets_of = grams.select("node", "grams")

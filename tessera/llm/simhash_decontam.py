@@ -148,11 +148,12 @@ def _windows(docs: DataFrame, items: DataFrame, how: Leaks) -> DataFrame | None:
         pairs = some if pairs is None else pairs.unionByName(some)
     pairs = materialise(pairs.distinct(), "leaks-pairs")
     met = None
-    asked = docs.join(_small(pairs.select("kid", "kh").distinct(), how), ["kid", "kh"], "left_semi").dropDuplicates(["kid", "kh"])
-    asked = materialise(asked.select("kid", "kh", "text"), "leaks-asked")
+    asked = docs.join(_small(pairs.select("kid", "kh").distinct(), how), ["kid", "kh"], "left_semi")
     for width in sorted(widths):
-        wanted = pairs.join(own.where(F.col("width") == width).select("item", "size", "place", "h"), "item")
-        some = _grams(asked, width).join(wanted, ["kid", "kh", "h"])
+        mine = own.where(F.col("width") == width).select("item", "size", "place", "h")
+        # Only shingles of some item are shuffled to the pairs they may count for.
+        shared = _grams(asked, width).join(_small(mine.select("h").distinct(), how), "h", "left_semi")
+        some = shared.join(pairs.join(mine, "item"), ["kid", "kh", "h"])
         some = some.select("kid", "kh", "item", "size", "pos", (F.col("pos") - F.col("place")).alias("start"), "n")
         met = some if met is None else met.unionByName(some)
     met = met.groupBy("kid", "kh", "item", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.collect_set("start").alias("starts"), F.max("n").alias("n"))
@@ -171,12 +172,14 @@ def _windows(docs: DataFrame, items: DataFrame, how: Leaks) -> DataFrame | None:
     long = F.least(F.col("start") + F.col("size"), F.col("n")) - F.greatest("start", F.lit(0)) - (F.col("size") - F.col("most"))
     met = met.where(shared >= how.similarity * (long + F.col("most") - shared) - 1e-9)
     met = met.select("kid", "kh", "item", "size", "start", F.array_contains("starts", F.col("start")).alias("aligned"))
-    said = asked.select("kid", "kh", words_of(F.col("text")).alias("words"))
+    met = materialise(met, "leaks-starts")
+    held = docs.join(_small(met.select("kid", "kh").distinct(), how), ["kid", "kh"], "left_semi")
+    said = held.dropDuplicates(["kid", "kh"]).select("kid", "kh", words_of(F.col("text")).alias("words"))
     start = F.col("start")
     window = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size") + F.least(start, F.lit(0)))
     out = met.join(said, ["kid", "kh"]).select("kid", "kh", "item", "size", "start", "aligned", F.concat_ws(" ", window).alias("window"))
     out = materialise(out, "leaks-windows")
-    discard(own, pairs, asked)
+    discard(own, pairs, met)
     return out
 
 
