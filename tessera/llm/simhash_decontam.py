@@ -193,7 +193,8 @@ def index_pairs(texts: DataFrame, items: DataFrame, how: Leaks) -> DataFrame:
     index = index.withColumn("away", near).select("item", "size", "of_item", "block", value.alias("value"))
     asked = texts.select("no", "size", F.size("shingles").alias("wide"), "fingerprint").withColumn("block", blocks)
     asked = asked.withColumn("value", _block(F.col("fingerprint"), F.col("block"), how))
-    return asked.join(index, ["size", "block", "value"]).drop("block", "value")
+    # The index has thousands of rows an item, which no estimate from the items' table tells: it is never broadcast.
+    return asked.join(index.hint("merge"), ["size", "block", "value"]).drop("block", "value")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, how: Leaks = Leaks(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
