@@ -21,9 +21,10 @@ from tessera.functions import strings, vectors
 def whole_query(tokens: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """The float side of a query, which no cut applies to: broadcast, and an error beyond ``most_query_tokens``."""
     most = settings.most_query_tokens
-    few = tokens.limit(most + 1)  # in one partition, so rows are numbered from 0
-    ok = F.when(F.monotonically_increasing_id() >= most, F.raise_error(F.lit(f"A query of more than {most} tokens")).cast("boolean"))
-    return F.broadcast(few.where(F.coalesce(ok, F.lit(True))))
+    n = F.count("*").over(W.partitionBy(F.lit(1)))  # over most + 1 rows at most
+    few = tokens.limit(most + 1).withColumn("query_size", n)
+    wrong = F.when(F.col("query_size") > most, F.raise_error(F.lit(f"A query of more than {most} tokens")).cast("boolean"))
+    return F.broadcast(few.where(F.coalesce(wrong, F.lit(True))).drop("query_size"))
 
 
 def query_tokens(tokens: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
