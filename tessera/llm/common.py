@@ -57,10 +57,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by materialise() that no later plan reads."""
+    """Delete those made by materialise() of these tables, which no later plan reads."""
     for df in tables:
+        at = df.__dict__.get("_scratch")
+        if at is None:
+            continue
         spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

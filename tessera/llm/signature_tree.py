@@ -146,9 +146,9 @@ def _described(docs: DataFrame, how: Join) -> DataFrame:
     return map_arrow(docs.select("doc_id", "kid", "kh", "text"), each, "doc_id long, kid long, kh long, n int, h1 long, h2 long, prefix array<long>")
 
 
-def _candidates(nodes: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
-    """(a, b): edges whose components hold both nodes of every link; and (node, wide): how many of a node's
-    first n-grams stand in large buckets."""
+def _candidates(nodes: DataFrame, how: Join) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(a, b): edges whose components hold both nodes of every link; (node, wide): how many of a node's
+    first n-grams stand in large buckets; and the tables that both read."""
     tokens = nodes.select("node", "n", F.explode("prefix").alias("token"))
     buckets = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     met = materialise(tokens.join(buckets, "token"), "jaccard-met")
@@ -166,7 +166,7 @@ def _candidates(nodes: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
     # n-grams after the end of one prefix are fewer than that set's least overlap.
     least = up(F.col("n_a") + F.col("n_b"), 100 + how.percent) - up(F.greatest("n_a", "n_b"), 100) + 1
     might = F.col("shared") + F.least(F.coalesce("wide_a", F.lit(0)), F.coalesce("wide_b", F.lit(0)))
-    return stars.unionByName(pairs.where(might >= least).select("a", "b")), wide
+    return stars.unionByName(pairs.where(might >= least).select("a", "b")), wide, [met, centres]
 
 
 class Tree:
@@ -509,17 +509,22 @@ def near_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id",
     said = materialise(_described(rows, how), "jaccard-sets")
     nodes = said.where("n > 0").groupBy("h1", "h2").agg(F.min("kid").alias("kid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    edges, wide = _candidates(nodes, how)
+    edges, wide, held = _candidates(nodes, how)
     clusters = components(edges, "jaccard-clusters")
     grams = _grams(rows, nodes, wide, clusters, how)
+    discard(*held, clusters)
     links = _links(grams, how)
     labels = components(links, "jaccard-components")
+    discard(grams)
     named = nodes.select("h1", "h2", "node", "kid").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("kid").alias("component"))
     named = named.join(least, "label").select("h1", "h2", "component", "label")
     out = said.select("doc_id", "kid", "kh", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.nullif(F.col("component"), F.lit(NULL_ID))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "kid", "kh", F.col("n").cast("long").alias("n_shingles"), component.alias("component"), "label")
+    out = out.select("doc_id", "kid", "kh", F.col("n").cast("long").alias("n_shingles"), component.alias("component"), "label")
+    out = materialise(out, "jaccard-found")
+    discard(said, nodes, labels)
+    return out
 
 
 def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
@@ -527,7 +532,7 @@ def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
     documents without words stay. Rows equal in id and text count once: of those that differ in other columns the one
     with the least hash of its JSON stays, so that reruns agree.
     """
-    found = materialise(near_components(docs, how), "jaccard-found")
+    found = near_components(docs, how)
     first = found.where("label is not null").groupBy("label").agg(F.min(F.struct("kid", "kh")).alias("row"))
     kept = first.select(F.col("row.kid").alias("kept_kid"), F.col("row.kh").alias("kept_kh"))
     kept = kept.unionByName(found.where("label is null").select(F.col("kid").alias("kept_kid"), F.col("kh").alias("kept_kh")))
