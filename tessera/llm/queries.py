@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import html_density, langid_ppm, mixing_pivotal, mpeg_media, quality_ftrl, rlz_spans, secret_novelty, signature_tree, simhash_decontam, suffix_buckets
+from tessera.llm import (
+    html_density,
+    langid_ppm,
+    mixing_pivotal,
+    mpeg_media,
+    quality_ftrl,
+    rlz_spans,
+    secret_novelty,
+    signature_tree,
+    simhash_decontam,
+    suffix_buckets,
+    token_alignment,
+)
 from tessera.llm.common import table
 from tessera.llm.oracles import ORACLES
 
@@ -49,6 +61,10 @@ def op10_simhash_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_decontam.leaks_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_langid_ppm, op3_media_mpeg, op4_suffix_buckets, op5_rlz_spans, op6_mix_pivotal, op7_html_density, op8_signature_tree, op9_secret_novelty, op10_simhash_decontam)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_langid_ppm, op3_media_mpeg, op4_suffix_buckets, op5_rlz_spans, op6_mix_pivotal, op7_html_density, op8_signature_tree, op9_secret_novelty, op10_simhash_decontam, op11_token_alignment)}
 
 __all__ = ["ORACLES", "QUERIES"]
