@@ -57,13 +57,13 @@ def windows(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * down[start])
 
 
-def _cuts(data: np.ndarray, a: int, b: int) -> list[int]:
+def _cuts(data: np.ndarray, a: int, b: int, space: np.ndarray = _SPACE) -> list[int]:
     """Places in [a, b] that cut it in pieces of about SPAN bytes, none inside a word."""
     out = [a]
     while b - out[-1] > SPAN:
         near = out[-1] + SPAN
         while near < b:
-            found = np.flatnonzero(_SPACE[data[near : near + 4096]])
+            found = np.flatnonzero(space[data[near : near + 4096]])
             if len(found):
                 near += int(found[0])
                 break
@@ -74,14 +74,19 @@ def _cuts(data: np.ndarray, a: int, b: int) -> list[int]:
     return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end, counts): each word's hash and byte range, and the words of each text."""
+def words(
+    data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, counts): each word's hash and byte range, and the words of each text.
+
+    ``space`` tells of each byte whether it stands between words.
+    """
     hashes, starts, ends = [], [], []
     for a, b in groups(offsets, SPAN):
         lo, hi = int(offsets[a]), int(offsets[b])
-        for x, y in zip(c := _cuts(data, lo, hi), c[1:], strict=False):
+        for x, y in zip(c := _cuts(data, lo, hi, space), c[1:], strict=False):
             piece = data[x:y]
-            inside = ~_SPACE[piece]
+            inside = ~space[piece]
             before = np.empty(len(piece), bool)
             before[0] = False
             before[1:] = inside[:-1]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.lexical_blocks import RANKED_SQL
 from tessera.llm.simhash_decontam import LEAKS_SQL
 
 OP4_SUFFIX_BUCKETS = r"""
@@ -41,4 +42,4 @@ r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = w.doc_id), w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id)
 """
 
-ORACLES = {"op4_suffix_buckets": OP4_SUFFIX_BUCKETS, "op5_rlz_spans": OP5_RLZ_SPANS, "op8_signature_tree": OP8_SIGNATURE_TREE, "op10_simhash_decontam": LEAKS_SQL}
+ORACLES = {"op4_suffix_buckets": OP4_SUFFIX_BUCKETS, "op5_rlz_spans": OP5_RLZ_SPANS, "op8_signature_tree": OP8_SIGNATURE_TREE, "op10_simhash_decontam": LEAKS_SQL, "op12_lexical_blocks": RANKED_SQL}

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import (
     html_density,
     langid_ppm,
+    lexical_blocks,
     mixing_pivotal,
     mpeg_media,
     quality_ftrl,
@@ -65,6 +66,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_langid_ppm, op3_media_mpeg, op4_suffix_buckets, op5_rlz_spans, op6_mix_pivotal, op7_html_density, op8_signature_tree, op9_secret_novelty, op10_simhash_decontam, op11_token_alignment)}
+def op12_lexical_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_blocks.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_langid_ppm, op3_media_mpeg, op4_suffix_buckets, op5_rlz_spans, op6_mix_pivotal, op7_html_density, op8_signature_tree, op9_secret_novelty, op10_simhash_decontam, op11_token_alignment, op12_lexical_blocks)}
 
 __all__ = ["ORACLES", "QUERIES"]
