@@ -175,22 +175,28 @@ def first_thresholds(forward: DataFrame, batch: Batch, scores: Scores, df: np.nd
         enough = int(np.searchsorted(np.cumsum(df[held]), how.seeds)) + 1
         seeds.append(np.sort(held[:enough]))
     size, depth = batch.size, how.depth
-    shared = forward.sparkSession.sparkContext.broadcast((batch.queries, seeds, scores))
+    # The queries that each term is a seed of, one term after the other.
+    seed_of, seed_term = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds]), np.concatenate([*seeds, np.empty(0, np.int64)])
+    seed_of = seed_of[np.argsort(seed_term, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(seed_term, minlength=size))])
+    shared = forward.sparkSession.sparkContext.broadcast((batch.queries, seed_of, first, scores))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, seeds, scores = shared.value
+        queries, seed_of, first, scores = shared.value
         best: dict[int, np.ndarray] = {}
         greatest = np.zeros(size, np.int64)
         for rows in batches:
             per, term, value = scores.of(rows)
             np.maximum.at(greatest, term, value)
             local = Local(per, term, value)
-            for q, terms in enumerate(queries):
-                column = local.columns(seeds[q])
-                if not len(column):
-                    continue
-                docs = np.flatnonzero((local.rows[:, column] > 0).any(1))
-                got = local.rows[np.ix_(docs, local.columns(terms))].sum(1)
+            times = (first[1:] - first[:-1])[term]
+            begin = np.repeat(first[term] - np.cumsum(times) + times, times)
+            asking = seed_of[begin + np.arange(times.sum())]
+            pairs = np.unique(asking * rows.num_rows + np.repeat(np.repeat(np.arange(rows.num_rows), per), times))
+            cut = np.flatnonzero(np.diff(pairs // rows.num_rows, prepend=-1))
+            for some in np.split(pairs, cut[1:]) if len(pairs) else ():
+                q = int(some[0]) // rows.num_rows
+                got = local.rows[np.ix_(some % rows.num_rows, local.columns(queries[q]))].sum(1)
                 best[q] = np.sort(np.append(best.get(q, got[:0]), got))[-depth:]
         live = np.flatnonzero(greatest)
         kind = np.concatenate([np.repeat(0, sum(map(len, best.values()))), np.repeat(1, len(live))])
@@ -327,7 +333,8 @@ def search(index: DataFrame, batch: Batch, thresholds: np.ndarray, entered: list
                 get = lambda name: rows.column(name)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 local = Local(get("per"), get("term"), get("value"))
                 rid, ids = get("rid"), rows.column("doc_id")[i].values
-                doc, side, peak = get("doc"), get("side"), get("peak")
+                doc, side, peak = get("doc"), np.searchsorted(local.terms, get("side")), get("peak")
+                holds: dict[int, np.ndarray] = {}
                 docs_at = np.concatenate([[0], np.cumsum(get("block_docs"))])
                 side_at = np.concatenate([[0], np.cumsum(get("block_sides"))])
                 open_docs: dict[int, list[np.ndarray]] = {}
@@ -335,7 +342,9 @@ def search(index: DataFrame, batch: Batch, thresholds: np.ndarray, entered: list
                     sides, peaks = side[side_at[k] : side_at[k + 1]], peak[side_at[k] : side_at[k + 1]]
                     for q in by_term.get(t, ()):
                         asked += 1
-                        if peaks[np.isin(sides, queries[q], assume_unique=True)].sum() < floor[q]:
+                        if q not in holds:
+                            holds[q] = np.isin(local.terms, queries[q], assume_unique=True)
+                        if peaks[holds[q][sides]].sum() < floor[q]:
                             skipped += 1
                         else:
                             open_docs.setdefault(q, []).append(doc[docs_at[k] : docs_at[k + 1]])
