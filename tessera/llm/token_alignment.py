@@ -18,9 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -87,8 +85,8 @@ class Encoders:
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.fast = self._ranks(json.loads(a), vocabulary)
-        self.a_names, self.b_names = (list(map(str, range(len(x)))) for x in (self.a_bytes, self.b_bytes))
-        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.said = [f"{i}{mark}" for table, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for mark in marks for i in range(len(table))]
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, table))) for table in (self.a_bytes, self.b_bytes))
 
     def _ranks(self, spec: dict, vocabulary: dict[str, int]):
         """A quicker encoder of the same vocabulary, if its merges are in the order of the ids they make."""
@@ -121,35 +119,41 @@ class Encoders:
         return a, b
 
 
-def cuts(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int]]:
+def cuts(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The indices after the tokens of either side that end at a common place, in order."""
-    a = dict(zip(accumulate(a_sizes), range(1, len(a_sizes) + 1), strict=True))
-    b = dict(zip(accumulate(b_sizes), range(1, len(b_sizes) + 1), strict=True))
-    common = sorted(a.keys() & b.keys())
-    return list(zip(map(a.__getitem__, common), map(b.__getitem__, common), strict=True))
-
-
-def links(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """The pairs of one group whose bytes overlap. No inner ends are equal, so each step passes one token."""
-    if len(a) == 1:
-        for y in b:
-            yield a[0], y
-    elif len(b) == 1:
-        for x in a:
-            yield x, b[0]
-    else:
-        i = j = 0
-        x, y = a_sizes[0], b_sizes[0]
-        while True:
-            yield a[i], b[j]
-            if x < y:
-                i += 1
-                x += a_sizes[i]
-            elif j + 1 < len(b):
-                j += 1
-                y += b_sizes[j]
-            else:
-                return
+    a_ends, b_ends = np.cumsum(a_sizes).tolist(), np.cumsum(b_sizes).tolist()
+    a = dict(zip(a_ends, range(1, len(a_ends) + 1), strict=True))
+    b = dict(zip(b_ends, range(1, len(b_ends) + 1), strict=True))
+    common = [end for end in a if end in b]  # a's keys are sorted
+    return tuple(np.fromiter(map(side.__getitem__, common), np.int64, len(common)) for side in (a, b))
+
+
+def links(a_sizes: np.ndarray, b_sizes: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the linked tokens in both lists, slice by slice.
+
+    No two inner ends of a slice are equal, so m and n tokens make m + n - 1 overlaps: each inner end passes one token.
+    """
+    a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
+    inner = np.ones(len(b_ends), bool)
+    inner[b_cuts - 1] = False
+    ends = np.concatenate([a_ends, b_ends[inner]])
+    ends.sort(kind="stable")  # two sorted runs
+    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+
+
+def _said(a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray, said: list[str], width_a: int, width_b: int) -> str:
+    """The slices as text. ``said`` has each id of A before a comma and before a bar, then each of B before a comma and a semicolon."""
+    a = a.copy()
+    b = b + 2 * width_a
+    a[a_cuts - 1] += width_a
+    b[b_cuts - 1] += width_b
+    out = np.empty(len(a) + len(b), np.int64)
+    # An A token stands after the B tokens of the slices before its own, a B token after the A tokens up to its slice's end.
+    slice_of_a = np.repeat(np.arange(len(a_cuts)), np.diff(a_cuts, prepend=0))
+    slice_of_b = np.repeat(np.arange(len(b_cuts)), np.diff(b_cuts, prepend=0))
+    out[np.arange(len(a)) + np.concatenate([[0], b_cuts])[slice_of_a]] = a
+    out[np.arange(len(b)) + a_cuts[slice_of_b]] = b
+    return "".join(map(said.__getitem__, out.tolist()))[:-1]
 
 
 _made: dict[str, Encoders] = {}
@@ -185,27 +189,19 @@ def align(docs: DataFrame, how: Tokenizers = Tokenizers(), groups: bool = True)
         numbers = np.zeros((4, batch.num_rows), np.int64)
         digests, pairs, times, kept = [], [], [], ([], [], [], [])
         for row, text in enumerate(batch.column(1)):
-            a, b = e.encode(text.as_py())
-            a_sizes, b_sizes = [e.a_sizes[i] for i in a], [e.b_sizes[i] for i in b]
-            places = cuts(a_sizes, b_sizes)
-            codes, said = [], []
-            i = j = 0
-            for x, y in places:
-                if x - i == 1 and y - j == 1:
-                    said.append(f"{e.a_names[a[i]]}|{e.b_names[b[j]]}")
-                    codes.append(a[i] * width + b[j])
-                else:
-                    left, right = a[i:x], b[j:y]
-                    said.append(f"{','.join(map(e.a_names.__getitem__, left))}|{','.join(map(e.b_names.__getitem__, right))}")
-                    codes.extend(p * width + q for p, q in links(left, right, a_sizes[i:x], b_sizes[j:y]))
-                i, j = x, y
-            numbers[:, row] = len(a), len(b), len(places), len(codes)
-            digests.append(hashlib.sha256(";".join(said).encode()).hexdigest() if a else "")
-            pair, time = np.unique(np.array(codes, np.int64), return_counts=True)
+            a, b = (np.array(ids, np.int64) for ids in e.encode(text.as_py()))
+            a_sizes, b_sizes = e.a_sizes[a], e.b_sizes[b]
+            a_cuts, b_cuts = cuts(a_sizes, b_sizes)
+            x, y = links(a_sizes, b_sizes, a_cuts, b_cuts)
+            codes = a[x] * width + b[y]
+            numbers[:, row] = len(a), len(b), len(a_cuts), len(codes)
+            said = _said(a, b, a_cuts, b_cuts, e.said, len(e.a_bytes), width) if len(a) else ""
+            digests.append(hashlib.sha256(said.encode()).hexdigest() if len(a) else "")
+            pair, time = np.unique(codes, return_counts=True)
             pairs.append(pair)
             times.append(time)
             if groups:
-                for out, value in zip(kept, (a, b, [x for x, _ in places], [y for _, y in places]), strict=True):
+                for out, value in zip(kept, (a, b, a_cuts, b_cuts), strict=True):
                     out.append(value)
         sizes = np.array([len(p) for p in pairs])
         arrays = [batch.column(0), *map(pa.array, numbers), pa.array(digests, pa.string())]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tessera.llm import token_alignment as ta
@@ -88,9 +89,15 @@ def test_quick_encoder_equals_the_file_s(encoders):
 
 
 def test_links_of_groups_cover_every_overlap():
-    assert list(ta.links([1, 2], [3, 4], [1, 3], [2, 2])) == [(1, 3), (2, 3), (2, 4)]
-    assert list(ta.links([1, 2, 5], [3, 4], [3, 1, 1], [2, 3])) == [(1, 3), (1, 4), (2, 4), (5, 4)]
-    assert ta.cuts([1, 3, 2], [4, 1, 1]) == [(2, 1), (3, 3)]
+    def both(a, b):
+        a, b = np.array(a), np.array(b)
+        x, y = ta.cuts(a, b)
+        return list(zip(x.tolist(), y.tolist(), strict=True)), list(zip(*map(np.ndarray.tolist, ta.links(a, b, x, y)), strict=True))
+
+    assert both([1, 3], [2, 2]) == ([(2, 2)], [(0, 0), (1, 0), (1, 1)])
+    assert both([3, 1, 1], [2, 3]) == ([(3, 2)], [(0, 0), (0, 1), (1, 1), (2, 1)])
+    assert both([1, 3, 2], [4, 1, 1]) == ([(2, 1), (3, 3)], [(0, 0), (1, 0), (2, 1), (2, 2)])
+    assert both([], []) == ([], [])
 
 
 def test_scratch_is_deleted(spark):
