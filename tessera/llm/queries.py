@@ -17,6 +17,7 @@ from tessera.llm import (
     simhash_decontam,
     suffix_buckets,
     token_alignment,
+    toxicity_channel,
 )
 from tessera.llm.common import table
 from tessera.llm.oracles import ORACLES
@@ -70,6 +71,27 @@ def op12_lexical_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_blocks.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_langid_ppm, op3_media_mpeg, op4_suffix_buckets, op5_rlz_spans, op6_mix_pivotal, op7_html_density, op8_signature_tree, op9_secret_novelty, op10_simhash_decontam, op11_token_alignment, op12_lexical_blocks)}
+def op13_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_channel.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_ftrl,
+        op2_langid_ppm,
+        op3_media_mpeg,
+        op4_suffix_buckets,
+        op5_rlz_spans,
+        op6_mix_pivotal,
+        op7_html_density,
+        op8_signature_tree,
+        op9_secret_novelty,
+        op10_simhash_decontam,
+        op11_token_alignment,
+        op12_lexical_blocks,
+        op13_toxicity_channel,
+    )
+}
 
 __all__ = ["ORACLES", "QUERIES"]
