@@ -28,13 +28,13 @@ class SnapshotStore:
     def _fs(self):
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
+    def versions(self) -> list[int]:
         found = self._fs().globStatus(self._path("done-*")) or []
         return sorted(int(f.getPath().getName().split("-")[1]) for f in found)
 
     def version(self) -> int:
         """The last version with a pointer, 0 if there is none."""
-        return max(self._versions(), default=0)
+        return max(self.versions(), default=0)
 
     def _manifest(self, version: int) -> dict[int, str]:
         """Bucket to folder; one line a bucket, and as many lines as buckets at most."""
@@ -73,7 +73,7 @@ class SnapshotStore:
         return version
 
     def _clean(self) -> None:
-        versions = self._versions()
+        versions = self.versions()
         for old in versions[: -self.keep]:
             held = {f for v in versions[-self.keep :] for f in self._manifest(v).values()}
             for folder in set(self._manifest(old).values()) - held:
@@ -94,6 +94,15 @@ class SnapshotStore:
             now = sync.delete(now, gone, self.key)
         return self._commit(now, touched, before)
 
+    def difference(self, before: int, after: int) -> tuple[DataFrame | None, DataFrame | None]:
+        """(gone, came): the rows of one version that the other doesn't have, from the buckets that were rewritten between them."""
+        old, new = self._manifest(before), self._manifest(after)
+        touched = {b for b in old.keys() | new.keys() if old.get(b) != new.get(b)}
+        was, now = self._folders(old, touched), self._folders(new, touched)
+        if was is None or now is None:
+            return was, now
+        return was.exceptAll(now), now.exceptAll(was)
+
     def upsert(self, rows: DataFrame) -> int:
         """Rows in the place of those with their keys."""
         return self.change(rows)

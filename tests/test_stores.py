@@ -31,7 +31,7 @@ def test_changes_rewrite_their_buckets_alone(spark, tmp_path):
     assert dict(stored(store))[5] == "x" and dict(stored(store))[6] == "a" and 7000 not in dict(stored(store))
     store.delete(rows(*[(i, "") for i in range(90)]))
     assert stored(store) == sorted([(i, "a") for i in range(90, 100)] + [(500, "c")])
-    assert store._versions() == [3, 4]  # older ones are gone
+    assert store.versions() == [3, 4]  # older ones are gone
 
 
 def test_of_two_writers_one_is_told(spark, tmp_path):
