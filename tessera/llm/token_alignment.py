@@ -102,21 +102,27 @@ class Encoders:
         ranks = {self.a_bytes[i]: i for i in vocabulary.values() if i not in special}
         return tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def encode_a(self, text: str) -> list[int]:
+    def encode_a(self, text: str, raw: bytes) -> np.ndarray | None:
+        """The ids of A, or none if their bytes aren't the text's."""
         if self.fast is not None and (text.isascii() or ord(max(text)) < PLAIN_BELOW):
-            return self.fast.encode_ordinary(text)
-        return self.a.encode(text, add_special_tokens=False).ids
+            a = np.array(self.fast.encode_ordinary(text), np.int64)
+            # It merges bytes of the text and changes none, so bytes can only be missing.
+            return a if int(self.a_sizes[a].sum()) == len(raw) else None
+        ids = self.a.encode(text, add_special_tokens=False).ids
+        return np.array(ids, np.int64) if b"".join(map(self.a_bytes.__getitem__, ids)) == raw else None
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Both id lists, or two empty ones."""
+        none = np.empty(0, np.int64)
         if not text:
-            return [], []
+            return none, none
         whole = " " + text
         raw = whole.encode()
-        a, b = self.encode_a(whole), self.b.encode(text)
-        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-            return [], []
-        return a, b
+        b = self.b.encode(text)
+        if b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return none, none
+        a = self.encode_a(whole, raw)
+        return (none, none) if a is None else (a, np.array(b, np.int64))
 
 
 def cuts(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,8 +130,8 @@ def cuts(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     a_ends, b_ends = np.cumsum(a_sizes).tolist(), np.cumsum(b_sizes).tolist()
     a = dict(zip(a_ends, range(1, len(a_ends) + 1), strict=True))
     b = dict(zip(b_ends, range(1, len(b_ends) + 1), strict=True))
-    common = [end for end in a if end in b]  # a's keys are sorted
-    return tuple(np.fromiter(map(side.__getitem__, common), np.int64, len(common)) for side in (a, b))
+    # Keys stand in order on both sides, so the common ones come sorted and in step.
+    return np.array([i for end, i in a.items() if end in b], np.int64), np.array([j for end, j in b.items() if end in a], np.int64)
 
 
 def links(a_sizes: np.ndarray, b_sizes: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +195,7 @@ def align(docs: DataFrame, how: Tokenizers = Tokenizers(), groups: bool = True)
         numbers = np.zeros((4, batch.num_rows), np.int64)
         digests, pairs, times, kept = [], [], [], ([], [], [], [])
         for row, text in enumerate(batch.column(1)):
-            a, b = (np.array(ids, np.int64) for ids in e.encode(text.as_py()))
+            a, b = e.encode(text.as_py())
             a_sizes, b_sizes = e.a_sizes[a], e.b_sizes[b]
             a_cuts, b_cuts = cuts(a_sizes, b_sizes)
             x, y = links(a_sizes, b_sizes, a_cuts, b_cuts)
