@@ -6,12 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT, Settings
 from tessera.functions import strings
 
+#: Rendered bytes after which a task hands its pages on.
+FRAME_BYTES = 16 << 20
+
 
 def files(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
     """(path, content, length) of the files in a folder."""
@@ -29,16 +33,30 @@ def pages(docs: DataFrame, render: Callable[[bytes], list[tuple[bytes, str]]], n
     """(filename, page_number, image, text, error): each page of each file as ``render`` makes it. A
     file that can't be read is one row with the error; the others go on."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file, content in zip(pdf["filename"], pdf["content"], strict=True):
+    names = ["filename", "page_number", "image", "text", "error"]
+    schema = pa.schema(list(zip(names, (pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string()), strict=True)))
+
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    rows = [(file, i, image, text, None) for i, (image, text) in enumerate(render(content), 1)]
+                    made = [(file, i, image, text, None) for i, (image, text) in enumerate(render(content.as_py()), 1)]
                 except Exception as e:  # the file's own fault; it becomes a row
-                    rows = [(file, None, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["filename", "page_number", "image", "text", "error"]).astype({"page_number": "Int64"})
-
-    return docs.select(F.col(name).alias("filename"), "content").mapInPandas(each, "filename string, page_number long, image binary, text string, error string")
+                    made = [(file, None, None, None, str(e))]
+                rows += made
+                size += sum(len(image or b"") + len(text or "") for _, _, image, text, _ in made)
+                if size > FRAME_BYTES:  # many small files make one frame, a large one its own
+                    yield frame(rows)
+                    rows, size = [], 0
+            if rows:
+                yield frame(rows)
+                rows, size = [], 0
+
+    return docs.select(F.col(name).alias("filename"), "content").mapInArrow(each, "filename string, page_number long, image binary, text string, error string")
 
 
 def page_documents(rendered: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

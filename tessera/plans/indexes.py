@@ -1,4 +1,5 @@
-"""Queries through persisted indexes: each builds its index from a whole table, then asks it. Their SQL compares everything."""
+"""Queries through persisted indexes and change logs, and interval joins: each is built from a whole table, then asked. Their SQL
+compares everything."""
 
 from __future__ import annotations
 
@@ -7,13 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import sign_index
+from tessera.operators import intervals, sign_index
 from tessera.operators.postings_index import PostingsIndex, TextStatistics
 from tessera.plans.flows import ORACLES as FLOWS
 from tessera.plans.ranking import ORACLES as RANKING
 from tessera.plans.retrieval import _CROSS, _DIST, _WORDS, DIMS, TERMS, _six, patches, tokens
 from tessera.plans.retrieval import ORACLES as RETRIEVAL
 from tessera.runtime import shared_dir
+from tessera.sources.change_store import ChangeStore
 from tessera.sources.sinks import SnapshotStore
 from tessera.sources.tables import read
 
@@ -76,6 +78,27 @@ def r2_index_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sign_index.levels(rows, tokens(spark, sf_dir).select("tok", "q_bin"), 100, DIMS).select("tok", "flips", "near", "rows")
 
 
+def k1_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in a store whose upserts, updates and deletions are files of their own, merged when it is read."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    store = ChangeStore(spark, _at(spark, "changes"), "o_orderkey", buckets=8)
+    store.upsert(o.where("o_orderkey % 3 <> 0"))
+    store.compact()
+    store.update(o.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X")), ["o_orderstatus"])
+    store.delete(o.where("o_orderkey % 7 = 0").select("o_orderkey"))
+    store.upsert(o.where("o_orderkey % 3 = 0"))
+    return store.read()
+
+
+def j14_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each supplier the pairs of a returned and an accepted item that are under way on the same day, a day for each piece."""
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    items = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", day.alias("low"), (day + F.floor("l_quantity")).alias("high"))
+    met = intervals.overlap_join(items.where("l_returnflag = 'R'"), items.where("l_returnflag = 'A'"), ["l_suppkey"])
+    shared = F.least("high", "o_high") - F.greatest("low", "o_low") + 1
+    return met.groupBy("l_suppkey").agg(F.count("*").alias("pairs"), F.sum(shared).alias("days"))
+
+
 def _band(b: int) -> str:
     return f"list_sum(list_transform(range({16 * b + 1}, {16 * b + 17}), lambda k: CASE WHEN (q[k] > 0) <> (vec[k] > 0) THEN 1 ELSE 0 END))"
 
@@ -91,6 +114,11 @@ ORACLES = {
     "a19_kept_statistics": f"""WITH w AS (SELECT doc_id, {_KEPT_WORDS} AS w FROM documents WHERE doc_id % 11 <> 0),
 t AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY term)
 SELECT term, df, tf, (SELECT count(*) FROM w) AS n_docs, (SELECT round(avg(len(w)), 6) FROM w) AS avg_len FROM t WHERE df >= 5""",
+    "k1_change_log": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice
+FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 7 <> 0""",
+    "j14_interval_join": """WITH i AS (SELECT l_suppkey, l_returnflag, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS low, low + CAST(floor(l_quantity) AS BIGINT) AS high FROM lineitem)
+SELECT a.l_suppkey, count(*) AS pairs, CAST(sum(least(a.high, b.high) - greatest(a.low, b.low) + 1) AS BIGINT) AS days
+FROM i a JOIN i b ON a.l_suppkey = b.l_suppkey AND a.low <= b.high AND b.low <= a.high WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'A' GROUP BY a.l_suppkey""",
     "r2_indexed_candidates": f"""WITH {_LEVELS}, d AS (SELECT page, tok, min(distance) AS distance FROM l WHERE flips <= {FLIPS} GROUP BY page, tok)
 SELECT DISTINCT page FROM (SELECT page, row_number() OVER (PARTITION BY tok ORDER BY distance, page) AS r FROM d) WHERE r <= 10""",
     "r2_index_levels": f"""WITH {_LEVELS}, r AS (SELECT tok, flips, row_number() OVER (PARTITION BY tok ORDER BY distance, page, patch) AS r FROM l)

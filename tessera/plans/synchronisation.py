@@ -11,9 +11,10 @@ from tessera.operators import synchronisation as sync
 from tessera.runtime import shared_dir
 from tessera.sources import sinks
 from tessera.sources.tables import catalog, incremental, read
-from tessera.streaming import sync_stream
+from tessera.streaming import presence, sync_stream
 
 SINCE = "TIMESTAMP_NTZ '2024-01-20 00:00:00'"
+DAY_MS = 86_400_000
 
 
 def _dir(spark: SparkSession) -> str:
@@ -155,6 +156,26 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def j5_stream_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users that come and, after a day without an event, go, as keyed state over three runs of a stream: each run takes up
+    the state that the one before has left in the checkpoint."""
+    at = _dir(spark)
+    e = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    day = F.dayofmonth("ts")
+    settings = {k: spark.conf.get(k, None) for k in presence.state_store()}
+    for k, v in presence.state_store().items():
+        spark.conf.set(k, v)
+    try:
+        for k in range(3):  # no row is later than the watermark's delay behind those of the runs before
+            e.where((day > 10 * k) & (day <= 10 * k + 10 if k < 2 else day > 20)).write.parquet(f"{at}/in/run-{k}")
+            stream = sync_stream.arriving(spark, f"{at}/in/*", e.schema, 1_000_000)
+            sync_stream.run_available(presence.presence(stream, DAY_MS), f"{at}/out", f"{at}/checkpoint")
+    finally:
+        for k, v in settings.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(presence.CHANGES).parquet(f"{at}/out")
+
+
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windowed count as a stream of three files: the third holds the older half of the events, which comes after the
     watermark has passed it and is dropped. A batch drops by the mark with which the one before it began, so two go
@@ -206,6 +227,10 @@ ORACLES = {
     "k8_schema_json": "SELECT * FROM (VALUES ('nation', 'n_nationkey,n_name,n_regionkey'), ('region', 'r_regionkey,r_name')) AS t(table_name, columns)",
     "u2_key_sets": "WITH s AS (SELECT user_id, list_distinct(list(event_type) FILTER (event_id % 2 = 0)) AS a, list_distinct(list(event_type) FILTER (event_id % 3 = 0)) AS b FROM events GROUP BY user_id) SELECT user_id, coalesce(array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(coalesce(b, []), x))), ','), '') AS added, coalesce(array_to_string(list_sort(list_filter(a, lambda x: list_contains(coalesce(b, []), x))), ','), '') AS kept FROM s",
     "stream_sync": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "j5_stream_presence": f"""WITH m AS (SELECT max(epoch_us(ts) // 1000) - 3600000 AS mark FROM events), e AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) // 1000 AS ms FROM events, m WHERE epoch_us(ts) // 1000 <= mark),
+g AS (SELECT key, ms, lag(ms) OVER w AS before, lead(ms) OVER w AS after FROM e WINDOW w AS (PARTITION BY key ORDER BY ms))
+SELECT key, 'insert' AS change, ms AS at_ms FROM g WHERE before IS NULL OR ms > before + {DAY_MS}
+UNION ALL SELECT key, 'delete', ms + {DAY_MS} FROM g, m WHERE coalesce(after > ms + {DAY_MS}, ms + {DAY_MS} <= mark)""",
     "stream_late": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND date_trunc('day', ts) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) GROUP BY ALL",
     "s6_overlap": "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-19 23:00:00'",
     "stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
