@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import intervals, sign_index
+from tessera.operators.bounded_maxsim import BoundedMaxSim
 from tessera.operators.postings_index import PostingsIndex, TextStatistics
+from tessera.operators.substring_index import SubstringIndex
 from tessera.plans.flows import ORACLES as FLOWS
 from tessera.plans.ranking import ORACLES as RANKING
 from tessera.plans.retrieval import _CROSS, _DIST, _WORDS, DIMS, TERMS, _six, patches, tokens
@@ -78,6 +80,30 @@ def r2_index_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sign_index.levels(rows, tokens(spark, sf_dir).select("tok", "q_bin"), 100, DIMS).select("tok", "flips", "near", "rows")
 
 
+def a7_bounded_maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best pages by floats, read for those pages alone that the bounds from small codes leave open."""
+    p = patches(spark, sf_dir).select("page", "patch", "vec")
+    best = BoundedMaxSim(spark, _at(spark, "codes")).build(p).top(p, tokens(spark, sf_dir).select("tok", "q_vec"), 5)
+    return _six(best.rows, "score")
+
+
+def _substrings(spark: SparkSession, rows: DataFrame, key: str, needle: str) -> DataFrame:
+    return SubstringIndex(spark, _at(spark, "trigrams"), key).build(rows, "text").search(rows, "text", needle).rows
+
+
+def p15_indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a phrase, blind to case, from an index of trigrams."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return _substrings(spark, d, "doc_id", "Licensed under the Apache").select("doc_id")
+
+
+def r11_indexed_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that hold what is being typed."""
+    c = read(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL AND text <> 'string'")
+    c = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("rec"), "text")
+    return _substrings(spark, c, "rec", "tion ").select(F.col("text").alias("question")).distinct()
+
+
 def k1_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in a store whose upserts, updates and deletions are files of their own, merged when it is read."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
@@ -111,6 +137,9 @@ ORACLES = {
     "m9_postings_topk": RETRIEVAL["m9_bm25_topk"],
     "r3_postings_candidates": RANKING["r3_lexical_candidates"],
     "r12_postings_search": FLOWS["r12_record_search"],
+    "a7_bounded_maxsim": RETRIEVAL["a7_maxsim_topk"],
+    "p15_indexed_search": "SELECT doc_id FROM documents WHERE contains(lower(text), 'licensed under the apache')",
+    "r11_indexed_suggestions": "SELECT DISTINCT text AS question FROM conversations WHERE role = 'user' AND contains(lower(text), 'tion ') AND text <> 'string'",
     "a19_kept_statistics": f"""WITH w AS (SELECT doc_id, {_KEPT_WORDS} AS w FROM documents WHERE doc_id % 11 <> 0),
 t AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY term)
 SELECT term, df, tf, (SELECT count(*) FROM w) AS n_docs, (SELECT round(avg(len(w)), 6) FROM w) AS avg_len FROM t WHERE df >= 5""",

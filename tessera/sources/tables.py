@@ -19,7 +19,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def jdbc_options(url: str) -> dict[str, str]:
-    """Options of spark.read.format("jdbc") for a database URL; TLS unless sslmode=disable."""
+    """Options of spark.read.format("jdbc") for a database URL; TLS unless sslmode=disable. A JDBC URL is taken as it is."""
+    if url.startswith("jdbc:"):
+        return {"url": url}
     parts = urlsplit(url)
     if parts.scheme not in ("postgresql", "postgres"):
         raise ValueError(f"Not a PostgreSQL URL: {parts.scheme or url!r}")
@@ -36,6 +38,23 @@ def jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, boun
     return spark.read.format("jdbc").options(**options).load()
 
 
+def key_bounds(spark: SparkSession, url: str, table: str, key: str) -> tuple[int, int] | None:
+    """The least and greatest key, asked of the database; none of an empty table."""
+    row = jdbc(spark, url, f"(SELECT MIN({safe_identifier(key)}) AS LOW, MAX({safe_identifier(key)}) AS HIGH FROM {safe_identifier(table)}) T").first()
+    return None if row[0] is None else (int(row[0]), int(row[1]) + 1)
+
+
+def jdbc_scan(spark: SparkSession, url: str, table: str, key: str, partitions: int = 16, fetch: int = 10_000) -> DataFrame:
+    """A whole table in ranges of its key, read at once by as many connections; filters and columns are the database's work."""
+    return jdbc(spark, url, safe_identifier(table), safe_identifier(key), key_bounds(spark, url, table, key), partitions, fetch)
+
+
+def jdbc_append(rows: DataFrame, url: str, table: str, batch: int = 10_000, types: str | None = None) -> None:
+    """Add rows to a database table, so many in one statement; each task is a transaction. ``types``: column types of a table that is made."""
+    options = jdbc_options(url) | {"dbtable": safe_identifier(table), "batchsize": str(batch)}
+    rows.write.format("jdbc").options(**options | ({"createTableColumnTypes": types} if types else {})).mode("append").save()
+
+
 def timestamp_column(columns: list[str], preferred: tuple[str, ...] = DEFAULT.timestamp_columns) -> str | None:
     """The first of the preferred columns that the table has: one for the whole table, not one a row."""
     return next((c for c in preferred if c in columns), None)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors
-from tessera.operators import postings_index, retrieval, sign_index, text_index
+from tessera.operators import bounded_maxsim, postings_index, retrieval, sign_index, substring_index, text_index
 from tessera.sources.sinks import SnapshotStore
 
 EMBEDDINGS = "/root/testdata/check_l/embeddings.parquet"
@@ -160,3 +160,48 @@ def test_a_change_written_again_counts_once(spark, tmp_path):
         kept.change(1, docs)
     kept.change(2, None, docs.where("doc_id = 2"))
     assert sorted(map(tuple, kept.terms().collect())) == [("a", 1, 2), ("b", 1, 1)] and kept.totals() == (1, 3.0)
+
+
+@pytest.mark.parametrize("kind", ["random", "clusters", "ties"])
+def test_bounded_maxsim_is_exact_and_reads_few_pages(spark, tmp_path, kind):
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((4000, 64)).astype(np.float32)
+    if kind == "clusters":
+        v = (rng.standard_normal((20, 64))[rng.integers(0, 20, 4000)] + 0.3 * v).astype(np.float32)
+    if kind == "ties":
+        v[:] = v[rng.integers(0, 40, 4000)]
+        v[8:16] = 0
+    patches = spark.createDataFrame([(i // 8, i % 8, x.tolist()) for i, x in enumerate(v)], "page long, patch int, vec array<float>")
+    patches = patches.unionByName(spark.createDataFrame([(9000, 0, None)], patches.schema)).repartition(3)
+    tokens = spark.createDataFrame([(t, (v[t * 31] + 0.2 * rng.standard_normal(64)).tolist()) for t in range(4)], "tok int, q_vec array<float>")
+    want = retrieval.top(retrieval.maxsim(patches.where("vec IS NOT NULL"), tokens, retrieval.float_similarity()), 5).collect()
+    best = bounded_maxsim.BoundedMaxSim(spark, f"file://{tmp_path}/codes").build(patches).top(patches, tokens, 5)
+    got = best.rows.collect()
+    assert [r.page for r in got] == [r.page for r in want] and [r.score for r in got] == pytest.approx([r.score for r in want])
+    assert best.pages == 500 and (best.read <= 25 or kind == "ties")
+
+
+def test_bounds_hold(spark):
+    rng = np.random.default_rng(12)
+    v, q = rng.standard_normal((200, 32)) * 10 ** rng.uniform(-3, 3, (200, 1)), rng.standard_normal((3, 32))
+    patches = spark.createDataFrame([(i // 4, i % 4, x.tolist()) for i, x in enumerate(v)], "page long, patch int, vec array<double>")
+    for r in bounded_maxsim.bounds(bounded_maxsim.encode(patches), q).collect():
+        score = (v[r.page * 4 : r.page * 4 + 4] @ q.T).max(0).sum()
+        assert r.low <= score <= r.high
+
+
+@pytest.mark.parametrize("needle", ["secret", "The ", "a.b", "é t", "ab", "", "zzzqqq", "%", "needle in", "NEEDLE"])
+def test_substrings_as_contains(spark, tmp_path_factory, needle):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choices(["the", "of", "a.b", "été tard", "word", "x%y", "secrets"], k=6))) for i in range(400)]
+    rows += [(900, "a Needle in a hay\nstack"), (901, None), (902, ""), (None, "needle in null"), (7, "needle in twice"), (7, "needle in twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at = tmp_path_factory.getbasetemp() / "substrings"
+    index = substring_index.SubstringIndex(spark, f"file://{at}", "doc_id", buckets=4, span=64)
+    if not at.exists():
+        index.build(docs, "text")
+    found = index.search(docs, "text", needle)
+    want = docs.where(F.contains(F.lower("text"), F.lit(needle.lower()))).collect()
+    assert sorted(map(tuple, found.rows.collect()), key=str) == sorted(map(tuple, want), key=str)
+    if needle in ("zzzqqq", "needle in", "NEEDLE"):
+        assert found.verified <= 5  # one more row has the id of two that hold it
