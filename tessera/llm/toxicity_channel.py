@@ -63,6 +63,36 @@ PLACES = re.compile(_OPEN + rb"(?:" + _REST + rb"(?:[a-z0-9\x80-\xbf]" + _REST +
 REACH = 8
 
 
+def _table(characters: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(characters)] = True
+    return out
+
+
+_SIGNS, _MARKS, _BETWEEN = _table(b"013456789@$!|+*"), _table(b"._-~'"), _table(b" ._-")
+
+
+def _beginnings(lower: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where PLACES can match in these texts, and some places where it doesn't."""
+    n = len(lower)
+    letter, sign = (lower >= 97) & (lower <= 122), _SIGNS[lower]
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    first = first[:n]
+    before = np.zeros(n, bool)  # a letter of the same text stands before
+    before[1:] = letter[:-1] & ~first[1:]
+    again = np.zeros(n, bool)  # the same letter comes next
+    again[:-1] = letter[:-1] & (lower[1:] == lower[:-1]) & ~first[1:]
+    out = again | (_MARKS[lower] & before)
+    out[1:] |= sign[1:] & (~sign[:-1] | first[1:])
+    out[:1] |= sign[:1]
+    if n > 4:
+        one = letter | sign
+        spaced = one[:-4] & _BETWEEN[lower[1:-3]] & one[2:-2] & _BETWEEN[lower[3:-1]] & one[4:]
+        out[:-4] |= spaced
+    return np.flatnonzero(out)
+
+
 @dataclass(frozen=True)
 class Channel:
     """Bits of: a sign for a letter, a sign as itself, two of a letter for one, a mark in a word for nothing or a gap between single letters
@@ -84,6 +114,22 @@ def _symbols(data: bytes) -> list[int]:
     return out
 
 
+def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The codes of all sequences of classes of these texts, a text's context beginning between words."""
+    kind = np.insert(_CLASSES[data], offsets, 0)  # a gap before all and after each text, which belongs to it
+    text = np.repeat(np.arange(len(offsets)), np.diff(offsets + np.arange(len(offsets)) + 1, prepend=0))
+    keep = kind != 32
+    kind, text = kind[keep], text[keep]
+    keep = np.ones(len(kind), bool)
+    keep[1:] = (kind[1:] != 0) | (kind[:-1] != 0)
+    kind, text = kind[keep].astype(np.int32), text[keep]
+    code = kind.copy()
+    for k in range(1, ORDER):
+        same = text[k:] == text[:-k]
+        code[k:] += np.where(same, kind[:-k], 0) << (5 * k)
+    return code[code > 0]  # not the gaps before all and after empty texts
+
+
 def count_grams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """How often each sequence of ORDER classes stands in the corpus, texts between spaces. At most 32**4 sums come back."""
 
@@ -91,17 +137,9 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(_SIZE, np.int64)
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                for x in range(a, b, 1 << 20):  # a megabyte at once, with what stands before
-                    kind = _CLASSES[data[max(a, x - 64) : min(b, x + (1 << 20))]]
-                    kind = np.concatenate([[0], kind[kind != 32], [0]]).astype(np.int64)
-                    kind = kind[np.concatenate([[True], (kind[1:] != 0) | (kind[:-1] != 0)])]
-                    kind = np.concatenate([np.zeros(ORDER - 2, np.int64), kind])
-                    if len(kind) >= ORDER:
-                        code = kind[: -ORDER + 1]
-                        for k in range(1, ORDER):
-                            code = code * 32 + kind[k : len(kind) - ORDER + 1 + k]
-                        np.add.at(total, code, 1) if len(code) < 4096 else np.add(total, np.bincount(code, minlength=_SIZE), out=total)
+            for a in range(0, batch.num_rows, 64):
+                at = offsets[a : min(a + 65, batch.num_rows + 1)]
+                total += np.bincount(_grams(data[at[0] : at[-1]], at - at[0]), minlength=_SIZE)
         live = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(total[live])], names=["code", "times"])
 
@@ -199,13 +237,32 @@ class Restorer:
         """The restored text, A-Z lower-cased."""
         return PLACES.sub(self._piece, raw.translate(_LOWER))
 
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The same of many texts: the pattern is tried only where a place can begin."""
+        lower = lexer.LOWER[data]
+        begins = _beginnings(lower, offsets)
+        cut = np.searchsorted(begins, offsets)
+        whole, begins = lower.tobytes(), (begins - np.repeat(offsets[:-1], np.diff(cut))).tolist()
+        out = []
+        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            raw, last, parts = whole[a:b], 0, []
+            for at in begins[cut[k] : cut[k + 1]]:
+                if at >= last and (match := PLACES.match(raw, at)) is not None:
+                    parts += (raw[last:at], self._piece(match))
+                    last = match.end()
+            out.append(b"".join((*parts, raw[last:])) if parts else raw)
+        return out
+
+
+def features(data: np.ndarray, offsets: np.ndarray, bits: int, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature): the distinct hashed words and character 5-grams of words (ends of words marked) of every text, by text.
 
-def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature): the distinct hashed words and character 5-grams of words (ends of words marked) of every text, by text."""
+    With ``live`` only those features that it is true of: repeats are looked for among them alone.
+    """
     n = len(offsets) - 1
     codes = []
     words, _, _, counts = lexer.words(data, offsets, lower=True)
-    codes.append((np.repeat(np.arange(n), counts), lexer.mix(words ^ np.uint64(1))))
+    codes.append((np.repeat(np.arange(n), counts), words ^ np.uint64(1 << 62)))
     kind = _CLASSES[data]
     gap = kind == 0
     sums = lexer.prefix_sums(np.where(gap, 1, lexer.LOWER[data]).astype(np.uint64) + np.uint64(1))
@@ -216,9 +273,12 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
         one = text[start] == text[start + size - 1]
         one &= inside[start + size - 1] - inside[start + 1] == 0  # only its ends may stand between words
         start = start[one]
-        codes.append((text[start], lexer.mix(lexer.windows(sums, start, start + size) ^ np.uint64(size))))
+        codes.append((text[start], lexer.windows(sums, start, start + size)))
     doc = np.concatenate([d for d, _ in codes]).astype(np.uint64)
     key = np.concatenate([k for _, k in codes]) >> np.uint64(64 - bits)
+    if live is not None:
+        good = live[key]
+        doc, key = doc[good], key[good]
     code = np.unique(doc << np.uint64(bits) | key)
     return (code >> np.uint64(bits)).astype(np.int64), (code & np.uint64((1 << bits) - 1)).astype(np.int64)
 
@@ -237,18 +297,18 @@ def restored(rows: DataFrame, model: np.ndarray, how: Channel, run, schema: str)
         if key not in _made:
             _made.clear()
             _made[key] = Restorer(shared.value, how)
-        texts = [_made[key].text(t.as_buffer().to_pybytes()) for t in batch.column(batch.num_columns - 1).cast(pa.binary())]
+        texts = _made[key].texts(*utf8(batch.column(batch.num_columns - 1)))
         offsets = np.cumsum([0, *map(len, texts)])
         return run(batch, np.frombuffer(b"".join(texts), np.uint8), offsets)
 
     return map_arrow(rows, each, schema)
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _pieces(data: np.ndarray, offsets: np.ndarray, bits: int, live: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     a, n = 0, len(offsets) - 1
     while a < n:  # about a megabyte at once, or one text
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (1 << 20), "right")) - 1)
-        yield a, b, *features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits)
+        yield a, b, *features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits, live)
         a = b
 
 
@@ -299,7 +359,7 @@ def score(docs: DataFrame, weights: np.ndarray, model: np.ndarray, channel: Chan
     def each(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         weights = shared.value
         total = np.full(batch.num_rows, float(weights[-1]))
-        for a, b, doc, key in _pieces(data, offsets, how.bits):
+        for a, b, doc, key in _pieces(data, offsets, how.bits, weights[:-1] != 0):
             total[a:b] += np.bincount(doc, weights[key], b - a)
         p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
         arrays, names = [batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"]
