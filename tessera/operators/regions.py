@@ -188,81 +188,6 @@ def merge_page_boxes(boxes: DataFrame, gap: float) -> DataFrame:
     return boxes.groupBy("page_id").applyInPandas(one, "page_id long, x0 double, y0 double, x1 double, y1 double")
 
 
-def vector_regions(width_pt: float, height_pt: float, width_px: int, height_px: int, paths: list[dict], texts: np.ndarray, n_images: int = 0, settings: Settings = DEFAULT) -> list[dict]:
-    """Regions of one page from its paths ({box, lines: [(x1, y1, x2, y2)], rects: [box]}) and text boxes."""
-    if len(paths) < 10 or n_images == 1 and len(paths) < 20 or width_pt <= 0 or height_pt <= 0:
-        return []
-    scale = width_px / width_pt
-    box = np.array([p["box"] for p in paths], float).reshape(-1, 4)
-    wide, high = box[:, 2] - box[:, 0], box[:, 3] - box[:, 1]
-    page_wide = (wide > width_pt * BORDER_SPAN) & (high > height_pt * BORDER_SPAN)
-    lined = np.array([len(p["rects"]) > 0 or len(p["lines"]) >= 3 for p in paths])
-    borders = box[page_wide & np.array([len(p["rects"]) + len(p["lines"]) >= 3 for p in paths])]
-    at_border = np.array([bool((np.abs(borders - b) < BORDER_NEAR).all(axis=1).any()) for b in box]) if len(borders) else np.zeros(len(box), bool)
-    frames: list[np.ndarray] = []
-    for b in box[(wide * high >= width_pt * height_pt * FRAME_AREA) & ~at_border & ~page_wide & lined]:
-        if not any((np.abs(f - b) < TABLE_NEAR).all() for f in frames):
-            frames.append(b)
-    frames.sort(key=lambda b: -(b[2] - b[0]) * (b[3] - b[1]))
-    frames = [b for i, b in enumerate(frames) if not any(i != j and _holds(o, b) and _area(b) < _area(o) * INSIDE_RATIO for j, o in enumerate(frames))]
-    drawn = box[~at_border & ~((wide < TINY) & (high < TINY))]
-    texts = np.asarray(texts, float).reshape(-1, 4)
-    out, claimed = [], []
-
-    def add(b: np.ndarray, confidence: float) -> bool:
-        x, y, w, h = int(b[0] * scale), int(b[1] * scale), int((b[2] - b[0]) * scale), int((b[3] - b[1]) * scale)
-        if w < settings.region_min_side or h < settings.region_min_side or w * h < settings.region_min_area:
-            return False
-        x, y = max(0, min(x, width_px)), max(0, min(y, height_px))
-        d, t = (int(((o[:, 0] < b[2]) & (o[:, 2] > b[0]) & (o[:, 1] < b[3]) & (o[:, 3] > b[1])).sum()) for o in (drawn, texts))
-        hint = "detail" if d + t == 0 else "notes" if t / (d + t) > 0.7 else "drawing_view" if t / (d + t) < 0.3 else "detail"
-        out.append({"x": x, "y": y, "width": min(w, width_px - x), "height": min(h, height_px - y), "label": "", "confidence": confidence, "region_type": "detected", "content_hint": hint})
-        return True
-
-    claimed += [b for b in frames if add(b, 0.9)]
-    for b in _grids([ln for p in paths for ln in p["lines"]], height_pt):
-        x, y, w, h = int(b[0] * scale), int(b[1] * scale), int((b[2] - b[0]) * scale), int((b[3] - b[1]) * scale)
-        if w > settings.region_min_side and h > settings.region_min_side:
-            out.append({"x": x, "y": y, "width": w, "height": h, "label": "table", "confidence": 0.9, "region_type": "detected", "content_hint": "table"})
-            claimed.append(np.array([x, y, x + w, y + h]) / scale)
-    free = [b for b in (*drawn, *texts) if not any(_holds(c, b) for c in claimed)]
-    for b in merge_boxes(np.array(free), CLUSTER_GAP_PX / scale):
-        add(b, 0.85)
-    return sorted(out, key=lambda r: -r["width"] * r["height"])[: settings.max_regions]
-
-
-def _area(b: np.ndarray) -> float:
-    return float((b[2] - b[0]) * (b[3] - b[1]))
-
-
-def _holds(outer: np.ndarray, b: np.ndarray) -> bool:
-    return bool(b[0] >= outer[0] - INSIDE_NEAR and b[1] >= outer[1] - INSIDE_NEAR and b[2] <= outer[2] + INSIDE_NEAR and b[3] <= outer[3] + INSIDE_NEAR)
-
-
-def _grids(segments: list[tuple[float, float, float, float]], height_pt: float) -> list[np.ndarray]:
-    """Table boxes of one page's segments: the same rules as table_grids()."""
-    s = np.array(segments, float).reshape(-1, 4)
-    dx, dy = np.abs(s[:, 2] - s[:, 0]), np.abs(s[:, 3] - s[:, 1])
-    flat, steep = (dy < LINE_FLAT) & (dx > LINE_LEAST), (dx < LINE_FLAT) & (dy > LINE_LEAST)
-    steep &= ~flat
-    low, high = np.minimum(s[:, :2], s[:, 2:]), np.maximum(s[:, :2], s[:, 2:])
-    if flat.sum() < TABLE_LINES or steep.sum() < TABLE_LINES:
-        return []
-    h = np.column_stack([low[flat, 1], low[flat, 0], high[flat, 0]])
-    v = np.column_stack([low[steep, 0], low[steep, 1], high[steep, 1]])
-    h = h[np.argsort(h[:, 0], kind="stable")]
-    out = []
-    for c in np.split(h, np.flatnonzero(np.diff(h[:, 0]) >= height_pt * 0.3) + 1):
-        steps = np.diff(np.unique(c[:, 0]))
-        if len(c) < TABLE_LINES or len(steps) + 1 < TABLE_LINES or steps.std() / steps.mean() > TABLE_SPREAD:
-            continue
-        x0, x1, y0, y1 = c[:, 1].min(), c[:, 2].max(), c[:, 0].min(), c[:, 0].max()
-        crossing = (v[:, 1] <= y1) & (v[:, 2] >= y0) & (v[:, 0] >= x0 - TABLE_NEAR) & (v[:, 0] <= x1 + TABLE_NEAR)
-        if crossing.sum() >= TABLE_LINES:
-            out.append(np.array([x0, y0, x1, y1]))
-    return out
-
-
 def blank_splits(density: np.ndarray, least: int = BLANK_RUN, below: float = BLANK_SHARE) -> list[int]:
     """The middles of blank runs that content follows."""
     low = np.concatenate([[False], np.asarray(density) < below, [False]]).astype(np.int8)
@@ -332,23 +257,19 @@ def content_tiles(gray: np.ndarray, settings: Settings = DEFAULT) -> list[dict]:
     return sorted(out, key=lambda r: -r["width"] * r["height"])[: settings.max_regions]
 
 
-def detect(method: str, gray: np.ndarray, vector: dict | None = None, settings: Settings = DEFAULT) -> list[dict]:
-    """The full page first, then regions by ``auto`` (vector, white space, content tiles: the first with two
-    or more), ``pdf_vector``, ``heuristic`` or ``content_aware``. Small pages have the full page alone."""
+def detect(method: str, gray: np.ndarray, settings: Settings = DEFAULT) -> list[dict]:
+    """The full page first, then regions of its pixels by ``auto`` (white space, content tiles: the first with two or more),
+    ``heuristic`` or ``content_aware``. Small pages have the full page alone."""
     h, w = gray.shape
     whole = {"x": 0, "y": 0, "width": w, "height": h, "label": "full_page", "confidence": 1.0, "region_type": "full_page", "content_hint": ""}
-    if method not in ("auto", "pdf_vector", "heuristic", "content_aware"):
+    runs = {"heuristic": whitespace_regions, "content_aware": content_tiles}
+    if method != "auto" and method not in runs:
         raise ValueError(f"Unknown detection method: {method}")
-    if method == "pdf_vector" and vector is None:
-        raise ValueError("pdf_vector needs the page's paths")
     if w * h <= settings.region_min_pixels:
         return [whole]
-    runs = {"pdf_vector": lambda: vector_regions(**vector, settings=settings) if vector else [], "heuristic": lambda: whitespace_regions(gray, settings), "content_aware": lambda: content_tiles(gray, settings)}
-    if method != "auto":
-        return [whole, *runs[method]()]
     found: list[dict] = []
-    for run in runs.values():
-        found = run()
+    for run in runs.values() if method == "auto" else (runs[method],):
+        found = run(gray, settings)
         if len(found) >= 2:
             break
     return [whole, *found]
@@ -357,32 +278,6 @@ def detect(method: str, gray: np.ndarray, vector: dict | None = None, settings:
 _PATHS = "array<struct<box:array<double>,lines:array<array<double>>,rects:array<array<double>>>>"
 
 
-def page_regions(pages: DataFrame, method: str = "auto", settings: Settings = DEFAULT) -> DataFrame:
-    """REGION rows of (page_id, width, height, gray, width_pt, height_pt, paths, texts) pages, one page in memory at a
-    time; null paths: the page has none."""
-
-    def rows(values: object, n: int = 4) -> np.ndarray:
-        return np.array([list(v) for v in values], float).reshape(-1, n) if values is not None and len(values) else np.empty((0, n))
-
-    def one(r) -> list[dict]:
-        gray = np.frombuffer(r.gray, np.uint8).reshape(r.height, r.width)
-        vector = None
-        if r.paths is not None:
-            paths = [{"box": p["box"], "lines": list(rows(p["lines"])), "rects": list(rows(p["rects"]))} for p in r.paths]
-            vector = {"width_pt": r.width_pt, "height_pt": r.height_pt, "width_px": r.width, "height_px": r.height, "paths": paths, "texts": rows(r.texts)}
-        return detect(method, gray, vector, settings)
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                got = pd.DataFrame(one(r))
-                got.insert(0, "page_id", r.page_id)
-                got.insert(1, "region", np.arange(len(got)))
-                yield got
-
-    return pages.select("page_id", "width", "height", "gray", "width_pt", "height_pt", "paths", "texts").mapInPandas(each, REGION)
-
-
 def drawn_pages(ids: DataFrame, side: int = 2000) -> DataFrame:
     """Pages for page_regions(), drawn by their number modulo 3: two frames with paths in them; two dark fields of
     pixels; blank."""
@@ -414,7 +309,7 @@ def image_regions(pages: DataFrame, method: str = "auto", settings: Settings = D
         for pdf in batches:
             for r in pdf.itertuples():
                 gray = np.frombuffer(r.gray, np.uint8).reshape(r.height, r.width)
-                got = pd.DataFrame(detect(method, gray, None, settings))
+                got = pd.DataFrame(detect(method, gray, settings))
                 got.insert(0, "page_id", r.page_id)
                 got.insert(1, "region", np.arange(len(got)))
                 yield got

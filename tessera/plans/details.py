@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT
 from tessera.functions import nested, strings
-from tessera.operators import etl, regions, serving, sync_flow
+from tessera.operators import etl, regions, serving, sync_flow, vector_plan
 from tessera.operators import ingestion as ing
 from tessera.operators import synchronisation as sync
 from tessera.plans.ingestion import NOW, SOURCES, _catalog, _documents, _frames
@@ -177,13 +177,13 @@ def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e4_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cascade with paths at hand: by vector where they tell of two regions, else by white space, else by tiles."""
-    got = regions.page_regions(_drawn(spark, sf_dir), "auto")
+    got = vector_plan.page_regions(_drawn(spark, sf_dir), "auto")
     return got.groupBy("page_id").agg(F.count_if(F.col("region_type") == "detected").alias("detected"), F.count_if(F.col("region_type") == "tile").alias("tiles"), F.max(F.when(F.col("region_type") == "detected", F.col("confidence"))).alias("confidence"))
 
 
 def u6_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths inside a frame or table are claimed; the others form further regions."""
-    got = regions.page_regions(_drawn(spark, sf_dir).where("page_id % 3 = 0"), "pdf_vector")
+    got = vector_plan.page_regions(_drawn(spark, sf_dir).where("page_id % 3 = 0"), "pdf_vector")
     return got.where("region_type = 'detected'").groupBy("confidence").agg(F.count("*").alias("n"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import strings
-from tessera.operators import etl, regions, serving, sync_flow, text_index
+from tessera.operators import etl, regions, serving, sync_flow, text_index, vector_plan
 from tessera.operators import retrieval as r
 from tessera.operators import synchronisation as sync
 from tessera.plans.retrieval import _bm25_sql, patches, tokens
@@ -164,7 +164,7 @@ def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e5_vector_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of pages with two frames of paths, by paths alone."""
-    got = regions.page_regions(_drawn(spark, sf_dir).where("page_id % 3 = 0"), "pdf_vector")
+    got = vector_plan.page_regions(_drawn(spark, sf_dir).where("page_id % 3 = 0"), "pdf_vector")
     return got.where("region_type = 'detected'").select("page_id", "x", "y", "width", "height", F.col("content_hint").alias("hint"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT
 from tessera.functions import nested, strings, vectors
-from tessera.operators import etl, ingestion, regions, retrieval, serving
+from tessera.operators import etl, ingestion, regions, retrieval, serving, vector_plan
 from tessera.operators import synchronisation as sync
 from tessera.plans import ingestion as ingestion_plans
 from tessera.sources import sinks, tables
@@ -154,18 +154,49 @@ def _path(box, lines=(), rects=()):
     return {"box": box, "lines": list(lines), "rects": list(rects)}
 
 
-def test_vector_regions():
-    assert regions.vector_regions(612, 792, 1275, 1650, [_path((0, 0, 5, 5))] * 5, np.empty((0, 4))) == []
+def _regions(spark, *pages):
+    """The regions of pages given as (width_pt, height_pt, width, height, paths, texts)."""
+    floats = lambda rows: [[float(v) for v in row] for row in rows]
+    held = [
+        (i, w, h, float(wp), float(hp), 0, [{"box": floats([p["box"]])[0], "lines": floats(p["lines"]), "rects": floats(p["rects"])} for p in paths], floats(texts))
+        for i, (wp, hp, w, h, paths, texts) in enumerate(pages)
+    ]
+    kinds = f"page_id long, width long, height long, width_pt double, height_pt double, n_images int, paths {regions._PATHS}, texts array<array<double>>"
+    df = spark.createDataFrame(held, kinds)
+    out = [[] for _ in pages]
+    for row in vector_plan.vector_regions(df, *vector_plan.nested_paths(df)).orderBy("page_id", "seq").collect():
+        out[row.page_id].append(row)
+    return out
+
+
+def test_vector_regions(spark):
     rng = np.random.default_rng(1)
     near = lambda x0, y0, x1, y1: [_path((x0, y0, x1, y1))] + [_path((x := x0 + rng.integers(0, 400), y := y0 + rng.integers(0, 100), x + 300, y + 200)) for _ in range(7)]
-    two = near(50, 50, 800, 400) + near(1500, 1000, 2400, 1400)
-    assert len(regions.vector_regions(2592, 1728, 5400, 3600, two, np.empty((0, 4)))) >= 2
     border = [_path((50, 50, 2542, 1678), lines=[(50, 50, 2542, 50), (2542, 50, 2542, 1678), (2542, 1678, 50, 1678), (50, 1678, 50, 50)])]
-    got = regions.vector_regions(2592, 1728, 5400, 3600, border + near(300, 300, 900, 700) + near(300, 300, 900, 700), np.empty((0, 4)))
-    assert got and not any(r["width"] > 0.9 * 5400 and r["height"] > 0.9 * 3600 for r in got)
-    grid = [_path((100, 100 + 50 * i, 600, 100 + 50 * i), [(100, 100 + 50 * i, 600, 100 + 50 * i)]) for i in range(5)] + [_path((100 + 125 * i, 100, 100 + 125 * i, 300), [(100 + 125 * i, 100, 100 + 125 * i, 300)]) for i in range(5)]
-    got = regions.vector_regions(792, 612, 1650, 1275, grid, np.empty((0, 4)))
-    assert any(r["content_hint"] == "table" for r in got)
+    grid = [_path((100, 100 + 50 * i, 600, 100 + 50 * i), [(100, 100 + 50 * i, 600, 100 + 50 * i)]) for i in range(5)]
+    grid += [_path((100 + 125 * i, 100, 100 + 125 * i, 300), [(100 + 125 * i, 100, 100 + 125 * i, 300)]) for i in range(5)]
+    few, two, bordered, table = _regions(
+        spark,
+        (612, 792, 1275, 1650, [_path((0, 0, 5, 5))] * 5, []),
+        (2592, 1728, 5400, 3600, near(50, 50, 800, 400) + near(1500, 1000, 2400, 1400), []),
+        (2592, 1728, 5400, 3600, border + near(300, 300, 900, 700) + near(300, 300, 900, 700), []),
+        (792, 612, 1650, 1275, grid, []),
+    )
+    assert few == [] and len(two) >= 2
+    assert bordered and not any(r.width > 0.9 * 5400 and r.height > 0.9 * 3600 for r in bordered)
+    assert any(r.content_hint == "table" for r in table)
+
+
+def test_frames_claim_and_hold(spark):
+    """Of nearly equal frames the first stands, one within another goes, what a frame holds isn't merged again, texts make notes."""
+    frame = lambda x, y, w, h: _path((x, y, x + w, y + h), rects=[(x, y, x + w, y + h)])
+    small = [_path((120 + 30 * k, 120, 140 + 30 * k, 140)) for k in range(8)]
+    alone = [_path((1500 + 90 * k, 1200, 1560 + 90 * k, 1300)) for k in range(4)]
+    texts = [(1500 + 20 * k, 1320, 1515 + 20 * k, 1330) for k in range(20)]
+    (got,) = _regions(spark, (2592, 1728, 5184, 3456, [frame(100, 100, 900, 900), frame(104, 97, 900, 900), frame(200, 200, 500, 500), *small, *alone], texts))
+    assert [(r.x, r.y, r.width, r.height, r.confidence, r.content_hint) for r in got] == [
+        (200, 200, 1800, 1800, 0.9, "drawing_view"), (3000, 2400, 790, 260, 0.85, "notes"),
+    ]
 
 
 def test_splits_and_tiles():
@@ -177,9 +208,19 @@ def test_splits_and_tiles():
     got = regions.content_tiles(blank)
     assert len(got) >= 2 and sum(r["width"] * r["height"] for r in got) >= 0.5 * blank.size
     assert [r["region_type"] for r in regions.detect("auto", blank)][0] == "full_page" and len(regions.detect("auto", np.zeros((600, 800), np.uint8))) == 1
-    for method, vector in (("pdf_vector", None), ("other", None)):
+    for method in ("pdf_vector", "other"):
         with pytest.raises(ValueError):
-            regions.detect(method, blank, vector)
+            regions.detect(method, blank)
+
+
+def test_a_page_without_paths(spark):
+    page = regions.drawn_pages(spark.range(3).withColumnRenamed("id", "page_id"))
+    got = vector_plan.page_regions(page, "auto").groupBy("page_id").agg(F.collect_set("region_type").alias("t"), F.count("*").alias("n"))
+    assert {r.page_id: (sorted(r.t), r.n) for r in got.collect()} == {0: (["detected", "full_page"], 3), 1: (["detected", "full_page"], 3), 2: (["full_page", "tile"], 5)}
+    with pytest.raises(Exception, match="needs the page's paths"):
+        vector_plan.page_regions(page, "pdf_vector").collect()
+    with pytest.raises(ValueError, match="Unknown"):
+        vector_plan.page_regions(page, "other")
 
 
 def test_tiles_agree(spark):
