@@ -202,6 +202,28 @@ def discover(spark: SparkSession, frames: dict[str, DataFrame], suffix: str = "_
     return {"tables": t, "columns": c, "relationships": infer_relationships(c, t, suffix), "files": file_columns(c), "counts": src.row_counts(frames)}
 
 
+def verified(relationships: DataFrame, frames: dict[str, DataFrame], key: str = "id") -> DataFrame:
+    """``relationships`` held against the rows: (source_table, source_column, target_table, rows, orphans, most), how many rows have a key,
+    how many of these name no row of the target, and how many name the same one at most.
+
+    Keys are counted where they are read, so a key that a third of all rows have is a row a task in the joins. Relationships are a row
+    a foreign key; their plans are united, and targets without a column ``key`` are left out.
+    """
+    out = None
+    for r in relationships.orderBy("source_table", "source_column").collect():
+        target = frames[r["target_table"]]
+        if key not in target.columns:
+            continue
+        held = frames[r["source_table"]].groupBy(F.col(r["source_column"]).alias("k")).agg(F.count("*").alias("n")).where("k IS NOT NULL")
+        known = held.join(target.select(F.col(key).alias("k")).distinct().withColumn("known", F.lit(True)), "k", "left")
+        found = known.agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("orphans"), F.max(F.when(F.col("known"), F.col("n"))).alias("most"))
+        zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("rows", "orphans", "most")]
+        one = found.select(*[F.lit(r[c]).alias(c) for c in ("source_table", "source_column", "target_table")], *zero)
+        out = one if out is None else out.unionByName(one)
+    kinds = "source_table string, source_column string, target_table string, rows long, orphans long, most long"
+    return out if out is not None else relationships.sparkSession.createDataFrame([], kinds)
+
+
 def union_documents(parts: list[DataFrame]) -> DataFrame:
     """All tables' documents in one frame."""
     return reduce(DataFrame.unionByName, parts)

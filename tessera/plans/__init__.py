@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import details, flows, indexes, ingestion, pages, ranking, retrieval, scalars, sources, synchronisation
+from tessera.plans import details, discovered, flows, indexes, ingestion, pages, ranking, retrieval, scalars, sources, synchronisation
 
-_AREAS = (retrieval, indexes, scalars, ingestion, synchronisation, pages, flows, sources, ranking, details)
+_AREAS = (retrieval, indexes, discovered, scalars, ingestion, synchronisation, pages, flows, sources, ranking, details)
 
 
 def queries() -> dict:

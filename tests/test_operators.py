@@ -230,6 +230,21 @@ def test_tiles_agree(spark):
     assert {tuple(r) for r in got} == want
 
 
+def test_verified_keys(spark):
+    """Orphans, nulls, repeated targets, a target without a key, a table without rows."""
+    frames = {
+        "owners": spark.createDataFrame([(1,), (2,), (2,), (None,)], "id long"),
+        "cats": spark.createDataFrame([(1, 1), (2, 1), (3, 7), (4, None), (5, 2), (6, 1)], "id long, owner_id long"),
+        "dogs": spark.createDataFrame([], "id long, owner_id long, cat_id long"),
+        "walks": spark.createDataFrame([("x", 5)], "shoe_id string, n int"),
+        "shoes": spark.createDataFrame([("x",)], "name string"),
+    }
+    found = ingestion.discover(spark, frames)["relationships"]
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in ingestion.verified(found, frames).collect()}
+    assert got == {("cats", "owner_id", "owners"): (5, 1, 3), ("dogs", "owner_id", "owners"): (0, 0, 0), ("dogs", "cat_id", "cats"): (0, 0, 0)}
+    assert ingestion.verified(found.limit(0), frames).count() == 0
+
+
 def test_search_dispatch():
     with pytest.raises(ValueError):
         retrieval.search("x", "nope", {})
