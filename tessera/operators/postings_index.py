@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT, Settings
 from tessera.functions import strings
-from tessera.operators import text_index
 from tessera.sources.sinks import SnapshotStore
 
 
@@ -56,7 +55,11 @@ class TextStatistics:
         """Add the documents that came and take away those that went."""
         parts = [self._sums(rows, sign) for rows, sign in ((came, 1), (gone, -1)) if rows is not None]
         both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
-        both.where("df <> 0 OR tf <> 0").write.mode("overwrite").parquet(f"{self.path}/change-{version}")
+        self.write(version, both)
+
+    def write(self, version: int, sums: DataFrame) -> None:
+        """A version's change as sums (term, df, tf)."""
+        sums.where("df <> 0 OR tf <> 0").write.mode("overwrite").parquet(f"{self.path}/change-{version}")
 
     def follow(self, store: SnapshotStore) -> int:
         """Bring the counts to the store's version by the rows that came and went since the last one followed, reading
@@ -119,17 +122,25 @@ class PostingsIndex:
         self.spark, self.path, self.key, self.buckets, self.span, self.settings = spark, path.rstrip("/"), key, buckets, span, settings
         self.statistics = TextStatistics(spark, f"{self.path}/statistics", key, "text")
 
-    def build(self, docs: DataFrame, text: str) -> PostingsIndex:
-        """Index every row. Written by ranges of (bucket, term), so that a term's rows lie together and a hot one in several files."""
-        docs = docs.select(self.key, F.col(text).alias("text"))
-        rows = text_index.postings(docs, self.key, "text")
-        rows = rows.withColumn("range", F.floor(F.col(self.key) / self.span))
-        held = F.array_sort(F.collect_list(F.struct(F.col(self.key).alias("key"), F.col("tf").cast("int").alias("tf"), F.col("len").cast("int").alias("len"))))
-        blocks = rows.groupBy("term", "range").agg(held.alias("docs"), F.max("tf").cast("int").alias("max_tf"), F.min("len").cast("int").alias("min_len"))
-        blocks = blocks.withColumn("bucket", _bucket(F.col("term"), self.buckets))
-        dealt = blocks.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        self.statistics.change(1, docs)
+    def build(self, docs: DataFrame, text: str, files: int = 4) -> PostingsIndex:
+        """Index every row, by one shuffle: terms are counted within their row, and a bucket is dealt into ``files`` by ranges, so that
+        neither a hot term nor a bucket is one task. Counts come from the blocks that are written."""
+        split = docs.select(self.key, F.array_sort(strings.words(F.coalesce(F.col(text), F.lit("")))).alias("w")).withColumn("len", F.size("w"))
+        # Equal words stand together; a word's count is the distance to the next one's start.
+        first = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+        split = split.where("len > 0").withColumn("first", first)
+        count = F.transform("first", lambda i, j: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("first", j + 1), F.col("len")) - i).alias("tf")))
+        rows = split.select(F.col(self.key).alias("key"), "len", F.explode(count).alias("c")).select("key", "len", "c.term", "c.tf")
+        rows = rows.withColumns({"range": F.floor(F.col("key") / self.span), "bucket": _bucket(F.col("term"), self.buckets)})
+        rows = rows.withColumn("file", F.pmod(F.coalesce("range", F.lit(0)), F.lit(files))).repartition(self.buckets * files, "bucket", "file")
+        held = F.array_sort(F.collect_list(F.struct("key", "tf", "len"))).alias("docs")
+        blocks = rows.groupBy("bucket", "file", "term", "range").agg(held, F.max("tf").alias("max_tf"), F.min("len").alias("min_len")).drop("file")
+        blocks.sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        made = self.spark.read.parquet(f"{self.path}/postings").select("term", F.size("docs").alias("df"), F.aggregate("docs.tf", F.lit(0), lambda a, x: a + x).alias("tf"))
+        sums = made.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+        length = F.size(strings.words(F.coalesce(F.col(text), F.lit(""))))
+        whole = docs.agg(F.count("*").alias("df"), F.coalesce(F.sum(length), F.lit(0)).alias("tf")).select(F.lit(None).cast("string").alias("term"), "df", "tf")
+        self.statistics.write(1, sums.unionByName(whole))
         return self
 
     def _blocks(self, terms: list[str]) -> DataFrame:
