@@ -30,7 +30,7 @@ def _at(spark: SparkSession, name: str) -> str:
 
 
 def _postings(spark: SparkSession, docs: DataFrame, key: str) -> PostingsIndex:
-    return PostingsIndex(spark, _at(spark, "postings"), key).build(docs, "text")
+    return PostingsIndex(spark, _at(spark, "postings"), key, buckets=16).build(docs, "text")
 
 
 def m9_postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
