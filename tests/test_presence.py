@@ -62,3 +62,27 @@ def test_batch_by_hand(spark):
     timed = spark.createDataFrame(rows, "key string, ms long").select("key", F.timestamp_millis("ms").alias("ts"))
     got = sorted(tuple(r) for r in p.presence_batch(timed, 3, late_ms=10).collect())
     assert got == [("a", "delete", 5), ("a", "delete", 12), ("a", "insert", 0), ("a", "insert", 9), ("b", "delete", 4), ("b", "insert", 1)]
+
+
+def test_state_is_a_stay_and_not_its_sightings():
+    """A bucket's state doesn't grow with the sightings; any cut of two keys' sightings tells the same."""
+    import numpy as np
+    import pandas as pd
+
+    rng, missing = np.random.default_rng(2), 10
+    ms = np.unique(rng.integers(0, 4000, 300))
+    seen = pd.DataFrame({"key": [None if m % 2 else "a" for m in ms], "first": ms, "last": ms, "told": False})
+    told = []
+    for cuts in ((4100,), (900, 2000, 4100), tuple(range(100, 4200, 100))):
+        stays, out, before = p.merged(seen.iloc[:0], missing), [], -1
+        for now in cuts:
+            part = seen[(seen["last"] > before) & (seen["last"] <= now + 50)].sample(frac=1, random_state=1)  # some are ahead of the mark, some come again
+            stays = p.merged(pd.concat([stays, part]) if len(stays) else part, missing)
+            changes, stays = p.passed(stays, now, missing)
+            out += [tuple(r) for r in changes.to_numpy().tolist()]
+            before = now
+        assert stays.empty
+        told.append(sorted(out, key=repr))
+    assert told[0] == told[1] == told[2] and len(told[0]) > 40
+    dense = pd.DataFrame({"key": "a", "first": range(1000), "last": range(1000), "told": False})
+    assert p.merged(dense, missing).to_numpy().tolist() == [["a", 0, 999, False]]
