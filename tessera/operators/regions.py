@@ -117,20 +117,34 @@ def table_grids(items: DataFrame, pages: DataFrame) -> DataFrame:
     return box.join(n.where(F.col("crossing") >= TABLE_LINES), ["page_id", "cluster"]).select("page_id", "x0", "y0", "x1", "y1")
 
 
-def overlaps(a: DataFrame, b: DataFrame, prefix: str = "o", cell: int = 256) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, prefix: str = "o", cell: int = 256, block: int = 1024) -> DataFrame:
     """Pairs of boxes of one page that overlap. Boxes meet in the cells of a grid that they reach; a pair counts in the
-    cell of the upper left corner of what they share, so once, and a page's boxes are not all compared."""
+    cell of the upper left corner of what they share, so once, and a page's boxes are not all compared.
+
+    Equal boxes meet as one, with the rows that have it in blocks of ``block``: what is compared grows with the distinct boxes, and
+    only the pairs themselves with the rows."""
     at = lambda c: F.floor(F.col(c) / cell)
+    place = ["x0", "y0", "x1", "y1"]
 
     def celled(boxes: DataFrame, p: str) -> DataFrame:
+        rest = [c for c in boxes.columns if c not in ("page_id", *place)]
+        nth = F.row_number().over(W.partitionBy("page_id", *place).orderBy(F.lit(1)))
+        boxes = boxes.withColumn("block", F.floor((nth - 1) / block))
+        boxes = boxes.groupBy("page_id", *place, "block").agg(F.collect_list(F.struct(*rest, F.lit(True).alias("_"))).alias("rows"))
+        boxes = boxes.select("page_id", *[F.col(c).alias(f"{p}{c}") for c in (*place, "rows")])
         boxes = boxes.withColumn("cx", F.explode(F.sequence(at(f"{p}x0"), at(f"{p}x1"))))
-        return boxes.withColumn("cy", F.explode(F.sequence(at(f"{p}y0"), at(f"{p}y1"))))
-
-    o = b.select("page_id", *[F.col(c).alias(f"{prefix}_{c}") for c in b.columns if c != "page_id"])
-    hit = (F.col(f"{prefix}_x0") < F.col("x1")) & (F.col(f"{prefix}_x1") > F.col("x0")) & (F.col(f"{prefix}_y0") < F.col("y1")) & (F.col(f"{prefix}_y1") > F.col("y0"))
-    corner = lambda c: F.floor(F.greatest(F.col(c), F.col(f"{prefix}_{c}")) / cell)
-    met = celled(a, "").join(celled(o, f"{prefix}_"), ["page_id", "cx", "cy"]).where(hit)
-    return met.where((F.col("cx") == corner("x0")) & (F.col("cy") == corner("y0"))).drop("cx", "cy")
+        boxes = boxes.withColumn("cy", F.explode(F.sequence(at(f"{p}y0"), at(f"{p}y1"))))
+        return boxes.repartition(tasks, "page_id", "cx", "cy")
+
+    # Few bytes meet and many pairs come out, so partitions by bytes would leave the pairs to few tasks.
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    o = f"{prefix}_"
+    hit = (F.col(f"{o}x0") < F.col("x1")) & (F.col(f"{o}x1") > F.col("x0")) & (F.col(f"{o}y0") < F.col("y1")) & (F.col(f"{o}y1") > F.col("y0"))
+    corner = lambda c: F.floor(F.greatest(F.col(c), F.col(f"{o}{c}")) / cell)
+    met = celled(a, "").join(celled(b, o), ["page_id", "cx", "cy"]).where(hit & (F.col("cx") == corner("x0")) & (F.col("cy") == corner("y0")))
+    met = met.withColumn("row", F.explode("rows")).withColumn(f"{o}row", F.explode(f"{o}rows"))
+    mine = [F.col(c) if c in ("page_id", *place) else F.col(f"row.{c}").alias(c) for c in a.columns]
+    return met.select(*mine, *[F.col(f"{o}{c}") if c in place else F.col(f"{o}row.{c}").alias(f"{o}{c}") for c in b.columns if c != "page_id"])
 
 
 def unclaimed(boxes: DataFrame, areas: DataFrame, near: float = INSIDE_NEAR) -> DataFrame:

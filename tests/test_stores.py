@@ -87,6 +87,16 @@ def test_overlapping_boxes_meet_once(spark):
     assert got == want
 
 
+def test_equal_boxes_meet_as_one_and_lose_no_pair(spark):
+    rows = [(1, i, 0, 0, 10 + i % 2, 300) for i in range(11)]  # two places, in blocks of four rows
+    boxes = spark.createDataFrame(rows, "page_id long, box long, x0 long, y0 long, x1 long, y1 long")
+    other = boxes.withColumns({"box": F.col("box") + 100, "note": F.concat(F.lit("n"), "box")})
+    got = regions.overlaps(boxes, other, block=4)
+    assert got.columns == [*boxes.columns, *[f"o_{c}" for c in other.columns if c != "page_id"]]
+    told = sorted((r["box"], r["x1"], r["o_box"], r["o_x1"], r["o_note"]) for r in got.collect())
+    assert told == sorted((i, 10 + i % 2, 100 + j, 10 + j % 2, f"n{j}") for i in range(11) for j in range(11))
+
+
 def test_labels_fall_back_one_by_one(spark):
     def model(texts):
         if "bad" in texts:
