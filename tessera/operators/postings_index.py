@@ -72,7 +72,7 @@ class TextStatistics:
             none = self.spark.createDataFrame([], "term string, df long, tf long")
             self._replace(now, none if rows is None else self._sums(rows, 1))
             return now
-        gone, came = store.difference(last, now)
+        gone, came = store.around(last, now)  # what stands on both sides is counted away
         if came is not None or gone is not None:
             self.change(now, came, gone)
         return now

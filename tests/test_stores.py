@@ -73,6 +73,30 @@ def test_overlap_of_marks(spark):
     assert ids() == [3] and ids(overlap_s=600) == [2, 3] and ids(overlap_s=600, until=datetime(2024, 1, 1, 12)) == [2]
 
 
+def test_rows_around_a_change_hold_all_that_differ(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/s", "id", buckets=2)
+    docs = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    store.upsert(docs([(i, f"t{i}") for i in range(50)] + [(99, None)]))
+    store.change(docs([(3, "new"), (60, "came"), (4, "t4"), (9, "gone wins")]), docs([(7, ""), (9, "")]))
+    was, now = (sorted(tuple(r) for r in x.collect()) for x in store.around(1, 2))
+    assert was == [(3, "t3"), (7, "t7"), (9, "t9")] and now == [(3, "new"), (60, "came")]
+    was, now = (sorted(tuple(r) for r in x.collect()) for x in store.around(1, 2, slots=1))  # all share a slot: what didn't change is on both sides
+    assert len(was) == 51 and len(now) == 50 and len(set(was) & set(now)) == 48
+
+
+def test_a_first_upsert_asks_for_its_rows_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def each(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    store = SnapshotStore(spark, f"file://{tmp_path}/s", "id", buckets=4)
+    store.upsert(spark.range(100).mapInPandas(each, "id long"))
+    assert seen.value == 100 and store.read().count() == 100
+
+
 def test_overlapping_boxes_meet_once(spark):
     import numpy as np
 
