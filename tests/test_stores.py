@@ -97,6 +97,17 @@ def test_a_first_upsert_asks_for_its_rows_once(spark, tmp_path):
     assert seen.value == 100 and store.read().count() == 100
 
 
+def test_vectors_leave_in_small_frames(spark):
+    import numpy as np
+
+    model = etl.hashed_model(16, 2)
+    rows = spark.createDataFrame([(i, None if i == 3 else f"t{i}") for i in range(etl.EMBED_ROWS + 40)], "id long, text string").coalesce(1)
+    for r in etl.embed(rows, model).collect():
+        want = model([r["text"] or ""])[0]
+        assert np.array_equal(np.array(r["vectors"], np.float32), want.astype(np.float32))
+        assert r["packed"] == [np.packbits(p > 0).view(np.int8).tolist() for p in want]
+
+
 def test_overlapping_boxes_meet_once(spark):
     import numpy as np
 
