@@ -2,20 +2,26 @@
 
 A block is a term's postings of one range of ``span`` keys. Ranges are the same for all terms, so what the blocks of a range can
 give at most adds up to a bound of any document in it. A search reads the bounds of its terms, scores the few ranges of the
-greatest bounds, and then only ranges whose bound reaches the k-th score found; the others' postings aren't read. Its
-result is that of scoring everything. A hot term is many blocks, of ``span`` postings at most for distinct keys.
+greatest bounds, and then only ranges whose bound reaches the k-th score found; the others' postings aren't scored. Its
+result is that of scoring everything. A hot term is many blocks, of ``span`` postings at most for distinct keys. The blocks that a
+term has in one frame of texts are one row, as a row a block would be mostly rows for rare terms, of two postings on average.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT, Settings
 from tessera.functions import strings
+from tessera.operators import frames
 from tessera.sources.sinks import SnapshotStore
 
 
@@ -106,6 +112,74 @@ class TextStatistics:
         return (row["df"], row["tf"] / row["df"]) if row and row["df"] else (0, 0.0)
 
 
+#: Bytes of text of a frame, and the columns of a term's blocks in it: of each block its range, number and bounds, then all postings by
+#: range and key, as packed numbers. Keyless rows have no range; their key is null.
+FRAME_BYTES = 12 << 20
+_BLOCKS = "term string, keyless boolean, ranges binary, counts binary, max_tfs binary, min_lens binary, keys binary, tfs binary, lens binary, df int, tf int"
+
+
+def _word_blocks(frame: pa.RecordBatch) -> pa.RecordBatch:
+    """The blocks of a frame of texts whose words stand between single spaces: (word, row) pairs are counted by sorting."""
+    words = pc.split_pattern(frame.column("text"), " ")
+    length = np.diff(words.offsets.to_numpy()).astype(np.int32)
+    coded = words.flatten().dictionary_encode()
+    pairs = coded.indices.to_numpy().astype(np.int64) * len(frame) + np.repeat(np.arange(len(frame)), length)
+    pairs, tf = np.unique(pairs, return_counts=True)
+    code, row = np.divmod(pairs, len(frame))
+    tf, lens = tf.astype(np.int32), length[row]
+    keys, ranges = (pc.fill_null(frame.column(c), 0).to_numpy() for c in ("key", "range"))
+    new = np.concatenate([[True], np.diff(code) != 0])
+    first = np.flatnonzero(new)  # a term's postings, then a block's
+    start = np.flatnonzero(new | np.concatenate([[True], np.diff(np.cumsum(frames.changes(frame.column("range")))[row]) != 0]))
+    all_of, blocks_of = np.append(first, len(pairs)), np.append(np.searchsorted(start, first), len(start))
+    columns = {
+        "term": coded.dictionary.take(pa.array(code[first])),
+        "keyless": pa.array(np.full(len(first), frame.column("range").null_count > 0)),
+        "ranges": frames.packed(ranges[row[start]], blocks_of),
+        "counts": frames.packed(np.diff(np.append(start, len(pairs))).astype(np.int32), blocks_of),
+        "max_tfs": frames.packed(np.maximum.reduceat(tf, start), blocks_of),
+        "min_lens": frames.packed(np.minimum.reduceat(lens, start), blocks_of),
+        "keys": frames.packed(keys[row], all_of),
+        "tfs": frames.packed(tf, all_of),
+        "lens": frames.packed(lens, all_of),
+        "df": pa.array(np.diff(all_of), pa.int32()),
+        "tf": pa.array(np.add.reduceat(tf, first), pa.int32()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _unpack(names: list[str], per_block: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(term, range, ...) of every block, or of every posting."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            values, n = frames.unpacked(rows.column("ranges"), np.int64)
+            row = np.repeat(np.arange(len(rows)), n)
+            if not per_block:
+                count = frames.unpacked(rows.column("counts"), np.int32)[0]
+                values, row = np.repeat(values, count), np.repeat(row, count)
+            keyless = rows.column("keyless").to_numpy(zero_copy_only=False)[row]
+            columns = [rows.column("term").take(pa.array(row)), pa.array(values, mask=keyless)]
+            for name in names:
+                value = frames.unpacked(rows.column(name), np.int64 if name == "keys" else np.int32)[0]
+                columns.append(pa.array(value, mask=keyless if name == "keys" else None))
+            yield pa.RecordBatch.from_arrays(columns, ["term", "range", *[name[:-1] for name in names]])
+
+    return each
+
+
+def _bounds(rows: DataFrame) -> DataFrame:
+    """(term, range, max_tf, min_len) of each block; its postings aren't read."""
+    names = ["max_tfs", "min_lens"]
+    return rows.select("term", "keyless", "ranges", *names).mapInArrow(_unpack(names, True), "term string, range long, max_tf int, min_len int")
+
+
+def _postings(rows: DataFrame) -> DataFrame:
+    """(term, range, key, tf, len) of each posting."""
+    names = ["keys", "tfs", "lens"]
+    return rows.select("term", "keyless", "ranges", "counts", *names).mapInArrow(_unpack(names, False), "term string, range long, key long, tf int, len int")
+
+
 @dataclass
 class Hits:
     """The best documents, and how many ranges were asked about and read."""
@@ -122,24 +196,18 @@ class PostingsIndex:
         self.spark, self.path, self.key, self.buckets, self.span, self.settings = spark, path.rstrip("/"), key, buckets, span, settings
         self.statistics = TextStatistics(spark, f"{self.path}/statistics", key, "text")
 
-    def build(self, docs: DataFrame, text: str, files: int = 4) -> PostingsIndex:
-        """Index every row, by one shuffle: terms are counted within their row, and a bucket is dealt into ``files`` by ranges, so that
-        neither a hot term nor a bucket is one task. Counts come from the blocks that are written."""
-        split = docs.select(self.key, F.array_sort(strings.words(F.coalesce(F.col(text), F.lit("")))).alias("w")).withColumn("len", F.size("w"))
-        # Equal words stand together; a word's count is the distance to the next one's start.
-        first = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
-        split = split.where("len > 0").withColumn("first", first)
-        count = F.transform("first", lambda i, j: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("first", j + 1), F.col("len")) - i).alias("tf")))
-        rows = split.select(F.col(self.key).alias("key"), "len", F.explode(count).alias("c")).select("key", "len", "c.term", "c.tf")
-        rows = rows.withColumns({"range": F.floor(F.col("key") / self.span), "bucket": _bucket(F.col("term"), self.buckets)})
-        rows = rows.withColumn("file", F.pmod(F.coalesce("range", F.lit(0)), F.lit(files))).repartition(self.buckets * files, "bucket", "file")
-        held = F.array_sort(F.collect_list(F.struct("key", "tf", "len"))).alias("docs")
-        blocks = rows.groupBy("bucket", "file", "term", "range").agg(held, F.max("tf").alias("max_tf"), F.min("len").alias("min_len")).drop("file")
-        blocks.sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        made = self.spark.read.parquet(f"{self.path}/postings").select("term", F.size("docs").alias("df"), F.aggregate("docs.tf", F.lit(0), lambda a, x: a + x).alias("tf"))
+    def build(self, docs: DataFrame, text: str) -> PostingsIndex:
+        """Index every row, by one shuffle of the texts: a task has whole ranges and makes their blocks by arrays, so that a hot term
+        is as many tasks as ranges. Counts come from the blocks that are written."""
+        spaced = F.trim(F.regexp_replace(F.lower(F.col(text)), strings.NO_WORD, " "))  # as strings.words, which Python doesn't split alike
+        rows = frames.dealt(docs, self.key, spaced, self.span, self.span)
+        blocks = frames.blocks(rows, _word_blocks, _BLOCKS, FRAME_BYTES)
+        blocks = blocks.withColumn("bucket", _bucket(F.col("term"), self.buckets)).sortWithinPartitions("bucket", "term")
+        blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        made = self.spark.read.parquet(f"{self.path}/postings")
         sums = made.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
-        length = F.size(strings.words(F.coalesce(F.col(text), F.lit(""))))
-        whole = docs.agg(F.count("*").alias("df"), F.coalesce(F.sum(length), F.lit(0)).alias("tf")).select(F.lit(None).cast("string").alias("term"), "df", "tf")
+        length = made.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tf"))
+        whole = docs.agg(F.count("*").alias("df")).crossJoin(length).select(F.lit(None).cast("string").alias("term"), "df", "tf")
         self.statistics.write(1, sums.unionByName(whole))
         return self
 
@@ -154,7 +222,7 @@ class PostingsIndex:
         terms = sorted(set(terms))
         if not terms:
             return self.spark.createDataFrame([], f"{self.key} long")
-        return self._blocks(terms).select(F.explode("docs.key").alias(self.key)).distinct()
+        return _postings(self._blocks(terms)).select(F.col("key").alias(self.key)).distinct()
 
     def _weight(self, idf: Column, tf: Column, length: Column, average: float) -> Column:
         k1, b = self.settings.bm25_k1, self.settings.bm25_b
@@ -168,10 +236,9 @@ class PostingsIndex:
         idf = {t: math.log(1 + (total - n + 0.5) / (n + 0.5)) for t, n in df.items()}
         return F.element_at(F.create_map(*[F.lit(x) for pair in idf.items() for x in pair]), F.col("term")), average
 
-    def _scored(self, blocks: DataFrame, idf: Column, average: float) -> DataFrame:
-        each = blocks.select("term", F.explode("docs").alias("d"))
-        weight = self._weight(idf, F.col("d.tf"), F.col("d.len"), average)
-        return each.groupBy(F.col("d.key").alias(self.key)).agg(F.sum(weight).alias("score"))
+    def _scored(self, postings: DataFrame, idf: Column, average: float) -> DataFrame:
+        weight = self._weight(idf, F.col("tf"), F.col("len"), average)
+        return postings.groupBy(F.col("key").alias(self.key)).agg(F.sum(weight).alias("score"))
 
     def search(self, terms: list[str], k: int, first: int | None = None) -> Hits:
         """The k best documents (key, score), equal scores by key. ``first``: ranges that a first k-th score is taken from, k by default."""
@@ -182,14 +249,16 @@ class PostingsIndex:
         idf, average = weights
         blocks = self._blocks(terms)
         bound = self._weight(idf, F.col("max_tf"), F.col("min_len"), average)
-        bounds = blocks.groupBy("range").agg((F.sum(bound) * (1 + 1e-9)).alias("bound"))  # sums may be rounded otherwise
+        most = _bounds(blocks).groupBy("range", "term").agg(F.max(bound).alias("bound"))  # a long range is several blocks of a term
+        bounds = most.groupBy("range").agg((F.sum("bound") * (1 + 1e-9)).alias("bound"))  # sums may be rounded otherwise
         head = bounds.orderBy(F.desc("bound"), "range").limit(first or k).collect()
-        at = blocks.where(F.col("range").isin(*[r["range"] for r in head if r["range"] is not None]))
+        postings = _postings(blocks)
+        at = postings.where(F.col("range").isin(*[r["range"] for r in head if r["range"] is not None]))
         known = self._scored(at, idf, average).orderBy(F.desc("score")).limit(k).collect()
         floor = known[-1]["score"] if len(known) == k else 0.0
         open_ranges = bounds.where(F.col("bound") >= floor)
         count = bounds.agg(F.count("*"), F.count_if(F.col("bound") >= floor)).first()
         # A null key has a null range, which is read whenever it is open.
-        kept = blocks.join(open_ranges.select(F.col("range").alias("open")), F.col("range").eqNullSafe(F.col("open")), "left_semi")
+        kept = postings.join(open_ranges.select(F.col("range").alias("open")), F.col("range").eqNullSafe(F.col("open")), "left_semi")
         rows = self._scored(kept, idf, average).orderBy(F.desc("score"), self.key).limit(k)
         return Hits(rows, count[0], count[1])

@@ -16,7 +16,7 @@ from tessera.plans.flows import ORACLES as FLOWS
 from tessera.plans.ranking import ORACLES as RANKING
 from tessera.plans.retrieval import _CROSS, _DIST, _WORDS, DIMS, TERMS, _six, patches, tokens
 from tessera.plans.retrieval import ORACLES as RETRIEVAL
-from tessera.runtime import shared_dir
+from tessera.runtime import shared_dir, ship
 from tessera.sources.change_store import ChangeStore
 from tessera.sources.sinks import SnapshotStore
 from tessera.sources.tables import read
@@ -30,6 +30,7 @@ def _at(spark: SparkSession, name: str) -> str:
 
 
 def _postings(spark: SparkSession, docs: DataFrame, key: str) -> PostingsIndex:
+    ship(spark)
     return PostingsIndex(spark, _at(spark, "postings"), key, buckets=16).build(docs, "text")
 
 
@@ -88,6 +89,7 @@ def a7_bounded_maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _substrings(spark: SparkSession, rows: DataFrame, key: str, needle: str) -> DataFrame:
+    ship(spark)
     return SubstringIndex(spark, _at(spark, "trigrams"), key).build(rows, "text").search(rows, "text", needle).rows
 
 
