@@ -204,7 +204,7 @@ class PostingsIndex:
         blocks = frames.blocks(rows, _word_blocks, _BLOCKS, FRAME_BYTES)
         blocks = blocks.withColumn("bucket", _bucket(F.col("term"), self.buckets)).sortWithinPartitions("bucket", "term")
         blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        made = self.spark.read.parquet(f"{self.path}/postings")
+        made = self.spark.read.schema(f"{_BLOCKS}, bucket int").parquet(f"{self.path}/postings")
         sums = made.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
         length = made.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tf"))
         whole = docs.agg(F.count("*").alias("df")).crossJoin(length).select(F.lit(None).cast("string").alias("term"), "df", "tf")
@@ -214,7 +214,7 @@ class PostingsIndex:
     def _blocks(self, terms: list[str]) -> DataFrame:
         """The blocks of these terms: their buckets' folders alone are listed, the term is pushed down into them."""
         asked = self.spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"), self.buckets)).distinct().collect()
-        rows = self.spark.read.parquet(f"{self.path}/postings")
+        rows = self.spark.read.schema(f"{_BLOCKS}, bucket int").parquet(f"{self.path}/postings")
         return rows.where(F.col("bucket").isin(*[r[0] for r in asked]) & F.col("term").isin(*terms))
 
     def candidates(self, terms: list[str]) -> DataFrame:

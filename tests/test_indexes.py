@@ -228,3 +228,28 @@ def test_frames_are_cut_between_ranges(spark):
     ranges = [None, 0, 0, 1, 1, 2, 2]
     batch = pa.RecordBatch.from_pydict({"range": pa.array(ranges, pa.int64()), "text": ["x" * n for n in sizes]})
     assert [f.column("range").to_pylist() for f in frames.frames(iter([batch]), 16)] == [[None], [0, 0, 1, 1], [2], [2]]
+
+
+def test_trigrams_of_any_symbols(spark, tmp_path):
+    """Code points beyond 16 bits are one symbol each, before the needle was cut in their midst; many symbols leave few bits for rows."""
+    wide = "".join(chr(c) for c in range(0x20000, 0x20000 + 70_000))
+    rows = [(1, "say 😀😀 twice"), (2, "NUL \x00\x00\x00 end"), (3, wide), (4, wide[5:]), (5, "ab"), (6, ""), (7, None), (None, "x 😀😀 y"), (None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    index = substring_index.SubstringIndex(spark, f"file://{tmp_path}/g", "doc_id", buckets=2, span=64).build(docs, "text")
+    grams = {r.gram for r in spark.read.parquet(f"file://{tmp_path}/g/trigrams").select("gram").distinct().collect()}
+    assert grams == {g for _, t in rows for g in substring_index.trigrams((t or "").lower())}
+    for needle, want in ((" 😀😀 ", [None, 1]), ("\x00\x00\x00", [2]), (wide[2:9], [3]), (wide[-4:], [3, 4]), ("TWICE", [1])):
+        got = [r.doc_id for r in index.search(docs, "text", needle).rows.collect()]
+        assert sorted(got, key=lambda k: (k is not None, k or 0)) == want
+
+
+def test_short_texts_have_no_trigrams(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "ab"), (2, "c")], "doc_id long, text string")
+    index = substring_index.SubstringIndex(spark, f"file://{tmp_path}/g", "doc_id", buckets=2).build(docs, "text")
+    assert index.search(docs, "text", "abc").rows.collect() == [] and index.search(docs, "text", "B").rows.count() == 1
+
+
+def test_texts_without_words_make_an_empty_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "?!"), (2, None)], "doc_id long, text string")
+    index = postings_index.PostingsIndex(spark, f"file://{tmp_path}/w", "doc_id", buckets=2).build(docs, "text")
+    assert index.search(["a"], 3).rows.collect() == index.candidates(["a"]).collect() == [] and index.statistics.totals() == (2, 0.0)
