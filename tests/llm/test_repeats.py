@@ -93,6 +93,18 @@ def test_words(docs, rows, size):
     same(rlz_spans.spans_digest(docs, size), brute_words(rows, size))
 
 
+@pytest.mark.parametrize("shared", [399, 400])
+def test_passage_of_over_fifty_words(spark, shared):
+    """57 words, with the spaces around them one byte short of 400, stay; op 5 removes them. Of 400 bytes both documents lose them."""
+    passage = " ".join(f"word{i:02}" for i in range(57))[400 - shared :]
+    rows = [(1, f"ab {passage} cd"), (2, f"ef {passage} gh"), (3, "one more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_buckets.repeats_digest(docs).collect()}
+    gone = (400, 1) if shared == 400 else (0, 0)
+    assert found == {1: (shared + 4, *gone), 2: (shared + 4, *gone), 3: (8, 0, 0)}
+    assert sorted((r.doc_id, r.n_removed) for r in rlz_spans.spans_digest(docs).collect()) == [(1, 0), (2, 57), (3, 0)]
+
+
 @pytest.mark.parametrize("few", [0, 1, 3])
 def test_words_of_common_grams(docs, rows, few):
     """Grams with more blocks than are shipped are compared range by range and window by window."""
