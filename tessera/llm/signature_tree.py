@@ -308,7 +308,7 @@ def forest(raw: list[bytes], how: Join) -> list[int]:
 def _grams(docs: DataFrame, nodes: DataFrame, wide: DataFrame, clusters: DataFrame, how: Join) -> DataFrame:
     """(label, n, node, grams, hub), as a table: the sets of clustered nodes, with the number of blocks of their cluster."""
     sizes = clusters.groupBy("label").agg(F.ceil(F.count("*") / F.lit(how.block)).cast("int").alias("n"))
-    wanted = clusters.join(sizes, "label").join(nodes.select("node", "kid", "h1", "h2", F.size("prefix").alias("p")), "node").join(wide, "node", "left")
+    wanted = clusters.join(sizes, "label").join(nodes.select("node", "kid", "h1", "h2", "p"), "node").join(wide, "node", "left")
     common = F.coalesce("wide", F.lit(0)) / F.col("p")
     large = wanted.where("n > 1").select("label", "node", F.row_number().over(W.partitionBy("label").orderBy(common.desc(), "node")).alias("r"))
     hubs = large.where(F.col("r") <= how.hubs).select("node", F.lit(True).alias("hub"))
@@ -506,10 +506,15 @@ def near_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id",
     Rows that repeat an id with other texts are documents of their own.
     """
     rows = keyed(docs, id_col, text_col)
-    said = materialise(_described(rows, how), "jaccard-sets")
-    nodes = said.where("n > 0").groupBy("h1", "h2").agg(F.min("kid").alias("kid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    whole = materialise(_described(rows, how), "jaccard-sets")
+    nodes = whole.where("n > 0").groupBy("h1", "h2").agg(F.min("kid").alias("kid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
+    # The n-grams are most of either table, and are deleted after their last use.
+    said = materialise(whole.drop("prefix"), "jaccard-rows")
+    discard(whole)
     edges, wide, held = _candidates(nodes, how)
+    whole, nodes = nodes, materialise(nodes.withColumn("p", F.size("prefix")).drop("prefix"), "jaccard-named")
+    discard(whole)
     clusters = components(edges, "jaccard-clusters")
     grams = _grams(rows, nodes, wide, clusters, how)
     discard(*held, clusters)
@@ -533,15 +538,25 @@ def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
     with the least hash of its JSON stays, so that reruns agree.
     """
     found = near_components(docs, how)
-    first = found.where("label is not null").groupBy("label").agg(F.min(F.struct("kid", "kh")).alias("row"))
-    kept = first.select(F.col("row.kid").alias("kept_kid"), F.col("row.kh").alias("kept_kh"))
-    kept = kept.unionByName(found.where("label is null").select(F.col("kid").alias("kept_kid"), F.col("kh").alias("kept_kh")))
-    row = F.struct(*docs.columns).alias("row")
-    keyed_rows = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kid"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("kh"))
+    each = found.groupBy("kid", "kh").agg(F.max("label").alias("label"), F.count("*").alias("times"))
+    first = each.where("label is not null").groupBy("label").agg(F.min(F.struct("kid", "kh", "times")).alias("first")).select("first.*")
+    kept = first.unionByName(each.where("label is null").drop("label"))
+    kept = materialise(kept.select(F.col("kid").alias("kept_kid"), F.col("kh").alias("kept_kh"), "times"), "jaccard-kept")
+    discard(found)
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kid"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("kh")]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *key)
     same = (F.col("kid") == F.col("kept_kid")) & (F.col("kh") == F.col("kept_kh"))
-    rows = keyed_rows.join(kept, same, "left_semi").withColumn("turn", F.xxhash64(F.to_json("row")))
-    repeated = rows.groupBy("kid", "kh").agg(F.min("turn").alias("turn"))
-    return rows.join(repeated, ["kid", "kh", "turn"]).dropDuplicates(["kid", "kh"]).select("row.*")
+    # Whole rows are shuffled once, to their keys; which of repeated ones stays is settled by hashes before.
+    out = rows.join(kept.where("times = 1"), same, "left_semi").select("row.*")
+    many = kept.where("times > 1")
+    if not many.limit(1).count():
+        return out
+    turn = F.xxhash64(F.to_json("row"))
+    least = rows.select("kid", "kh", turn.alias("turn")).join(many, same, "left_semi").groupBy("kid", "kh").agg(F.min("turn").alias("least"))
+    least = materialise(least.withColumnsRenamed({"kid": "kept_kid", "kh": "kept_kh"}), "jaccard-turns")
+    # None is below the least: an inequality, so that both joins read the same shuffle of the rows.
+    repeated = rows.join(least, same).where(turn <= F.col("least")).dropDuplicates(["kid", "kh"])
+    return out.unionByName(repeated.select("row.*"))
 
 
 def jaccard_digest(docs: DataFrame) -> DataFrame:
